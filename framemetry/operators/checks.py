@@ -47,8 +47,8 @@ def reconcile(
 
     Output: keys, column, actual, published. Missing on both sides or NaN on both sides agrees.
     """
-    a = actual.select(*keys, F.struct(*[F.col(v).cast("double") for v in values]).alias("_a"))
-    b = published.select(*keys, F.struct(*[F.col(v).cast("double") for v in values]).alias("_b"))
+    a = actual.select(*keys, F.struct(*[F.col(v).cast("double").alias(v) for v in values]).alias("_a"))
+    b = published.select(*keys, F.struct(*[F.col(v).cast("double").alias(v) for v in values]).alias("_b"))
     cells = F.array(
         *[
             F.struct(
