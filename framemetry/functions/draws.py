@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from framemetry.functions.arrays import let
+
 _SCALE = float(2**32)
 
 
@@ -33,8 +35,18 @@ def uniform(seed: int, *parts, lane: int = 0, algo: str = "md5") -> Column:
     return (bits32(seed, *parts, lane=lane, algo=algo) + F.lit(0.5)) / F.lit(_SCALE)
 
 
+def _box_muller(u: Column, v: Column) -> Column:
+    return F.sqrt(-2.0 * F.log(u)) * F.cos(F.lit(6.283185307179586) * v)
+
+
 def normal(seed: int, *parts, lanes: tuple[int, int] = (0, 1), algo: str = "md5") -> Column:
     """Standard normal by Box-Muller from two words of one digest."""
-    u = uniform(seed, *parts, lane=lanes[0], algo=algo)
-    v = uniform(seed, *parts, lane=lanes[1], algo=algo)
-    return F.sqrt(-2.0 * F.log(u)) * F.cos(F.lit(6.283185307179586) * v)
+    if algo == "md5":
+        digest = F.md5(F.concat_ws("|", *_key(seed, parts)))
+
+        def word(d: Column, lane: int) -> Column:
+            bits = F.conv(F.substring(d, 1 + 8 * lane, 8), 16, 10).cast("bigint")
+            return (bits + F.lit(0.5)) / F.lit(_SCALE)
+
+        return let(digest, lambda d: _box_muller(word(d, lanes[0]), word(d, lanes[1])))
+    return _box_muller(*[uniform(seed, *parts, lane=n, algo=algo) for n in lanes])

@@ -8,6 +8,7 @@ from framemetry.functions.scalars import clamp01
 
 # Makes averages of two-decimal inputs irregular, so rounding never meets an exact tie.
 K = 0.0123456789
+STRENGTH = 0.1987654321  # of the disturbance of a frame, irregular for the same reason
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -142,7 +143,7 @@ def pairs(spark, sf) -> DataFrame:
 
     def disturb(v, i):
         k = (F.col("frame_id") * 7919 + i.cast("bigint") * 104729) % 1000
-        return clamp01(v + 0.2 * (k / 1000.0 - 0.5))
+        return clamp01(v + STRENGTH * (k / 1000.0 - 0.5))
 
     return frames(spark, sf).select(
         "frame_id", "h", "w", "label",
@@ -160,8 +161,8 @@ px AS (
 pr AS (
   SELECT frame_id, label, pos, y, x, v AS b,
          greatest(0.0::DOUBLE, least(1.0::DOUBLE,
-           v + 0.2::DOUBLE * (((frame_id * 7919 + pos * 104729) % 1000)::DOUBLE / 1000 - 0.5::DOUBLE))) AS a
-  FROM px)"""
+           v + {strength}::DOUBLE * (((frame_id * 7919 + pos * 104729) % 1000)::DOUBLE / 1000 - 0.5::DOUBLE))) AS a
+  FROM px)""".replace("{strength}", str(STRENGTH))
 
 
 def md5_uniform_sql(seed: int, parts: str, lane: int = 0) -> str:
