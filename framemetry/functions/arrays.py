@@ -35,10 +35,16 @@ def image_rows(px: Column, h: Column, w: Column) -> Column:
 
 def crop(px: Column, w: Column, top: Column, left: Column, ch: Column, cw: Column) -> Column:
     """Flat pixels of the ``ch`` x ``cw`` window at (top, left)."""
+    corner = F.struct(top.alias("top"), left.alias("left"))
     return let(
-        px,
-        lambda p: F.flatten(
-            F.transform(upto(ch), lambda y: F.slice(p, (top + y) * w + left + 1, cw))
+        corner,
+        lambda c: let(
+            px,
+            lambda p: F.flatten(
+                F.transform(
+                    upto(ch), lambda y: F.slice(p, (c["top"] + y) * w + c["left"] + 1, cw)
+                )
+            ),
         ),
     )
 
@@ -68,10 +74,14 @@ def reflect_pad(px: Column, h: Column, w: Column, oh: Column, ow: Column) -> Col
 
 
 def flip(px: Column, h: Column, w: Column, vertical: Column, horizontal: Column) -> Column:
-    return remap(
-        px, w, h, w,
-        lambda y, x: F.when(vertical, h - 1 - y).otherwise(y),
-        lambda y, x: F.when(horizontal, w - 1 - x).otherwise(x),
+    """Mirror rows (vertical) and columns (horizontal) as decided per picture."""
+    return let(
+        F.struct(vertical.alias("v"), horizontal.alias("h")),
+        lambda f: remap(
+            px, w, h, w,
+            lambda y, x: F.when(f["v"], h - 1 - y).otherwise(y),
+            lambda y, x: F.when(f["h"], w - 1 - x).otherwise(x),
+        ),
     )
 
 

@@ -41,17 +41,22 @@ def draw_parameters(frames: DataFrame, seed: int, key: str = "frame_id") -> Data
 
 def apply_parameters(frames: DataFrame, column: str = "pixels") -> DataFrame:
     """Cyclic shift, horizontal flip, vertical flip, brightness with clamp, gamma with clamp."""
-    h, w, a = F.col("h"), F.col("w"), F.col("aug")
+    h, w = F.col("h"), F.col("w")
+
+    def changed(a: Column) -> Column:
+        def row(y, x):
+            return F.pmod(F.when(a["vflip"], h - 1 - y).otherwise(y) - a["dy"], h)
 
-    def row(y, x):
-        return F.pmod(F.when(a["vflip"], h - 1 - y).otherwise(y) - a["dy"], h)
+        def col(y, x):
+            return F.pmod(F.when(a["hflip"], w - 1 - x).otherwise(x) - a["dx"], w)
 
-    def col(y, x):
-        return F.pmod(F.when(a["hflip"], w - 1 - x).otherwise(x) - a["dx"], w)
+        return F.transform(
+            remap(F.col(column), w, h, w, row, col),
+            lambda v: clamp01(F.pow(clamp01(v * a["scale"] + a["bias"]), a["gamma"])),
+        )
 
-    moved = remap(F.col(column), w, h, w, row, col)
-    lit = F.transform(moved, lambda v: clamp01(v * a["scale"] + a["bias"]))
-    return frames.withColumn(column, F.transform(lit, lambda v: clamp01(F.pow(v, a["gamma"]))))
+    # bound once per frame: otherwise the draws would be repeated for every pixel
+    return frames.withColumn(column, let(F.col("aug"), changed))
 
 
 def augment(frames: DataFrame, seed: int, column: str = "pixels") -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from framemetry.functions import arrays, draws
 from framemetry.functions.scalars import base_name, clamp01_pixels, pixels_finite
+from framemetry.operators.prefix import BUCKET, with_carry
 
 
 def pixel_view(frames: DataFrame, keep: list[str], **values: str) -> DataFrame:
@@ -79,6 +80,21 @@ def common_names(first: DataFrame, second: DataFrame) -> DataFrame:
     )
 
 
+def ordered_paths(df: DataFrame, path: str = "rel_path", prefix: int = 6) -> DataFrame:
+    """Position of every path in path order (from 1), column ``place``.
+
+    Buckets are the folder and the first characters of the name; paths of one bucket are sorted
+    together, so ``prefix`` is to be long enough for the largest folder.
+    """
+    folder, name = F.regexp_extract(path, "^(.*/)?", 0), base_name(path)
+    rows = with_carry(
+        df, [], F.concat(folder, F.substring(name, 1, prefix)), {"_before": (F.count(F.lit(1)), "sum")}
+    )
+    pos = F.row_number().over(Window.partitionBy(BUCKET).orderBy(path))
+    place = (F.coalesce(F.col("_before"), F.lit(0)) + pos).cast("bigint")
+    return rows.withColumn("place", place).drop("_before", BUCKET)
+
+
 def duplicate_keys(df: DataFrame, on: str = "name") -> DataFrame:
     return (
         _pair_key(df, on)

@@ -9,8 +9,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from framemetry.functions.arrays import at, let, upto
-from framemetry.operators.frames import assemble
-
 EPS = 1e-6
 TWO_PI = 6.283185307179586
 
@@ -36,8 +34,15 @@ def grid_offsets(n: Column, tile: int, overlap: int, trim: bool = False) -> Colu
     """Tile starts along one axis. ``trim`` leaves out tiles that begin inside the last overlap."""
     if not 0 <= overlap < tile:
         raise ValueError("overlap must be at least 0 and below the tile size")
-    last = F.greatest(n - overlap, F.lit(1)) - 1 if trim else n - 1
-    return F.sequence(F.lit(0), last.cast("int"), F.lit(tile - overlap))
+    return F.sequence(F.lit(0), _last_start(n, overlap, trim), F.lit(tile - overlap))
+
+
+def _last_start(n: Column, overlap: int, trim: bool) -> Column:
+    return (F.greatest(n - overlap, F.lit(1)) - 1 if trim else n - 1).cast("int")
+
+
+def grid_count(n: Column, tile: int, overlap: int, trim: bool = False) -> Column:
+    return (F.floor(_last_start(n, overlap, trim) / (tile - overlap)) + 1).cast("int")
 
 
 def tile_frames(
@@ -106,8 +111,8 @@ def overlap_add(
             F.array_sort(F.collect_list(F.struct("top", "left", "pixels"))), lambda t: t["pixels"]
         ).alias("_tiles")
     )
-    across = F.size(grid_offsets(F.col("w"), tile, overlap, trim))
-    down = F.size(grid_offsets(F.col("h"), tile, overlap, trim))
+    across = grid_count(F.col("w"), tile, overlap, trim)
+    down = grid_count(F.col("h"), tile, overlap, trim)
 
     def covering(p: Column, count: Column) -> Column:
         first = F.greatest(F.floor((p - tile) / step) + 1, F.lit(0)).cast("int")
@@ -181,8 +186,3 @@ def tiled_apply(
         tiles = apply_to_tiles(tiles, fn, tile)
     return overlap_add(tiles, tile, overlap, keys, edge)
 
-
-__all__ = [
-    "apply_to_tiles", "assemble", "box_filter", "grid_offsets", "hann", "hann_weights",
-    "overlap_add", "overlap_add_pixels", "tile_frames", "tiled_apply",
-]

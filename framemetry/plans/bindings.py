@@ -15,6 +15,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(spark: SparkSession, df: DataFrame, key: str) -> DataFrame:
+    """Use all cores on an input of few splits (a small file). Inputs with at least as many splits
+    as cores, which is every large one, are left as they are and not shuffled."""
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def r6(c: Column | str, name: str | None = None) -> Column:
     """Rounded for comparison; adding 0.0 turns a negative zero into a positive one."""
     out = F.round(F.col(c) if isinstance(c, str) else c, 6) + F.lit(0.0)
@@ -129,7 +136,7 @@ epoch_log AS (
 
 def frames(spark, sf) -> DataFrame:
     """8x8 frames from the 64 floats of each vector, scaled into [0, 1]."""
-    return table(spark, sf, "embeddings").select(
+    return spread(spark, table(spark, sf, "embeddings"), "vec_id").select(
         F.col("vec_id").alias("frame_id"),
         F.lit(8).alias("h"),
         F.lit(8).alias("w"),

@@ -10,7 +10,7 @@ from framemetry.functions.scalars import (
 )
 from framemetry.operators import frames as fr, quality, stencil
 from framemetry.plans.bindings import (
-    PIXELS_SQL, big, frames, md5_uniform_sql, pairs, r6, rounded, table,
+    PIXELS_SQL, frames, md5_uniform_sql, pairs, r6, rounded, table,
 )
 from framemetry.plans.registry import query
 
@@ -162,23 +162,10 @@ def _label_join(spark, sf):
 @query("ordered_paths", """SELECT row_number() OVER (ORDER BY source || '/' || doc_id) AS place,
   source || '/' || doc_id AS rel_path FROM documents""")
 def _ordered_paths(spark, sf):
-    from framemetry.operators.prefix import BUCKET, with_carry
-    from pyspark.sql import Window
-
     docs = table(spark, sf, "documents").select(
         F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("rel_path")
     )
-    # position in path order: buckets are folders and the first digits of the name
-    folder = F.substring_index("rel_path", "/", 1)
-    name = F.substring_index("rel_path", "/", -1)
-    rows = with_carry(
-        docs, [], F.concat_ws("/", folder, F.substring(name, 1, 2)),
-        {"_before": (F.count(F.lit(1)), "sum")},
-    )
-    pos = F.row_number().over(Window.partitionBy(BUCKET).orderBy("rel_path"))
-    return rows.select(
-        (F.coalesce(F.col("_before"), F.lit(0)) + pos).cast("bigint").alias("place"), "rel_path"
-    )
+    return fr.ordered_paths(docs).select("place", "rel_path")
 
 
 @query("path_parts", """SELECT page_id, split_part(u, '/', 1) AS first_part,

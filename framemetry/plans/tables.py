@@ -328,13 +328,10 @@ def _latency_plot_data(spark, sf):
 @query("plot_order", """SELECT o_orderkey,
   row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)::BIGINT AS plot_order FROM orders""")
 def _plot_order(spark, sf):
-    from pyspark.sql import Window
-
-    # customers hold a bounded number of orders each; larger keys use the running aggregates
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    return table(spark, sf, "orders").select(
-        "o_orderkey", F.row_number().over(w).cast("bigint").alias("plot_order")
-    )
+    orders = table(spark, sf, "orders").select("o_custkey", "o_orderdate", "o_orderkey")
+    bucket = F.struct("o_orderdate", F.floor(F.col("o_orderkey") / 65536).alias("part"))
+    out = plotdata.place_in_order(orders, ["o_custkey"], ["o_orderdate", "o_orderkey"], bucket)
+    return out.select("o_orderkey", big("plot_order"))
 
 
 # --- SQL functions ------------------------------------------------------------------------------------------------

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from framemetry.operators import augment as ag, frames as fr, noise, quality, tiles, vectors
 from framemetry.plans.bindings import (
-    PIXELS_SQL, big, frames, md5_normal_sql, md5_uniform_sql, pairs, r6, rounded, table,
+    PIXELS_SQL, frames, md5_normal_sql, md5_uniform_sql, pairs, r6, rounded, table,
 )
 from framemetry.plans.registry import query
 
