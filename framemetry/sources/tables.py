@@ -34,9 +34,11 @@ def quarantine_malformed(
     """(good rows, rejected lines). A row with too many or too few fields, or a value of the wrong
     type, is rejected as the raw line; blank lines are dropped.
 
-    All columns are parsed even if few are used: with pruning, surplus fields go unnoticed.
+    Whether a row is good must not depend on which columns the caller uses later. With fewer
+    columns wanted, the reader would neither count fields nor convert the others, so the verdict is
+    tied to all of them.
     """
-    first = schema.split()[0]
+    wanted = spark.createDataFrame([], schema).columns
     raw = (
         spark.read.schema(f"{schema}, {CORRUPT} STRING")
         .option("header", header)
@@ -45,12 +47,11 @@ def quarantine_malformed(
         .option("columnPruning", False)
         .csv(path)
     )
-    good = raw.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
-    # a query on the corrupt column alone is not allowed, so one more column is touched
-    bad = raw.filter(F.col(CORRUPT).isNotNull()).select(
-        F.coalesce(F.col(CORRUPT), F.col(first).cast("string")).alias("line"),
-    )
-    return good, bad.filter(F.trim("line") != "")
+    nothing = F.left(F.hash(*wanted).cast("string"), F.lit(0))
+    judged = raw.withColumn("line", F.concat(CORRUPT, nothing))
+    good = judged.filter(F.col("line").isNull()).select(*wanted)
+    bad = judged.filter(F.col("line").isNotNull() & (F.trim("line") != "")).select("line")
+    return good, bad
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
