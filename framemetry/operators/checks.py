@@ -132,9 +132,14 @@ def expect_same_order(
 
 
 def protocol_guard(df: DataFrame, keys: list[str], protocol: str = "protocol") -> DataFrame:
-    """Groups that pool results of more than one protocol; such groups must not be averaged."""
+    """Groups that pool results of more than one protocol; such groups must not be averaged.
+
+    Rows are reduced to distinct (group, protocol) pairs first, by hash and before the shuffle.
+    """
     return (
-        df.groupBy(*keys)
+        df.select(*keys, protocol)
+        .distinct()
+        .groupBy(*keys)
         .agg(F.min(protocol).alias("_lo"), F.max(protocol).alias("_hi"))
         .filter(F.col("_lo") != F.col("_hi"))
         .select(*_violation("protocol", _key_text(keys), F.concat_ws(" + ", "_lo", "_hi")))

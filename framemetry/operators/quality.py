@@ -19,6 +19,7 @@ from framemetry.functions.scalars import finite, finite_or_null, nan_if_null, ps
 from framemetry.operators.stencil import ssim_of_moments
 
 EDGE_QUANTILE = 0.85
+MOMENTS = ("ma", "mb", "aa", "bb", "ab")
 
 
 # --- pixel errors ----------------------------------------------------------------------------------------
@@ -57,25 +58,24 @@ def ssim_global(pixels: DataFrame, keys: list[str], a: str = "a", b: str = "b")
 
 
 def ssim_windowed(a: Column, b: Column, h: Column, w: Column) -> Column:
-    """Mean over the frame of the 11 x 11 Gaussian-window similarity."""
+    """Mean over the frame of the 11 x 11 Gaussian-window similarity.
+
+    The five moment pictures go through one filter expression, as an array of pictures.
+    """
     taps = arrays.gaussian_taps()
 
     def product(p: Column, q: Column) -> Column:
         return F.zip_with(p, q, lambda u, v: u * v)
 
-    moments = F.arrays_zip(
-        arrays.blur(a, h, w, taps).alias("ma"),
-        arrays.blur(b, h, w, taps).alias("mb"),
-        arrays.blur(product(a, a), h, w, taps).alias("aa"),
-        arrays.blur(product(b, b), h, w, taps).alias("bb"),
-        arrays.blur(product(a, b), h, w, taps).alias("ab"),
-    )
-    return arrays.array_mean(
-        F.transform(
-            moments,
-            lambda m: ssim_of_moments(m["ma"], m["mb"], m["aa"], m["bb"], m["ab"]),
+    pictures = F.array(a, b, product(a, a), product(b, b), product(a, b))
+
+    def similarity(m: Column) -> Column:
+        planes = F.arrays_zip(*[F.get(m, F.lit(i)).alias(n) for i, n in enumerate(MOMENTS)])
+        return arrays.array_mean(
+            F.transform(planes, lambda p: ssim_of_moments(*[p[n] for n in MOMENTS]))
         )
-    )
+
+    return arrays.let(F.transform(pictures, lambda p: arrays.blur(p, h, w, taps)), similarity)
 
 
 # --- edges ---------------------------------------------------------------------------------------------------
@@ -94,22 +94,16 @@ def minmax_norm(e: Column) -> Column:
 
 def f1_of_masks(ex: Column, ey: Column, hit, guard: float) -> Column:
     """F1 of two thresholded edge maps with ``guard`` added to every denominator."""
-
-    def count(rule) -> Column:
-        return F.size(F.filter(F.zip_with(ex, ey, rule), lambda m: m))
-
-    cells = F.struct(
-        count(lambda p, q: hit(p) & hit(q)).alias("tp"),
-        count(lambda p, q: hit(p) & ~hit(q)).alias("fp"),
-        count(lambda p, q: ~hit(p) & hit(q)).alias("fn"),
-    )
+    cells = F.zip_with(ex, ey, lambda p, q: F.struct(hit(p).alias("p"), hit(q).alias("q")))
 
     def score(c):
-        precision = c["tp"] / (c["tp"] + c["fp"] + guard)
-        recall = c["tp"] / (c["tp"] + c["fn"] + guard)
+        both = F.size(F.filter(c, lambda m: m["p"] & m["q"]))
         return arrays.let(
-            F.struct(precision.alias("p"), recall.alias("r")),
-            lambda s: s["p"] * s["r"] * 2.0 / (s["p"] + s["r"] + guard),
+            F.struct(
+                (both / (F.size(F.filter(c, lambda m: m["p"])) + guard)).alias("precision"),
+                (both / (F.size(F.filter(c, lambda m: m["q"])) + guard)).alias("recall"),
+            ),
+            lambda s: s["precision"] * s["recall"] * 2.0 / (s["precision"] + s["recall"] + guard),
         )
 
     return arrays.let(cells, score)
@@ -117,13 +111,14 @@ def f1_of_masks(ex: Column, ey: Column, hit, guard: float) -> Column:
 
 def edge_f1(ex: Column, ey: Column, q: float = EDGE_QUANTILE) -> Column:
     """F1 of edge pixels: both maps scaled to [0, 1], threshold the q quantile of the target."""
-    return arrays.let(
-        F.struct(minmax_norm(ex).alias("x"), minmax_norm(ey).alias("y")),
-        lambda n: arrays.let(
-            arrays.array_quantile(n["y"], q),
-            lambda t: f1_of_masks(n["x"], n["y"], lambda v: v >= t, 1e-9),
-        ),
-    )
+
+    def score(n: Column) -> Column:
+        x, y = F.get(n, F.lit(0)), F.get(n, F.lit(1))
+        return arrays.let(
+            arrays.array_quantile(y, q), lambda t: f1_of_masks(x, y, lambda v: v >= t, 1e-9)
+        )
+
+    return arrays.let(F.transform(F.array(ex, ey), minmax_norm), score)
 
 
 def edge_f1_fixed(ex: Column, ey: Column, threshold: float = 0.1) -> Column:
@@ -140,9 +135,14 @@ SCORES = ["mse", "mae", "psnr", "ssim", "edge_l1", "edge_f1", "loss"]
 
 
 def with_edges(pairs: DataFrame, a: str = "noisy", b: str = "clean") -> DataFrame:
+    """Adds the edge magnitudes of both sides, ``_ea`` and ``_eb``."""
     h, w = F.col("h"), F.col("w")
-    return pairs.withColumn("_ea", arrays.sobel(F.col(a), h, w)).withColumn(
-        "_eb", arrays.sobel(F.col(b), h, w)
+    both = F.transform(F.array(a, b), lambda p: arrays.sobel(p, h, w))
+    return (
+        pairs.withColumn("_e", both)
+        .withColumn("_ea", F.get("_e", F.lit(0)))
+        .withColumn("_eb", F.get("_e", F.lit(1)))
+        .drop("_e")
     )
 
 

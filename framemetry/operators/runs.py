@@ -260,34 +260,47 @@ def group_spans(
 ) -> DataFrame:
     """Runs of equal ``group`` values along ``order``: (group, start, end), positions from 0.
 
-    ``bucket`` must not decrease along ``order`` and bounds what is sorted together. The last value
-    and the row count of earlier buckets arrive as carries, so spans cross bucket edges.
+    ``bucket`` must not decrease along ``order`` and bounds what is sorted together. Spans are found
+    inside each bucket and reduced there; only those short lists are numbered across buckets, where
+    a bucket that begins as the previous one ended continues its last span.
     """
     keys = keys or []
-    rows = with_carry(
-        df.select(*keys, *order, group),
-        keys,
-        bucket,
-        {
-            "_rows": (F.count(F.lit(1)), "sum"),
-            "_prev": (F.max_by(F.struct(group), F.struct(*order)), "last"),
-        },
+    here = Window.partitionBy(*keys, BUCKET).orderBy(*order)
+    previous = F.lag(F.struct(group)).over(here)
+    local = (
+        df.select(*keys, *order, group, bucket.alias(BUCKET))
+        .withColumn("_pos", F.row_number().over(here) - 1)
+        .withColumn("_new", (previous.isNotNull() & ~previous.eqNullSafe(F.struct(group))).cast("bigint"))
+        .withColumn("_nth", F.sum("_new").over(in_bucket(keys, order)))
+        .groupBy(*keys, BUCKET, "_nth", group)
+        .agg(F.min("_pos").alias("_from"), F.max("_pos").alias("_to"))
+    )
+    ends = F.struct(F.col("_nth"), F.struct(group).alias("g"))
+    per_bucket = local.groupBy(*keys, BUCKET).agg(
+        (F.max("_to") + 1).cast("bigint").alias("_rows"),
+        F.count(F.lit(1)).alias("_spans"),
+        F.min(ends).alias("_first"),
+        F.max(ends).alias("_last"),
     )
-    w = Window.partitionBy(*keys, BUCKET).orderBy(*order)
-    previous = F.coalesce(F.lag(F.struct(group)).over(w), F.col("_prev"))
-    marked = (
-        rows.withColumn("pos", F.coalesce(F.col("_rows"), F.lit(0)) + F.row_number().over(w) - 1)
-        .withColumn("_new", (~previous.eqNullSafe(F.struct(group))).cast("bigint"))
-        .drop("_rows", "_prev")
-        .withColumnRenamed(BUCKET, "_slot")
+    along = Window.partitionBy(*keys).orderBy(BUCKET)
+    so_far = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    continues = F.coalesce(F.lag("_last.g").over(along).eqNullSafe(F.col("_first.g")), F.lit(False))
+    carry = (
+        per_bucket.withColumn("_joined", continues.cast("bigint"))
+        .withColumn("_rows_before", F.sum("_rows").over(so_far) - F.col("_rows"))
+        .withColumn(
+            "_spans_before",
+            F.sum("_spans").over(so_far) - F.col("_spans") - F.sum("_joined").over(so_far),
+        )
+        .select(*keys, BUCKET, "_rows_before", "_spans_before")
     )
-    numbered = with_carry(marked, keys, F.col("_slot"), {"_spans": (F.sum("_new"), "sum")})
-    span = F.coalesce(F.col("_spans"), F.lit(0)) + F.sum("_new").over(in_bucket(keys, order))
     return (
-        numbered.withColumn("span", span)
-        .groupBy(*keys, "span")
+        local.join(carry, [*keys, BUCKET])
+        .withColumn("span", F.col("_spans_before") + F.col("_nth") + 1)
+        .groupBy(*keys, "span", group)
         .agg(
-            F.any_value(group).alias(group), F.min("pos").alias("start"), F.max("pos").alias("end")
+            F.min(F.col("_from") + F.col("_rows_before")).alias("start"),
+            F.max(F.col("_to") + F.col("_rows_before")).alias("end"),
         )
     )
 
