@@ -13,13 +13,13 @@ from framemetry.functions.arrays import let
 _SCALE = float(2**32)
 
 
-def _key(seed: int, parts: tuple) -> list[Column]:
-    return [F.lit(str(seed))] + [
-        p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts
+def _key(seed: int | Column, parts: tuple) -> list[Column]:
+    return [
+        p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in (seed, *parts)
     ]
 
 
-def bits32(seed: int, *parts, lane: int = 0, algo: str = "md5") -> Column:
+def bits32(seed: int | Column, *parts, lane: int = 0, algo: str = "md5") -> Column:
     """32 hash bits as a bigint. ``lane`` 0-3 picks one of four independent words of one digest."""
     key = _key(seed, parts)
     if algo == "md5":
@@ -30,7 +30,7 @@ def bits32(seed: int, *parts, lane: int = 0, algo: str = "md5") -> Column:
     raise ValueError(f"unknown hash {algo!r}")
 
 
-def uniform(seed: int, *parts, lane: int = 0, algo: str = "md5") -> Column:
+def uniform(seed: int | Column, *parts, lane: int = 0, algo: str = "md5") -> Column:
     """Uniform on the open interval (0, 1)."""
     return (bits32(seed, *parts, lane=lane, algo=algo) + F.lit(0.5)) / F.lit(_SCALE)
 
@@ -39,7 +39,7 @@ def _box_muller(u: Column, v: Column) -> Column:
     return F.sqrt(-2.0 * F.log(u)) * F.cos(F.lit(6.283185307179586) * v)
 
 
-def normal(seed: int, *parts, lanes: tuple[int, int] = (0, 1), algo: str = "md5") -> Column:
+def normal(seed: int | Column, *parts, lanes: tuple[int, int] = (0, 1), algo: str = "md5") -> Column:
     """Standard normal by Box-Muller from two words of one digest."""
     if algo == "md5":
         digest = F.md5(F.concat_ws("|", *_key(seed, parts)))

@@ -80,17 +80,22 @@ def common_names(first: DataFrame, second: DataFrame) -> DataFrame:
     )
 
 
-def ordered_paths(df: DataFrame, path: str = "rel_path", prefix: int = 6) -> DataFrame:
+def ordered_paths(
+    df: DataFrame, path: str = "rel_path", depth: int = 2, prefix: int = 6
+) -> DataFrame:
     """Position of every path in path order (from 1), column ``place``.
 
-    Buckets are the folder and the first characters of the name; paths of one bucket are sorted
-    together, so ``prefix`` is to be long enough for the largest folder.
+    Paths are ordered component by component. Buckets are the first ``depth`` components, the last
+    of them cut to ``prefix`` characters; paths of one bucket are sorted together, so both are to be
+    large enough for the largest folder.
     """
-    folder, name = F.regexp_extract(path, "^(.*/)?", 0), base_name(path)
-    rows = with_carry(
-        df, [], F.concat(folder, F.substring(name, 1, prefix)), {"_before": (F.count(F.lit(1)), "sum")}
+    parts = F.split(path, "/")
+    bucket = F.transform(
+        F.slice(parts, 1, depth),
+        lambda p, i: F.when(i == depth - 1, F.substring(p, 1, prefix)).otherwise(p),
     )
-    pos = F.row_number().over(Window.partitionBy(BUCKET).orderBy(path))
+    rows = with_carry(df, [], bucket, {"_before": (F.count(F.lit(1)), "sum")})
+    pos = F.row_number().over(Window.partitionBy(BUCKET).orderBy(parts))
     place = (F.coalesce(F.col("_before"), F.lit(0)) + pos).cast("bigint")
     return rows.withColumn("place", place).drop("_before", BUCKET)
 

@@ -121,25 +121,21 @@ def weighted_draws(
     """Draw as many rows as there are, with replacement, weight 1 / class size.
 
     Such weights make classes equally likely, so a draw picks a class and a position inside it.
-    Draws are counted per position before the join: a rare class, whose rows are drawn very often,
-    sends one counter per row instead of all its draws. Output: drawn rows with ``draws``, or one
-    row per draw with ``expand``.
+    Draws are counted per position before the last join: a rare class, whose rows are drawn very
+    often, sends one counter per row instead of all its draws. Output: drawn rows with ``draws``, or
+    one row per draw with ``expand``.
     """
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    classes = sizes.agg(
-        F.array_sort(F.collect_list(F.struct(F.col(label).alias("label"), F.col("n")))).alias("c")
-    ).select("c").scalar()
+    classes = exact_index(sizes, [], label, seed).select(
+        F.col("idx").alias("_class"), F.col(label), F.col("n")
+    )
+    how_many = sizes.select(F.count(F.lit(1))).scalar()
     u = draws.uniform(seed, F.col(id_col), "draw", lane=0)
     v = draws.uniform(seed, F.col(id_col), "draw", lane=1)
     picks = (
-        df.select(u.alias("_u"), v.alias("_v"), classes.alias("_c"))
-        .withColumn(
-            "_pick", F.get("_c", F.floor(F.col("_u") * F.size("_c")).cast("int"))
-        )
-        .select(
-            F.col("_pick.label").alias(label),
-            F.floor(F.col("_v") * F.col("_pick.n")).cast("bigint").alias("idx"),
-        )
+        df.select(F.floor(u * how_many).cast("bigint").alias("_class"), v.alias("_v"))
+        .join(classes, "_class")
+        .select(label, F.floor(F.col("_v") * F.col("n")).cast("bigint").alias("idx"))
         .groupBy(label, "idx")
         .agg(F.count(F.lit(1)).alias("draws"))
     )

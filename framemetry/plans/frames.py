@@ -331,6 +331,29 @@ def _pixel_errors(spark, sf):
     )
 
 
+@query("mse", f"WITH {PIXELS_SQL}, {ERR_SQL} SELECT frame_id, round(mse, 6) AS mse FROM er")
+def _mse(spark, sf):
+    return _pixel_errors(spark, sf).select("frame_id", "mse")
+
+
+@query("mae", f"WITH {PIXELS_SQL}, {ERR_SQL} SELECT frame_id, round(mae, 6) AS mae FROM er")
+def _mae(spark, sf):
+    return _pixel_errors(spark, sf).select("frame_id", "mae")
+
+
+@query("charbonnier_loss", f"""WITH {PIXELS_SQL}, {ERR_SQL}
+SELECT frame_id, round(0.7 * ch + 0.3 * mse, 6) AS charbonnier FROM er""")
+def _charbonnier_loss(spark, sf):
+    return _pixel_errors(spark, sf).select("frame_id", "charbonnier")
+
+
+@query("edge_l1", f"""WITH {PIXELS_SQL}, {SOBEL_SQL}
+SELECT frame_id, round(avg(abs(ea - eb)), 6) AS edge_l1 FROM es GROUP BY frame_id""")
+def _edge_l1(spark, sf):
+    e = quality.with_edges(pairs(spark, sf))
+    return e.select("frame_id", r6(quality.mae(F.col("_ea"), F.col("_eb")), "edge_l1"))
+
+
 @query("psnr", f"""WITH {PIXELS_SQL}, {ERR_SQL}
 SELECT frame_id, round(CASE WHEN mse <= 0 THEN 99 ELSE 20 * log10(1 / sqrt(mse + 1e-12)) END, 6) AS "full",
   round(20 * log10(1 / sqrt(mse + 1e-8)), 6) AS plain,

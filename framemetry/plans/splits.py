@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from framemetry.functions import draws
 from framemetry.operators import splits
-from framemetry.plans.bindings import big, table
+from framemetry.plans.bindings import big, r6, table
 from framemetry.plans.registry import query
 
 SEED = 42
@@ -95,7 +96,7 @@ def _fold_sizes(spark, sf):
 
 @query("weighted_draws", f"""WITH idx AS (SELECT doc_id, quality,
   row_number() OVER (PARTITION BY quality ORDER BY {_hash('doc_id')}, doc_id) - 1 AS idx FROM labels),
-sizes AS (SELECT quality, count(*) AS n, row_number() OVER (ORDER BY quality) - 1 AS c,
+sizes AS (SELECT quality, count(*) AS n, row_number() OVER (ORDER BY {_hash('quality')}, quality) - 1 AS c,
                  count(*) OVER () AS k FROM labels GROUP BY quality),
 u AS (SELECT (({_hash("doc_id || '|draw'")}) + 0.5::DOUBLE) / 4294967296 AS u,
              (('0x' || substr(md5('{SEED}|' || doc_id || '|draw'), 9, 8))::BIGINT + 0.5::DOUBLE) / 4294967296 AS v
@@ -107,3 +108,25 @@ def _weighted_draws(spark, sf):
     rows = table(spark, sf, "labels").select("doc_id", "quality")
     out = splits.weighted_draws(rows, "doc_id", "quality", SEED)
     return out.select("doc_id", "quality", big("draws"))
+
+
+# Seeds of the replicated experiment (fixed values).
+SEEDS = (42, 13, 37, 101, 202)
+
+
+@query("seed_registry", """WITH u AS (
+  SELECT seed, doc_id, (('0x' || substr(md5(seed || '|' || doc_id || '|split'), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296 AS u
+  FROM documents, (VALUES (42), (13), (37), (101), (202)) AS s(seed))
+SELECT seed, count(*)::BIGINT AS n, (count(*) FILTER (u < 0.15))::BIGINT AS held_out, round(avg(u), 6) AS mean
+FROM u GROUP BY seed""")
+def _seed_registry(spark, sf):
+    """The same rows under every registered seed: the seed is part of each draw's key."""
+    rows = table(spark, sf, "documents").select(
+        "doc_id", F.explode(F.array(*[F.lit(s) for s in SEEDS])).alias("seed")
+    )
+    u = draws.uniform(F.col("seed"), F.col("doc_id"), "split")
+    out = rows.withColumn("u", u).groupBy("seed").agg(
+        F.count("u").alias("n"), F.count_if(F.col("u") < 0.15).alias("held_out"),
+        F.avg("u").alias("mean"),
+    )
+    return out.select("seed", big("n"), big("held_out"), r6("mean"))
