@@ -7,8 +7,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from framemetry.functions.arrays import at, let, upto
+from framemetry.functions.arrays import let, upto
 EPS = 1e-6
 TWO_PI = 6.283185307179586
 
@@ -34,15 +35,8 @@ def grid_offsets(n: Column, tile: int, overlap: int, trim: bool = False) -> Colu
     """Tile starts along one axis. ``trim`` leaves out tiles that begin inside the last overlap."""
     if not 0 <= overlap < tile:
         raise ValueError("overlap must be at least 0 and below the tile size")
-    return F.sequence(F.lit(0), _last_start(n, overlap, trim), F.lit(tile - overlap))
-
-
-def _last_start(n: Column, overlap: int, trim: bool) -> Column:
-    return (F.greatest(n - overlap, F.lit(1)) - 1 if trim else n - 1).cast("int")
-
-
-def grid_count(n: Column, tile: int, overlap: int, trim: bool = False) -> Column:
-    return (F.floor(_last_start(n, overlap, trim) / (tile - overlap)) + 1).cast("int")
+    last = F.greatest(n - overlap, F.lit(1)) - 1 if trim else n - 1
+    return F.sequence(F.lit(0), last.cast("int"), F.lit(tile - overlap))
 
 
 def tile_frames(
@@ -98,56 +92,45 @@ def overlap_add_pixels(
 
 
 def overlap_add(
-    tiles: DataFrame, tile: int, overlap: int, keys: tuple[str, ...] = ("frame_id",),
-    edge: str = "reference", trim: bool = False,
+    tiles: DataFrame, tile: int, keys: tuple[str, ...] = ("frame_id",), edge: str = "reference"
 ) -> DataFrame:
     """The same as whole frames: tiles travel as arrays, one shuffle on the frame.
 
-    Tiles lie on a grid, so the few that cover a pixel are found by position.
+    A frame's tiles are one row again before they are added up, so the group is as large as the
+    frame and no larger. This form is several times faster than pixel rows on large frames.
     """
-    step = tile - overlap
-    gathered = tiles.groupBy(*keys, "h", "w").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("top", "left", "pixels"))), lambda t: t["pixels"]
-        ).alias("_tiles")
+    stacked = tiles.groupBy(*keys, "h", "w").agg(
+        F.array_sort(F.collect_list(F.struct("top", "left", "pixels"))).alias("_t")
+    ).select(
+        *keys, "h", "w",
+        F.transform("_t", lambda t: t["top"]).alias("_top"),
+        F.transform("_t", lambda t: t["left"]).alias("_left"),
+        F.flatten(F.transform("_t", lambda t: t["pixels"])).alias("_px"),
     )
-    across = grid_count(F.col("w"), tile, overlap, trim)
-    down = grid_count(F.col("h"), tile, overlap, trim)
+    window = _np_window(tile)
+    extra = EPS if edge == "reference" else 0.0
 
-    def covering(p: Column, count: Column) -> Column:
-        first = F.greatest(F.floor((p - tile) / step) + 1, F.lit(0)).cast("int")
-        return F.sequence(first, F.least(F.floor(p / step), count - 1).cast("int"))
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            frames = []
+            for h, w, tops, lefts, px in zip(*[batch[c] for c in ("h", "w", "_top", "_left", "_px")]):
+                total = np.zeros((2, h + tile, w + tile))
+                for top, left, one in zip(tops, lefts, np.asarray(px).reshape(-1, tile, tile)):
+                    total[:, top : top + tile, left : left + tile] += (one * window, window)
+                frames.append((total[0, :h, :w] / (total[1, :h, :w] + extra)).ravel())
+            yield batch[[*keys, "h", "w"]].assign(pixels=frames)
 
-    def pixel(stack: Column, y: Column, x: Column) -> Column:
-        def part(ti, tj):
-            dy, dx = y - ti * step, x - tj * step
-            k = hann(dy, tile) * hann(dx, tile) + EPS
-            v = at(F.get(stack, ti * across + tj), dy * tile + dx)
-            return F.struct((k * v).alias("s"), k.alias("k"))
+    return stacked.mapInPandas(add, _frame_schema(stacked, keys))
 
-        parts = F.flatten(
-            F.transform(
-                covering(y, down),
-                lambda ti: F.transform(covering(x, across), lambda tj: part(ti, tj)),
-            )
-        )
-        total = F.aggregate(
-            parts,
-            F.struct(F.lit(0.0).alias("s"), F.lit(EPS if edge == "reference" else 0.0).alias("k")),
-            lambda a, b: F.struct((a["s"] + b["s"]).alias("s"), (a["k"] + b["k"]).alias("k")),
-        )
-        return let(total, lambda t: t["s"] / t["k"])
 
-    px = let(
-        F.col("_tiles"),
-        lambda stack: F.flatten(
-            F.transform(
-                upto(F.col("h")),
-                lambda y: F.transform(upto(F.col("w")), lambda x: pixel(stack, y, x)),
-            )
-        ),
-    )
-    return gathered.select(*keys, "h", "w", px.alias("pixels"))
+def _np_window(tile: int) -> np.ndarray:
+    line = 0.5 - 0.5 * np.cos(TWO_PI * np.arange(tile) / tile)
+    return np.outer(line, line) + EPS
+
+
+def _frame_schema(df: DataFrame, keys: tuple[str, ...]) -> StructType:
+    kept = df.select(*keys, "h", "w").schema.fields
+    return StructType([*kept, StructField("pixels", ArrayType(DoubleType()))])
 
 
 def apply_to_tiles(tiles: DataFrame, fn: Callable[[np.ndarray], np.ndarray], tile: int) -> DataFrame:
@@ -175,14 +158,49 @@ def box_filter(k: int = 3) -> Callable[[np.ndarray], np.ndarray]:
     return run
 
 
+def _apply_in_rows(
+    frames: DataFrame, fn: Callable[[np.ndarray], np.ndarray], tile: int, overlap: int,
+    column: str, keys: tuple[str, ...], edge: str,
+) -> DataFrame:
+    """Tile, apply and recombine inside the row of each frame; frames of one size go together."""
+    window = _np_window(tile)
+    extra = EPS if edge == "reference" else 0.0
+    step = tile - overlap
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for (h, w), part in batch.groupby(["h", "w"], sort=False):
+                stack = np.stack(part[column].to_numpy()).astype(float).reshape(-1, h, w)
+                padded = np.pad(stack, ((0, 0), (0, tile), (0, tile)))
+                total = np.zeros_like(padded)
+                weight = np.zeros(padded.shape[1:])
+                for y, x in np.ndindex(-(-h // step), -(-w // step)):
+                    at = np.s_[y * step : y * step + tile, x * step : x * step + tile]
+                    total[(slice(None), *at)] += fn(padded[(slice(None), *at)]) * window
+                    weight[at] += window
+                done = (total / (weight + extra + (weight == 0)))[:, :h, :w].reshape(len(part), -1)
+                yield part[[*keys, "h", "w"]].assign(pixels=list(done))
+
+    slim = frames.select(*keys, "h", "w", column)
+    return slim.mapInPandas(run, _frame_schema(slim, keys))
+
+
 def tiled_apply(
     frames: DataFrame, fn: Callable[[np.ndarray], np.ndarray] | None, tile: int = 256,
     overlap: int = 32, column: str = "pixels", keys: tuple[str, ...] = ("frame_id",),
-    edge: str = "reference",
+    edge: str = "reference", distribute: bool = False,
 ) -> DataFrame:
-    """Tile, apply ``fn`` to every tile (identity if None), recombine. Not clamped."""
+    """Tile, apply ``fn`` to every tile (identity if None), recombine. Not clamped.
+
+    By default a frame stays in its row: no shuffle, and the unit of work is a frame. With
+    ``distribute`` every tile is a row of its own, which spreads one very large frame or a very slow
+    function over many tasks, at the price of one shuffle of tiles before and one after ``fn``.
+    """
+    if not distribute:
+        if not 0 <= overlap < tile:
+            raise ValueError("overlap must be at least 0 and below the tile size")
+        return _apply_in_rows(frames, fn or (lambda x: x), tile, overlap, column, keys, edge)
     tiles = tile_frames(frames, tile, overlap, column, keys)
     if fn is not None:
-        tiles = apply_to_tiles(tiles, fn, tile)
-    return overlap_add(tiles, tile, overlap, keys, edge)
-
+        tiles = apply_to_tiles(tiles.repartition(*keys, "top", "left"), fn, tile)
+    return overlap_add(tiles, tile, keys, edge)

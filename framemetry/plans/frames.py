@@ -350,7 +350,7 @@ def _charbonnier_loss(spark, sf):
 @query("edge_l1", f"""WITH {PIXELS_SQL}, {SOBEL_SQL}
 SELECT frame_id, round(avg(abs(ea - eb)), 6) AS edge_l1 FROM es GROUP BY frame_id""")
 def _edge_l1(spark, sf):
-    e = quality.with_edges(pairs(spark, sf))
+    e = quality.with_edges(pairs(spark, sf), form="jvm")
     return e.select("frame_id", r6(quality.mae(F.col("_ea"), F.col("_eb")), "edge_l1"))
 
 
@@ -391,7 +391,7 @@ def _ssim_pixels(spark, sf):
 SELECT frame_id, (y * 8 + x)::INT AS pos, round((eb - min(eb) OVER w) / (max(eb) OVER w - min(eb) OVER w + 1e-6), 6) AS v
 FROM es WINDOW w AS (PARTITION BY frame_id)""")
 def _minmax_norm(spark, sf):
-    f = quality.with_edges(pairs(spark, sf))
+    f = quality.with_edges(pairs(spark, sf), form="jvm")
     return _pixel_rows(f.withColumn("pixels", quality.minmax_norm(F.col("_eb"))))
 
 
@@ -410,7 +410,7 @@ f1 AS (SELECT frame_id, 2 * p * r / (p + r + 1e-9) AS edge_f1 FROM pq)"""
 @query("edge_f1", f"""WITH {PIXELS_SQL}, {F1_SQL}
 SELECT frame_id, round(edge_f1, 6) AS edge_f1 FROM f1""")
 def _edge_f1(spark, sf):
-    e = quality.with_edges(pairs(spark, sf))
+    e = quality.with_edges(pairs(spark, sf), form="jvm")
     return e.select("frame_id", r6(quality.edge_f1(F.col("_ea"), F.col("_eb")), "edge_f1"))
 
 
@@ -421,7 +421,7 @@ cf AS (SELECT frame_id, count(*) FILTER (ea > 0.1 AND eb > 0.1) AS tp,
 pq AS (SELECT frame_id, tp / (tp + fp + 1e-8) AS p, tp / (tp + fn + 1e-8) AS r FROM cf)
 SELECT frame_id, round(2 * p * r / (p + r + 1e-8), 6) AS edge_f1 FROM pq""")
 def _edge_f1_fixed(spark, sf):
-    e = quality.with_edges(pairs(spark, sf))
+    e = quality.with_edges(pairs(spark, sf), form="jvm")
     return e.select("frame_id", r6(quality.edge_f1_fixed(F.col("_ea"), F.col("_eb")), "edge_f1"))
 
 
@@ -435,20 +435,20 @@ SCORES_SELECT = "SELECT frame_id, " + ", ".join(f"round({c}, 6) AS {c}" for c in
 
 @query("pair_scores", f"WITH {SCORES_SQL} {SCORES_SELECT}")
 def _pair_scores(spark, sf):
-    out = quality.pair_scores(pairs(spark, sf), ["frame_id"])
+    out = quality.pair_scores(pairs(spark, sf), ["frame_id"], form="jvm")
     return rounded(out, quality.SCORES, keep=["frame_id"])
 
 
 @query("pair_scores_arrow", f"WITH {SCORES_SQL} {SCORES_SELECT}")
 def _pair_scores_arrow(spark, sf):
-    out = quality.pair_scores_arrow(pairs(spark, sf), ["frame_id"])
+    out = quality.pair_scores(pairs(spark, sf), ["frame_id"])
     return rounded(out, quality.SCORES, keep=["frame_id"])
 
 
 @query("edge_aware_loss", f"""WITH {SCORES_SQL}
 SELECT frame_id, round(edge_l1, 6) AS edge_l1, round(loss, 6) AS loss FROM sc""")
 def _edge_aware_loss(spark, sf):
-    p = quality.with_edges(pairs(spark, sf))
+    p = quality.with_edges(pairs(spark, sf), form="jvm")
     a, b = F.col("noisy"), F.col("clean")
     s = p.select(
         "frame_id", quality.mae(a, b).alias("mae"), quality.ssim_windowed(a, b, *_hw()).alias("ssim"),
@@ -464,7 +464,7 @@ SELECT round(avg(psnr) FILTER (ok), 6) AS psnr, round(avg(ssim) FILTER (ok), 6)
   (count(*) FILTER (ok))::BIGINT AS used, (count(*) FILTER (NOT ok))::BIGINT AS skipped
 FROM (SELECT *, frame_id % 17 <> 0 AS ok FROM sc)""")
 def _dataset_quality(spark, sf):
-    scores = quality.pair_scores_arrow(pairs(spark, sf), ["frame_id"]).withColumn(
+    scores = quality.pair_scores(pairs(spark, sf), ["frame_id"]).withColumn(
         "psnr", F.when(F.col("frame_id") % 17 == 0, F.lit(float("nan"))).otherwise(F.col("psnr"))
     )
     out = quality.dataset_quality(scores, ["psnr", "ssim", "edge_f1"])

@@ -146,7 +146,7 @@ def _ingest_frames(spark, sf):
 SELECT label || '/' || frame_id AS rel_path, printf('%.4f', psnr) AS "PSNR", printf('%.6f', ssim) AS "SSIM",
   printf('%.6f', edge_f1) AS "EdgeF1" FROM sc JOIN (SELECT DISTINCT frame_id, label FROM px) USING (frame_id)""")
 def _write_frame_metrics(spark, sf):
-    scores = quality.pair_scores_arrow(pairs(spark, sf), ["frame_id", "label"]).withColumn(
+    scores = quality.pair_scores(pairs(spark, sf), ["frame_id", "label"]).withColumn(
         "rel_path", F.concat_ws("/", F.col("label").cast("string"), F.col("frame_id").cast("string"))
     )
     path = shared_dir(spark, "frame-metrics")

@@ -70,7 +70,7 @@ oa AS (SELECT frame_id, (top + i) * 8 + lft + j AS pos, sum(v * ({HANN_SQL})) /
 SELECT frame_id, pos::INT AS pos, round(v, 6) AS v FROM oa""")
 def _overlap_add(spark, sf):
     t = tiles.tile_frames(frames(spark, sf), TILE, OVERLAP)
-    return _pixel_rows(tiles.overlap_add(t, TILE, OVERLAP))
+    return _pixel_rows(tiles.overlap_add(t, TILE))
 
 
 @query("overlap_add_pixels", f"""WITH {TILES_SQL}, {add_sql('tp', '0')}
@@ -91,6 +91,20 @@ def _tiled_apply(spark, sf):
     return _pixel_rows(tiles.tiled_apply(frames(spark, sf), tiles.box_filter(3), TILE, OVERLAP))
 
 
+@query("tiled_apply_distributed", f"""WITH {TILES_SQL},
+bx AS (SELECT p.frame_id, p.top, p.lft, p.i, p.j, sum(n.v) / 9 AS v
+       FROM tp p JOIN tp n ON n.frame_id = p.frame_id AND n.top = p.top AND n.lft = p.lft
+         AND n.i BETWEEN p.i - 1 AND p.i + 1 AND n.j BETWEEN p.j - 1 AND p.j + 1
+       GROUP BY ALL), {add_sql('bx', '0')}
+SELECT frame_id, pos::INT AS pos, round(v, 6) AS v FROM oa""")
+def _tiled_apply_distributed(spark, sf):
+    return _pixel_rows(
+        tiles.tiled_apply(
+            frames(spark, sf), tiles.box_filter(3), TILE, OVERLAP, edge="exact", distribute=True
+        )
+    )
+
+
 @query("tiled_evaluation", f"""WITH {TILES_SQL}, {add_sql('tp', '1e-6')}
 SELECT frame_id, round(avg((o.v - p.v) * (o.v - p.v)), 6) AS mse FROM oa o JOIN px p USING (frame_id, pos)
 GROUP BY frame_id""")
@@ -120,14 +134,14 @@ def _clip(x: str, hi: str = "1") -> str:
 @query("add_gaussian", f"""WITH {PIXELS_SQL}
 SELECT frame_id, pos::INT AS pos, round({_clip(f"v + 25.0::DOUBLE / 255 * {_normal('gauss')}")}, 6) AS v FROM px""")
 def _add_gaussian(spark, sf):
-    return _pixel_rows(noise.add_stress(frames(spark, sf), 25.0, seed=SEED))
+    return _pixel_rows(noise.add_stress(frames(spark, sf), 25.0, seed=SEED, algo="md5"))
 
 
 @query("add_speckle", f"""WITH {PIXELS_SQL}
 SELECT frame_id, pos::INT AS pos, round({_clip(f"v * {_clip(f'1 + 0.2::DOUBLE * {_normal(chr(115) + 'peckle')}', '3')}")}, 6) AS v
 FROM px""")
 def _add_speckle(spark, sf):
-    return _pixel_rows(noise.add_noise(frames(spark, sf), 0.0, 0.2, "gauss", seed=SEED))
+    return _pixel_rows(noise.add_noise(frames(spark, sf), 0.0, 0.2, "gauss", seed=SEED, algo="md5"))
 
 
 BURR_SQL = f"""{PIXELS_SQL},
@@ -139,20 +153,20 @@ b AS (SELECT *, {_clip("v * (1 + 0.25::DOUBLE * (m / (avg(m) OVER (PARTITION BY
 @query("add_speckle_burr", f"""WITH {BURR_SQL}
 SELECT frame_id, pos::INT AS pos, round({_clip("s")}, 6) AS v FROM b""")
 def _add_speckle_burr(spark, sf):
-    return _pixel_rows(noise.add_noise(frames(spark, sf), 0.0, 0.25, "burr", seed=SEED))
+    return _pixel_rows(noise.add_noise(frames(spark, sf), 0.0, 0.25, "burr", seed=SEED, algo="md5"))
 
 
 @query("add_noise", f"""WITH {BURR_SQL}
 SELECT frame_id, pos::INT AS pos, round({_clip(f"s + 0.02::DOUBLE * {_normal('gauss')}")}, 6) AS v FROM b""")
 def _add_noise(spark, sf):
-    return _pixel_rows(noise.add_noise(frames(spark, sf), 0.02, 0.25, "burr", seed=SEED))
+    return _pixel_rows(noise.add_noise(frames(spark, sf), 0.02, 0.25, "burr", seed=SEED, algo="md5"))
 
 
 @query("add_additive", f"""WITH {PIXELS_SQL}
 SELECT frame_id, pos::INT AS pos, round({_clip(f"v + 0.05::DOUBLE * {_normal('gauss')} + 0.1::DOUBLE * {_normal('speckle')}")}, 6) AS v
 FROM px""")
 def _add_additive(spark, sf):
-    return _pixel_rows(noise.add_additive(frames(spark, sf), 0.05, 0.1, seed=SEED))
+    return _pixel_rows(noise.add_additive(frames(spark, sf), 0.05, 0.1, seed=SEED, algo="md5"))
 
 
 # --- augmentation ---------------------------------------------------------------------------------------------------

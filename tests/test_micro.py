@@ -40,9 +40,10 @@ def test_psnr(spark, mse, full, plain, pairs):
         assert _one(df, sc.psnr("m", variant)) == pytest.approx(want, abs=1e-5)
 
 
-def test_identical_pictures(spark):
+@pytest.mark.parametrize("form", ["arrow", "jvm"])
+def test_identical_pictures(spark, form):
     x = np.random.default_rng(0).random((16, 20))
-    p = quality.pair_scores(_pair(spark, x, x), ["frame_id"]).first()
+    p = quality.pair_scores(_pair(spark, x, x), ["frame_id"], form=form).first()
     assert p["psnr"] == 99.0 and p["mse"] == 0.0
     assert p["ssim"] == pytest.approx(1.0, abs=1e-9)
     assert p["edge_f1"] == pytest.approx(1.0, abs=1e-6)
@@ -59,8 +60,8 @@ def test_score_forms_agree(spark):
     df = spark.createDataFrame(
         rows, "frame_id BIGINT, h INT, w INT, noisy ARRAY<DOUBLE>, clean ARRAY<DOUBLE>"
     )
-    a = {r["frame_id"]: r for r in quality.pair_scores(df, ["frame_id"]).collect()}
-    b = {r["frame_id"]: r for r in quality.pair_scores_arrow(df, ["frame_id"]).collect()}
+    a = {r["frame_id"]: r for r in quality.pair_scores(df, ["frame_id"], form="jvm").collect()}
+    b = {r["frame_id"]: r for r in quality.pair_scores(df, ["frame_id"]).collect()}
     px = fr.pixel_view(df, ["frame_id", "h", "w"], a="noisy", b="clean")
     c = {r["frame_id"]: r["ssim"] for r in stencil.ssim_pixels(px, ["frame_id"], block=16).collect()}
     assert set(a) == set(b) == set(c) == set(range(5))
@@ -90,7 +91,6 @@ def test_blocks_do_not_change_a_stencil(spark):
 def test_grid(spark, size, tile, overlap, starts):
     df = spark.createDataFrame([(size,)], "n INT")
     assert _one(df, tiles.grid_offsets(F.col("n"), tile, overlap)) == starts
-    assert _one(df, tiles.grid_count(F.col("n"), tile, overlap)) == len(starts)
 
 
 def test_overlap_add_of_ones(spark):
@@ -110,11 +110,18 @@ def test_overlap_add_forms_agree(spark, h, w, tile, overlap):
     px = np.random.default_rng(3).random(h * w)
     f = _frame(spark, px, h, w)
     t = tiles.tile_frames(f, tile, overlap)
-    rows = tiles.overlap_add(t, tile, overlap).first()["pixels"]
+    rows = tiles.overlap_add(t, tile).first()["pixels"]
+    in_rows = tiles.tiled_apply(f, None, tile, overlap).first()["pixels"]
+    assert in_rows == pytest.approx(rows, abs=1e-12)
+    blur = tiles.box_filter(3)
+    one, many = (
+        tiles.tiled_apply(f, blur, tile, overlap, distribute=d).first()["pixels"] for d in (False, True)
+    )
+    assert one == pytest.approx(many, abs=1e-12)
     dots = fr.assemble(tiles.overlap_add_pixels(t, tile), ["frame_id"]).first()["pixels"]
     assert rows == pytest.approx(dots, abs=1e-12)
     trimmed = tiles.tile_frames(f, tile, overlap, trim=True)
-    again = tiles.overlap_add(trimmed, tile, overlap, trim=True, edge="exact").first()["pixels"]
+    again = tiles.overlap_add(trimmed, tile, edge="exact").first()["pixels"]
     assert again == pytest.approx(px.tolist(), abs=1e-9)
 
 
