@@ -7,14 +7,16 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-# Arrow batches are limited by bytes, not only by rows: one row may hold a whole frame.
+# Batch sizes for Arrow are left to the byte limit (spark.sql.execution.arrow.maxBytesPerBatch):
+# one row may hold a whole frame, so a limit in rows alone would not bound memory.
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "1024",
+    # plans are built from many small expressions; recording a call site for each is costly
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -30,15 +32,19 @@ def local_session(cores: int | str = "*", **extra: str) -> SparkSession:
     return spark
 
 
+_local_root: list[str] = []
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh sub-folder of ``spark.checkpoint.dir``, the folder every executor can reach.
 
-    Only a session that names no such folder (a test) falls back to a temporary one.
+    Only a local session that names no such folder (a test) falls back to a temporary one.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        root = tempfile.mkdtemp(prefix="framemetry-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not _local_root:
+            _local_root.append(tempfile.mkdtemp(prefix="framemetry-"))
+        root = _local_root[0]
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

@@ -16,10 +16,11 @@ os.environ["PYTHONPATH"] = os.pathsep.join(
 def spark(tmp_path_factory):
     from framemetry.session import local_session
 
-    s = local_session(8, **{"spark.sql.shuffle.partitions": "8"})
-    # tests bring their own folder; on a cluster the setting comes with the session
-    if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
+    # tests bring their own shared folder; on a cluster the setting comes with the session
+    shared = str(tmp_path_factory.mktemp("shared"))
+    s = local_session(
+        8, **{"spark.sql.shuffle.partitions": "8", "spark.checkpoint.dir": shared}
+    )
     yield s
     s.stop()
 
