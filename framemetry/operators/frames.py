@@ -50,9 +50,20 @@ def _pair_key(df: DataFrame, on: str) -> DataFrame:
 def pair_frames(noisy: DataFrame, clean: DataFrame, on: str = "rel_path") -> DataFrame:
     """Noisy and clean pictures of the same path below their roots, or of the same file name.
 
-    Pair on ``name`` only in flat folders: a name used twice would pair every combination, which
-    ``duplicate_keys`` reports beforehand.
+    Pairing on ``name`` is for flat folders. A name used twice on one side would pair every
+    combination and fails instead; ``duplicate_keys`` lists such names.
     """
+    if on == "name":
+        twice = (
+            duplicate_keys(noisy)
+            .unionByName(duplicate_keys(clean))
+            .select(F.count(F.lit(1)))
+            .scalar()
+        )
+        unique = F.when(twice == 0, F.lit(True)).otherwise(
+            F.raise_error(F.lit("file names are not unique")).cast("boolean")
+        )
+        clean = clean.filter(unique)
     n = _pair_key(noisy, on).select(
         "_pair", F.col("rel_path").alias("noisy_path"), F.col("h").alias("noisy_h"),
         F.col("w").alias("noisy_w"), F.col("pixels").alias("noisy"),

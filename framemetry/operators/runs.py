@@ -338,9 +338,12 @@ def log_to_scalars(log: DataFrame, keys: list[str], epoch: str = "epoch") -> Dat
     """Epoch log to (keys, tag, value, step)."""
     known = {**SCALAR_TAGS, **OPTIONAL_SCALAR_TAGS}
     cols = [c for c in known if c in log.columns]
-    wide = log.select(
-        *keys, F.col(epoch).alias("step"), *[F.col(c).cast("double").alias(known[c]) for c in cols]
+    cells = F.array(
+        *[
+            F.struct(F.lit(known[c]).alias("tag"), F.col(c).cast("double").alias("value"))
+            for c in cols
+        ]
     )
-    long = wide.unpivot([*keys, "step"], [known[c] for c in cols], "tag", "value")
+    long = log.select(*keys, F.col(epoch).alias("step"), F.inline(cells))
     optional = F.col("tag").isin(list(OPTIONAL_SCALAR_TAGS.values()))
     return long.filter(~optional | F.coalesce(finite("value"), F.lit(False)))

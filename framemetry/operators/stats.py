@@ -13,8 +13,18 @@ SIGN_FLIP_MAX_N = 20
 
 
 def outcomes_long(df: DataFrame, ids: list[str], metrics: list[str]) -> DataFrame:
-    """Wide outcome table to (ids..., metric, value)."""
-    return df.unpivot(ids, metrics, "metric", "value")
+    """Wide outcome table to (ids..., metric, value).
+
+    A generator instead of ``unpivot``: filters on the ids still reach the scan when the result is
+    used twice in one plan, so both uses share one exchange.
+    """
+    cells = F.array(
+        *[
+            F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"))
+            for m in metrics
+        ]
+    )
+    return df.select(*ids, F.inline(cells))
 
 
 def select_metric(df: DataFrame, ids: list[str], metrics: list[str], wanted: DataFrame) -> DataFrame:

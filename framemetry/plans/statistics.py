@@ -217,7 +217,18 @@ def _effect_union(spark, sf):
     return rounded(out, ["delta"], keep=["effect", "metric", "unit"])
 
 
-@query("paired_t_test")
+# The p-value has a closed form for every df; the SQL uses the one for df = 5 (six units).
+T_TEST_SQL = f"""WITH {PAIRS_SQL},
+g AS (SELECT comparison, metric, count(*) AS n, avg(delta) AS m, stddev_samp(delta) AS s
+      FROM pairs GROUP BY 1, 2),
+t AS (SELECT *, m / s AS d, m / s * sqrt(n) AS t, atan(abs(m / s * sqrt(n)) / sqrt(5)) AS th FROM g)
+SELECT comparison, metric, n::BIGINT AS n, round(m, 6) AS mean_delta, round(d, 6) AS cohens_d,
+       round(t, 6) AS t, (n - 1)::BIGINT AS df,
+       round(1 - 2 / pi() * (th + sin(th) * (cos(th) + 2.0 / 3 * power(cos(th), 3))), 6) AS p_two_sided
+FROM t"""
+
+
+@query("paired_t_test", T_TEST_SQL)
 def _paired_t_test(spark, sf):
     out = stats.paired_t_test(_pairs(spark, sf), ["comparison", "metric"])
     return rounded(
@@ -225,15 +236,7 @@ def _paired_t_test(spark, sf):
     )
 
 
-# Five or six degrees of freedom have closed forms; the SQL uses the one for df = 5 (six units).
-@query("paired_t_test_six_units", f"""WITH {PAIRS_SQL},
-g AS (SELECT comparison, metric, count(*) AS n, avg(delta) AS m, stddev_samp(delta) AS s
-      FROM pairs GROUP BY 1, 2),
-t AS (SELECT *, m / s AS d, m / s * sqrt(n) AS t, atan(abs(m / s * sqrt(n)) / sqrt(5)) AS th FROM g)
-SELECT comparison, metric, n::BIGINT AS n, round(m, 6) AS mean_delta, round(d, 6) AS cohens_d,
-       round(t, 6) AS t, (n - 1)::BIGINT AS df,
-       round(1 - 2 / pi() * (th + sin(th) * (cos(th) + 2.0 / 3 * power(cos(th), 3))), 6) AS p_two_sided
-FROM t""")
+@query("paired_t_test_six_units", T_TEST_SQL)
 def _paired_t_test_six_units(spark, sf):
     return _paired_t_test(spark, sf)
 

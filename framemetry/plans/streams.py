@@ -31,7 +31,9 @@ def _replay(df: DataFrame, run: str, order: str, edges: list, path: str) -> None
             piece = piece.filter(F.col(order) > low)
         if high is not None:
             piece = piece.filter(F.col(order) <= high)
-        piece.repartition(4, run).write.mode("append").parquet(path)
+        piece.repartition(df.sparkSession.sparkContext.defaultParallelism, run).write.mode(
+            "append"
+        ).parquet(path)
         low = high
 
 
@@ -64,7 +66,7 @@ def _log_stream(spark, sf, columns):
     log = epoch_log(spark, sf).select("run", "epoch", *columns)
     _replay(log, "run", "epoch", [10, 20], source)
     schema = "run BIGINT, epoch BIGINT, " + ", ".join(f"{c} DOUBLE" for c in columns)
-    return sr.read_stream(_stream_session(spark), source, schema, max_files=4)
+    return sr.read_stream(_stream_session(spark), source, schema, max_files=spark.sparkContext.defaultParallelism)
 
 
 @query("stream_early_stop", ORACLES["early_stop"])
@@ -88,7 +90,7 @@ def _stream_nonfinite_budget(spark, sf):
     middle = table(spark, sf, "events").agg((F.max("event_id") / 2).cast("bigint")).first()[0]
     _replay(rows, "run", "batch", [middle], source)
     stream = sr.read_stream(
-        _stream_session(spark), source, "run BIGINT, batch BIGINT, loss DOUBLE", max_files=4
+        _stream_session(spark), source, "run BIGINT, batch BIGINT, loss DOUBLE", max_files=spark.sparkContext.defaultParallelism
     )
     path = shared_dir(spark, "stream-budget")
     sr.run_to_table(

@@ -133,4 +133,24 @@ def test_scans_read_only_what_they_need(spark, sf):
     assert "text" not in plan.split("ReadSchema: ")[1].split(">")[0]
     plan = plan_of(QUERIES["pair_arms"](spark, sf))
     assert "PushedFilters: [In(event_type" in plan
+
+
+def test_both_halves_of_a_paired_summary_share_one_scan(spark, sf):
+    df = QUERIES["paired_summary"](spark, sf)
+    df.collect()
+    final = plan_of(df).split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in final and final.count("FileScan") == 1
+
+
+def test_names_used_twice_are_not_paired_crosswise(spark):
+    rows = [("a/1.png", 1, 1, [0.5]), ("b/1.png", 1, 1, [0.5]), ("c/2.png", 1, 1, [0.1])]
+    df = spark.createDataFrame(rows, "rel_path STRING, h INT, w INT, pixels ARRAY<DOUBLE>")
+    with pytest.raises(Exception, match="not unique"):
+        fr.pair_frames(df, df, on="name").collect()
+    assert fr.pair_frames(df, df).count() == 3
+    assert [r["key"] for r in fr.duplicate_keys(df).collect()] == ["1.png"]
+
+
+def test_unneeded_columns_are_not_read(spark, sf):
+    plan = plan_of(QUERIES["pair_arms"](spark, sf))
     assert "props" not in plan
