@@ -9,6 +9,7 @@ from framemetry.operators.checks import pick_column, require_columns
 from framemetry.operators.prefix import BUCKET, with_carry
 from framemetry.operators.runs import group_spans
 
+# Label columns in order of preference (fixed values).
 LABEL_COLUMNS = ["pipeline_label_short", "pipeline_label_full", "pipeline"]
 
 

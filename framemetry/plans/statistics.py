@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from framemetry.operators import checks, stats
 from framemetry.plans.bindings import (
-    K, OUTCOMES_SQL, PAIRED_COUNTS, PAIRED_DOUBLES, T_CRIT_SQL, big, outcomes, paired_sql, r6,
-    rounded, table,
+    K, OUTCOMES_SQL, PAIRED_COUNTS, PAIRED_DOUBLES, T_CRIT_SQL, big, outcomes, paired_sql, rounded,
+    table,
 )
 from framemetry.plans.registry import query
 
