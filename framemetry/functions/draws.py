@@ -11,42 +11,49 @@ from pyspark.sql import Column, functions as F
 from framemetry.functions.arrays import let
 
 _SCALE = float(2**32)
+_LOW = 2**32 - 1
 
 
-def _key(seed: int | Column, parts: tuple) -> list[Column]:
-    return [
-        p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in (seed, *parts)
-    ]
+def _columns(seed: int | Column, parts: tuple) -> list[Column]:
+    return [p if isinstance(p, Column) else F.lit(p) for p in (seed, *parts)]
 
 
-def bits32(seed: int | Column, *parts, lane: int = 0, algo: str = "md5") -> Column:
-    """32 hash bits as a bigint. ``lane`` 0-3 picks one of four independent words of one digest."""
-    key = _key(seed, parts)
+def _digest(seed: int | Column, parts: tuple, lane: int, algo: str) -> Column:
+    """The hash a lane is taken from: lanes 0-3 of one md5, or pairs of lanes of one xxhash64."""
+    key = _columns(seed, parts)
     if algo == "md5":
-        digest = F.md5(F.concat_ws("|", *key))
-        return F.conv(F.substring(digest, 1 + 8 * lane, 8), 16, 10).cast("bigint")
+        return F.md5(F.concat_ws("|", *[k.cast("string") for k in key]))
     if algo == "xxhash64":
-        return F.shiftrightunsigned(F.xxhash64(*key, F.lit(lane)), 32)
+        return F.xxhash64(*key, F.lit(lane // 2))
     raise ValueError(f"unknown hash {algo!r}")
 
 
-def uniform(seed: int | Column, *parts, lane: int = 0, algo: str = "md5") -> Column:
-    """Uniform on the open interval (0, 1)."""
-    return (bits32(seed, *parts, lane=lane, algo=algo) + F.lit(0.5)) / F.lit(_SCALE)
+def _word(digest: Column, lane: int, algo: str) -> Column:
+    """32 bits of a digest as a bigint."""
+    if algo == "md5":
+        return F.conv(F.substring(digest, 1 + 8 * lane, 8), 16, 10).cast("bigint")
+    return digest.bitwiseAND(_LOW) if lane % 2 else F.shiftrightunsigned(digest, 32)
 
 
-def _box_muller(u: Column, v: Column) -> Column:
-    return F.sqrt(-2.0 * F.log(u)) * F.cos(F.lit(6.283185307179586) * v)
+def _unit(word: Column) -> Column:
+    return (word + F.lit(0.5)) / F.lit(_SCALE)
 
 
-def normal(seed: int | Column, *parts, lanes: tuple[int, int] = (0, 1), algo: str = "md5") -> Column:
-    """Standard normal by Box-Muller from two words of one digest."""
-    if algo == "md5":
-        digest = F.md5(F.concat_ws("|", *_key(seed, parts)))
+def bits32(seed: int | Column, *parts, lane: int = 0, algo: str = "md5") -> Column:
+    """32 hash bits as a bigint. ``lane`` 0-3 picks one of four independent words."""
+    return _word(_digest(seed, parts, lane, algo), lane, algo)
+
+
+def uniform(seed: int | Column, *parts, lane: int = 0, algo: str = "md5") -> Column:
+    """Uniform on the open interval (0, 1)."""
+    return _unit(bits32(seed, *parts, lane=lane, algo=algo))
+
+
+def normal(seed: int | Column, *parts, algo: str = "md5") -> Column:
+    """Standard normal by Box-Muller from two words of one digest, computed once."""
 
-        def word(d: Column, lane: int) -> Column:
-            bits = F.conv(F.substring(d, 1 + 8 * lane, 8), 16, 10).cast("bigint")
-            return (bits + F.lit(0.5)) / F.lit(_SCALE)
+    def box_muller(d: Column) -> Column:
+        u, v = _unit(_word(d, 0, algo)), _unit(_word(d, 1, algo))
+        return F.sqrt(-2.0 * F.log(u)) * F.cos(F.lit(6.283185307179586) * v)
 
-        return let(digest, lambda d: _box_muller(word(d, lanes[0]), word(d, lanes[1])))
-    return _box_muller(*[uniform(seed, *parts, lane=n, algo=algo) for n in lanes])
+    return let(_digest(seed, parts, 0, algo), box_muller)

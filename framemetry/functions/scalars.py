@@ -137,14 +137,17 @@ def last_two_parts(path: Column | str) -> Column:
 def relative_path(path: Column | str, root: str) -> Column:
     """Part of ``path`` below ``root``, whatever scheme prefix the scan put in front."""
     tail = "/" + root.split("://")[-1].split(":")[-1].strip("/") + "/"
-    return F.substring_index(_col(path), tail, -1)
+    found = F.instr(_col(path), F.lit(tail))
+    return F.when(found > 0, F.substr(_col(path), found + len(tail))).otherwise(_col(path))
 
 
 def fixed(c: Column | str, digits: int) -> Column:
-    """Fixed-decimal text; not-a-number is written ``nan``."""
+    """Fixed-decimal text; values that are no ordinary numbers are written nan, inf and -inf."""
     c = _col(c)
-    return F.when(F.isnan(c) | c.isNull(), F.lit("nan")).otherwise(
-        F.format_string(f"%.{digits}f", c)
+    return (
+        F.when(F.isnan(c) | c.isNull(), F.lit("nan"))
+        .when(finite(c), F.format_string(f"%.{digits}f", c))
+        .otherwise(F.when(c > 0, F.lit("inf")).otherwise(F.lit("-inf")))
     )
 
 

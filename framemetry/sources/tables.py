@@ -18,12 +18,14 @@ EPOCH_LOG_DECIMALS = {
 
 
 def read_result_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A result table with a header. Types come from the schema; a malformed row fails the read."""
+    """A result table with a header. Types come from the schema; a malformed row fails the read,
+    whichever columns are used."""
     return (
         spark.read.schema(schema)
         .option("header", True)
         .option("enforceSchema", False)
         .option("mode", "FAILFAST")
+        .option("columnPruning", False)
         .csv(path)
     )
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+from itertools import product
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -254,3 +258,17 @@ def test_column_checks(spark):
     assert checks.pick_column(df, ["pipeline_label_short", "pipeline"]) == "pipeline"
     with pytest.raises(ValueError):
         checks.assert_nonempty(df.limit(0), "rows")
+
+
+def test_sign_flip_against_brute_force(spark):
+    rng = np.random.default_rng(11)
+    groups = {k: [float(v) for v in rng.integers(-4, 5, n)] for k, n in enumerate((1, 2, 3, 5, 8, 11))}
+    groups[6] = [0.0, 0.0, 0.0]  # all ties
+    groups[7] = [0.1, 0.2, 0.3, -0.6]  # sums that only rounding keeps from zero
+    rows = [(k, v) for k, vs in groups.items() for v in vs]
+    df = spark.createDataFrame(rows, "k INT, delta DOUBLE")
+    got = {r["k"]: r["exact_sign_flip_p"] for r in stats.sign_flip_p(df, ["k"]).collect()}
+    for k, vs in groups.items():
+        exact = [Fraction(str(v)) for v in vs]
+        sums = [abs(sum(s * v for s, v in zip(signs, exact))) for signs in product((-1, 1), repeat=len(vs))]
+        assert got[k] == pytest.approx(sum(s >= abs(sum(exact)) for s in sums) / len(sums), abs=1e-12), k

@@ -172,6 +172,11 @@ def test_text_functions(spark):
         sc.fixed(F.lit(math.nan), 4).alias("n"), sc.fixed(F.lit(1.23456), 4).alias("f"),
         sc.mean_std_label(F.lit(94.221), F.lit(0.857)).alias("m"),
     ).first()
+    nested = df.limit(1).select(
+        sc.relative_path(F.lit("hdfs://host/data/root/a/data/root/x.png"), "/data/root").alias("r"),
+        sc.fixed(F.lit(math.inf), 4).alias("i"), sc.fixed(F.lit(-math.inf), 4).alias("j"),
+    ).first()
+    assert nested == ("a/data/root/x.png", "inf", "-inf")
     assert one == ("a/x.png", "b/c.png", "nan", "1.2346", "94.22±0.86")
 
 
