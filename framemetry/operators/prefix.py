@@ -67,8 +67,11 @@ HASH = "_hash"
 _HASH_BUCKETS_SHIFT = 16  # 2**16 equally filled buckets of the 32-bit hash
 
 
-def hash_order(df: DataFrame, id_col: str, seed: int, algo: str = "md5") -> DataFrame:
-    """Add the shuffle order of a seeded permutation and its coarse bucket."""
+def hash_order(df: DataFrame, id_col: str, seed: int, algo: str = "xxhash64") -> DataFrame:
+    """Add the shuffle order of a seeded permutation and its coarse bucket.
+
+    ``xxhash64`` is several times faster; ``md5`` gives the same order in any SQL engine.
+    """
     h = draws.bits32(seed, F.col(id_col), algo=algo)
     return df.withColumn(HASH, h).withColumn(
         BUCKET, F.shiftright(F.col(HASH), _HASH_BUCKETS_SHIFT)
@@ -104,9 +107,11 @@ def smallest_threshold(
     )
 
 
-def exact_index(df: DataFrame, keys: list[str], id_col: str, seed: int) -> DataFrame:
+def exact_index(
+    df: DataFrame, keys: list[str], id_col: str, seed: int, algo: str = "xxhash64"
+) -> DataFrame:
     """0-based position of every row within its key in hash order, column ``idx``."""
-    rows = hash_order(df, id_col, seed)
+    rows = hash_order(df, id_col, seed, algo)
     carried = with_carry(
         rows, keys, F.col(BUCKET), {"_before": (F.count(F.lit(1)), "sum")}
     )

@@ -18,9 +18,10 @@ def _split_column(last: Column) -> Column:
 
 
 def _split_exact(
-    df: DataFrame, id_col: str, seed: int, take: Callable[[Column], Column], keys: list[str]
+    df: DataFrame, id_col: str, seed: int, take: Callable[[Column], Column], keys: list[str],
+    algo: str,
 ) -> DataFrame:
-    ordered = hash_order(df.withColumn("_id", F.col(id_col)), "_id", seed)
+    ordered = hash_order(df.withColumn("_id", F.col(id_col)), "_id", seed, algo)
     slim = ordered.select(*keys, "_id", HASH, BUCKET)
     last = smallest_threshold(slim, keys, "_id", take)
     if keys:
@@ -33,17 +34,20 @@ def _split_exact(
     return out.drop("_last", "_id", HASH, BUCKET)
 
 
-def split_random(df: DataFrame, id_col: str, ratio: float, seed: int) -> DataFrame:
+def split_random(
+    df: DataFrame, id_col: str, ratio: float, seed: int, algo: str = "xxhash64"
+) -> DataFrame:
     """Column ``split``: exactly max(1, int(n * ratio)) rows are ``val``."""
 
     def take(n: Column) -> Column:
         return F.greatest(F.lit(1), F.floor(n * F.lit(float(ratio)))).cast("bigint")
 
-    return _split_exact(df, id_col, seed, take, [])
+    return _split_exact(df, id_col, seed, take, [], algo)
 
 
 def split_fixed_floor(
-    df: DataFrame, id_col: str, seed: int, floor: int = 200, ratio: float = 0.1
+    df: DataFrame, id_col: str, seed: int, floor: int = 200, ratio: float = 0.1,
+    algo: str = "xxhash64",
 ) -> DataFrame:
     """Exactly max(floor, int(n * ratio)) rows are ``val``; fewer rows than that is an error."""
 
@@ -55,16 +59,18 @@ def split_fixed_floor(
             )
         )
 
-    return _split_exact(df, id_col, seed, take, [])
+    return _split_exact(df, id_col, seed, take, [], algo)
 
 
-def split_stratified(df: DataFrame, id_col: str, label: str, ratio: float, seed: int) -> DataFrame:
+def split_stratified(
+    df: DataFrame, id_col: str, label: str, ratio: float, seed: int, algo: str = "xxhash64"
+) -> DataFrame:
     """Per label, round(n * ratio) rows are ``val`` (half up; the rounding rule is ours)."""
 
     def take(n: Column) -> Column:
         return F.floor(n * F.lit(float(ratio)) + 0.5).cast("bigint")
 
-    return _split_exact(df, id_col, seed, take, [label])
+    return _split_exact(df, id_col, seed, take, [label], algo)
 
 
 def with_folder(df: DataFrame, path: str, group: str = "grp") -> DataFrame:
@@ -116,7 +122,8 @@ def fold_rows(df: DataFrame, board: str, folds: DataFrame, fold) -> DataFrame:
 
 
 def weighted_draws(
-    df: DataFrame, id_col: str, label: str, seed: int, expand: bool = False
+    df: DataFrame, id_col: str, label: str, seed: int, expand: bool = False,
+    algo: str = "xxhash64",
 ) -> DataFrame:
     """Draw as many rows as there are, with replacement, weight 1 / class size.
 
@@ -126,12 +133,12 @@ def weighted_draws(
     one row per draw with ``expand``.
     """
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    classes = exact_index(sizes, [], label, seed).select(
+    classes = exact_index(sizes, [], label, seed, algo).select(
         F.col("idx").alias("_class"), F.col(label), F.col("n")
     )
     how_many = sizes.select(F.count(F.lit(1))).scalar()
-    u = draws.uniform(seed, F.col(id_col), "draw", lane=0)
-    v = draws.uniform(seed, F.col(id_col), "draw", lane=1)
+    u = draws.uniform(seed, F.col(id_col), "draw", lane=0, algo=algo)
+    v = draws.uniform(seed, F.col(id_col), "draw", lane=1, algo=algo)
     picks = (
         df.select(F.floor(u * how_many).cast("bigint").alias("_class"), v.alias("_v"))
         .join(classes, "_class")
@@ -139,7 +146,7 @@ def weighted_draws(
         .groupBy(label, "idx")
         .agg(F.count(F.lit(1)).alias("draws"))
     )
-    out = exact_index(df, [label], id_col, seed).join(picks, [label, "idx"])
+    out = exact_index(df, [label], id_col, seed, algo).join(picks, [label, "idx"])
     if expand:
         out = out.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("draws").cast("int"))))
         return out.drop("_copy", "idx", "draws")

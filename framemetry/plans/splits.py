@@ -22,7 +22,7 @@ SELECT doc_id, CASE WHEN rn <= greatest(1, floor(n * 0.15::DOUBLE)) THEN 'val' E
 FROM r""")
 def _split_random(spark, sf):
     return splits.split_random(
-        table(spark, sf, "documents").select("doc_id"), "doc_id", 0.15, SEED
+        table(spark, sf, "documents").select("doc_id"), "doc_id", 0.15, SEED, "md5"
     )
 
 
@@ -31,7 +31,7 @@ def _split_random(spark, sf):
 SELECT doc_id, CASE WHEN rn <= greatest(200, floor(n * 0.1::DOUBLE)) THEN 'val' ELSE 'train' END AS split
 FROM r""")
 def _split_fixed_floor(spark, sf):
-    return splits.split_fixed_floor(table(spark, sf, "documents").select("doc_id"), "doc_id", SEED)
+    return splits.split_fixed_floor(table(spark, sf, "documents").select("doc_id"), "doc_id", SEED, algo="md5")
 
 
 @query("split_stratified", f"""WITH r AS (SELECT doc_id, quality,
@@ -41,7 +41,7 @@ SELECT doc_id, quality, CASE WHEN rn <= floor(n * 0.2::DOUBLE + 0.5) THEN 'val'
 FROM r""")
 def _split_stratified(spark, sf):
     return splits.split_stratified(
-        table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "quality", 0.2, SEED
+        table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "quality", 0.2, SEED, "md5"
     )
 
 
@@ -106,7 +106,7 @@ picks AS (SELECT quality, floor(v * n)::BIGINT AS idx, count(*) AS draws
 SELECT doc_id, quality, draws::BIGINT AS draws FROM idx JOIN picks USING (quality, idx)""")
 def _weighted_draws(spark, sf):
     rows = table(spark, sf, "labels").select("doc_id", "quality")
-    out = splits.weighted_draws(rows, "doc_id", "quality", SEED)
+    out = splits.weighted_draws(rows, "doc_id", "quality", SEED, algo="md5")
     return out.select("doc_id", "quality", big("draws"))
 
 
