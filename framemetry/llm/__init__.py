@@ -1,4 +1,13 @@
 """Operators for preparing language-model training text, with their queries and SQL."""
 
-from framemetry.llm import op1_quality, op6_lines, op9_mixing  # noqa: F401
+from framemetry.llm import (  # noqa: F401
+    op1_quality,
+    op3_warc,
+    op4_simhash,
+    op5_language,
+    op6_lines,
+    op7_units,
+    op9_mixing,
+    op10_suffix,
+)
 from framemetry.llm.registry import ORACLES, QUERIES  # noqa: F401
