@@ -2,11 +2,13 @@
 
 from framemetry.llm import (  # noqa: F401
     op1_quality,
+    op2_html,
     op3_warc,
     op4_simhash,
     op5_language,
     op6_lines,
     op7_units,
+    op8_benchmark,
     op9_mixing,
     op10_suffix,
 )

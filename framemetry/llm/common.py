@@ -39,3 +39,15 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+def whole_row(df: DataFrame) -> list[Column]:
+    """128 bits that name a row by all of its columns, never null; equal rows share them."""
+    cols = [F.col(f"`{c}`") for c in df.columns]
+    return [F.xxhash64(*cols).alias("_k1"), F.xxhash64(F.lit("second"), *cols).alias("_k2")]
+
+
+def distinct_rows(df: DataFrame) -> DataFrame:
+    """``_k1``, ``_k2`` and the row as ``_row``, one of equal rows; reduced before the shuffle."""
+    keyed = df.select(*whole_row(df), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))
+    return keyed.groupBy("_k1", "_k2").agg(F.first("_row").alias("_row"))

@@ -17,7 +17,8 @@ everything that reaches it. A word is reached by at most 2145 fingerprints, so i
 Cases: a null or empty text, or one without words, has fingerprint zero and links like any other. A text
 of one or two words has one shingle, its words. Null ids have no rank: a component's id is its smallest
 id that is not null. Repeated rows share fingerprint and component. An empty table gives an empty result.
-Other columns pass through in ``near_duplicates``.
+Other columns pass through in
+``representatives``.
 
 At scale: everything after the scan works on distinct fingerprints; copies are one row per map task.
 """
@@ -32,7 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from framemetry.llm.common import slices, table, written
+from framemetry.llm.common import distinct_rows, slices, table, whole_row, written
 from framemetry.llm.components import components
 from framemetry.llm.registry import query
 
@@ -70,13 +71,6 @@ def _fingerprints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         )
 
 
-def with_fingerprint(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` and ``_fp``, the fingerprint as a signed long."""
-    carried = docs.select("*", F.col(text).alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return carried.mapInArrow(_fingerprints, f"{schema}, _fp bigint")
-
-
 def probes(prints: DataFrame) -> DataFrame:
     """(seg, key, fp, own): each fingerprint under its two segment values and under each of them with
     one set bit cleared."""
@@ -172,7 +166,7 @@ def links(prints: DataFrame) -> DataFrame:
 
 
 def groups(printed: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``printed`` (with ``_fp``) and ``_component``, the smallest key that links reach."""
+    """``printed`` (with ``_fp``) and ``_component``, the smallest ``key`` that links reach."""
     prints = written(printed.groupBy(F.col("_fp").alias("fp")).agg(F.min(key).alias("least")), "fingerprints")
     found = components(links(prints.select("fp"))).withColumnRenamed("node", "fp")
     linked = prints.join(found, "fp")
@@ -183,10 +177,15 @@ def groups(printed: DataFrame, key: str = "doc_id") -> DataFrame:
     return printed.join(named, printed["_fp"] == named["_k"]).drop("_k")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_fp`` and ``_component``."""
-    slim = written(with_fingerprint(docs.select("doc_id", "text")).select("doc_id", "_fp"), "prints")
-    return groups(slim)
+def representatives(docs: DataFrame) -> DataFrame:
+    """One row of each group of near copies: the one of the smallest id (null last), then of the
+    smallest row hash. Texts are shuffled once, to meet the keys that stay."""
+    slim = docs.select("doc_id", *whole_row(docs), F.col("text").alias("_text")).mapInArrow(
+        _fingerprints, "doc_id bigint, _k1 bigint, _k2 bigint, _fp bigint"
+    )
+    rank = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), "_k1", "_k2")
+    kept = groups(written(slim, "prints"), "_fp").groupBy("_component").agg(F.min(rank).alias("r"))
+    return distinct_rows(docs).join(kept.select("r._k1", "r._k2"), ["_k1", "_k2"]).select("_row.*")
 
 
 @query("op4_simhash")
