@@ -6,7 +6,7 @@ more go whole from 200 bytes on.
 
 Each of a text's windows of 200 bytes is assigned to an anchor: the string of ``GRAM`` bytes inside it
 whose polynomial hash is smallest, the leftmost of equals. Equal windows have equal anchors at the same
-place inside, and neighbouring windows share anchors, so a text has one anchor for some 70 bytes. Only
+place inside, and neighbouring windows share anchors, so a text has one anchor for some 50 bytes. Only
 anchors are shuffled:
 
 * an anchor that occurs once has no repeated window;
@@ -20,7 +20,7 @@ anchors are shuffled:
 
 Cases: a null text has no bytes. Texts below 200 bytes lose nothing. Null and repeated ids and extra
 columns do not matter: results belong to the text and are joined to every row that has it. An empty table
-gives an empty result. Texts of any length are hashed in pieces of ``PIECE`` windows.
+gives an empty result. Texts of any length are hashed in pieces of ``PIECE`` windows, short ones together.
 """
 
 from __future__ import annotations
@@ -32,16 +32,17 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from framemetry.llm.common import slices, table
 from framemetry.llm.registry import query
 
 LENGTH = 200
-GRAM = 64
+GRAM = 100
 REACH = LENGTH - GRAM + 1  # grams in a window
-PIECE = 1 << 19
-CROWD = 512
+PIECE = 1 << 14
+CROWD = 2048
+SALTS = 16
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
 
 U = np.uint64
@@ -93,56 +94,79 @@ def _window_minimum(v: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
 
 
-def anchors(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(hash, first window, windows after the first, distance of the anchor from the first window)."""
-    whole = np.frombuffer(data, np.uint8)
-    for at in range(0, len(whole) - LENGTH + 1, PIECE):
-        raw = whole[at : at + PIECE + LENGTH - 1]
-        grams = _mix(Prefix(raw).every(GRAM))
-        place = np.arange(len(grams), dtype=U)
-        least = _window_minimum((grams & U(0xFFFFFFFF00000000)) | place, REACH) & U(0xFFFFFFFF)
-        least = least.astype(np.int64)
-        first = np.concatenate([[0], np.flatnonzero(np.diff(least)) + 1])
-        last = np.concatenate([first[1:], [len(least)]]) - 1
-        yield grams[least[first]].view(np.int64), first + at, last - first, least[first] - first
-
-
-ANCHOR = "h1 bigint, h2 bigint, anchor bigint, place bigint, around bigint"
+def anchors(parts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """(part, hash, first window, windows after the first, distance of the anchor from the first window,
+    hash of the bytes of these windows, windows after the first of a run). The parts are hashed in one
+    string; windows stay inside a part. Neighbouring places that are equal, as periodic text has them, are
+    a run: one place, whose windows are repeated."""
+    text = b"".join(parts)
+    size = np.array([len(p) for p in parts])
+    begin, count = np.cumsum(size) - size, np.maximum(size - LENGTH + 1, 0)
+    if not count.any():
+        return tuple(np.empty(0, np.int64) for _ in range(7))
+    part = np.repeat(np.arange(len(parts)), count)
+    window = np.arange(len(part)) + (begin - np.cumsum(count) + count)[part]
+    grams = _mix(Prefix(np.frombuffer(text, np.uint8)).every(GRAM))
+    place = np.arange(len(grams), dtype=U)
+    least = _window_minimum((grams & U(0xFFFFFFFF00000000)) | place, REACH)[window] & U(0xFFFFFFFF)
+    least = least.astype(np.int64)
+    first = np.concatenate([[0], np.flatnonzero((np.diff(least) != 0) | (np.diff(part) != 0)) + 1])
+    more = np.diff(first, append=len(least)) - 1
+    owner, start, least = part[first], window[first], least[first]
+    digest, back = xxhash.xxh3_64_intdigest, least - start
+    ends = (start + more + LENGTH).tolist()
+    around = np.array([digest(text[a:z], d) for a, z, d in zip(start.tolist(), ends, back.tolist())], U).view(np.int64)
+    name = grams[least].view(np.int64)
+    fresh = np.ones(len(owner), bool)
+    fresh[1:] = (np.diff(owner) != 0) | (np.diff(name) != 0) | (np.diff(around) != 0)
+    head = np.flatnonzero(fresh)
+    tail = np.append(head[1:], len(owner)) - 1
+    run = np.where(tail > head, start[tail] + more[tail] - start[head], 0)
+    return owner[head], name[head], (start - begin[owner])[head], more[head], back[head], around[head], run
+
+
+ANCHOR = "h1 bigint, h2 bigint, anchor bigint, place bigint, around bigint, run bigint"
 
 
 def _anchor_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A place is packed as first window, number of windows after it and distance: one column."""
+
+    def rows(held: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+        owner, name, first, more, back, around, run = anchors([h[3] for h in held])
+        h1, h2, at = (np.array([h[k] for h in held], np.int64)[owner] for k in range(3))
+        cols = [h1, h2, name, (first + at) << 16 | more << 8 | back, around, run]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=[c.split()[0] for c in ANCHOR.split(", ")])
+
+    held: list[tuple[int, int, int, bytes]] = []
+    size = 0
     for batch in slices(batches, 200):
-        parts: list[list] = [[], [], [], [], []]
-        h1, h2 = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        h1, h2 = (batch.column(i).to_pylist() for i in (0, 1))
         for i, text in enumerate(batch.column(2)):
             data = text.as_py().encode()
-            for name, first, more, back in anchors(data):
-                stop, digest = first + more + LENGTH, xxhash.xxh3_64_intdigest
-                around = [digest(data[a:z], d) for a, z, d in zip(first.tolist(), stop.tolist(), back.tolist())]
-                parts[0].append(np.full(len(name), h1[i]))
-                parts[1].append(np.full(len(name), h2[i]))
-                parts[2].append(name)
-                parts[3].append(first << 16 | more << 8 | back)
-                parts[4].append(np.array(around, U).view(np.int64))
-        cols = [np.concatenate(p) if p else np.empty(0, np.int64) for p in parts]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=[c.split()[0] for c in ANCHOR.split(", ")])
+            for at in range(0, len(data) - LENGTH + 1, PIECE):
+                held.append((h1[i], h2[i], at, data[at : at + PIECE + LENGTH - 1]))
+                size += len(held[-1][3])
+                if size >= PIECE:
+                    yield rows(held)
+                    held, size = [], 0
+    if held:
+        yield rows(held)
 
 
-PIECES = "h1 bigint, h2 bigint, anchor bigint, crowd boolean, place bigint, piece binary"
+PIECES = "h1 bigint, h2 bigint, anchor bigint, place bigint, piece binary"
 
 
 def _pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes around each place that needs them."""
     names = [c.split()[0] for c in PIECES.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()]
+    kinds = [*[pa.int64()] * 4, pa.binary()]
     for batch in slices(batches, 200):
         out = []
         for row in batch.to_pylist():
             data = row["text"].encode()
             for p in row["places"]:
                 first, more = p["place"] >> 16, p["place"] >> 8 & 255
-                out.append((row["h1"], row["h2"], p["anchor"], p["crowd"], p["place"], data[first : first + more + LENGTH]))
+                out.append((row["h1"], row["h2"], p["anchor"], p["place"], data[first : first + more + LENGTH]))
         for i in range(0, len(out), 20000):
             cols = list(zip(*out[i : i + 20000]))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
@@ -203,9 +227,9 @@ def repeated(anchor: np.ndarray, place: np.ndarray, pieces: list[bytes]) -> tupl
     prefix = Prefix(raw)
     full = prefix.at(start, LENGTH)
     # a window that no other has the hash of is not repeated, and needs no place in the order
-    by = np.lexsort((full, group))
-    g, f = group[by], full[by]
-    equal = (g[1:] == g[:-1]) & (f[1:] == f[:-1])
+    both = _mix(full + group.astype(U) * U(BASE))
+    by = np.argsort(both)
+    equal = both[by[1:]] == both[by[:-1]]
     twice = np.concatenate([equal, [False]]) | np.concatenate([[False], equal])
     left = np.sort(by[twice])
     left = left[np.argsort(group[left], kind="stable")]
@@ -255,7 +279,7 @@ def _sorted_groups(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         return _spans(h1, h2, place, *repeated(anchor, place, part.column("piece").to_pylist()))
 
     rest: pa.Table | None = None
-    for batch in slices(batches, 4000):
+    for batch in slices(batches, 1000):
         now = pa.Table.from_batches([batch])
         if rest is not None:
             now = pa.concat_tables([rest, now])
@@ -335,26 +359,35 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
     places = texts.where("copies > 0").select("h1", "h2", "text").mapInArrow(_anchor_rows, ANCHOR)
     shared = (
         places.groupBy("anchor")
-        .agg(F.count("*").alias("n"), F.min("around").alias("lo"), F.max("around").alias("hi"))
+        .agg(
+            F.sum(F.when(F.col("run") > 0, 2).otherwise(1)).alias("n"),
+            F.min("around").alias("lo"),
+            F.max("around").alias("hi"),
+        )
         .where("n > 1")
         .select("anchor", (F.col("lo") != F.col("hi")).alias("mixed"), (F.col("n") > CROWD).alias("crowd"))
     )
-    met = places.select("h1", "h2", "anchor", "place").join(shared, "anchor")
+    met = places.select("h1", "h2", "anchor", "place", "run").join(shared, "anchor")
     first = F.shiftright("place", 16)
-    plain = met.where("NOT mixed").select(
-        "h1", "h2", first.alias("start"), (first + F.shiftright("place", 8).bitwiseAND(255) + LENGTH).alias("stop")
-    )
-    wanted = met.where("mixed").groupBy("h1", "h2").agg(F.collect_list(F.struct("anchor", "crowd", "place")).alias("places"))
-    pieces = (
-        texts.where("copies > 0").join(wanted, ["h1", "h2"]).select("h1", "h2", "text", "places").mapInArrow(_pieces, PIECES)
-    )
+    more = F.greatest("run", F.shiftright("place", 8).bitwiseAND(255))
+    plain = met.where("NOT mixed OR run > 0").select("h1", "h2", first.alias("start"), (first + more + LENGTH).alias("stop"))
+
+    def pieces(some: Column) -> DataFrame:
+        wanted = met.where("mixed").where(some).groupBy("h1", "h2").agg(F.collect_list(F.struct("anchor", "place")).alias("places"))
+        own = texts.where("copies > 0").join(wanted, ["h1", "h2"]).select("h1", "h2", "text", "places")
+        return own.mapInArrow(_pieces, PIECES)
+
     few = (
-        pieces.where("NOT crowd").select("h1", "h2", "anchor", "place", "piece")
-        .repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sorted_groups, SPAN)
+        pieces(~F.col("crowd")).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sorted_groups, SPAN)
+    )
+    # a window of a crowd may be in a large share of all texts: its places are dealt out by salt
+    windows = pieces(F.col("crowd")).select("h1", "h2", "place", "piece").mapInArrow(_windows, WINDOW)
+    again = (
+        windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1")
+        .select("w1", "w2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     )
-    windows = pieces.where("crowd").select("h1", "h2", "place", "piece").mapInArrow(_windows, WINDOW)
-    again = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
-    many = windows.join(again, ["w1", "w2"]).select("h1", "h2", F.col("at").alias("start"), (F.col("at") + LENGTH).alias("stop"))
+    dealt = windows.withColumn("salt", F.pmod(F.xxhash64("h1", "at"), F.lit(SALTS)).cast("int"))
+    many = dealt.join(again, ["w1", "w2", "salt"]).select("h1", "h2", F.col("at").alias("start"), (F.col("at") + LENGTH).alias("stop"))
     spans = plain.unionByName(few).unionByName(many)
     gone = spans.groupBy("h1", "h2").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     results = (
