@@ -1,17 +1,21 @@
-"""Line hashing: of lines that say the same, the earliest stays.
+"""Unit hashing: of lines and sentences that say the same, the earliest stays.
 
-A unit is a line of at least ``MIN_WORDS`` words, normalised to its lower-cased letters and digits with
-single spaces. Units are named by 128 hash bits. Of units with one name, the one ranked first by
-(doc_id, offset) stays; the others are reported with their offsets in the original text, in code points,
-and with the place that stays. ``without_units`` gives the texts without them.
+A line is cut into units after its sentence marks; a line without marks is one unit. (Whole lines as
+units miss passages that begin or end inside a line, which repeated passages do.) Units of at least
+``LEAST`` words are normalised to their lower-cased letters and digits with single spaces and named by
+128 hash bits. Of units with one name, the one ranked first by (doc_id, offset) stays. The others go where
+they stand together: neighbouring repeated units of a text (shorter units between them do not count) are
+one repeated passage, and passages of at least ``PASSAGE`` words are removed. Their offsets in the
+original text, in code points, are retained, with the documents that keep their units.
 
 Cases: a null or empty text has no units. Null ids rank last. Rows that repeat an id rank by offset only,
-so units at one offset of one id all stay. Lines are whole, of any length. An empty table gives an empty
-result. Other columns pass through in ``without_units``.
+so units at one offset of one id all stay, and rows equal in id and text share their passages. Texts are
+read whole, of any length. An empty table gives an empty result. Other columns pass through in
+``without_passages``.
 
 At scale: one row of 60 bytes per unit is shuffled. First places are a partial aggregate, so a unit in a
 third of all documents is one row per map task; the join back is an equi-join whose hot keys adaptive
-execution splits.
+execution splits. Passages are found within one text's own units.
 """
 
 from __future__ import annotations
@@ -22,37 +26,39 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from framemetry.llm.common import row_key, same_row, slices, table
 from framemetry.llm.registry import query
 
-MIN_WORDS = 20
+LEAST = 5
+PASSAGE = 25
 
+MARKS = ".!?…。！？"
+_UNITS = re.compile(rf"[^{MARKS}\n]+[{MARKS}]*|[{MARKS}]+")
 _TOKENS = re.compile(r"[^\W_]+")
-UNIT = "_id bigint, _th bigint, unit int, start bigint, stop bigint, h1 bigint, h2 bigint"
+UNIT = "_id bigint, _th bigint, unit int, start bigint, stop bigint, words int, h1 bigint, h2 bigint"
 
 
-def units(text: str, least: int = MIN_WORDS) -> Iterator[tuple[int, int, int, bytes]]:
-    """(number, start, stop, digest) of each unit of a text."""
-    start = 0
-    for i, line in enumerate(text.split("\n")):
-        stop = start + len(line)
-        words = _TOKENS.findall(line.lower())
-        if len(words) >= least:
-            yield i, start, stop, xxhash.xxh3_128_digest(" ".join(words).encode())
-        start = stop + 1
+def units(text: str) -> Iterator[tuple[int, int, int, int, bytes]]:
+    """(number, start, stop, words, digest) of each unit of a text."""
+    number = 0
+    for m in _UNITS.finditer(text):
+        words = _TOKENS.findall(m.group().lower())
+        if len(words) >= LEAST:
+            yield number, m.start(), m.end(), len(words), xxhash.xxh3_128_digest(" ".join(words).encode())
+            number += 1
 
 
-def unit_rows(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
+def unit_rows(docs: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, 500):
             out = []
             for key, th, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                out.extend((key, th, *u) for u in units(text.as_py() or "", least))
-            cols = list(zip(*out)) or [()] * 6
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
-            halves = np.frombuffer(b"".join(cols[5]), "<i8").reshape(-1, 2)
+                out.extend((key, th, *u) for u in units(text.as_py() or ""))
+            cols = list(zip(*out)) or [()] * 7
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
+            halves = np.frombuffer(b"".join(cols[6]), "<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
                 [*[pa.array(c, k) for c, k in zip(cols, kinds)], pa.array(halves[:, 0]), pa.array(halves[:, 1])],
                 names=[c.split()[0] for c in UNIT.split(", ")],
@@ -61,58 +67,85 @@ def unit_rows(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     return docs.select(*row_key(), "text").mapInArrow(run, UNIT)
 
 
-def repeats(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """(_id, _th, unit, start, stop, kept_doc_id, kept_start): the units that go."""
-    rows = unit_rows(docs, least)
+def repeats(docs: DataFrame) -> DataFrame:
+    """(_id, _th, start, stop, n_units, n_words, kept_doc_ids): the passages that go."""
+    rows = unit_rows(docs)
     rank = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("d"), F.col("start").alias("s"))
     first = (
         rows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(rank).alias("first")).where("n > 1")
         .select("h1", "h2", "first")
     )
-    return rows.join(first, ["h1", "h2"]).where(rank > F.col("first")).select(
-        "_id", "_th", "unit", "start", "stop",
-        F.col("first")["d"].alias("kept_doc_id"), F.col("first")["s"].alias("kept_start"),
+    later = rows.join(first, ["h1", "h2"]).where(rank > F.col("first"))
+    # equal rows give equal units: one of each
+    own = later.groupBy("_id", "_th", "unit").agg(
+        F.first("start").alias("start"), F.first("stop").alias("stop"), F.first("words").alias("words"),
+        F.first(F.col("first")["d"]).alias("kept"),
+    )
+    along = Window.partitionBy("_id", "_th").orderBy("unit")
+    apart = F.coalesce((F.col("unit") - F.lag("unit").over(along) != 1).cast("int"), F.lit(1))
+    numbered = own.withColumn("_new", apart).withColumn("_passage", F.sum("_new").over(along))
+    return (
+        numbered.groupBy("_id", "_th", "_passage")
+        .agg(
+            F.min("start").alias("start"), F.max("stop").alias("stop"), F.count("*").alias("n_units"),
+            F.sum("words").alias("n_words"), F.array_sort(F.collect_set("kept")).alias("kept_doc_ids"),
+        )
+        .where(F.col("n_words") >= PASSAGE)
+        .drop("_passage")
     )
 
 
-def without_units(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with the repeated units and their line breaks gone from ``text``, and ``removed``, their
-    (start, stop) in the original text."""
+def without_passages(docs: DataFrame) -> DataFrame:
+    """``docs`` with the repeated passages gone from ``text``, and ``removed``, their (start, stop) in the
+    original text."""
     keyed = docs.select("*", *row_key())
-    gone = repeats(docs, least).groupBy("_id", "_th").agg(
-        F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("removed"),
-        F.array_sort(F.collect_set("unit")).alias("_cut"),
-    )
-    both = keyed.join(gone, same_row(keyed, gone), "left").select(
-        *[keyed[c] for c in docs.columns], "removed", "_cut",
-        F.when(gone["_cut"].isNotNull(), F.split(keyed["text"], "\n")).alias("_l"),
+    gone = repeats(docs).groupBy("_id", "_th").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("removed"))
+    both = keyed.join(gone, same_row(keyed, gone), "left").select(*[keyed[c] for c in docs.columns], "removed")
+    start = F.struct(F.lit("").alias("kept"), F.lit(0).cast("bigint").alias("at"))
+    cut = F.aggregate(
+        "removed",
+        start,
+        lambda s, r: F.struct(
+            F.concat(s["kept"], F.substr("text", (s["at"] + 1).cast("int"), (r["start"] - s["at"]).cast("int"))).alias("kept"),
+            r["stop"].alias("at"),
+        ),
+        lambda s: F.concat(s["kept"], F.substr("text", (s["at"] + 1).cast("int"))),
     )
-    rest = F.array_except(F.sequence(F.lit(0), F.size("_l") - 1), "_cut")
-    text = F.when(
-        F.col("_cut").isNotNull(), F.array_join(F.transform(rest, lambda i: F.get(F.col("_l"), i)), "\n")
-    ).otherwise(F.col("text"))
+    text = F.when(F.col("removed").isNotNull(), cut).otherwise(F.col("text"))
     return both.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns], "removed")
 
 
 SQL = f"""
 WITH lines AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS unit
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS l
   FROM documents),
 placed AS (
-  SELECT doc_id, unit, line,
-         coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  SELECT doc_id, l, line,
+         coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY l ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o
   FROM lines),
+cut AS (
+  SELECT doc_id, l, o, unnest(regexp_extract_all(line, '[^{MARKS}]+[{MARKS}]*|[{MARKS}]+')) AS u,
+         unnest(range(len(regexp_extract_all(line, '[^{MARKS}]+[{MARKS}]*|[{MARKS}]+')))) AS k FROM placed),
+offsets AS (
+  SELECT doc_id, l, k, u,
+         o + coalesce(sum(length(u)) OVER (PARTITION BY doc_id, l ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM cut),
 normal AS (
-  SELECT doc_id, unit, start, (start + length(line))::BIGINT AS stop,
-         trim(regexp_replace(lower(line), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS u FROM placed),
+  SELECT doc_id, l, k, start, start + length(u) AS stop, trim(regexp_replace(lower(u), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS t FROM offsets),
+sized AS (
+  SELECT *, len(string_split(t, ' ')) AS words, row_number() OVER (PARTITION BY doc_id ORDER BY l, k) AS unit
+  FROM normal WHERE len(string_split(t, ' ')) >= {LEAST}),
 ranked AS (
-  SELECT *, first_value(doc_id) OVER w AS kept_doc_id, first_value(start) OVER w AS kept_start, row_number() OVER w AS r
-  FROM normal WHERE len(string_split(u, ' ')) >= {MIN_WORDS} WINDOW w AS (PARTITION BY u ORDER BY doc_id, start))
-SELECT doc_id, unit::INTEGER AS unit, start, stop, kept_doc_id, kept_start FROM ranked WHERE r > 1"""
+  SELECT *, first_value(doc_id) OVER w AS kept, row_number() OVER w AS r
+  FROM sized WINDOW w AS (PARTITION BY t ORDER BY doc_id, start)),
+later AS (SELECT *, unit - row_number() OVER (PARTITION BY doc_id ORDER BY unit) AS island FROM ranked WHERE r > 1)
+SELECT doc_id, min(start)::BIGINT AS start, max(stop)::BIGINT AS stop, count(*)::BIGINT AS n_units, sum(words)::BIGINT AS n_words,
+       list_sort(list(DISTINCT kept)) AS kept_doc_ids
+FROM later GROUP BY doc_id, island HAVING sum(words) >= {PASSAGE}"""
 
 
 @query("op7_units", SQL)
 def op7_units(spark, sf):
     return repeats(table(spark, sf, "documents")).select(
-        F.col("_id").alias("doc_id"), "unit", "start", "stop", "kept_doc_id", "kept_start"
+        F.col("_id").alias("doc_id"), "start", "stop", "n_units", "n_words", "kept_doc_ids"
     )

@@ -253,13 +253,22 @@ def test_line_windows(documents):
 def test_units(documents):
     r = random.Random(9)
     p, q = prose(r, 55), prose(r, 55)
-    docs = documents([(4, f"Head.\n{p}"), (2, f"{p.upper()}!\nTail."), (7, f"{q}\nmid\n{q}"), (8, "short line"), (None, q), (9, None), (10, ""), (4, f"Head.\n{p}")])
-    got = rows_of(op7_units.repeats(docs), "_id", "unit", "start", "stop", "kept_doc_id", "kept_start")
+    short = prose(r, 10)
+    inside = f"Two words {p[:-1]}. And so. {q} more after it"
+    docs = documents([
+        (4, f"Head.\n{p}"), (2, f"{p.upper()}!\nTail."), (7, f"{q}\nmid\n{q}"), (8, short), (9, short), (None, q),
+        (9, None), (10, ""), (4, f"Head.\n{p}"), (11, f"{p} {q}"), (12, inside),
+    ])
+    got = rows_of(op7_units.repeats(docs), "_id", "start", "stop", "n_words", "kept_doc_ids")
+    n, m = len(p), len(q)
+    at = inside.index(q) - 1
     assert got == sorted(
-        [(4, 1, 6, 6 + len(p), 2, 0), (4, 1, 6, 6 + len(p), 2, 0), (7, 2, len(q) + 5, 2 * len(q) + 5, 7, 0), (None, 0, 0, len(q), 7, 0)], key=repr
+        [(4, 6, 6 + n, 55, [2]), (7, m + 5, 2 * m + 5, 55, [7]), (None, 0, m, 55, [7]), (11, 0, n + m + 1, 110, [2, 7]), (12, at, at + m + 1, 55, [7])],
+        key=repr,
     )
-    clean = {(x["doc_id"], x["text"]) for x in op7_units.without_units(docs).collect()}
-    assert (4, "Head.") in clean and (7, f"{q}\nmid") in clean and (None, "") in clean and (2, f"{p.upper()}!\nTail.") in clean
+    clean = {(x["doc_id"], x["text"]) for x in op7_units.without_passages(docs).collect()}
+    assert {(4, "Head.\n"), (7, f"{q}\nmid\n"), (None, ""), (2, f"{p.upper()}!\nTail."), (9, short), (9, None), (10, ""), (11, ""),
+            (12, inside[:at] + " more after it")} <= clean
     assert op7_units.repeats(docs.limit(0)).count() == 0
 
 
