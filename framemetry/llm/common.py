@@ -51,3 +51,10 @@ def distinct_rows(df: DataFrame) -> DataFrame:
     """``_k1``, ``_k2`` and the row as ``_row``, one of equal rows; reduced before the shuffle."""
     keyed = df.select(*whole_row(df), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))
     return keyed.groupBy("_k1", "_k2").agg(F.first("_row").alias("_row"))
+
+
+def set_aside(df: DataFrame, *used: str, made: tuple[str, ...] = ()) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with all columns but the ``used`` ones under names that clash with nothing, and what they are
+    called now. Columns that a result ``made`` of the same name replaces are left out."""
+    now = {c: c if c in used else f"_aside{i}" for i, c in enumerate(df.columns) if c not in made}
+    return df.select(*[F.col(f"`{c}`").alias(n) for c, n in now.items()]), now

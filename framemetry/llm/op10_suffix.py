@@ -34,7 +34,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from framemetry.llm.common import slices, table
+from framemetry.llm.common import set_aside, slices, table
 from framemetry.llm.registry import query
 
 LENGTH = 200
@@ -350,10 +350,13 @@ def _results(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_bytes(docs: DataFrame) -> DataFrame:
-    """``docs`` (with ``text``) and n_bytes, n_removed, n_spans, kept_sha256, spans (in bytes).
+    """``docs`` (with ``text``) and n_bytes, n_removed, n_spans, kept_sha256, spans (in bytes), in place of
+    columns of these names.
 
     The distinct texts are one exchange, which all steps that need texts read again."""
     text = F.coalesce("text", F.lit(""))
+    made = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
+    docs, names = set_aside(docs, "text", made=made)
     keyed = docs.select("*", F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("second"), text).alias("h2"))
     texts = keyed.groupBy("h1", "h2").agg(F.count("*").alias("copies"), F.first(text).alias("text"))
     places = texts.where("copies > 0").select("h1", "h2", "text").mapInArrow(_anchor_rows, ANCHOR)
@@ -373,7 +376,9 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
     plain = met.where("NOT mixed OR run > 0").select("h1", "h2", first.alias("start"), (first + more + LENGTH).alias("stop"))
 
     def pieces(some: Column) -> DataFrame:
-        wanted = met.where("mixed").where(some).groupBy("h1", "h2").agg(F.collect_list(F.struct("anchor", "place")).alias("places"))
+        # run is carried only so that this reads the same exchange as the plain spans
+        places = F.collect_list(F.struct("anchor", "place", "run")).alias("places")
+        wanted = met.where("mixed").where(some).groupBy("h1", "h2").agg(places)
         own = texts.where("copies > 0").join(wanted, ["h1", "h2"]).select("h1", "h2", "text", "places")
         return own.mapInArrow(_pieces, PIECES)
 
@@ -394,7 +399,7 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
         texts.where("copies > 0").join(gone, ["h1", "h2"], "left").select("h1", "h2", "copies", "text", "spans").mapInArrow(_results, RESULT)
     )
     return keyed.join(results, ["h1", "h2"]).select(
-        *[keyed[c] for c in docs.columns], "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"
+        *[F.col(n).alias(c) for c, n in names.items()], *made
     )
 
 

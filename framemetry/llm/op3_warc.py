@@ -20,10 +20,10 @@ systems, so the folder may be any shared store they know.
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
-from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -47,7 +47,7 @@ RECORD = (
     "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, "
     "payload_digest string, payload string"
 )
-_SAFE = "".join(chr(c) for c in range(0x21, 0x7F))
+_CONTROL = re.compile("[\x00-\x1f\x7f]")
 
 
 def _record_id(page_id: int | None, digest: str) -> str:
@@ -64,7 +64,8 @@ def encode(page_id: int | None, url: str | None, html: str | None, refers_to: in
     head.append(f"WARC-Payload-Digest: sha1:{digest}")
     head.append("Content-Type: text/html; charset=utf-8")
     if url is not None:
-        head.append(f"WARC-Target-URI: {quote(url, safe=_SAFE + ''.join(sorted({c for c in url if ord(c) > 0x7F})) if url.isprintable() else _SAFE)}")
+        uri = _CONTROL.sub(lambda m: f"%{ord(m.group()):02X}", url)
+        head.append(f"WARC-Target-URI: {uri}")
     if page_id is not None:
         head.append(f"X-Page-Id: {page_id}")
     if revisit:

@@ -174,6 +174,8 @@ def groups(printed: DataFrame, key: str = "doc_id") -> DataFrame:
     named = prints.join(linked.join(least, "component").select("fp", "low"), "fp", "left").select(
         F.col("fp").alias("_k"), F.coalesce("low", "least").alias("_component")
     )
+    # written, so that both sides of the last join are plain exchanges, whose hot keys can be split
+    named = written(named, "named")
     return printed.join(named, printed["_fp"] == named["_k"]).drop("_k")
 
 
@@ -184,7 +186,9 @@ def representatives(docs: DataFrame) -> DataFrame:
         _fingerprints, "doc_id bigint, _k1 bigint, _k2 bigint, _fp bigint"
     )
     rank = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), "_k1", "_k2")
-    kept = groups(written(slim, "prints"), "_fp").groupBy("_component").agg(F.min(rank).alias("r"))
+    # copies are one row before the groups are joined
+    first = written(slim, "prints").groupBy("_fp").agg(F.min(rank).alias("r"))
+    kept = groups(first, "_fp").groupBy("_component").agg(F.min("r").alias("r"))
     return distinct_rows(docs).join(kept.select("r._k1", "r._k2"), ["_k1", "_k2"]).select("_row.*")
 
 

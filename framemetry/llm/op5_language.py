@@ -135,24 +135,27 @@ def predict(text: str | None, langs: list[str], model: np.ndarray) -> tuple[str,
 
 
 def identify(docs: DataFrame, train: DataFrame) -> DataFrame:
-    """``docs`` with lang_pred, score, languages and proportions, learned from ``train`` (lang, text)."""
+    """``docs`` with lang_pred, score, languages and proportions (in place of columns of these names),
+    learned from ``train`` (lang, text)."""
+    made = ("lang_pred", "score", "languages", "proportions")
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in made])
     langs, model = learn(train)
     shared = docs.sparkSession.sparkContext.broadcast((langs, model.astype(np.float32)))
-    names = [f.name for f in docs.schema.fields]
+    names = docs.columns
+    at = names.index("text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, logs = shared.value
         for batch in slices(batches):
-            texts = batch.column(len(names))
+            texts = batch.column(at)
             out = list(zip(*[predict(t.as_py(), known, logs) for t in texts]))
             kinds = [pa.string(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.float64())]
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(i) for i in range(len(names))], *[pa.array(c, k) for c, k in zip(out, kinds)]],
-                names=[*names, "lang_pred", "score", "languages", "proportions"],
+                [*batch.columns, *[pa.array(c, k) for c, k in zip(out, kinds)]], names=[*names, *made]
             )
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.select("*", F.col("text").alias("_text")).mapInArrow(
+    return docs.mapInArrow(
         run, f"{schema}, lang_pred string, score double, languages array<string>, proportions array<double>"
     )
 

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from framemetry.llm.common import WORD, row_key, same_row, table
+from framemetry.llm.common import WORD, row_key, same_row, set_aside, table
 from framemetry.llm.registry import query
 
 
@@ -68,10 +68,11 @@ def covered(docs: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, cut: str | None = None) -> DataFrame:
     """``docs`` with the later occurrences gone from ``text``; ``cut`` names a column for their numbers."""
-    keyed = docs.select("*", *row_key())
+    plain, names = set_aside(docs, "doc_id", "text")
+    keyed = plain.select("*", *row_key())
     gone = covered(docs)
     both = keyed.join(gone, same_row(keyed, gone), "left").select(
-        *[keyed[c] for c in docs.columns],
+        *[keyed[c] for c in names.values()],
         gone["_cut"],
         F.when(gone["_cut"].isNotNull(), F.split(keyed["text"], "\n")).alias("_l"),
     )
@@ -80,7 +81,7 @@ def dedup_lines(docs: DataFrame, cut: str | None = None) -> DataFrame:
         F.col("_cut").isNotNull(), F.array_join(F.transform(rest, lambda i: F.get(F.col("_l"), i)), "\n")
     ).otherwise(F.col("text"))
     extra = [F.coalesce("_cut", F.array().cast("array<int>")).alias(cut)] if cut else []
-    return both.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns], *extra)
+    return both.select(*[text.alias(c) if c == "text" else F.col(n).alias(c) for c, n in names.items()], *extra)
 
 
 SQL = """

@@ -28,7 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from framemetry.llm.common import row_key, same_row, slices, table
+from framemetry.llm.common import row_key, same_row, set_aside, slices, table
 from framemetry.llm.registry import query
 
 LEAST = 5
@@ -96,11 +96,12 @@ def repeats(docs: DataFrame) -> DataFrame:
 
 
 def without_passages(docs: DataFrame) -> DataFrame:
-    """``docs`` with the repeated passages gone from ``text``, and ``removed``, their (start, stop) in the
-    original text."""
-    keyed = docs.select("*", *row_key())
+    """``docs`` with the repeated passages gone from ``text``, and ``removed`` (in place of a column of that
+    name), their (start, stop) in the original text."""
+    plain, names = set_aside(docs, "doc_id", "text", made=("removed",))
+    keyed = plain.select("*", *row_key())
     gone = repeats(docs).groupBy("_id", "_th").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("removed"))
-    both = keyed.join(gone, same_row(keyed, gone), "left").select(*[keyed[c] for c in docs.columns], "removed")
+    both = keyed.join(gone, same_row(keyed, gone), "left").select(*[keyed[c] for c in names.values()], "removed")
     start = F.struct(F.lit("").alias("kept"), F.lit(0).cast("bigint").alias("at"))
     cut = F.aggregate(
         "removed",
@@ -112,7 +113,7 @@ def without_passages(docs: DataFrame) -> DataFrame:
         lambda s: F.concat(s["kept"], F.substr("text", (s["at"] + 1).cast("int"))),
     )
     text = F.when(F.col("removed").isNotNull(), cut).otherwise(F.col("text"))
-    return both.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns], "removed")
+    return both.select(*[text.alias(c) if c == "text" else F.col(n).alias(c) for c, n in names.items()], "removed")
 
 
 SQL = f"""

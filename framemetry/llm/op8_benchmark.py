@@ -287,18 +287,17 @@ def without_items(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without the rows that hold an item."""
     for index in indexes(items):
         shared = docs.sparkSession.sparkContext.broadcast(index)
-        names = docs.columns
+        at = docs.columns.index("text")
 
-        def run(batches: Iterable[pa.RecordBatch], shared=shared, names=names) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches):
                 clean = np.ones(batch.num_rows, bool)
-                for first, texts in _batches(batch, len(names)):
+                for first, texts in _batches(batch, at):
                     for i, *_ in shared.value.search(texts):
                         clean[first + i] = False
-                kept = batch.filter(pa.array(clean))
-                yield pa.RecordBatch.from_arrays([kept.column(i) for i in range(len(names))], names=names)
+                yield batch.filter(pa.array(clean))
 
-        docs = docs.select("*", F.col("text").alias("_text")).mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(run, docs.schema)
     return docs
 
 

@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from framemetry.llm.common import WORD, distinct_rows, row_key, table, whole_row
+from framemetry.llm.common import WORD, distinct_rows, row_key, set_aside, table, whole_row
 from framemetry.llm.registry import query
 
 WEIGHTS = (5, 2, 1)  # of the sources in code-point order, repeating
@@ -63,15 +63,18 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, quality: DataFrame | None = None, sized: bool = False) -> DataFrame:
-    """``docs`` with size, source_size, target and copies. ``quality``: (doc_id, weight), one row an id.
-    ``sized`` rows bring ``_words`` and ``_th`` in place of ``text``."""
-    own = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
+    """``docs`` with size, source_size, target and copies (in place of columns of these names).
+    ``quality``: (doc_id, weight), one row an id. ``sized`` rows bring ``_words`` and ``_th`` in place of
+    ``text``."""
+    used = ("doc_id", "source", *(("_words", "_th") if sized else ("text",)))
+    docs, names = set_aside(docs, *used, made=("size", "source_size", "target", "copies"))
+    own = [n for n in docs.columns if n != "_th"]
     uniform = (
         F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(SEED)), F.col("doc_id").cast("string"))), 1, 13), 16, 10).cast("bigint")
         + F.lit(0.5)
     ) / F.lit(_SCALE)
     if sized:
-        rows = docs.select(*own, F.col("_words").alias("size"), F.col("doc_id").alias("_id"))
+        rows = docs.select(*own, F.col("_words").alias("size"), F.col("doc_id").alias("_id"), "_th")
     else:
         rows = docs.select(*own, word_count().alias("size"), *row_key())
     if quality is not None:
@@ -99,20 +102,23 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, sized: bool = False)
     left = F.col("target") - epochs * F.col("source_size")
     drawn = ((F.col("_before") + F.col("size") / F.lit(2.0)) <= left) & (left > 0)
     return joined.select(
-        *own, "size", "source_size", "target", (epochs + drawn.cast("int")).cast("bigint").alias("copies")
+        *[F.col(n).alias(c) for c, n in names.items()], "size", "source_size", "target", (epochs + drawn.cast("int")).cast("bigint").alias("copies")
     )
 
 
 def mixed_rows(docs: DataFrame, quality: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs`` that the mix takes, with size, source_size, target and copies; equal rows
     come back as one, their copies added. Only sizes and keys go through the mix; texts are shuffled once."""
+    docs = docs.drop("size", "source_size", "target", "copies")
     slim = docs.select("doc_id", "source", word_count().alias("_words"), *row_key()[1:], *whole_row(docs))
     taken = (
         mix(slim, quality, sized=True).groupBy("_k1", "_k2")
         .agg(F.first("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.sum("copies").alias("copies"))
         .where("copies > 0")
     )
-    return distinct_rows(docs).join(taken, ["_k1", "_k2"]).select("_row.*", "size", "source_size", "target", "copies")
+    return distinct_rows(docs).join(taken, ["_k1", "_k2"]).select(
+        "_row.*", "size", "source_size", "target", "copies"
+    )
 
 
 def quality_weights(labels: DataFrame) -> DataFrame:
