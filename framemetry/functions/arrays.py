@@ -85,55 +85,14 @@ def flip(px: Column, h: Column, w: Column, vertical: Column, horizontal: Column)
     )
 
 
-def resize(px: Column, h: Column, w: Column, oh: int, ow: int) -> Column:
-    """Bilinear resize; when shrinking, the triangle filter widens so that no pixel is skipped.
-
-    Two one-dimensional passes. Results are real numbers, not rounded to 8 bits in between.
-    """
-
-    def weights(n_in: Column, n_out: int, o: Column, take) -> Column:
-        scale = n_in / F.lit(float(n_out))
-        support = F.greatest(scale, F.lit(1.0))
-        centre = (o + 0.5) * scale
-        lo = F.greatest(F.floor(centre - support + 0.5), F.lit(0)).cast("int")
-        hi = F.least(F.floor(centre + support + 0.5), n_in.cast("bigint")).cast("int") - 1
-        parts = F.transform(
-            F.sequence(lo, hi),
-            lambda i: F.struct(
-                F.greatest(F.lit(0.0), 1.0 - F.abs(i + 0.5 - centre) / support).alias("k"),
-                take(i).alias("v"),
-            ),
-        )
-        total = F.aggregate(
-            parts,
-            F.struct(F.lit(0.0).alias("k"), F.lit(0.0).alias("v")),
-            lambda s, p: F.struct((s["k"] + p["k"]).alias("k"), (s["v"] + p["k"] * p["v"]).alias("v")),
-        )
-        return let(total, lambda t: t["v"] / t["k"])
-
-    def horizontal(r):
-        return F.transform(upto(ow), lambda o: weights(w, ow, o, lambda i: at(r, i)))
-
-    return let(
-        F.transform(image_rows(px, h, w), horizontal),
-        lambda rows: F.flatten(
-            F.transform(
-                upto(oh),
-                lambda oy: F.transform(
-                    upto(ow), lambda ox: weights(h, oh, oy, lambda i: at(F.get(rows, i), ox))
-                ),
-            )
-        ),
-    )
-
-
 # --- filters with zero padding --------------------------------------------------------------------------
 
 
 def gaussian_taps(size: int = 11, sigma: float = 1.5) -> list[float]:
     """Normalised one-dimensional Gaussian; its outer product is the two-dimensional window."""
-    g = [math.exp(-((i - size // 2) ** 2) / (2.0 * sigma * sigma)) for i in range(size)]
-    return [v / sum(g) for v in g]
+    half = [math.exp(-0.5 * (d / sigma) ** 2) for d in range(size // 2 + 1)]
+    total = 2.0 * math.fsum(half) - half[0]
+    return [half[abs(d)] / total for d in range(-(size // 2), size // 2 + 1)]
 
 
 def _weighted(taps: list[float], take: Callable[[int], Column]) -> Column:

@@ -49,6 +49,17 @@ def uniform(seed: int | Column, *parts, lane: int = 0, algo: str = "md5") -> Col
     return _unit(bits32(seed, *parts, lane=lane, algo=algo))
 
 
+def uniform52(seed: int | Column, *parts, algo: str = "md5") -> Column:
+    """Uniform on (0, 1) from 52 hash bits: every position of a table of any size can be met."""
+    digest = _digest(seed, parts, 0, algo)
+    word = (
+        F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint")
+        if algo == "md5"
+        else F.shiftrightunsigned(digest, 12)
+    )
+    return (word + F.lit(0.5)) / F.lit(float(2**52))
+
+
 def normal(seed: int | Column, *parts, algo: str = "md5") -> Column:
     """Standard normal by Box-Muller from two words of one digest, computed once."""
 

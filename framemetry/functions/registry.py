@@ -1,19 +1,21 @@
 """The same expressions for SQL users, as temporary SQL functions of the session.
 
-They are expanded into the query's plan, so they cost what the written-out expression costs.
+The scalar functions are expanded into the query's plan and cost what the written-out expression costs;
+``tile_grid`` is a table function in Python, of a few rows per frame.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
+from pyspark.sql.functions import udtf
 
 _SCALAR = {
     "clamp01(v DOUBLE) RETURNS DOUBLE": "CASE WHEN isnan(v) THEN v ELSE greatest(0D, least(1D, v)) END",
     "psnr(mse DOUBLE) RETURNS DOUBLE": "CASE WHEN mse <= 0 THEN 99D ELSE -10 * log10(mse + 1e-12D) END",
     "slug(s STRING) RETURNS STRING": "lower(trim(BOTH '_' FROM regexp_replace(s, '[^a-zA-Z0-9]+', '_')))",
-    "sign_flip_p(deltas ARRAY<DOUBLE>) RETURNS DOUBLE": """
-      CASE WHEN size(deltas) > 20
-             THEN CAST(raise_error('exact sign-flip test needs at most 20 units') AS DOUBLE)
+    # NULL above max_n units; 2^(max_n - 1) sums are held at once
+    "sign_flip_p(deltas ARRAY<DOUBLE>, max_n INT DEFAULT 20) RETURNS DOUBLE": """
+      CASE WHEN size(deltas) > max_n THEN NULL
            WHEN size(deltas) > 0 THEN
              aggregate(
                aggregate(slice(array_sort(deltas), 2, greatest(size(deltas) - 1, 0)),
@@ -27,16 +29,20 @@ _SCALAR = {
       END""",
 }
 
-# Unpack in a second step: LATERAL VIEW inline(grid) over a subquery that computes the grid.
-_GRID = {
-    "tile_grid(h INT, w INT, tile INT, overlap INT) RETURNS ARRAY<STRUCT<top: INT, left: INT>>": """
-      flatten(transform(sequence(0, h - 1, tile - overlap), t ->
-        transform(sequence(0, w - 1, tile - overlap), l -> named_struct('top', t, 'left', l))))""",
-}
+class TileGrid:
+    """Table function: one row per tile. SELECT ... FROM frames, LATERAL tile_grid(h, w, tile, overlap)"""
+
+    def eval(self, h: int, w: int, tile: int, overlap: int):
+        if None in (h, w, tile, overlap):
+            return
+        for top in range(0, h, tile - overlap):
+            for left in range(0, w, tile - overlap):
+                yield top, left
 
 
 def register_functions(spark: SparkSession) -> list[str]:
     """Create the functions in the session; returns their names."""
-    for head, body in {**_SCALAR, **_GRID}.items():
+    for head, body in _SCALAR.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
-    return [head.split("(")[0] for head in (*_SCALAR, *_GRID)]
+    spark.udtf.register("tile_grid", udtf(TileGrid, returnType="top INT, left INT"))
+    return [*[head.split("(")[0] for head in _SCALAR], "tile_grid"]

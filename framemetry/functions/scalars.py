@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
+from framemetry.functions.arrays import let
+
 INF = float("inf")
 
 
@@ -107,7 +111,7 @@ def parse_position_list(c: Column | str) -> Column:
         lambda s: s.rlike("^[+-]?[0-9]+$"),
     )
     ints = F.filter(F.transform(items, lambda s: s.try_cast("int")), lambda i: i.isNotNull())
-    return F.when(F.size(ints) > 0, ints)
+    return let(ints, lambda i: F.when(F.size(i) > 0, i))
 
 
 def positions_in_range(c: Column | str, n: Column | int) -> Column:
@@ -134,11 +138,29 @@ def last_two_parts(path: Column | str) -> Column:
     )
 
 
+def _glob_pattern(glob: str) -> str:
+    """The regular expression of a path glob; no wildcard crosses a slash."""
+    made = {"*": "[^/]*", "?": "[^/]", "{": "(?:", "}": ")", ",": "|"}
+
+    def one(m: re.Match) -> str:
+        piece = m.group()
+        if piece[0] == "[":
+            return piece.replace("[!", "[^", 1)
+        if piece[0] == "{" and len(piece) > 1:
+            return "".join(made.get(c) or re.escape(c) for c in piece)
+        return made[piece] if piece in "*?" else re.escape(piece)
+
+    return re.sub(r"\[[^\]]+\]|\{[^}]+\}|.", one, glob)
+
+
 def relative_path(path: Column | str, root: str) -> Column:
-    """Part of ``path`` below ``root``, whatever scheme prefix the scan put in front."""
-    tail = "/" + root.split("://")[-1].split(":")[-1].strip("/") + "/"
-    found = F.instr(_col(path), F.lit(tail))
-    return F.when(found > 0, F.substr(_col(path), found + len(tail))).otherwise(_col(path))
+    """Part of ``path`` below ``root``, whatever scheme and host stand in front of either.
+
+    An absolute root, which may be a glob, matches from the start of the path; a relative one where it
+    first occurs (``scan_frames`` resolves it before). A path that is not below the root is kept."""
+    bare = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", root).rstrip("/")
+    start = "^(?:[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?)?" + ("" if bare.startswith("/") else ".*?/")
+    return F.regexp_replace(_col(path), f"{start}{_glob_pattern(bare)}/", "")
 
 
 def fixed(c: Column | str, digits: int) -> Column:

@@ -19,13 +19,35 @@ T_CRITICAL_95 = (
 )
 
 
+# The 97.5 % point of the normal distribution, and the terms of the expansion of Student's quantile
+# in powers of 1 / df around it (fixed values; Fisher and Cornish).
+Z_975 = 1.959963984540054
+QUANTILE_TERMS = (
+    ((1, 1), 4),
+    ((5, 16, 3), 96),
+    ((3, 19, 17, -15), 384),
+    ((79, 776, 1482, -1920, -945), 92160),
+)
+
+
+def expanded_quantile(df: Column) -> Column:
+    """t quantile at 97.5 % for more degrees of freedom than the table has; within 1e-7 there."""
+    out = F.lit(Z_975)
+    for k, (factors, divisor) in enumerate(QUANTILE_TERMS, 1):
+        powers = range(2 * len(factors) - 1, 0, -2)
+        term = sum(f * Z_975**p for f, p in zip(factors, powers)) / divisor
+        out = out + F.lit(term) / F.pow(df, F.lit(k))
+    return out
+
+
 def t_critical(n: Column, missing: str = "error") -> Column:
-    """Critical value for a sample of ``n``; sizes outside 2..31 fail, or give NULL on request."""
+    """95 % critical value for a sample of ``n``; a size below 2 fails, or gives NULL on request."""
     table = F.array(*[F.lit(v) for v in T_CRITICAL_95])
-    value = F.get(table, (n - 2).cast("int"))
+    known = F.get(table, (n - 2).cast("int"))
+    value = F.when((n >= 2) & (n <= 31), known).when(n > 31, expanded_quantile((n - 1).cast("double")))
     if missing == "null":
         return value
-    return F.when((n >= 2) & (n <= 31), value).otherwise(
+    return F.when(n >= 2, value).otherwise(
         F.raise_error(F.format_string("no critical value for n=%d", n)).cast("double")
     )
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from framemetry.operators.prefix import join_same
+
 
 def class_counts(df: DataFrame, label: str) -> DataFrame:
     """Rows per class and the inverse-frequency weight."""
@@ -16,8 +18,8 @@ def class_counts(df: DataFrame, label: str) -> DataFrame:
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """Every row with the weight of its class. The class table is small unless proven otherwise,
-    so the choice of join is left to the planner, which knows its measured size."""
-    return df.join(class_counts(df, label), label)
+    so the choice of join is left to the planner, which knows its measured size. NULL is a class."""
+    return join_same(df, class_counts(df, label), [label])
 
 
 def confusion_table(df: DataFrame, keys: list[str], true: str, pred: str) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from framemetry.functions import arrays, draws
 from framemetry.functions.scalars import base_name, clamp01_pixels, pixels_finite
-from framemetry.operators.prefix import BUCKET, with_carry
+from framemetry.operators import stacks
+from framemetry.operators.prefix import placed
 
 
 def pixel_view(frames: DataFrame, keep: list[str], **values: str) -> DataFrame:
@@ -50,29 +51,36 @@ def _pair_key(df: DataFrame, on: str) -> DataFrame:
 def pair_frames(noisy: DataFrame, clean: DataFrame, on: str = "rel_path") -> DataFrame:
     """Noisy and clean pictures of the same path below their roots, or of the same file name.
 
-    Pairing on ``name`` is for flat folders. A name used twice on one side would pair every
-    combination and fails instead; ``duplicate_keys`` lists such names.
+    One shuffle: both sides are grouped by the key together, each side scanned once. A key used twice
+    on one side would pair every combination and fails instead (``duplicate_keys`` lists such keys). If
+    nothing pairs at all the result fails too: two folders without a common name are a mistake. NULL
+    paths pair with nothing.
     """
-    if on == "name":
-        twice = (
-            duplicate_keys(noisy)
-            .unionByName(duplicate_keys(clean))
-            .select(F.count(F.lit(1)))
-            .scalar()
-        )
-        unique = F.when(twice == 0, F.lit(True)).otherwise(
-            F.raise_error(F.lit("file names are not unique")).cast("boolean")
+    side = [
+        _pair_key(df, on).select("_pair", F.lit(name).alias("_side"), F.struct("rel_path", "h", "w", "pixels").alias("_row"))
+        for name, df in (("clean", clean), ("noisy", noisy))
+    ]
+    both = side[0].unionByName(side[1]).filter(F.col("_pair").isNotNull())
+
+    def one(name: str) -> tuple[Column, Column]:
+        mine = F.col("_side") == name
+        twice = F.raise_error(F.concat(F.lit(f"{name} key is not unique: "), F.col("_pair"))).cast("boolean")
+        return F.when(F.count_if(mine) > 1, twice).otherwise(F.lit(True)), F.max_by("_row", F.when(mine, 1))
+
+    (clean_ok, clean_row), (noisy_ok, noisy_row) = one("clean"), one("noisy")
+    pairs = (
+        both.groupBy("_pair")
+        .agg(clean_row.alias("_clean"), noisy_row.alias("_noisy"), clean_ok.alias("_c"), noisy_ok.alias("_n"))
+        .filter(F.col("_c") & F.col("_n") & F.col("_clean").isNotNull() & F.col("_noisy").isNotNull())
+        .select(
+            F.col("_clean.rel_path").alias("rel_path"), F.col("_clean.h").alias("clean_h"), F.col("_clean.w").alias("clean_w"),
+            F.col("_clean.pixels").alias("clean"), F.col("_noisy.rel_path").alias("noisy_path"),
+            F.col("_noisy.h").alias("noisy_h"), F.col("_noisy.w").alias("noisy_w"), F.col("_noisy.pixels").alias("noisy"),
         )
-        clean = clean.filter(unique)
-    n = _pair_key(noisy, on).select(
-        "_pair", F.col("rel_path").alias("noisy_path"), F.col("h").alias("noisy_h"),
-        F.col("w").alias("noisy_w"), F.col("pixels").alias("noisy"),
     )
-    c = _pair_key(clean, on).select(
-        "_pair", "rel_path", F.col("h").alias("clean_h"), F.col("w").alias("clean_w"),
-        F.col("pixels").alias("clean"),
-    )
-    return c.join(n, "_pair").drop("_pair")
+    nothing = F.raise_error(F.lit("no two frames pair")).cast("boolean")
+    guard = pairs.agg(F.count("rel_path").alias("_n")).filter(F.when(F.col("_n") == 0, nothing).otherwise(F.lit(False)))
+    return pairs.unionByName(guard.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in pairs.schema.fields]))
 
 
 def unpaired_frames(noisy: DataFrame, clean: DataFrame, on: str = "rel_path") -> DataFrame:
@@ -91,24 +99,13 @@ def common_names(first: DataFrame, second: DataFrame) -> DataFrame:
     )
 
 
-def ordered_paths(
-    df: DataFrame, path: str = "rel_path", depth: int = 2, prefix: int = 6
-) -> DataFrame:
-    """Position of every path in path order (from 1), column ``place``.
+def ordered_paths(df: DataFrame, path: str = "rel_path") -> DataFrame:
+    """Position of every path in path order (from 1), column ``place``; NULL paths come first.
 
-    Paths are ordered component by component. Buckets are the first ``depth`` components, the last
-    of them cut to ``prefix`` characters; paths of one bucket are sorted together, so both are to be
-    large enough for the largest folder.
-    """
-    parts = F.split(path, "/")
-    bucket = F.transform(
-        F.slice(parts, 1, depth),
-        lambda p, i: F.when(i == depth - 1, F.substring(p, 1, prefix)).otherwise(p),
-    )
-    rows = with_carry(df, [], bucket, {"_before": (F.count(F.lit(1)), "sum")})
-    pos = F.row_number().over(Window.partitionBy(BUCKET).orderBy(parts))
-    place = (F.coalesce(F.col("_before"), F.lit(0)) + pos).cast("bigint")
-    return rows.withColumn("place", place).drop("_before", BUCKET)
+    Paths are ordered component by component, by ranges of a sample: however names are formed, no
+    task sorts more than its range."""
+    parts = df.withColumn("_parts", F.split(path, "/"))
+    return placed(parts, [], ["_parts"], "place").drop("_parts")
 
 
 def duplicate_keys(df: DataFrame, on: str = "name") -> DataFrame:
@@ -192,12 +189,6 @@ def random_crop(
 
 
 def resize_frames(frames: DataFrame, oh: int = 256, ow: int = 256, column: str = "pixels") -> DataFrame:
-    """Frames of another size resized; a frame of the right size passes unchanged."""
-    same = (F.col("h") == oh) & (F.col("w") == ow)
-    px = F.transform(F.col(column), lambda v: v.cast("double"))
-    resized = arrays.resize(px, F.col("h"), F.col("w"), oh, ow)
-    return (
-        frames.withColumn(column, F.when(same, px).otherwise(resized))
-        .withColumn("h", F.lit(oh))
-        .withColumn("w", F.lit(ow))
-    )
+    """Frames of another size resized, when shrinking with a wider filter so that no pixel is skipped; a
+    frame of the right size passes unchanged. Results are real numbers, not rounded to 8 bits."""
+    return stacks.resize(frames, oh, ow, column)

@@ -75,12 +75,12 @@ def noisy(
     frame: str = "frame_id", algo: str = "xxhash64",
 ) -> Column:
     """Speckle first, then Gaussian, then clamp to [0, 1]; a part is off at 0."""
-    kind = (kind or "gauss").lower()
-    if kind not in ("gauss", "burr"):
+    makers = {"": speckle_gauss, "gauss": speckle_gauss, "burr": speckle_burr}
+    make = makers.get((kind or "").lower())
+    if make is None:
         raise ValueError(f"unknown speckle kind {kind!r}")
     out = px
     if speckle > 0:
-        make = speckle_burr if kind == "burr" else speckle_gauss
         out = make(out, speckle, seed, frame, algo)
     if sigma > 0:
         out = gaussian(out, sigma, seed, frame, algo)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from framemetry.functions.scalars import mean_std_label, slug
 from framemetry.operators.checks import pick_column, require_columns
-from framemetry.operators.prefix import BUCKET, with_carry
+from framemetry.operators.prefix import placed
 from framemetry.operators.runs import group_spans
 
 # Label columns in order of preference (fixed values).
@@ -89,9 +89,8 @@ def downstream_plot_data(df: DataFrame, metric: str) -> DataFrame:
 
 
 def downstream_spans(df: DataFrame) -> DataFrame:
-    """(regime_group, start, end) along ``group_order``; the plot table is small by nature."""
-    bucket = F.floor(F.col("group_order") / 65536)
-    return group_spans(df, ["group_order"], "regime_group", bucket)
+    """(regime_group, start, end) along ``group_order``."""
+    return group_spans(df, ["group_order"], "regime_group")
 
 
 def latency_plot_data(df: DataFrame, with_params: bool = False) -> DataFrame:
@@ -118,15 +117,6 @@ def latency_plot_data(df: DataFrame, with_params: bool = False) -> DataFrame:
     )
 
 
-def place_in_order(
-    df: DataFrame, keys: list[str], order: list[str], bucket: Column, name: str = "plot_order"
-) -> DataFrame:
-    """Position of each row within its key along ``order``, from 1, for keys of any size.
-
-    ``bucket`` must not decrease along ``order``.
-    """
-    rows = with_carry(df, keys, bucket, {"_before": (F.count(F.lit(1)), "sum")})
-    pos = F.row_number().over(Window.partitionBy(*keys, BUCKET).orderBy(*order))
-    return rows.withColumn(name, F.coalesce(F.col("_before"), F.lit(0)) + pos).drop(
-        "_before", BUCKET
-    )
+def place_in_order(df: DataFrame, keys: list[str], order: list[str], name: str = "plot_order") -> DataFrame:
+    """Position of each row within its key along ``order``, from 1, for keys of any size."""
+    return placed(df, keys, order, name)

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from framemetry.functions import draws
+from framemetry.session import written
 
 _COMBINE: dict[str, Callable[[Column], Column]] = {
     "sum": F.sum,
@@ -23,6 +24,18 @@ _COMBINE: dict[str, Callable[[Column], Column]] = {
 BUCKET = "_bucket"
 
 
+def join_same(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on columns of one name in which NULL matches NULL, as it does in groups and windows."""
+    other = right.select(
+        *[F.col(c).alias(f"_right_{c}") for c in on], *[c for c in right.columns if c not in on]
+    )
+    same = None
+    for c in on:
+        one = F.col(c).eqNullSafe(F.col(f"_right_{c}"))
+        same = one if same is None else same & one
+    return left.join(other, same, how).drop(*[f"_right_{c}" for c in on])
+
+
 def bucket_of(order: Column, width: int) -> Column:
     """Bucket of an integer order column; with unique order values a bucket holds ``width`` rows."""
     return F.floor(order / F.lit(width)).cast("bigint")
@@ -36,7 +49,8 @@ def with_carry(
 ) -> DataFrame:
     """Add the bucket and, per entry of ``parts``, the running value of all earlier buckets.
 
-    ``parts`` maps a column name to (aggregate, how to combine aggregates of earlier buckets).
+    ``parts`` maps a column name to (aggregate, how to combine aggregates of earlier buckets). Rows with
+    a NULL key are a key of their own; those with a NULL bucket come first.
     """
     rows = df.withColumn(BUCKET, bucket)
     on = [*keys, BUCKET]
@@ -49,7 +63,7 @@ def with_carry(
     carry = per_bucket.select(
         *on, *[_COMBINE[how](F.col(n)).over(before).alias(n) for n, (_, how) in parts.items()]
     )
-    return rows.join(carry, on)
+    return join_same(rows, carry, on)
 
 
 def in_bucket(keys: list[str], order: list[Column | str]):
@@ -99,8 +113,7 @@ def smallest_threshold(
     )
     order = Window.partitionBy(*keys, BUCKET).orderBy(HASH, id_col)
     return (
-        ordered.select(*keys, BUCKET, HASH, id_col)
-        .join(edge, [*keys, BUCKET])
+        join_same(ordered.select(*keys, BUCKET, HASH, id_col), edge, [*keys, BUCKET])
         .withColumn("_rank", F.row_number().over(order))
         .filter(F.col("_rank") == F.col("_left"))
         .select(*keys, F.struct(F.col(HASH), F.col(id_col)).alias("_last"))
@@ -119,3 +132,47 @@ def exact_index(
     return carried.withColumn(
         "idx", (F.coalesce(F.col("_before"), F.lit(0)) + pos - 1).cast("bigint")
     ).drop("_before", BUCKET, HASH)
+
+
+def smallest_rows(df: DataFrame, keys: list[str], value: str, n: int) -> DataFrame:
+    """The rows of the ``n`` smallest values of each key, however large keys are and whatever n is.
+
+    Keys are cut into pieces by a hash of the value. Each piece gives its n smallest (a row-number filter,
+    which Spark also applies before the shuffle while n is small), and only those are ranked by key."""
+    pieces = F.pmod(F.xxhash64(value), F.lit(64))
+    fine = Window.partitionBy(*keys, "_piece").orderBy(value)
+    some = df.withColumn("_piece", pieces).withColumn("_rank", F.row_number().over(fine)).filter(F.col("_rank") <= n)
+    whole = Window.partitionBy(*keys).orderBy(value)
+    return (
+        some.withColumn("_rank", F.row_number().over(whole))
+        .filter(F.col("_rank") <= n)
+        .drop("_piece", "_rank")
+    )
+
+
+# --- order of a whole table ---------------------------------------------------------------------
+
+
+def in_ranges(df: DataFrame, order: list[str]) -> DataFrame:
+    """Rows dealt to partitions by ranges of ``order`` and sorted inside each. The ranges come from a
+    sample, so what depends on them must be computed once and written, not planned twice."""
+    return df.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+def placed(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """Position of each row within its key along ``order``, from 1. NULL keys are a key, NULLs come first.
+
+    One range shuffle whatever the sizes of keys; the row number inside a range is free, and only counts
+    per (range, key) are added up across ranges."""
+    shift = 33  # monotonically_increasing_id: partition above, row below
+    local = written(in_ranges(df, [*keys, *order]).withColumn("_at", F.monotonically_increasing_id()), "placed")
+    local = local.withColumn("_range", F.shiftright("_at", shift)).withColumn(
+        "_at", F.col("_at").bitwiseAND(F.lit((1 << shift) - 1))
+    )
+    on = [*keys, "_range"]
+    counts = local.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_begin"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carry = counts.select(*on, (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_begin")).alias("_shift"))
+    return join_same(local, carry, on).select(
+        *df.columns, (F.col("_at") + F.col("_shift") + 1).cast("bigint").alias(name)
+    )

@@ -6,18 +6,21 @@ expressions in the JVM; where all of them are wanted, Arrow batches of stacked f
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType
 
 from framemetry.functions import arrays
 from framemetry.functions.scalars import finite, finite_or_null, nan_if_null, psnr
+from framemetry.operators import stacks
+from framemetry.operators.stacks import np_filter, np_minmax, np_sobel
 from framemetry.operators.stencil import ssim_of_moments
 
 EDGE_QUANTILE = 0.85
+FIXED_EDGE = 0.1
+C1, C2 = 0.01**2, 0.03**2
 MOMENTS = ("ma", "mb", "aa", "bb", "ab")
 
 
@@ -43,7 +46,7 @@ def charbonnier_loss(a: Column, b: Column) -> Column:
 
 def ssim_global(pixels: DataFrame, keys: list[str], a: str = "a", b: str = "b") -> DataFrame:
     """One window over the whole frame: sample standard deviations with population covariance."""
-    c1, c2 = 0.01**2, 0.03**2
+    c1, c2 = C1, C2
     m = pixels.groupBy(*keys).agg(
         F.avg(a).alias("ma"), F.avg(b).alias("mb"), F.var_samp(a).alias("va"),
         F.var_samp(b).alias("vb"), F.covar_pop(a, b).alias("cab"),
@@ -120,7 +123,7 @@ def edge_f1(ex: Column, ey: Column, q: float = EDGE_QUANTILE) -> Column:
     return arrays.let(F.transform(F.array(ex, ey), minmax_norm), score)
 
 
-def edge_f1_fixed(ex: Column, ey: Column, threshold: float = 0.1) -> Column:
+def edge_f1_fixed(ex: Column, ey: Column, threshold: float = FIXED_EDGE) -> Column:
     """F1 of edge pixels above a fixed raw magnitude (magnitudes without the 1e-12)."""
     def raw(v: Column) -> Column:
         return F.sqrt(F.greatest(v * v - 1e-12, F.lit(0.0)))
@@ -139,8 +142,9 @@ def with_edges(
     """Adds the edge magnitudes of both sides, ``_ea`` and ``_eb``."""
     h, w = F.col("h"), F.col("w")
     if form == "arrow":
-        return pairs.withColumn("_ea", _sobel_udf(F.col(a), h, w)).withColumn(
-            "_eb", _sobel_udf(F.col(b), h, w)
+        made = {"_ea": stacks.PIXELS, "_eb": stacks.PIXELS}
+        return stacks.on_stacks(
+            pairs, pairs.columns, [a, b], made, lambda x, y: {"_ea": np_sobel(x), "_eb": np_sobel(y)}
         )
     both = F.transform(F.array(a, b), lambda p: arrays.sobel(p, h, w))
     return (
@@ -151,21 +155,23 @@ def with_edges(
     )
 
 
-def edge_aware_loss(mae_: Column, ssim: Column, edge_l1: Column, w_edge: float = 0.1) -> Column:
+def edge_aware_loss(mae_, ssim, edge_l1, w_edge: float = 0.1):
+    """Of columns or of arrays."""
     return mae_ * 0.8 + (1.0 - ssim) * 0.2 + edge_l1 * w_edge
 
 
 def pair_scores(
     pairs: DataFrame, keep: list[str], a: str = "noisy", b: str = "clean", w_edge: float = 0.1,
-    form: str = "arrow",
+    form: str = "arrow", scores: list[str] = SCORES,
 ) -> DataFrame:
-    """Every score of every pair, without a shuffle.
+    """The named scores of every pair, without a shuffle.
 
     ``arrow`` stacks frames of one size in Arrow batches, about twenty times faster on 256 x 256
-    frames than ``jvm``, which evaluates the array expressions one frame at a time.
+    frames than ``jvm``, which evaluates array expressions one frame at a time and gives ``SCORES``.
     """
     if form == "arrow":
-        return _scores_arrow(pairs, keep, a, b, w_edge)
+        made = {n: DoubleType() for n in scores}
+        return stacks.on_stacks(pairs, keep, [a, b], made, lambda x, y: np_scores(x, y, scores, w_edge))
     x, y, h, w = F.col(a), F.col(b), F.col("h"), F.col("w")
     return (
         with_edges(pairs, a, b, form)
@@ -179,84 +185,83 @@ def pair_scores(
         )
         .withColumn("psnr", psnr("mse"))
         .withColumn("loss", edge_aware_loss(F.col("mae"), F.col("ssim"), F.col("edge_l1"), w_edge))
-        .select(*keep, *SCORES)
+        .select(*keep, *scores)
     )
 
 
-def _np_filter(x: np.ndarray, taps: np.ndarray) -> np.ndarray:
-    r = len(taps) // 2
-    p = np.pad(x, ((0, 0), (0, 0), (r, r)))
-    x = sum(k * p[:, :, j : j + x.shape[2]] for j, k in enumerate(taps))
-    p = np.pad(x, ((0, 0), (r, r), (0, 0)))
-    return sum(k * p[:, j : j + x.shape[1], :] for j, k in enumerate(taps))
+def np_f1(p: np.ndarray, q: np.ndarray, guard: float) -> np.ndarray:
+    """F1 of stacks of masks, ``guard`` added to every denominator; the twin of ``f1_of_masks``."""
+    both, one, two = ((m.reshape(len(m), -1)).sum(1) for m in (p & q, p, q))
+    precision, recall = both / (one + guard), both / (two + guard)
+    return precision * recall * 2.0 / (precision + recall + guard)
 
 
-def _np_sobel(x: np.ndarray) -> np.ndarray:
-    p = np.pad(x, ((0, 0), (1, 1), (1, 1)))
-    row = p[:, :-2] + 2 * p[:, 1:-1] + p[:, 2:]
-    col = p[:, :, :-2] + 2 * p[:, :, 1:-1] + p[:, :, 2:]
-    gx, gy = row[:, :, 2:] - row[:, :, :-2], col[:, 2:] - col[:, :-2]
-    return np.sqrt(gx * gx + gy * gy + 1e-12)
+class _Pair:
+    """Scores of a stack of pairs, each part worked out when it is first asked for."""
 
+    def __init__(self, x: np.ndarray, y: np.ndarray, w_edge: float):
+        self.x, self.y, self.w_edge = x, y, w_edge
 
-@F.pandas_udf(ArrayType(DoubleType()))
-def _sobel_udf(px: pd.Series, h: pd.Series, w: pd.Series) -> pd.Series:
-    return pd.Series(
-        [_np_sobel(np.asarray(p, float).reshape(1, y, x)).ravel() for p, y, x in zip(px, h, w)]
-    )
+    @cached_property
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        return np_sobel(self.x), np_sobel(self.y)
 
+    @cached_property
+    def mse(self) -> np.ndarray:
+        return ((self.x - self.y) ** 2).mean((1, 2))
 
-def _np_scores(x: np.ndarray, y: np.ndarray, w_edge: float) -> dict[str, np.ndarray]:
-    """Scores of a stack of pairs (n, h, w)."""
-    taps = np.array(arrays.gaussian_taps())
-    area = (1, 2)
-    err = ((x - y) ** 2).mean(area)
-    ma, mb = _np_filter(x, taps), _np_filter(y, taps)
-    aa, bb, ab = (_np_filter(p, taps) for p in (x * x, y * y, x * y))
-    similarity = ssim_of_moments(ma, mb, aa, bb, ab).mean(area)
-    ex, ey = _np_sobel(x), _np_sobel(y)
-
-    def norm(e):
-        lo, hi = e.min(area, keepdims=True), e.max(area, keepdims=True)
-        return (e - lo) / (hi - lo + 1e-6)
-
-    nx, ny = norm(ex), norm(ey)
-    t = np.quantile(ny.reshape(len(ny), -1), EDGE_QUANTILE, axis=1)[:, None, None]
-    px, py = nx >= t, ny >= t
-    tp, fp, fn = (m.sum(area) for m in (px & py, px & ~py, ~px & py))
-    precision, recall = tp / (tp + fp + 1e-9), tp / (tp + fn + 1e-9)
-    l1, edge = np.abs(x - y).mean(area), np.abs(ex - ey).mean(area)
-    return {
-        "mse": err,
-        "mae": l1,
-        "psnr": np.where(err <= 0, 99.0, -10.0 * np.log10(err + 1e-12)),
-        "ssim": similarity,
-        "edge_l1": edge,
-        "edge_f1": 2 * precision * recall / (precision + recall + 1e-9),
-        "loss": 0.8 * l1 + 0.2 * (1 - similarity) + w_edge * edge,
-    }
-
-
-def _scores_arrow(
-    pairs: DataFrame, keep: list[str], a: str, b: str, w_edge: float
-) -> DataFrame:
-    """Frames of one size are stacked and scored together."""
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for (h, w), part in batch.groupby(["h", "w"], sort=False):
-                x, y = (
-                    np.stack(part[c].to_numpy()).astype(float).reshape(-1, h, w) for c in (a, b)
-                )
-                scores = _np_scores(x, y, w_edge)
-                yield pd.DataFrame({**{k: part[k] for k in keep}, **scores}, index=part.index)
-
-    schema = StructType(
-        [f for f in pairs.select(*keep).schema.fields]
-        + [StructField(n, DoubleType()) for n in SCORES]
-    )
-    cols = list(dict.fromkeys([*keep, "h", "w", a, b]))
-    return pairs.select(*cols).mapInPandas(score, schema)
+    @cached_property
+    def mae(self) -> np.ndarray:
+        return np.abs(self.x - self.y).mean((1, 2))
+
+    @cached_property
+    def charbonnier(self) -> np.ndarray:
+        return 0.7 * np.sqrt((self.x - self.y) ** 2 + 1e-12).mean((1, 2)) + 0.3 * self.mse
+
+    @cached_property
+    def psnr(self) -> np.ndarray:
+        return np.where(self.mse <= 0, 99.0, -10.0 * np.log10(self.mse + 1e-12))
+
+    @cached_property
+    def ssim(self) -> np.ndarray:
+        taps = np.array(arrays.gaussian_taps())
+        moments = (self.x, self.y, self.x**2, self.y**2, self.x * self.y)
+        return ssim_of_moments(*[np_filter(m, taps) for m in moments]).mean((1, 2))
+
+    @cached_property
+    def ssim_global(self) -> np.ndarray:
+        n = self.x[0].size
+        x, y = self.x.reshape(-1, n), self.y.reshape(-1, n)
+        mx, my = x.mean(1), y.mean(1)
+        c = ((x - mx[:, None]) * (y - my[:, None])).mean(1)
+        spread = [np.var(v, axis=1, ddof=1) if n > 1 else np.full(len(v), np.nan) for v in (x, y)]
+        top = (2.0 * mx * my + C1) * (2.0 * c + C2)
+        return top / ((mx * mx + my * my + C1) * (spread[0] + spread[1] + C2))
+
+    @cached_property
+    def edge_l1(self) -> np.ndarray:
+        return np.abs(self.edges[0] - self.edges[1]).mean((1, 2))
+
+    @cached_property
+    def edge_f1(self) -> np.ndarray:
+        x, y = map(np_minmax, self.edges)
+        cut = np.quantile(y.reshape(len(y), -1), EDGE_QUANTILE, axis=1)[:, None, None]
+        return np_f1(x >= cut, y >= cut, 1e-9)
+
+    @cached_property
+    def edge_f1_fixed(self) -> np.ndarray:
+        raw = [np.sqrt(np.maximum(e * e - 1e-12, 0.0)) for e in self.edges]
+        return np_f1(raw[0] > FIXED_EDGE, raw[1] > FIXED_EDGE, 1e-8)
+
+    @cached_property
+    def loss(self) -> np.ndarray:
+        return edge_aware_loss(self.mae, self.ssim, self.edge_l1, self.w_edge)
+
+
+def np_scores(x: np.ndarray, y: np.ndarray, wanted: list[str], w_edge: float = 0.1) -> dict[str, np.ndarray]:
+    """The wanted scores of a stack of pairs (n, h, w)."""
+    pair = _Pair(x, y, w_edge)
+    return {name: getattr(pair, name) for name in wanted}
 
 
 # --- data sets -----------------------------------------------------------------------------------------------------
@@ -292,37 +297,79 @@ def report_rows(scores: DataFrame, path: str = "rel_path") -> DataFrame:
 # --- what a restoration keeps of its input -----------------------------------------------------------------------------
 
 
+def _sums(pairs: DataFrame, keys: list[str], a: str, others: dict[str, str], edges: bool) -> DataFrame:
+    """Per key, sums over all pixels of ``a`` and of each of ``others`` (prefix -> column). Each frame is
+    reduced in its Arrow batch to a few numbers, taken about 0.5 so that variances keep their digits;
+    only those are exchanged."""
+    kinds = ["n", "x", "y", "xx", "yy", "xy", "change", "square", "base", "one", *(["ex", "ey"] if edges else [])]
+    names = [f"{p}{k}" for p in others for k in kinds]
+
+    def total(v: np.ndarray) -> np.ndarray:
+        return v.reshape(len(v), -1).sum(1)
+
+    def reduce(x: np.ndarray, *rest: np.ndarray) -> dict[str, np.ndarray]:
+        out, u = {}, x - 0.5
+        for p, y in zip(others, rest):
+            v = y - 0.5
+            out |= {
+                f"{p}n": np.full(len(x), float(x[0].size)), f"{p}x": total(u), f"{p}y": total(v),
+                f"{p}xx": total(u * u), f"{p}yy": total(v * v), f"{p}xy": total(u * v),
+                f"{p}change": total(np.abs(y - x)), f"{p}square": total((x - y) ** 2),
+                f"{p}base": total(x * x), f"{p}one": total((y >= 1.0 - 1e-6).astype(float)),
+            }
+            if edges:
+                out |= {f"{p}ex": total(np_sobel(x)), f"{p}ey": total(np_sobel(y))}
+        return out
+
+    per_frame = stacks.on_stacks(pairs, keys, [a, *others.values()], {n: DoubleType() for n in names}, reduce)
+    return per_frame.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in names])
+
+
+def _moment(one: str, two: str, p: str = "") -> Column:
+    n = F.col(f"{p}n")
+    return F.col(f"{p}{one}{two}") / n - F.col(f"{p}{one}") * F.col(f"{p}{two}") / (n * n)
+
+
+def _spread(side: str, p: str = "") -> Column:
+    return F.sqrt(F.greatest(_moment(side, side, p), F.lit(0.0)))
+
+
+def _correlation(p: str = "") -> Column:
+    return F.try_divide(_moment("x", "y", p), _spread("x", p) * _spread("y", p))
+
+
 def signal_audit(pairs: DataFrame, keys: list[str], inp: str, out: str) -> DataFrame:
     """Per arm, over all pixels: output mean, input-output correlation, contrast retention
     (ratio of standard deviations), gradient retention (ratio of mean edge magnitudes), mean
     absolute change and share of pixels at one (>= 1 - 1e-6). The ratios are our definitions.
-
-    Pixels are unpacked where the frame is and reduced there; only sums are exchanged.
     """
-    cells = F.arrays_zip(F.col(inp), F.col(out), F.col("_ea"), F.col("_eb"))
-    px = with_edges(pairs, inp, out).select(*keys, F.explode(cells).alias("_p")).select(
-        *keys, *[F.col(f"_p.{c}").alias(n) for c, n in
-                 ((inp, "_in"), (out, "_out"), ("_ea", "_ein"), ("_eb", "_eout"))]
-    )
-    return px.groupBy(*keys).agg(
-        F.avg("_out").alias("output_mean"),
-        F.corr("_in", "_out").alias("input_output_correlation"),
-        F.try_divide(F.stddev_pop("_out"), F.stddev_pop("_in")).alias("contrast_retention"),
-        F.try_divide(F.avg("_eout"), F.avg("_ein")).alias("gradient_retention"),
-        F.avg(F.abs(F.col("_out") - F.col("_in"))).alias("mean_absolute_change"),
-        F.avg((F.col("_out") >= 1.0 - 1e-6).cast("double")).alias("fraction_at_one"),
+    n = F.col("n")
+    return _sums(pairs, keys, inp, {"": out}, edges=True).select(
+        *keys,
+        (F.col("y") / n + 0.5).alias("output_mean"),
+        _correlation().alias("input_output_correlation"),
+        F.try_divide(_spread("y"), _spread("x")).alias("contrast_retention"),
+        F.try_divide("ey", "ex").alias("gradient_retention"),
+        (F.col("change") / n).alias("mean_absolute_change"),
+        (F.col("one") / n).alias("fraction_at_one"),
     )
 
 
-def output_change(pairs: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
-    """Relative L2 distance of b from a and their correlation, over all elements of a key."""
-    px = pairs.select(*keys, F.explode(F.arrays_zip(F.col(a), F.col(b))).alias("_p")).select(
-        *keys, F.col(f"_p.{a}").alias("_a"), F.col(f"_p.{b}").alias("_b")
-    )
-    d = F.col("_a") - F.col("_b")
-    return px.groupBy(*keys).agg(
-        F.try_divide(F.sqrt(F.sum(d * d)), F.sqrt(F.sum(F.col("_a") * F.col("_a")))).alias(
-            "relative_l2"
-        ),
-        F.corr("_a", "_b").alias("correlation"),
+def output_change(pairs: DataFrame, keys: list[str], a: str, b: str | dict[str, str]) -> DataFrame:
+    """Relative L2 distance of b from a and their correlation, over all elements of a key. Several columns
+    (prefix -> column) are compared with ``a`` in one pass. Vectors, which have no h and w, are pictures
+    of one line."""
+    if "h" not in pairs.columns:
+        pairs = pairs.withColumn("h", F.lit(1)).withColumn("w", F.size(a))
+    others = b if isinstance(b, dict) else {"": b}
+    return _sums(pairs, keys, a, others, edges=False).select(
+        *keys,
+        *[
+            c
+            for p in others
+            for c in (
+                F.sqrt(F.try_divide(f"{p}square", f"{p}base")).alias(f"{p}relative_l2"),
+                _correlation(p).alias(f"{p}correlation"),
+            )
+        ],
     )

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from framemetry.functions.scalars import finite, finite_or_null, nan_if_null
-from framemetry.operators.prefix import BUCKET, bucket_of, in_bucket, with_carry
+from framemetry.operators.prefix import BUCKET, bucket_of, in_bucket, in_ranges, join_same, smallest_rows, with_carry
+from framemetry.session import written
 
 # Rows of one bucket of a running aggregate; a run of any length is cut into such pieces.
 WIDTH = 65536
@@ -63,33 +70,51 @@ def best_so_far(
 ) -> DataFrame:
     """Add ``best``, ``best_epoch`` and ``is_best`` as known after each epoch.
 
-    Improvements are strict, so the running minimum of (metric, epoch) names the first epoch of the
-    best value and one pass carries both. Non-finite values never improve anything.
+    Non-finite values never improve anything, nor do rows without an epoch, which come first in their
+    run. Improvements are strict.
     """
-    ok = F.coalesce(finite(metric), F.lit(False))
-    if start_value is not None:
-        ok = ok & ((F.col(metric) < start_value) if mode == "min" else (F.col(metric) > start_value))
-    sign = 1 if mode == "min" else -1
-    cand = F.when(
-        ok,
-        F.struct(
-            (F.col(metric) * sign).alias("m"), F.col(epoch).cast("bigint").alias("e")
-        ),
-    )
+    return best_of_each(log, keys, {"": (metric, mode, start_value)}, epoch, start_epoch, width)
+
+
+def best_of_each(
+    log: DataFrame,
+    keys: list[str],
+    metrics: dict[str, tuple[str, str, float | None]],
+    epoch: str = "epoch",
+    start_epoch: int = 0,
+    width: int = WIDTH,
+) -> DataFrame:
+    """``best_so_far`` of several metrics in one pass: ``metrics`` maps the prefix of the new columns to
+    (metric, mode, start value).
+
+    The running minimum of (metric, epoch) names the first epoch of the best value, so one window
+    carries both; all metrics share the buckets, the carry and the sort.
+    """
+
+    def candidate(metric: str, mode: str, start_value: float | None) -> Column:
+        ok = F.coalesce(finite(metric), F.lit(False)) & F.col(epoch).isNotNull()
+        if start_value is not None:
+            ok = ok & ((F.col(metric) < start_value) if mode == "min" else (F.col(metric) > start_value))
+        value = F.col(metric) if mode == "min" else -F.col(metric)
+        return F.when(ok, F.struct(value.alias("m"), F.col(epoch).cast("bigint").alias("e")))
+
+    made = {f"_cand_{p}": candidate(*spec) for p, spec in metrics.items()}
     carried = with_carry(
-        log.withColumn("_cand", cand),
-        keys,
-        bucket_of(F.col(epoch), width),
-        {"_carry": (F.min("_cand"), "min")},
+        log.withColumns(made), keys, bucket_of(F.col(epoch), width),
+        {f"_carry_{p}": (F.min(f"_cand_{p}"), "min") for p in metrics},
     )
-    run = F.least(F.col("_carry"), F.min("_cand").over(in_bucket(keys, [epoch])))
-    return (
-        carried.withColumn("_run", run)
-        .withColumn("best", F.col("_run.m") * sign)
-        .withColumn("best_epoch", F.coalesce(F.col("_run.e"), F.lit(start_epoch).cast("bigint")))
-        .withColumn("is_best", F.coalesce(F.col("_run.e") == F.col(epoch), F.lit(False)))
-        .drop("_cand", "_carry", "_run", BUCKET)
+    w = in_bucket(keys, [epoch])
+    out = carried.withColumns(
+        {f"_run_{p}": F.least(F.col(f"_carry_{p}"), F.min(f"_cand_{p}").over(w)) for p in metrics}
     )
+    for p, (_, mode, _) in metrics.items():
+        best = F.col(f"_run_{p}.m")
+        out = out.withColumns({
+            f"{p}best": best if mode == "min" else -best,
+            f"{p}best_epoch": F.coalesce(F.col(f"_run_{p}.e"), F.lit(start_epoch).cast("bigint")),
+            f"{p}is_best": F.coalesce(F.col(f"_run_{p}.e") == F.col(epoch), F.lit(False)),
+        })
+    return out.drop(BUCKET, *[f"{kind}_{p}" for p in metrics for kind in ("_cand", "_carry", "_run")])
 
 
 def early_stop(
@@ -227,19 +252,16 @@ def run_stop_epoch(rollup: DataFrame, run: list[str], epoch: str = "epoch") -> D
 
 
 def warmup_drop(df: DataFrame, keys: list[str], order: list[str], n: int = 50) -> DataFrame:
-    """Rows after the first ``n`` of each key.
+    """Rows after the first ``n`` of each key in the order of a unique ``order``.
 
-    Only the n-th position is looked for (the row-number filter keeps n rows per key and input
-    task); the rows themselves are compared with it, never ranked.
+    Only the n-th position is looked for, by an aggregate that keeps n places per key and input task
+    whatever n is; the rows themselves are compared with it, never ranked. Keys with fewer rows than
+    ``n`` have nothing left.
     """
     place = F.struct(*order)
-    first = (
-        df.select(*keys, *order)
-        .withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-        .filter(F.col("_rank") <= n)
-    )
-    last = first.groupBy(*keys).agg(F.max(place).alias("_last"))
-    return df.join(last, keys).filter(place > F.col("_last")).drop("_last")
+    last = smallest_rows(df.select(*keys, place.alias("_place")), keys, "_place", n)
+    last = last.groupBy(*keys).agg(F.max("_place").alias("_last"))
+    return join_same(df, last, keys).filter(place > F.col("_last")).drop("_last")
 
 
 def latency_summary(
@@ -255,26 +277,55 @@ def latency_summary(
 # --- spans ---------------------------------------------------------------------------------------------
 
 
-def group_spans(
-    df: DataFrame, order: list[str], group: str, bucket: Column, keys: list[str] | None = None
-) -> DataFrame:
-    """Runs of equal ``group`` values along ``order``: (group, start, end), positions from 0.
-
-    ``bucket`` must not decrease along ``order`` and bounds what is sorted together. Spans are found
-    inside each bucket and reduced there; only those short lists are numbered across buckets, where
-    a bucket that begins as the previous one ended continues its last span.
+def _range_spans(keys: list[str], group: str, schema: pa.Schema):
+    """Spans of one sorted partition: (range, keys, group, place in the key, first and last row)."""
+    names = [*keys, group]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        held: list | None = None  # key, group, number in the key, first and last row
+        for batch in batches:
+            ends = [pc.run_end_encode(batch.column(c)).run_ends.to_numpy() for c in names] if batch.num_rows else []
+            out = []
+            start = 0
+            for stop in np.unique(np.concatenate(ends)).tolist() if ends else ():
+                *key, value = (batch.column(c)[start].as_py() for c in names)
+                rows = stop - start
+                if held is not None and held[0] == key and held[1] == value:
+                    held[4] += rows
+                else:
+                    if held is not None:
+                        out.append(held)
+                    same = held is not None and held[0] == key
+                    first = held[4] + 1 if same else 0
+                    held = [key, value, held[2] + 1 if same else 0, first, first + rows - 1]
+                start = stop
+            yield rows_of(part, out)
+        if held is not None:
+            yield rows_of(part, [held])
+
+    def rows_of(part: int, spans: list) -> pa.RecordBatch:
+        cols = [[part] * len(spans), *[[s[0][i] for s in spans] for i in range(len(keys))]]
+        cols += [[s[i] for s in spans] for i in range(1, 5)]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
+
+    return run
+
+
+def group_spans(df: DataFrame, order: list[str], group: str, keys: list[str] | None = None) -> DataFrame:
+    """Runs of equal ``group`` values along ``order``: (keys, span, group, start, end), positions from 0.
+
+    The table is dealt out by ranges of (keys, order); each range is reduced to its spans where it is
+    sorted, and only those are numbered across ranges, where a range that begins as the one before
+    ended continues its last span. NULL groups and keys are values like any other.
     """
     keys = keys or []
-    here = Window.partitionBy(*keys, BUCKET).orderBy(*order)
-    previous = F.lag(F.struct(group)).over(here)
-    local = (
-        df.select(*keys, *order, group, bucket.alias(BUCKET))
-        .withColumn("_pos", F.row_number().over(here) - 1)
-        .withColumn("_new", (previous.isNotNull() & ~previous.eqNullSafe(F.struct(group))).cast("bigint"))
-        .withColumn("_nth", F.sum("_new").over(in_bucket(keys, order)))
-        .groupBy(*keys, BUCKET, "_nth", group)
-        .agg(F.min("_pos").alias("_from"), F.max("_pos").alias("_to"))
-    )
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    fields = [f"`{c}` {kinds[c].simpleString()}" for c in (*keys, group)]
+    spec = ", ".join([f"{BUCKET} int", *fields, "_nth bigint", "_from bigint", "_to bigint"])
+    empty = df.sparkSession.createDataFrame([], spec)
+    sorted_rows = in_ranges(df.select(*dict.fromkeys([*keys, *order, group])), [*keys, *order])
+    local = written(sorted_rows.mapInArrow(_range_spans(keys, group, empty.toArrow().schema), spec), "spans")
     ends = F.struct(F.col("_nth"), F.struct(group).alias("g"))
     per_bucket = local.groupBy(*keys, BUCKET).agg(
         (F.max("_to") + 1).cast("bigint").alias("_rows"),
@@ -295,7 +346,7 @@ def group_spans(
         .select(*keys, BUCKET, "_rows_before", "_spans_before")
     )
     return (
-        local.join(carry, [*keys, BUCKET])
+        join_same(local, carry, [*keys, BUCKET])
         .withColumn("span", F.col("_spans_before") + F.col("_nth") + 1)
         .groupBy(*keys, "span", group)
         .agg(

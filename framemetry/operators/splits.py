@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from framemetry.functions import draws
 from framemetry.functions.scalars import first_folder
-from framemetry.operators.prefix import BUCKET, HASH, exact_index, hash_order, smallest_threshold
+from framemetry.operators.prefix import BUCKET, HASH, exact_index, hash_order, join_same, smallest_threshold
+from framemetry.session import written
 
 
 def _split_column(last: Column) -> Column:
@@ -25,7 +26,7 @@ def _split_exact(
     slim = ordered.select(*keys, "_id", HASH, BUCKET)
     last = smallest_threshold(slim, keys, "_id", take)
     if keys:
-        out = ordered.join(last, keys, "left").withColumn("split", _split_column(F.col("_last")))
+        out = join_same(ordered, last, keys, "left").withColumn("split", _split_column(F.col("_last")))
     else:
         # one row: a scalar subquery, so the big table is neither shuffled nor joined
         out = ordered.withColumn("_last", last.select("_last").scalar()).withColumn(
@@ -129,16 +130,16 @@ def weighted_draws(
 
     Such weights make classes equally likely, so a draw picks a class and a position inside it.
     Draws are counted per position before the last join: a rare class, whose rows are drawn very
-    often, sends one counter per row instead of all its draws. Output: drawn rows with ``draws``, or
+    often, sends one counter per row instead of all its draws. NULL is a class. Output: drawn rows with ``draws``, or
     one row per draw with ``expand``.
     """
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    sizes = written(df.groupBy(label).agg(F.count(F.lit(1)).alias("n")), "class-sizes")
     classes = exact_index(sizes, [], label, seed, algo).select(
         F.col("idx").alias("_class"), F.col(label), F.col("n")
     )
     how_many = sizes.select(F.count(F.lit(1))).scalar()
     u = draws.uniform(seed, F.col(id_col), "draw", lane=0, algo=algo)
-    v = draws.uniform(seed, F.col(id_col), "draw", lane=1, algo=algo)
+    v = draws.uniform52(seed, F.col(id_col), "place", algo=algo)
     picks = (
         df.select(F.floor(u * how_many).cast("bigint").alias("_class"), v.alias("_v"))
         .join(classes, "_class")
@@ -146,7 +147,7 @@ def weighted_draws(
         .groupBy(label, "idx")
         .agg(F.count(F.lit(1)).alias("draws"))
     )
-    out = exact_index(df, [label], id_col, seed, algo).join(picks, [label, "idx"])
+    out = join_same(exact_index(df, [label], id_col, seed, algo), picks, [label, "idx"])
     if expand:
         out = out.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("draws").cast("int"))))
         return out.drop("_copy", "idx", "draws")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType
 
 from framemetry.functions.special import t_critical, t_p_value
+from framemetry.operators.prefix import join_same
 
 SIGN_FLIP_MAX_N = 20
 
@@ -76,7 +80,7 @@ def pair_arms(
 def mean_sd_ci(
     df: DataFrame, keys: list[str], value: str = "value", missing: str = "error"
 ) -> DataFrame:
-    """n, mean, sample SD and the 95 % t interval. A size without a critical value fails."""
+    """n, mean, sample SD and the 95 % t interval. A size without an interval (below 2) fails."""
     base = df.groupBy(*keys).agg(
         F.count(value).alias("n"),
         F.avg(value).alias("mean"),
@@ -153,21 +157,73 @@ def _bounded_lists(df: DataFrame, keys: list[str], value: str, most: int) -> Dat
     )
 
 
+@F.pandas_udf(DoubleType())
+def _meet_in_the_middle(values: pd.Series) -> pd.Series:
+    """The share of ``sign_flip_share`` from the sums of two halves, 2^(n/2) each instead of 2^n."""
+
+    def sums(half: np.ndarray) -> np.ndarray:
+        out = np.zeros(1)
+        for v in half:
+            out = np.concatenate([out + v, out - v])
+        return out
+
+    def share(v) -> float | None:
+        if v is None or not len(v):
+            return None
+        v = np.asarray(v, float)
+        floor = abs(np.add.accumulate(v)[-1]) / len(v)
+        floor = (floor - max(1e-15, floor * 1e-12)) * len(v)
+        one, two = sums(v[: len(v) // 2]), np.sort(sums(v[len(v) // 2 :]))
+        above = len(two) - np.searchsorted(two, floor - one, "left")
+        below = np.searchsorted(two, -floor - one, "right")
+        both = (above + below).sum() if floor > 0 else len(one) * len(two)
+        return float(both / (len(one) * len(two)))
+
+    return values.map(share)
+
+
+def exact_share(values: Column, max_n: int) -> Column:
+    """Exact p of a sorted array of at most ``max_n`` values; up to 20 it needs no Python."""
+    if max_n <= SIGN_FLIP_MAX_N:
+        return sign_flip_share(values)
+    return _meet_in_the_middle(values)
+
+
 def sign_flip_p(
-    df: DataFrame, keys: list[str], value: str = "delta", max_n: int = SIGN_FLIP_MAX_N
+    df: DataFrame, keys: list[str], value: str = "delta", max_n: int = SIGN_FLIP_MAX_N, large: str = "error"
 ) -> DataFrame:
-    """Exact sign-flip test per group. Groups above ``max_n`` units fail: 2^n sums are too many."""
+    """Exact sign-flip test per group.
+
+    The test goes through 2^n sign vectors for up to 20 units, and through two halves of 2^(n/2) for a
+    larger ``max_n``, of which 40 is practical. Groups above ``max_n`` fail, or give NULL with
+    ``large='null'``; no group is ever cut. A NULL key is a key."""
     lists = _bounded_lists(df, keys, value, max_n + 1)
-    p = F.when(F.size("_values") <= max_n, sign_flip_share(F.col("_values"))).otherwise(
-        F.raise_error(F.lit(f"exact sign-flip test needs at most {max_n} units")).cast("double")
-    )
-    return lists.select(*keys, p.alias("exact_sign_flip_p"))
+    few = F.when(F.size("_values") <= max_n, F.col("_values"))
+    if large == "error":
+        few = few.otherwise(
+            F.raise_error(F.lit(f"exact sign-flip test needs at most {max_n} units")).cast("array<double>")
+        )
+    return lists.select(*keys, few.alias("_few")).select(*keys, exact_share(F.col("_few"), max_n).alias("exact_sign_flip_p"))
+
+
+def sign_cross(
+    df: DataFrame, keys: list[str], value: str = "delta", max_n: int = SIGN_FLIP_MAX_N
+) -> DataFrame:
+    """Column ``s``: the sum of each group's values under every sign vector, the first sign fixed.
+    Groups above ``max_n`` units fail, as 2^(n - 1) rows are too many; none is ever cut."""
+    too_many = F.raise_error(F.lit(f"sign vectors need at most {max_n} units")).cast("array<double>")
+    few = F.when(F.size("_values") <= max_n, F.col("_values")).otherwise(too_many)
+    lists = _bounded_lists(df, keys, value, max_n + 1).select(*keys, few.alias("_few"))
+    return lists.select(*keys, F.explode(sign_sums(F.col("_few"))).alias("s"))
 
 
 def paired_summary(
     pairs: DataFrame, keys: list[str], value: str = "delta", max_n: int = SIGN_FLIP_MAX_N
 ) -> DataFrame:
-    """Everything reported about paired deltas: interval, wins/ties/losses, effect size, exact p."""
+    """Everything reported about paired deltas: interval, wins/ties/losses, effect size, exact p.
+
+    Groups above ``max_n`` units have no exact p (NULL) and everything else. The values of a group for
+    the test come on their own, at most ``max_n + 1`` a group and input task; a NULL key is a key."""
     d = F.col(value)
     base = pairs.groupBy(*keys).agg(
         F.count(value).alias("n"),
@@ -177,8 +233,8 @@ def paired_summary(
         F.count_if(d == 0).alias("ties"),
         F.count_if(d < 0).alias("losses"),
     )
-    half = t_critical(F.col("n")) * F.col("sd_delta") / F.sqrt(F.col("n"))
-    return base.join(sign_flip_p(pairs, keys, value, max_n), keys).select(
+    half = t_critical(F.col("n"), "null") * F.col("sd_delta") / F.sqrt(F.col("n"))
+    return join_same(base, sign_flip_p(pairs, keys, value, max_n, large="null"), keys, "left").select(
         *keys,
         "n",
         "mean_delta",
@@ -237,8 +293,8 @@ def interaction_deltas(
     The three arms come out of one join, not three scans.
     """
     keys = [*unit, "metric"]
-    joined = first.select(*keys, F.col("delta").alias("_first")).join(
-        second.select(*keys, F.col("delta").alias("_second")), keys
+    joined = join_same(
+        first.select(*keys, F.col("delta").alias("_first")), second.select(*keys, F.col("delta").alias("_second")), keys
     )
     arms = F.array(
         F.struct(F.lit(names[0]).alias("effect"), F.col("_first").alias("delta")),
@@ -269,7 +325,7 @@ def baseline_delta(
     """
     ref = df.filter(F.col(arm) == baseline)
     if keys:
-        out = df.join(ref.select(*keys, F.col(value).alias("baseline")), keys)
+        out = join_same(df, ref.select(*keys, F.col(value).alias("baseline")), keys)
     else:
         out = df.withColumn("baseline", ref.select(F.max(value)).scalar())
     points = F.col(value) - F.col("baseline")

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from framemetry.functions.arrays import let, upto
 EPS = 1e-6
@@ -43,28 +43,34 @@ def tile_frames(
     frames: DataFrame, tile: int, overlap: int, column: str = "pixels",
     keys: tuple[str, ...] = ("frame_id",), trim: bool = False,
 ) -> DataFrame:
-    """Square tiles with their offsets; what hangs over the edge is zero."""
-    h, w, top, left = F.col("h"), F.col("w"), F.col("top"), F.col("left")
-    wide = F.least(F.lit(tile), w - left)
+    """Square tiles with their offsets; what hangs over the edge is zero.
+
+    A frame is cast once and cut into an array of tiles inside its row, which then become rows: what
+    a row holds is the frame and its tiles, never a copy of the frame per tile."""
+    h, w = F.col("h"), F.col("w")
     blank = F.array_repeat(F.lit(0.0), F.lit(tile))
-    rest = F.array_repeat(F.lit(0.0), F.lit(tile) - wide)
-    px = let(
-        F.transform(F.col(column), lambda v: v.cast("double")),
-        lambda p: F.flatten(
+
+    def one(p: Column, top: Column, left: Column) -> Column:
+        wide = F.least(F.lit(tile), w - left)
+        rest = F.array_repeat(F.lit(0.0), F.lit(tile) - wide)
+        lines = F.transform(
+            upto(tile),
+            lambda i: F.when(
+                top + i < h, F.concat(F.slice(p, (top + i) * w + left + 1, wide), rest)
+            ).otherwise(blank),
+        )
+        return F.struct(top.alias("top"), left.alias("left"), F.flatten(lines).alias("pixels"))
+
+    def cut(p: Column) -> Column:
+        return F.flatten(
             F.transform(
-                upto(tile),
-                lambda i: F.when(
-                    top + i < h, F.concat(F.slice(p, (top + i) * w + left + 1, wide), rest)
-                ).otherwise(blank),
+                grid_offsets(h, tile, overlap, trim),
+                lambda t: F.transform(grid_offsets(w, tile, overlap, trim), lambda s: one(p, t, s)),
             )
-        ),
-    )
-    return (
-        frames.select(*keys, "h", "w", column)
-        .withColumn("top", F.explode(grid_offsets(h, tile, overlap, trim)))
-        .withColumn("left", F.explode(grid_offsets(w, tile, overlap, trim)))
-        .select(*keys, "h", "w", F.lit(tile).alias("tile"), "top", "left", px.alias("pixels"))
-    )
+        )
+
+    every = let(F.transform(F.col(column), lambda v: v.cast("double")), cut)
+    return frames.select(*keys, "h", "w", F.lit(tile).alias("tile"), F.inline(every))
 
 
 def overlap_add_pixels(
@@ -94,33 +100,70 @@ def overlap_add_pixels(
 def overlap_add(
     tiles: DataFrame, tile: int, keys: tuple[str, ...] = ("frame_id",), edge: str = "reference"
 ) -> DataFrame:
-    """The same as whole frames: tiles travel as arrays, one shuffle on the frame.
+    """The same as whole frames: the blocks of ``overlap_add_blocks`` put together. What is gathered for
+    a frame is the frame, not its overlapping tiles."""
+    blocks = overlap_add_blocks(tiles, tile, keys, edge)
+    gathered = blocks.groupBy(*keys, "h", "w").agg(F.collect_list(F.struct("y", "x", "bh", "bw", "pixels")).alias("_b"))
+
+    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            frames = []
+            for h, w, parts in zip(batch["h"], batch["w"], batch["_b"]):
+                whole = np.zeros((h, w))
+                for b in parts:
+                    y, x, bh, bw = b["y"], b["x"], b["bh"], b["bw"]
+                    whole[y : y + bh, x : x + bw] = np.asarray(b["pixels"]).reshape(bh, bw)
+                frames.append(whole.ravel())
+            yield batch[[*keys, "h", "w"]].assign(pixels=frames)
+
+    return gathered.mapInPandas(join, _frame_schema(gathered, keys))
 
-    A frame's tiles are one row again before they are added up, so the group is as large as the
-    frame and no larger. This form is several times faster than pixel rows on large frames.
+
+def overlap_add_blocks(
+    tiles: DataFrame, tile: int, keys: tuple[str, ...] = ("frame_id",), edge: str = "reference",
+    block: int | None = None,
+) -> DataFrame:
+    """Weighted mean of overlapping tiles as blocks (keys, h, w, y, x, bh, bw, pixels) of the frame.
+
+    A tile goes to the blocks it touches, at most four as a block is at least a tile wide, and a block
+    gathers the tiles that touch it: the group is bounded by block and overlap, however large the frame.
     """
-    stacked = tiles.groupBy(*keys, "h", "w").agg(
-        F.array_sort(F.collect_list(F.struct("top", "left", "pixels"))).alias("_t")
-    ).select(
-        *keys, "h", "w",
-        F.transform("_t", lambda t: t["top"]).alias("_top"),
-        F.transform("_t", lambda t: t["left"]).alias("_left"),
-        F.flatten(F.transform("_t", lambda t: t["pixels"])).alias("_px"),
-    )
+    block = max(block or 4 * tile, tile)
     window = _np_window(tile)
     extra = EPS if edge == "reference" else 0.0
 
+    def touched(at: str, n: str) -> Column:
+        last = F.least(F.col(at) + (tile - 1), F.col(n) - 1)
+        return F.sequence(F.floor(F.col(at) / block).cast("int"), F.floor(last / block).cast("int"))
+
+    spread = tiles.select(
+        *keys, "h", "w", F.struct("top", "left", "pixels").alias("_t"), F.explode(touched("top", "h")).alias("_by"),
+        F.col("left"),
+    )
+    spread = spread.select(*keys, "h", "w", "_t", "_by", F.explode(touched("left", "w")).alias("_bx"))
+    stacked = spread.groupBy(*keys, "h", "w", "_by", "_bx").agg(F.array_sort(F.collect_list("_t")).alias("_t"))
+
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            frames = []
-            for h, w, tops, lefts, px in zip(*[batch[c] for c in ("h", "w", "_top", "_left", "_px")]):
-                total = np.zeros((2, h + tile, w + tile))
-                for top, left, one in zip(tops, lefts, np.asarray(px).reshape(-1, tile, tile)):
+            rows = []
+            for h, w, by, bx, parts in zip(*[batch[c] for c in ("h", "w", "_by", "_bx", "_t")]):
+                y, x = by * block, bx * block
+                bh, bw = min(block, h - y), min(block, w - x)
+                # a margin of one tile on every side, so that no tile needs cutting
+                total = np.zeros((2, bh + 2 * tile, bw + 2 * tile))
+                for t in parts:
+                    one = np.asarray(t["pixels"]).reshape(tile, tile)
+                    top, left = t["top"] - y + tile, t["left"] - x + tile
                     total[:, top : top + tile, left : left + tile] += (one * window, window)
-                frames.append((total[0, :h, :w] / (total[1, :h, :w] + extra)).ravel())
-            yield batch[[*keys, "h", "w"]].assign(pixels=frames)
-
-    return stacked.mapInPandas(add, _frame_schema(stacked, keys))
+                inner = total[:, tile : tile + bh, tile : tile + bw]
+                rows.append((y, x, bh, bw, (inner[0] / (inner[1] + extra)).ravel()))
+            made = pd.DataFrame(rows, columns=["y", "x", "bh", "bw", "pixels"], index=batch.index)
+            yield pd.concat([batch[[*keys, "h", "w"]], made], axis=1)
+
+    kept = stacked.select(*keys, "h", "w").schema.fields
+    ints = [StructField(n, IntegerType()) for n in ("y", "x", "bh", "bw")]
+    schema = StructType([*kept, *ints, StructField("pixels", ArrayType(DoubleType()))])
+    return stacked.mapInPandas(add, schema)
 
 
 def _np_window(tile: int) -> np.ndarray:

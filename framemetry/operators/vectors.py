@@ -115,16 +115,17 @@ def calibration_means(df: DataFrame, gate: str = "gate") -> Column:
 
 def gate_mean_intervention(
     df: DataFrame, column: str, gate: str = "gate", gain: float = 0.5, centered: bool = True,
-    replace: str = "mean",
+    replace: str | tuple[str, ...] = "mean",
 ) -> DataFrame:
-    """Adds ``original`` and ``intervened``: the same vectors with every row's own gate replaced by
-    the mean over all rows (``mean``) or by one (``ones``)."""
-    own = df.withColumn("original", apply_gate(F.col(column), F.col(gate), gain, centered))
-    if replace == "ones":
-        other = F.transform(F.col(gate), lambda g: F.lit(1.0))
-        return own.withColumn("intervened", apply_gate(F.col(column), other, gain, centered))
-    return (
-        own.withColumn("_mean_gate", calibration_means(df, gate))
-        .withColumn("intervened", apply_gate(F.col(column), F.col("_mean_gate"), gain, centered))
-        .drop("_mean_gate")
-    )
+    """Adds ``original`` and the same vectors with every row's own gate replaced by the mean over all
+    rows (``mean``) or by one (``ones``): ``intervened``, or for several replacements in one pass
+    ``intervened_<name>`` each."""
+    several = not isinstance(replace, str)
+    out = df.withColumn("original", apply_gate(F.col(column), F.col(gate), gain, centered))
+    for how in replace if several else (replace,):
+        other = F.transform(F.col(gate), lambda g: F.lit(1.0)) if how == "ones" else F.col("_mean_gate")
+        if how == "mean":
+            out = out.withColumn("_mean_gate", calibration_means(df, gate))
+        name = f"intervened_{how}" if several else "intervened"
+        out = out.withColumn(name, apply_gate(F.col(column), other, gain, centered))
+    return out.drop("_mean_gate")

@@ -3,6 +3,7 @@
 from framemetry.plans import (  # noqa: F401  (import registers the queries)
     classification,
     frames,
+    nulls,
     runs,
     splits,
     statistics,

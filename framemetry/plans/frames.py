@@ -8,7 +8,7 @@ from framemetry.functions import arrays
 from framemetry.functions.scalars import (
     clamp01, last_two_parts, normalise_samples, pixels_finite, psnr,
 )
-from framemetry.operators import frames as fr, quality, stencil
+from framemetry.operators import frames as fr, quality, stacks, stencil
 from framemetry.plans.bindings import (
     PIXELS_SQL, frames, md5_uniform_sql, pairs, r6, rounded, table,
 )
@@ -268,8 +268,7 @@ es AS (SELECT p.frame_id, p.y, p.x,
 @query("sobel", f"""WITH {PIXELS_SQL}, {SOBEL_SQL}
 SELECT frame_id, (y * 8 + x)::INT AS pos, round(eb, 6) AS edge FROM es""")
 def _sobel(spark, sf):
-    f = frames(spark, sf).withColumn("pixels", arrays.sobel(F.col("pixels"), *_hw()))
-    return _pixel_rows(f, name="edge")
+    return _pixel_rows(stacks.sobel(frames(spark, sf)), name="edge")
 
 
 @query("sobel_pixels", f"""WITH {PIXELS_SQL}, {SOBEL_SQL}
@@ -309,6 +308,16 @@ ss AS (SELECT frame_id, avg(((2 * ma * mb + 1e-4) * (2 * (ab - ma * mb) + 9e-4))
 @query("gaussian_filter", f"""WITH {PIXELS_SQL}, {GAUSS_SQL}
 SELECT frame_id, y::INT AS y, x::INT AS x, round(ma, 6) AS a, round(mb, 6) AS b FROM mom""")
 def _gaussian_filter(spark, sf):
+    both = pairs(spark, sf)
+    for side in ("noisy", "clean"):
+        both = stacks.gaussian_filter(both, side)
+    out = fr.pixel_view(both, ["frame_id"], a="noisy", b="clean")
+    return out.select("frame_id", "y", "x", r6("a"), r6("b"))
+
+
+@query("gaussian_pixels", f"""WITH {PIXELS_SQL}, {GAUSS_SQL}
+SELECT frame_id, y::INT AS y, x::INT AS x, round(ma, 6) AS a, round(mb, 6) AS b FROM mom""")
+def _gaussian_pixels(spark, sf):
     out = stencil.gaussian_pixels(_pair_pixels(spark, sf), ["frame_id"], ["a", "b"])
     return out.select("frame_id", "y", "x", r6("a"), r6("b"))
 
@@ -320,38 +329,31 @@ er AS (SELECT frame_id, avg((a - b) * (a - b)) AS mse, avg(abs(a - b)) AS mae,
          avg(sqrt((a - b) * (a - b) + 1e-12)) AS ch FROM pr GROUP BY frame_id)"""
 
 
-@query("pixel_errors", f"""WITH {PIXELS_SQL}, {ERR_SQL}
-SELECT frame_id, round(mse, 6) AS mse, round(mae, 6) AS mae, round(0.7 * ch + 0.3 * mse, 6) AS charbonnier
-FROM er""")
-def _pixel_errors(spark, sf):
-    a, b = F.col("noisy"), F.col("clean")
-    return pairs(spark, sf).select(
-        "frame_id", r6(quality.mse(a, b), "mse"), r6(quality.mae(a, b), "mae"),
-        r6(quality.charbonnier_loss(a, b), "charbonnier"),
-    )
+def _scores(spark, sf, *names: str):
+    out = quality.pair_scores(pairs(spark, sf), ["frame_id"], scores=list(names))
+    return rounded(out, list(names), keep=["frame_id"])
 
 
 @query("mse", f"WITH {PIXELS_SQL}, {ERR_SQL} SELECT frame_id, round(mse, 6) AS mse FROM er")
 def _mse(spark, sf):
-    return _pixel_errors(spark, sf).select("frame_id", "mse")
+    return _scores(spark, sf, "mse")
 
 
 @query("mae", f"WITH {PIXELS_SQL}, {ERR_SQL} SELECT frame_id, round(mae, 6) AS mae FROM er")
 def _mae(spark, sf):
-    return _pixel_errors(spark, sf).select("frame_id", "mae")
+    return _scores(spark, sf, "mae")
 
 
 @query("charbonnier_loss", f"""WITH {PIXELS_SQL}, {ERR_SQL}
 SELECT frame_id, round(0.7 * ch + 0.3 * mse, 6) AS charbonnier FROM er""")
 def _charbonnier_loss(spark, sf):
-    return _pixel_errors(spark, sf).select("frame_id", "charbonnier")
+    return _scores(spark, sf, "charbonnier")
 
 
 @query("edge_l1", f"""WITH {PIXELS_SQL}, {SOBEL_SQL}
 SELECT frame_id, round(avg(abs(ea - eb)), 6) AS edge_l1 FROM es GROUP BY frame_id""")
 def _edge_l1(spark, sf):
-    e = quality.with_edges(pairs(spark, sf), form="jvm")
-    return e.select("frame_id", r6(quality.mae(F.col("_ea"), F.col("_eb")), "edge_l1"))
+    return _scores(spark, sf, "edge_l1")
 
 
 @query("psnr", f"""WITH {PIXELS_SQL}, {ERR_SQL}
@@ -368,8 +370,7 @@ SELECT frame_id, round(((2 * avg(a) * avg(b) + 1e-4) * (2 * covar_pop(a, b) + 9e
   / ((avg(a) * avg(a) + avg(b) * avg(b) + 1e-4) * (var_samp(a) + var_samp(b) + 9e-4)), 6) AS ssim_global
 FROM pr GROUP BY frame_id""")
 def _ssim_global(spark, sf):
-    out = quality.ssim_global(_pair_pixels(spark, sf), ["frame_id"])
-    return rounded(out, ["ssim_global"], keep=["frame_id"])
+    return _scores(spark, sf, "ssim_global")
 
 
 SSIM_SQL = f"WITH {PIXELS_SQL}, {GAUSS_SQL} SELECT frame_id, round(ssim, 6) AS ssim FROM ss"
@@ -377,8 +378,7 @@ SSIM_SQL = f"WITH {PIXELS_SQL}, {GAUSS_SQL} SELECT frame_id, round(ssim, 6) AS s
 
 @query("ssim_windowed", SSIM_SQL)
 def _ssim_windowed(spark, sf):
-    score = quality.ssim_windowed(F.col("noisy"), F.col("clean"), *_hw())
-    return pairs(spark, sf).select("frame_id", r6(score, "ssim"))
+    return _scores(spark, sf, "ssim")
 
 
 @query("ssim_pixels", SSIM_SQL)
@@ -391,8 +391,7 @@ def _ssim_pixels(spark, sf):
 SELECT frame_id, (y * 8 + x)::INT AS pos, round((eb - min(eb) OVER w) / (max(eb) OVER w - min(eb) OVER w + 1e-6), 6) AS v
 FROM es WINDOW w AS (PARTITION BY frame_id)""")
 def _minmax_norm(spark, sf):
-    f = quality.with_edges(pairs(spark, sf), form="jvm")
-    return _pixel_rows(f.withColumn("pixels", quality.minmax_norm(F.col("_eb"))))
+    return _pixel_rows(stacks.minmax_norm(stacks.sobel(frames(spark, sf))))
 
 
 F1_SQL = f"""{SOBEL_SQL},
@@ -410,8 +409,7 @@ f1 AS (SELECT frame_id, 2 * p * r / (p + r + 1e-9) AS edge_f1 FROM pq)"""
 @query("edge_f1", f"""WITH {PIXELS_SQL}, {F1_SQL}
 SELECT frame_id, round(edge_f1, 6) AS edge_f1 FROM f1""")
 def _edge_f1(spark, sf):
-    e = quality.with_edges(pairs(spark, sf), form="jvm")
-    return e.select("frame_id", r6(quality.edge_f1(F.col("_ea"), F.col("_eb")), "edge_f1"))
+    return _scores(spark, sf, "edge_f1")
 
 
 @query("edge_f1_fixed", f"""WITH {PIXELS_SQL}, {SOBEL_SQL},
@@ -421,8 +419,7 @@ cf AS (SELECT frame_id, count(*) FILTER (ea > 0.1 AND eb > 0.1) AS tp,
 pq AS (SELECT frame_id, tp / (tp + fp + 1e-8) AS p, tp / (tp + fn + 1e-8) AS r FROM cf)
 SELECT frame_id, round(2 * p * r / (p + r + 1e-8), 6) AS edge_f1 FROM pq""")
 def _edge_f1_fixed(spark, sf):
-    e = quality.with_edges(pairs(spark, sf), form="jvm")
-    return e.select("frame_id", r6(quality.edge_f1_fixed(F.col("_ea"), F.col("_eb")), "edge_f1"))
+    return _scores(spark, sf, "edge_f1_fixed").withColumnRenamed("edge_f1_fixed", "edge_f1")
 
 
 SCORES_SQL = f"""{PIXELS_SQL}, {ERR_SQL}, {GAUSS_SQL}, {F1_SQL},
@@ -448,14 +445,7 @@ def _pair_scores_arrow(spark, sf):
 @query("edge_aware_loss", f"""WITH {SCORES_SQL}
 SELECT frame_id, round(edge_l1, 6) AS edge_l1, round(loss, 6) AS loss FROM sc""")
 def _edge_aware_loss(spark, sf):
-    p = quality.with_edges(pairs(spark, sf), form="jvm")
-    a, b = F.col("noisy"), F.col("clean")
-    s = p.select(
-        "frame_id", quality.mae(a, b).alias("mae"), quality.ssim_windowed(a, b, *_hw()).alias("ssim"),
-        quality.mae(F.col("_ea"), F.col("_eb")).alias("edge_l1"),
-    )
-    loss = quality.edge_aware_loss(F.col("mae"), F.col("ssim"), F.col("edge_l1"))
-    return s.select("frame_id", r6("edge_l1"), r6(loss, "loss"))
+    return _scores(spark, sf, "edge_l1", "loss")
 
 
 @query("dataset_quality", f"""WITH {SCORES_SQL}

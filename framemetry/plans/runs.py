@@ -96,15 +96,13 @@ SELECT run, epoch, coalesce(val_loss < coalesce(lo, 'inf'::DOUBLE), false) AS is
        round(greatest(hi, val_ssim), 6) AS best_ssim
 FROM prev""")
 def _best_so_far(spark, sf):
-    log = _log_with_gaps(spark, sf)
-    loss = runs.best_so_far(log, ["run"], "val_loss", "min", width=8)
-    both = runs.best_so_far(
-        loss.withColumnsRenamed({"best": "best_loss", "is_best": "is_best_loss"}).drop("best_epoch"),
-        ["run"], "val_ssim", "max", start_value=-1.0, width=8,
+    both = runs.best_of_each(
+        _log_with_gaps(spark, sf), ["run"],
+        {"loss_": ("val_loss", "min", None), "ssim_": ("val_ssim", "max", -1.0)}, width=8,
     )
     return both.select(
-        "run", "epoch", "is_best_loss", F.col("is_best").alias("is_best_ssim"),
-        r6("best_loss"), r6("best", "best_ssim"),
+        "run", "epoch", F.col("loss_is_best").alias("is_best_loss"), F.col("ssim_is_best").alias("is_best_ssim"),
+        r6("loss_best", "best_loss"), r6("ssim_best", "best_ssim"),
     )
 
 
@@ -247,9 +245,7 @@ SELECT span::BIGINT AS span, any_value(o_orderstatus) AS o_orderstatus, min(pos)
        max(pos)::BIGINT AS "end" FROM s GROUP BY span""")
 def _group_spans(spark, sf):
     o = table(spark, sf, "orders")
-    # a day split by ranges of the order key: bounded however many orders one day holds
-    bucket = F.struct(F.col("o_orderdate"), F.floor(F.col("o_orderkey") / 65536).alias("part"))
-    out = runs.group_spans(o, ["o_orderdate", "o_orderkey"], "o_orderstatus", bucket)
+    out = runs.group_spans(o, ["o_orderdate", "o_orderkey"], "o_orderstatus")
     return rounded(out, [], ["span", "start", "end"], ["o_orderstatus"])
 
 

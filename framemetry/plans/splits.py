@@ -99,7 +99,7 @@ def _fold_sizes(spark, sf):
 sizes AS (SELECT quality, count(*) AS n, row_number() OVER (ORDER BY {_hash('quality')}, quality) - 1 AS c,
                  count(*) OVER () AS k FROM labels GROUP BY quality),
 u AS (SELECT (({_hash("doc_id || '|draw'")}) + 0.5::DOUBLE) / 4294967296 AS u,
-             (('0x' || substr(md5('{SEED}|' || doc_id || '|draw'), 9, 8))::BIGINT + 0.5::DOUBLE) / 4294967296 AS v
+             (('0x' || substr(md5('{SEED}|' || doc_id || '|place'), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496 AS v
       FROM labels),
 picks AS (SELECT quality, floor(v * n)::BIGINT AS idx, count(*) AS draws
           FROM u JOIN sizes ON floor(u * k)::BIGINT = c GROUP BY 1, 2)

@@ -137,12 +137,7 @@ sums AS (SELECT comparison, metric, mask,
 SELECT comparison, metric, count(*)::BIGINT AS vectors, round(sum(s), 6) AS sum_abs,
        round(max(s), 6) AS max_abs FROM sums GROUP BY 1, 2""")
 def _sign_cross(spark, sf):
-    lists = stats._bounded_lists(
-        _pairs(spark, sf), ["comparison", "metric"], "delta", stats.SIGN_FLIP_MAX_N
-    )
-    sums = lists.select(
-        "comparison", "metric", F.explode(stats.sign_sums(F.col("_values"))).alias("s")
-    )
+    sums = stats.sign_cross(_pairs(spark, sf), ["comparison", "metric"])
     out = sums.groupBy("comparison", "metric").agg(
         F.count("s").alias("vectors"), F.sum(F.abs("s")).alias("sum_abs"),
         F.max(F.abs("s")).alias("max_abs"),
@@ -236,11 +231,6 @@ def _paired_t_test(spark, sf):
     )
 
 
-@query("paired_t_test_six_units", T_TEST_SQL)
-def _paired_t_test_six_units(spark, sf):
-    return _paired_t_test(spark, sf)
-
-
 @query("baseline_delta", f"""WITH {OUTCOMES_SQL},
 g AS (SELECT arm, avg(score) AS score FROM outcomes GROUP BY arm),
 b AS (SELECT score AS baseline FROM g WHERE arm = 'error')

@@ -9,7 +9,7 @@ from framemetry.plans.bindings import (
 )
 from framemetry.plans.registry import ORACLES, query
 from framemetry.plans.runs import BUDGET_SQL
-from framemetry.session import shared_dir
+from framemetry.session import shared_dir, written
 from framemetry.streaming import runs as sr
 
 
@@ -23,17 +23,16 @@ def _stream_session(spark: SparkSession) -> SparkSession:
 
 def _replay(df: DataFrame, run: str, order: str, edges: list, path: str) -> None:
     """Write a log in pieces along its order, a run's rows of a piece in one file, as one ordered
-    writer per run would."""
+    writer per run would. The log itself is worked out once."""
+    rows = written(df, "stream-rows")
     low = None
     for high in [*edges, None]:
-        piece = df
+        piece = rows
         if low is not None:
             piece = piece.filter(F.col(order) > low)
         if high is not None:
             piece = piece.filter(F.col(order) <= high)
-        piece.repartition(df.sparkSession.sparkContext.defaultParallelism, run).write.mode(
-            "append"
-        ).parquet(path)
+        piece.repartition(run).write.mode("append").parquet(path)
         low = high
 
 
@@ -87,7 +86,7 @@ SELECT run, batch, bad_so_far::BIGINT AS bad_so_far, is_bad, is_stop FROM kept""
 def _stream_nonfinite_budget(spark, sf):
     source = shared_dir(spark, "stream-batches")
     rows = batches(spark, sf).select("run", "batch", "loss")
-    middle = table(spark, sf, "events").agg((F.max("event_id") / 2).cast("bigint")).first()[0]
+    middle = table(spark, sf, "events").agg((F.max("event_id") / 2).cast("bigint")).scalar()
     _replay(rows, "run", "batch", [middle], source)
     stream = sr.read_stream(
         _stream_session(spark), source, "run BIGINT, batch BIGINT, loss DOUBLE", max_files=spark.sparkContext.defaultParallelism
@@ -111,6 +110,23 @@ def _stream_best_checkpoint(spark, sf):
         stream, ["run"], by, path, shared_dir(spark, "stream-best-checkpoint")
     )
     q.awaitTermination()
-    version = q.lastProgress["batchId"]
-    out = sr.read_best(spark, path, version, ["run"], by)
+    out = sr.read_best(spark, path, ["run"], by)
     return rounded(out, [f"{m}_best" for m in by], [f"{m}_epoch" for m in by], ["run"])
+
+
+@query("stream_resume", ORACLES["early_stop"])
+def _stream_resume(spark, sf):
+    """The early stop over a log that grows after the first stream has ended: the second continues from
+    the checkpoint of the first."""
+    source, path, checkpoint = (shared_dir(spark, f"stream-resume-{p}") for p in ("log", "sink", "checkpoint"))
+    log = written(epoch_log(spark, sf).select("run", "epoch", "val_loss"), "stream-rows")
+    for piece in (F.col("epoch") <= 13, F.col("epoch") > 13):
+        log.filter(piece).repartition("run").write.mode("append").parquet(source)
+        stream = sr.read_stream(_stream_session(spark), source, "run BIGINT, epoch BIGINT, val_loss DOUBLE")
+        sr.run_to_table(sr.stream_early_stop(stream, "run"), path, checkpoint)
+    last = F.max_by(F.struct("best", "best_epoch"), F.col("epoch"))
+    done = spark.read.parquet(path).groupBy("run").agg(
+        F.min(F.when(F.col("is_stop"), F.col("epoch"))).alias("stop_epoch"), last.alias("_at")
+    )
+    return done.select("run", big("stop_epoch"), F.col("_at.best_epoch").alias("best_epoch"),
+                       r6("_at.best", "best"))

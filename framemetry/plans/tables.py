@@ -117,6 +117,14 @@ FROM (SELECT vec_id, CASE WHEN vec_id % 2 = 1 THEN 65535.0::DOUBLE ELSE 255.0::D
 WHERE vec_id % 10 <> 0""")
 def _ingest_frames(spark, sf):
     """Frames encoded as picture files (every tenth one broken) and decoded again."""
+    good = images.decoded_frames(images.ingest_frames(_picture_files(spark, sf)))
+    return good.select("rel_path", "bit_depth", F.posexplode("pixels").alias("pos", "_v")).select(
+        "rel_path", "bit_depth", "pos",
+        F.round(F.col("_v").cast("double") * (F.pow(F.lit(2.0), "bit_depth") - 1)).cast("bigint").alias("sample"),
+    )
+
+
+def _picture_files(spark, sf):
     f = frames(spark, sf).select("frame_id", "h", "w", "pixels")
 
     def encode(batches):
@@ -131,12 +139,28 @@ def _ingest_frames(spark, sf):
                 {"rel_path": b["frame_id"].astype(str) + ".png", "content": content}
             )
 
-    files = f.mapInPandas(encode, "rel_path STRING, content BINARY")
-    good = images.decoded_frames(images.ingest_frames(files))
-    return good.select("rel_path", "bit_depth", F.posexplode("pixels").alias("pos", "_v")).select(
-        "rel_path", "bit_depth", "pos",
-        F.round(F.col("_v").cast("double") * (F.pow(F.lit(2.0), "bit_depth") - 1)).cast("bigint").alias("sample"),
+    return f.mapInPandas(encode, "rel_path STRING, content BINARY")
+
+
+@query("scan_frames", """SELECT label || '/' || vec_id || '.png' AS rel_path, 8::INT AS h, 8::INT AS w, 16::INT AS bit_depth,
+  pos::INT AS pos, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, (CAST(e AS DOUBLE) + 0.6::DOUBLE) / 1.2::DOUBLE)) * 65535)::BIGINT AS sample
+FROM (SELECT vec_id, label, unnest(embedding) AS e, unnest(range(len(embedding))) AS pos FROM embeddings)""")
+def _scan_frames(spark, sf):
+    """Frames written as a folder of picture files, scanned, and decoded."""
+    f = frames(spark, sf).withColumn(
+        "rel_path", F.concat(F.col("label").cast("string"), F.lit("/"), F.col("frame_id").cast("string"), F.lit(".png"))
     )
+    root = shared_dir(spark, "frame-files")
+    images.write_frame_files(f, root, depth=16)
+    good = images.decoded_frames(images.ingest_frames(images.scan_frames(spark, root)))
+    return good.select("rel_path", "h", "w", "bit_depth", F.posexplode("pixels").alias("pos", "_v")).select(
+        "rel_path", "h", "w", "bit_depth", "pos", F.round(F.col("_v").cast("double") * 65535).cast("bigint").alias("sample")
+    )
+
+
+@query("rejected_files", """SELECT vec_id || '.png' AS rel_path FROM embeddings WHERE vec_id % 10 = 0""")
+def _rejected_files(spark, sf):
+    return images.rejected_files(images.ingest_frames(_picture_files(spark, sf))).select("rel_path")
 
 
 # --- written tables ------------------------------------------------------------------------------------------
@@ -295,9 +319,14 @@ def _downstream_plot_data(spark, sf):
     )
 
 
-@query("downstream_spans", """SELECT regime_group, s::BIGINT AS "start", e::BIGINT AS "end" FROM (VALUES
-  ('baseline', 0, 0), ('other', 1, 2), ('baseline', 3, 3), ('other', 4, 4)) AS t(regime_group, s, e)
-WHERE (SELECT count(DISTINCT o_orderpriority) FROM orders) = 5""")
+@query("downstream_spans", """WITH g AS (
+  SELECT DISTINCT substr(o_orderpriority, 1, 1)::INT AS group_order FROM orders),
+r AS (SELECT row_number() OVER (ORDER BY group_order) - 1 AS pos,
+             CASE WHEN group_order IN (1, 4) THEN 'baseline' ELSE 'other' END AS regime_group FROM g),
+p AS (SELECT *, lag(regime_group) OVER (ORDER BY pos) AS prev FROM r),
+s AS (SELECT *, sum(CASE WHEN prev IS DISTINCT FROM regime_group THEN 1 ELSE 0 END) OVER (ORDER BY pos) AS span FROM p)
+SELECT any_value(regime_group) AS regime_group, min(pos)::BIGINT AS "start", max(pos)::BIGINT AS "end"
+FROM s GROUP BY span""")
 def _downstream_spans(spark, sf):
     out = plotdata.downstream_spans(_pipelines(spark, sf))
     return rounded(out, [], ["start", "end"], ["regime_group"])
@@ -329,8 +358,7 @@ def _latency_plot_data(spark, sf):
   row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)::BIGINT AS plot_order FROM orders""")
 def _plot_order(spark, sf):
     orders = table(spark, sf, "orders").select("o_custkey", "o_orderdate", "o_orderkey")
-    bucket = F.struct("o_orderdate", F.floor(F.col("o_orderkey") / 65536).alias("part"))
-    out = plotdata.place_in_order(orders, ["o_custkey"], ["o_orderdate", "o_orderkey"], bucket)
+    out = plotdata.place_in_order(orders, ["o_custkey"], ["o_orderdate", "o_orderkey"])
     return out.select("o_orderkey", big("plot_order"))
 
 
@@ -363,7 +391,7 @@ SELECT comparison, metric, round(avg(CASE WHEN stat >= obs * (1 - 1e-12) - 1e-15
 FROM flips GROUP BY 1, 2""")
 def _sql_sign_flip_p(spark, sf):
     register_functions(spark)
-    lists = stats._bounded_lists(_pairs(spark, sf), ["comparison", "metric"], "delta", 21)
+    lists = stats._bounded_lists(_pairs(spark, sf), ["comparison", "metric"], "delta", stats.SIGN_FLIP_MAX_N + 1)
     return spark.sql(
         "SELECT comparison, metric, round(sign_flip_p(_values), 6) AS p FROM {lists}", lists=lists
     )
@@ -374,7 +402,6 @@ FROM embeddings, (SELECT unnest([0, 3, 6]) AS t) a, (SELECT unnest([0, 3, 6]) AS
 def _tile_grid(spark, sf):
     register_functions(spark)
     return spark.sql(
-        "SELECT frame_id, top, left FROM (SELECT frame_id, tile_grid(h, w, 4, 1) AS grid FROM {f}) "
-        "LATERAL VIEW inline(grid) AS top, left",
+        "SELECT frame_id, top, left FROM {f}, LATERAL tile_grid(h, w, 4, 1)",
         f=frames(spark, sf).select("frame_id", "h", "w"),
     )

@@ -318,13 +318,11 @@ SELECT label, round(sqrt(sum((a - b) * (a - b)) / sum(a * a)), 6) AS mean_l2, ro
 FROM o GROUP BY label""")
 def _gate_mean_intervention(spark, sf):
     rows = vectors.channel_gate(_vectors(spark, sf), "v", [KERNEL])
-    parts = []
-    for how in ("mean", "ones"):
-        done = vectors.gate_mean_intervention(rows, "v", replace=how)
-        change = quality.output_change(done, ["label"], "original", "intervened")
-        parts.append(
-            change.select(
-                "label", r6("relative_l2", f"{how}_l2"), r6("correlation", f"{how}_corr")
-            )
-        )
-    return parts[0].join(parts[1], "label")
+    done = vectors.gate_mean_intervention(rows, "v", replace=("mean", "ones"))
+    change = quality.output_change(
+        done, ["label"], "original", {"mean_": "intervened_mean", "ones_": "intervened_ones"}
+    )
+    return change.select(
+        "label",
+        *[r6(f"{how}_{c}", f"{how}_{n}") for how in ("mean", "ones") for c, n in (("relative_l2", "l2"), ("correlation", "corr"))],
+    )

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Batch sizes for Arrow are left to the byte limit (spark.sql.execution.arrow.maxBytesPerBatch):
 # one row may hold a whole frame, so a limit in rows alone would not bound memory.
@@ -70,3 +70,10 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
             _local_root.append(tempfile.mkdtemp(prefix="framemetry-"))
         root = _local_root[0]
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """Written to the shared folder and read back: computed once, and safe from lost executors."""
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,8 +1,8 @@
 """Picture folders to frames.
 
-Files are listed and read by Spark's ``binaryFile`` source; only decoding one file is Python. Gray
-and RGB(A) PNG files without interlacing are decoded, everything else lands in the rejects with a
-reason instead of failing the job.
+Folders are read by Spark's ``image`` source, and 16-bit gray files, which it would cut to 8 bits, by
+``binaryFile`` with a small decoder. Unreadable files land in the rejects with a reason instead of
+failing the job.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from framemetry.functions.scalars import first_folder, relative_path
@@ -35,7 +37,33 @@ def scan_frames(spark: SparkSession, root: str, recursive: bool = True) -> DataF
         .load(root)
     )
     assert_nonempty(files.select("path"), f"PNG files under {root}")
-    return files.select("path", relative_path("path", root).alias("rel_path"), "content")
+    return files.select("path", relative_path("path", resolved(spark, root)).alias("rel_path"), "content")
+
+
+def resolved(spark: SparkSession, root: str) -> str:
+    """``root`` as the file system names it: relative folders become absolute."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
+def write_frame_files(frames: DataFrame, root: str, depth: int = 8) -> int:
+    """Frames (rel_path, h, w, pixels in [0, 1]) as PNG files below ``root``; returns how many.
+
+    Names are given, so a repeated task writes the same files again."""
+
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, base = fs.FileSystem.from_uri(root if ":/" in root else f"file://{root}")
+        top = 2**depth - 1
+        for batch in batches:
+            for row in batch.to_pylist():
+                name = f"{base}/{row['rel_path']}"
+                files.create_dir(name.rpartition("/")[0], recursive=True)
+                samples = np.rint(np.array(row["pixels"]) * top).reshape(row["h"], row["w"])
+                with files.open_output_stream(name) as out:
+                    out.write(encode_gray_png(samples, depth))
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    return frames.select("rel_path", "h", "w", "pixels").mapInArrow(store, "n bigint").agg(F.sum("n")).first()[0] or 0
 
 
 def _unfilter(raw: np.ndarray, rows: int, stride: int, bpp: int) -> np.ndarray:
@@ -118,11 +146,22 @@ def encode_gray_png(samples: np.ndarray, depth: int = 8) -> bytes:
     return SIGNATURE + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
 
 
+DECODED = "rel_path STRING, h INT, w INT, bit_depth INT, pixels ARRAY<FLOAT>, reason STRING"
+
+
+def _framed(decoded: DataFrame) -> DataFrame:
+    return decoded.select(
+        F.xxhash64("rel_path").alias("frame_id"), "rel_path",
+        first_folder("rel_path").alias("grp"), "h", "w", "bit_depth", "pixels", "reason",
+    )
+
+
 def ingest_frames(files: DataFrame) -> DataFrame:
     """(rel_path, content) to frames plus ``reason``, NULL for decoded files.
 
     Pixels are clipped to [0, 1]: 16-bit samples over 65535, all others over 255. ``frame_id`` is a
-    hash of the path for sorting and seeding; ``rel_path`` is the key.
+    hash of the path for sorting and seeding; ``rel_path`` is the key. For folders of any kind of PNG
+    use ``ingest_folder``.
     """
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -143,14 +182,48 @@ def ingest_frames(files: DataFrame) -> DataFrame:
                 out[c] = out[c].astype("Int32")
             yield out
 
-    decoded = files.select("rel_path", "content").mapInPandas(
-        decode,
-        "rel_path STRING, h INT, w INT, bit_depth INT, pixels ARRAY<FLOAT>, reason STRING",
-    )
-    return decoded.select(
-        F.xxhash64("rel_path").alias("frame_id"), "rel_path",
-        first_folder("rel_path").alias("grp"), "h", "w", "bit_depth", "pixels", "reason",
+    return _framed(files.select("rel_path", "content").mapInPandas(decode, DECODED))
+
+
+def ingest_folder(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
+    """All PNG files below ``root`` as frames, in the columns of ``ingest_frames``.
+
+    Spark's ``image`` source decodes every kind (palette, interlaced, 1 to 8 bits, colour) to 8-bit
+    samples, which are reduced to luminance. It would cut 16-bit gray to 8 bits, so these files, known by
+    their headers, are decoded here from the ``binaryFile`` scan instead. Unreadable files are rejects.
+    """
+    files = scan_frames(spark, root, recursive)
+    # bytes 25 and 26 of a PNG: bit depth, and colour type 0 for gray
+    deep = (F.ascii(F.substring("content", 25, 1).cast("string")) == 16) & (F.hex(F.substring("content", 26, 1)) == "00")
+    gray16 = ingest_frames(files.where(deep))
+    pictures = (
+        spark.read.format("image")
+        .option("pathGlobFilter", "*.png")
+        .option("recursiveFileLookup", str(recursive).lower())
+        .option("dropInvalid", "false")
+        .load(root)
+        .select(relative_path("image.origin", resolved(spark, root)).alias("rel_path"), "image.*")
     )
+    shallow = pictures.join(files.where(deep).select("rel_path"), "rel_path", "left_anti")
+
+    def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path, h, w, n, data in zip(*[batch[c] for c in ("rel_path", "height", "width", "nChannels", "data")]):
+                if h <= 0:
+                    rows.append((path, None, None, None, None, "not a readable picture"))
+                    continue
+                px = np.frombuffer(data, np.uint8).reshape(-1, n).astype(np.int64)
+                if n > 1:  # blue, green, red; luminance weights as in decode_png
+                    px = (px[:, 2] * 19595 + px[:, 1] * 38470 + px[:, 0] * 7471 + 32768) >> 16
+                rows.append((path, h, w, 8, (px.ravel() / 255.0).astype(np.float32), None))
+            out = pd.DataFrame(rows, columns=["rel_path", "h", "w", "bit_depth", "pixels", "reason"])
+            for c in ("h", "w", "bit_depth"):
+                out[c] = out[c].astype("Int32")
+            yield out
+
+    slim = shallow.select("rel_path", "height", "width", "nChannels", "data")
+    return gray16.unionByName(_framed(slim.mapInPandas(reduce, DECODED)))
 
 
 def decoded_frames(decoded: DataFrame) -> DataFrame:

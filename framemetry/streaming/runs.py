@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -61,6 +62,17 @@ def _stateful(
     )
 
 
+def _accepted(place: np.ndarray, last: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the ascending places are new, and how many were late before each of these."""
+    fresh = place > np.concatenate([[last], np.maximum(place[:-1], last)]) if len(place) else np.zeros(0, bool)
+    return fresh, np.cumsum(~fresh)[fresh]
+
+
+def _until(stop: np.ndarray) -> int:
+    """Rows up to the first stop, that one included."""
+    return int(stop.argmax()) + 1 if stop.any() else len(stop)
+
+
 def stream_early_stop(
     log: DataFrame, run: str, metric: str = "val_loss", patience: int = 12, epoch: str = "epoch",
     start_epoch: int = 0,
@@ -72,24 +84,28 @@ def stream_early_stop(
         best, best_epoch, last, stopped, late = (
             state.get if state.exists else (math.inf, start_epoch, -(2**62), False, 0)
         )
-        out = []
         frame = _ordered(chunks, "epoch")
-        for e, value in zip(frame["epoch"].tolist(), frame["metric"].tolist()):
-            if stopped:
-                break
-            if e <= last:
-                late += 1
-                continue
-            last = e
-            improved = math.isfinite(value) and value < best
-            if improved:
-                best, best_epoch = value, e
-            stopped = e - best_epoch >= patience
-            out.append((e, best, best_epoch, improved, stopped, late))
+        every = frame["epoch"].to_numpy(np.int64)
+        fresh, missed = _accepted(every, last)
+        e = every[fresh]
+        value = frame["metric"].to_numpy(float)[fresh]
+        value = np.where(np.isfinite(value), value, np.inf)
+        low = np.minimum.accumulate(np.concatenate([[best], value]))
+        improved = value < low[:-1]
+        at = np.maximum.accumulate(np.where(improved, e, best_epoch)) if len(e) else e
+        stop = e - at >= patience
+        n = 0 if stopped else _until(stop)
+        result = pd.DataFrame({
+            "epoch": e, "best": low[1:], "best_epoch": at, "is_best": improved, "is_stop": stop,
+            "late_rows": late + missed,
+        }).iloc[:n]
+        if n:
+            best, best_epoch, last, stopped = float(low[n]), int(at[n - 1]), int(e[n - 1]), bool(stop[n - 1])
+        if not stopped:
+            late += int((~fresh).sum())
+        elif n:
+            late += int(missed[n - 1])
         state.update((best, best_epoch, last, stopped, late))
-        result = pd.DataFrame(
-            out, columns=["epoch", "best", "best_epoch", "is_best", "is_stop", "late_rows"]
-        )
         result.insert(0, run, key[0])
         yield result
 
@@ -112,22 +128,23 @@ def stream_nonfinite_budget(
 
     def step(key, chunks, state: GroupState):
         bad, last, stopped, late = state.get if state.exists else (0, -(2**62), False, 0)
-        out = []
         frame = _ordered(chunks, "place")
-        for place, ok in zip(frame["place"].tolist(), frame["ok"].tolist()):
-            if stopped:
-                break
-            if place <= last:
-                late += 1
-                continue
-            last = place
-            bad += not ok
-            stopped = action == "stop" and not ok and bad > max_bad
-            out.append((place, bad, not ok, stopped, late))
+        every = frame["place"].to_numpy(np.int64)
+        fresh, missed = _accepted(every, last)
+        place, is_bad = every[fresh], ~frame["ok"].to_numpy(bool)[fresh]
+        so_far = bad + np.cumsum(is_bad)
+        stop = is_bad & (so_far > max_bad) & (action == "stop")
+        n = 0 if stopped else _until(stop)
+        result = pd.DataFrame({
+            order: place, "bad_so_far": so_far, "is_bad": is_bad, "is_stop": stop, "late_rows": late + missed,
+        }).iloc[:n]
+        if n:
+            bad, last, stopped = int(so_far[n - 1]), int(place[n - 1]), bool(stop[n - 1])
+        if not stopped:
+            late += int((~fresh).sum())
+        elif n:
+            late += int(missed[n - 1])
         state.update((bad, last, stopped, late))
-        result = pd.DataFrame(
-            out, columns=[order, "bad_so_far", "is_bad", "is_stop", "late_rows"]
-        )
         result.insert(0, run, key[0])
         yield result
 
@@ -146,10 +163,11 @@ def stream_best_checkpoint(
     log: DataFrame, keys: list[str], by: dict[str, str], table: str, checkpoint: str,
     epoch: str = "epoch", **trigger,
 ) -> StreamingQuery:
-    """Keep the best epoch per run and criterion in a versioned table folder.
+    """Keep the best epoch per run and criterion as a change log in a table folder.
 
-    Each micro-batch merges its own best rows into version ``batch id - 1`` and writes version
-    ``batch id``, so a replayed batch rewrites the same version from the same input.
+    The best so far is the state of a streaming aggregate. A micro-batch writes the runs that it
+    changed, and only those, to a folder of its own number, so a replayed batch overwrites the same
+    folder with the same rows. ``read_best`` takes the best of all changes of a run.
     """
 
     def candidate(metric: str, mode: str):
@@ -158,26 +176,22 @@ def stream_best_checkpoint(
         return F.when(
             m.isNotNull(),
             F.struct((m * sign).alias("m"), F.col(epoch).cast("bigint").alias("e")),
-        ).alias(metric)
-
-    def merge(df: DataFrame, batch_id: int) -> None:
-        spark = df.sparkSession
-        rows = df.select(*keys, *[candidate(m, mode) for m, mode in by.items()])
-        if batch_id > 0:
-            rows = rows.unionByName(spark.read.parquet(f"{table}/version={batch_id - 1}"))
-        rows.groupBy(*keys).agg(*[F.min(m).alias(m) for m in by]).write.mode("overwrite").parquet(
-            f"{table}/version={batch_id}"
         )
 
+    def keep(changed: DataFrame, batch_id: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+
+    best = log.groupBy(*keys).agg(*[F.min(candidate(m, mode)).alias(m) for m, mode in by.items()])
     return (
-        log.writeStream.foreachBatch(merge)
+        best.writeStream.outputMode("update")
+        .foreachBatch(keep)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 
 
-def read_best(spark: SparkSession, table: str, version: int, keys: list[str], by: dict[str, str]) -> DataFrame:
+def read_best(spark: SparkSession, table: str, keys: list[str], by: dict[str, str]) -> DataFrame:
     """The table of ``stream_best_checkpoint`` in the columns of the batch operator."""
     cols = []
     for metric, mode in by.items():
@@ -185,17 +199,19 @@ def read_best(spark: SparkSession, table: str, version: int, keys: list[str], by
             F.col(f"{metric}.e").alias(f"{metric}_epoch"),
             (F.col(f"{metric}.m") * (1 if mode == "min" else -1)).alias(f"{metric}_best"),
         ]
-    return spark.read.parquet(f"{table}/version={version}").select(*keys, *cols)
+    changes = spark.read.parquet(table).groupBy(*keys).agg(*[F.min(m).alias(m) for m in by])
+    return changes.select(*keys, *cols)
 
 
-def stream_append_log(log: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append-only file sink; the checkpoint makes a restart continue where the last run ended."""
+def stream_append_log(log: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Append-only file sink; the checkpoint makes a restart continue where the last run ended. By
+    default it ends when everything there is has been processed; ``processingTime`` keeps it running."""
     return (
         log.writeStream.format("parquet")
         .option("path", path)
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 

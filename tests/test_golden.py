@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from framemetry.functions.special import t_p_value
+from framemetry.functions.special import t_critical, t_p_value, t_two_sided
 from framemetry.operators import checks, stats
 from framemetry.schemas import BOARD_OUTCOMES
 
@@ -24,18 +24,18 @@ SEEDS = [
 SEED_SUMMARY = [
     ("raw", "accuracy", 0.9328313253, 0.0157876837, 0.9132283268, 0.9524343238),
     ("raw", "macro_f1", 0.8438583497, 0.0164399425, 0.8234454649, 0.8642712344),
-    ("light", "accuracy", 0.9253765060, 0.0177864729, 0.9032916829, 0.9474613291),
-    ("light", "macro_f1", 0.8269469572, 0.0227136417, 0.7987442460, 0.8551496684),
-    ("wide", "accuracy", 0.9429216867, 0.0144172805, 0.9250202687, 0.9608231048),
-    ("wide", "macro_f1", 0.8588880405, 0.0314021511, 0.8198971200, 0.8978789609),
+    ("v4r", "accuracy", 0.9253765060, 0.0177864729, 0.9032916829, 0.9474613291),
+    ("v4r", "macro_f1", 0.8269469572, 0.0227136417, 0.7987442460, 0.8551496684),
+    ("v5r", "accuracy", 0.9429216867, 0.0144172805, 0.9250202687, 0.9608231048),
+    ("v5r", "macro_f1", 0.8588880405, 0.0314021511, 0.8198971200, 0.8978789609),
 ]
 SEED_PAIRED = [
-    ("light_minus_raw", "accuracy", -0.0074548193, 0.0158477285, -0.0271323732, 0.0122227346, 1, 0, 4, -0.4704030161, 0.3125),
-    ("light_minus_raw", "macro_f1", -0.0169113924, 0.0259574081, -0.0491417715, 0.0153189866, 1, 0, 4, -0.6515054357, 0.2500),
-    ("wide_minus_raw", "accuracy", 0.0100903614, 0.0127829201, -0.0057817303, 0.0259624532, 4, 0, 1, 0.7893627850, 0.2500),
-    ("wide_minus_raw", "macro_f1", 0.0150296908, 0.0301449971, -0.0224002668, 0.0524596484, 3, 0, 2, 0.4985799391, 0.3750),
-    ("wide_minus_light", "accuracy", 0.0175451807, 0.0093203304, 0.0059724620, 0.0291178994, 5, 0, 0, 1.8824633880, 0.0625),
-    ("wide_minus_light", "macro_f1", 0.0319410832, 0.0188942741, 0.0084807433, 0.0554014232, 5, 0, 0, 1.6905165600, 0.0625),
+    ("v4r_minus_raw", "accuracy", -0.0074548193, 0.0158477285, -0.0271323732, 0.0122227346, 1, 0, 4, -0.4704030161, 0.3125),
+    ("v4r_minus_raw", "macro_f1", -0.0169113924, 0.0259574081, -0.0491417715, 0.0153189866, 1, 0, 4, -0.6515054357, 0.2500),
+    ("v5r_minus_raw", "accuracy", 0.0100903614, 0.0127829201, -0.0057817303, 0.0259624532, 4, 0, 1, 0.7893627850, 0.2500),
+    ("v5r_minus_raw", "macro_f1", 0.0150296908, 0.0301449971, -0.0224002668, 0.0524596484, 3, 0, 2, 0.4985799391, 0.3750),
+    ("v5r_minus_v4r", "accuracy", 0.0175451807, 0.0093203304, 0.0059724620, 0.0291178994, 5, 0, 0, 1.8824633880, 0.0625),
+    ("v5r_minus_v4r", "macro_f1", 0.0319410832, 0.0188942741, 0.0084807433, 0.0554014232, 5, 0, 0, 1.6905165600, 0.0625),
 ]
 BOARDS = [
     ("C01", "carbon", 0.7587301587, 0.8400793651, 0.9107142857, 0.4460310206, 0.4535321296, 0.5556307675),
@@ -47,8 +47,8 @@ BOARDS = [
 ]
 BOARD_SUMMARY = [
     ("raw", 0.8313936092, 0.0614889400, 0.4970280648, 0.1032192256),
-    ("light", 0.8293569830, 0.0676532934, 0.4395145753, 0.1516297275),
-    ("wide", 0.8321195521, 0.1217977978, 0.4680594814, 0.1839920360),
+    ("v4r", 0.8293569830, 0.0676532934, 0.4395145753, 0.1516297275),
+    ("v5r", 0.8321195521, 0.1217977978, 0.4680594814, 0.1839920360),
 ]
 EFFECTS = [
     ("C01", "carbon", 0.0003968254, 0.0587989810, -0.2845238095, -0.0990009634),
@@ -59,20 +59,20 @@ EFFECTS = [
     ("W03", "wood", -0.0137581463, 0.1271767186, 0.3034033309, 0.1450989864),
 ]
 SCOPED = [
-    ("all", "accuracy", 0.1585118295, 0.2083573158, -0.0601457635, 0.3771694226, 4, 0, 2, 0.7607692052, 0.21875),
-    ("all", "macro_f1", 0.1429135424, 0.1028294863, 0.0350006147, 0.2508264701, 6, 0, 0, 1.3898109150, 0.03125),
-    ("carbon", "accuracy", 0.1348747438, 0.2552432698, -0.4991846884, 0.7689341760, 2, 0, 1, 0.5284164548, 0.75000),
-    ("carbon", "macro_f1", 0.0880222913, 0.0410261106, -0.0138922172, 0.1899367998, 3, 0, 0, 2.1455187934, 0.25000),
-    ("wood", "accuracy", 0.1821489153, 0.2042220981, -0.3251669002, 0.6894647308, 2, 0, 1, 0.8919157965, 0.50000),
-    ("wood", "macro_f1", 0.1978047935, 0.1253493838, -0.1135803379, 0.5091899249, 3, 0, 0, 1.5780276491, 0.25000),
+    ("all_6_boards", "accuracy", 0.1585118295, 0.2083573158, -0.0601457635, 0.3771694226, 4, 0, 2, 0.7607692052, 0.21875),
+    ("all_6_boards", "macro_f1", 0.1429135424, 0.1028294863, 0.0350006147, 0.2508264701, 6, 0, 0, 1.3898109150, 0.03125),
+    ("carbon_3_boards", "accuracy", 0.1348747438, 0.2552432698, -0.4991846884, 0.7689341760, 2, 0, 1, 0.5284164548, 0.75000),
+    ("carbon_3_boards", "macro_f1", 0.0880222913, 0.0410261106, -0.0138922172, 0.1899367998, 3, 0, 0, 2.1455187934, 0.25000),
+    ("wood_3_boards", "accuracy", 0.1821489153, 0.2042220981, -0.3251669002, 0.6894647308, 2, 0, 1, 0.8919157965, 0.50000),
+    ("wood_3_boards", "macro_f1", 0.1978047935, 0.1253493838, -0.1135803379, 0.5091899249, 3, 0, 0, 1.5780276491, 0.25000),
 ]
 INTERACTION = [
-    ("batch", "accuracy", 0.0774090483, 0.2569255595, -0.1922177906, 0.3470358873, 3, 0, 3, 0.3012897917, 0.50000),
-    ("group", "accuracy", 0.1585118295, 0.2083573158, -0.0601457635, 0.3771694226, 4, 0, 2, 0.7607692052, 0.21875),
-    ("interaction", "accuracy", 0.0811027812, 0.3711836060, -0.3084305239, 0.4706360863, 3, 0, 3, 0.2184977459, 0.62500),
-    ("batch", "macro_f1", -0.0144151185, 0.0899116191, -0.1087715761, 0.0799413390, 2, 0, 4, -0.1603254249, 0.75000),
-    ("group", "macro_f1", 0.1429135424, 0.1028294863, 0.0350006147, 0.2508264701, 6, 0, 0, 1.3898109150, 0.03125),
-    ("interaction", "macro_f1", 0.1573286609, 0.1502355670, -0.0003338974, 0.3149912193, 5, 0, 1, 1.0472131473, 0.06250),
+    ("BN_ECA3_minus_NoECA", "accuracy", 0.0774090483, 0.2569255595, -0.1922177906, 0.3470358873, 3, 0, 3, 0.3012897917, 0.50000),
+    ("GN_ECA3_minus_NoECA", "accuracy", 0.1585118295, 0.2083573158, -0.0601457635, 0.3771694226, 4, 0, 2, 0.7607692052, 0.21875),
+    ("GN_minus_BN_interaction", "accuracy", 0.0811027812, 0.3711836060, -0.3084305239, 0.4706360863, 3, 0, 3, 0.2184977459, 0.62500),
+    ("BN_ECA3_minus_NoECA", "macro_f1", -0.0144151185, 0.0899116191, -0.1087715761, 0.0799413390, 2, 0, 4, -0.1603254249, 0.75000),
+    ("GN_ECA3_minus_NoECA", "macro_f1", 0.1429135424, 0.1028294863, 0.0350006147, 0.2508264701, 6, 0, 0, 1.3898109150, 0.03125),
+    ("GN_minus_BN_interaction", "macro_f1", 0.1573286609, 0.1502355670, -0.0003338974, 0.3149912193, 5, 0, 1, 1.0472131473, 0.06250),
 ]
 
 TABLE = 2e-9
@@ -87,7 +87,7 @@ def _arms(rows, first):
     return [
         (*r[:first], arm, r[first + i], r[first + 3 + i])
         for r in rows
-        for i, arm in enumerate(("raw", "light", "wide"))
+        for i, arm in enumerate(("raw", "v4r", "v5r"))
     ]
 
 
@@ -147,8 +147,8 @@ def test_seed_paired_effects(spark, seeds):
     )
     pairs = stats.pair_arms(
         long, ["seed"],
-        [("light_minus_raw", "light", "raw"), ("wide_minus_raw", "wide", "raw"),
-         ("wide_minus_light", "wide", "light")],
+        [("v4r_minus_raw", "v4r", "raw"), ("v5r_minus_raw", "v5r", "raw"),
+         ("v5r_minus_v4r", "v5r", "v4r")],
     )
     actual = stats.paired_summary(pairs, ["comparison", "metric"])
     _agree(spark, actual, SEED_PAIRED, ["comparison", "metric"])
@@ -164,14 +164,19 @@ def test_board_summary(spark, boards):
     assert wrong.collect() == []
 
 
+def _scopes(spark):
+    named = _effects(spark, 0).withColumn("scope_of", F.concat("material", F.lit("_3_boards")))
+    return stats.scope_rollup(named, "scope_of", ["metric"], everything="all_6_boards")
+
+
 def test_scopes(spark):
-    actual = stats.scope_rollup(_effects(spark, 0), "material", ["metric"])
+    actual = _scopes(spark)
     _agree(spark, actual, SCOPED, ["scope", "metric"])
 
 
 def test_interaction(spark):
     group, batch = _effects(spark, 0), _effects(spark, 1)
-    actual = stats.interaction_effect(batch, group, ["board"], ("batch", "group", "interaction"))
+    actual = stats.interaction_effect(batch, group, ["board"], ("BN_ECA3_minus_NoECA", "GN_ECA3_minus_NoECA", "GN_minus_BN_interaction"))
     _agree(spark, actual, INTERACTION, ["effect", "metric"])
 
 
@@ -179,7 +184,7 @@ def test_a_wrong_table_is_noticed(spark):
     rows = [list(r) for r in SCOPED]
     rows[0][2] += 1e-8
     rows[1][6] += 1
-    actual = stats.scope_rollup(_effects(spark, 0), "material", ["metric"])
+    actual = _scopes(spark)
     with pytest.raises(AssertionError):
         _agree(spark, actual, [tuple(r) for r in rows], ["scope", "metric"])
 
@@ -223,11 +228,35 @@ def test_overhead(spark):
     assert out["wide"] == pytest.approx(360.38, abs=0.01)
 
 
-def test_missing_critical_value(spark):
+def test_intervals_of_any_size(spark):
+    """Quantiles beyond the table against the p-value of the same value, which has its own code."""
     df = spark.range(40).select(F.col("id").cast("double").alias("value"))
+    assert stats.mean_sd_ci(df, []).first()["ci95_low"] < 19.5
     with pytest.raises(Exception, match="no critical value"):
-        stats.mean_sd_ci(df, []).collect()
-    assert stats.mean_sd_ci(df, [], missing="null").first()["ci95_low"] is None
+        stats.mean_sd_ci(df.limit(1), []).collect()
+    assert stats.mean_sd_ci(df.limit(1), [], missing="null").first()["ci95_low"] is None
+    sizes = spark.createDataFrame([(n,) for n in (2, 31, 32, 33, 40, 100, 5000)], "n bigint")
+    got = [r["t"] for r in sizes.select(t_critical(F.col("n")).alias("t")).collect()]
+    p = t_two_sided(np.array(got), np.array([1, 30, 31, 32, 39, 99, 4999], float))
+    np.testing.assert_allclose(p, 0.05, atol=2e-8)
+
+
+def test_large_exact_tests(spark):
+    rng = np.random.default_rng(12)
+    values = [float(v) for v in rng.integers(-9, 12, 23)]
+    df = spark.createDataFrame([(None, v) for v in values] + [(1, 0.5), (1, 0.25), (2, None)], "k INT, delta DOUBLE")
+    got = {r["k"]: r for r in stats.paired_summary(df, ["k"]).collect()}
+    assert got[None]["n"] == 23 and got[None]["exact_sign_flip_p"] is None and got[None]["ci95_low"] is not None
+    assert got[1]["exact_sign_flip_p"] == 0.5 and got[2]["n"] == 0
+    sums = np.zeros(1)
+    for v in values:
+        sums = np.concatenate([sums + v, sums - v])
+    want = (np.abs(sums) >= abs(sum(values)) - 1e-9).mean()
+    large = {r["k"]: r["exact_sign_flip_p"] for r in stats.sign_flip_p(df, ["k"], max_n=30).collect()}
+    assert large[None] == pytest.approx(want, abs=1e-12) and large[1] == 0.5
+    with pytest.raises(Exception, match="at most 20 units"):
+        stats.sign_cross(df, ["k"]).count()
+    assert stats.sign_cross(df.filter("k = 1"), ["k"]).count() == 2
 
 
 def test_too_many_units_for_the_exact_test(spark):

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from framemetry import schemas
 from framemetry.functions.registry import register_functions
+from framemetry.functions import scalars as sc
 from framemetry.functions.scalars import parse_position_list
 from framemetry.operators import frames as fr, plotdata, quality, runs, tiles
 from framemetry.session import shared_dir
@@ -189,13 +190,57 @@ def test_sql_functions(spark):
     r = spark.sql(
         "SELECT psnr(0.01) p, psnr(0) q, slug('Macro-F1@BestF1') s, clamp01(1.4) c, "
         "sign_flip_p(array(1D, 2D, 3D, 4D, 5D)) f, sign_flip_p(array(-1D, 2D, 0.5D)) g, "
-        "size(tile_grid(16, 16, 8, 2)) n"
+        "(SELECT count(*) FROM tile_grid(16, 16, 8, 2)) n, sign_flip_p(array(1D, 2D), 1) o"
     ).first()
     assert r["p"] == pytest.approx(20.0, abs=1e-5) and r["q"] == 99.0
     assert (r["s"], r["c"], r["f"], r["n"]) == ("macro_f1_bestf1", 1.0, 0.0625, 9)
+    assert r["o"] is None
     assert r["g"] == 0.75  # |1.5| or more: all but one of the four sign classes
 
 
+def _raw_png(w, h, depth, colour, lines, palette=b"", interlace=0):
+    def chunk(kind, data):
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    head = struct.pack(">IIBBBBB", w, h, depth, colour, 0, 0, interlace)
+    body = zlib.compress(b"".join(b"\0" + line for line in lines))
+    plte = chunk(b"PLTE", palette) if palette else b""
+    return images.SIGNATURE + chunk(b"IHDR", head) + plte + chunk(b"IDAT", body) + chunk(b"IEND", b"")
+
+
+def test_every_kind_of_png(spark, tmp_path):
+    """Palette, interlaced, low bit depths and 16-bit files in one folder, among a broken one."""
+    (tmp_path / "a").mkdir()
+    files = {
+        "a/gray8.png": _raw_png(2, 1, 8, 0, [bytes([0, 51])]),
+        "a/gray1.png": _raw_png(2, 1, 1, 0, [bytes([0b01000000])]),
+        "a/palette.png": _raw_png(2, 1, 8, 3, [bytes([1, 0])], palette=bytes([255, 255, 255, 0, 0, 0])),
+        "a/colour.png": _raw_png(1, 1, 8, 2, [bytes([255, 0, 0])]),
+        "a/interlaced.png": _raw_png(1, 1, 8, 0, [bytes([102])], interlace=1),
+        "deep.png": images.encode_gray_png(np.array([[1, 65535]]), 16),
+        "broken.png": b"no picture",
+    }
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    got = {r["rel_path"]: r for r in images.ingest_folder(spark, str(tmp_path)).collect()}
+    assert set(got) == set(files)
+    px = {k: [round(v * 255, 3) for v in r["pixels"]] for k, r in got.items() if r["reason"] is None}
+    assert px == {
+        "a/gray8.png": [0, 51], "a/gray1.png": [0, 255], "a/palette.png": [0, 255], "a/colour.png": [76],
+        "a/interlaced.png": [102], "deep.png": [round(255 / 65535, 3), 255],
+    }
+    assert got["broken.png"]["reason"] and got["deep.png"]["bit_depth"] == 16 and got["a/gray8.png"]["grp"] == "a"
+
+
+def test_roots(spark):
+    cases = [
+        ("file:/data/x/data/1.png", "/data", "x/data/1.png"), ("file:///data/a/run1/b/2.png", "file:/data/*/run[0-9]", "b/2.png"),
+        ("s3a://b/k/c/3.png", "s3a://b/{k,l}/", "c/3.png"), ("file:/w/rel/rel/4.png", "rel", "rel/4.png"), ("hdfs://n/e/5.png", "/f", "hdfs://n/e/5.png"),
+    ]
+    df = spark.range(1).select(*[sc.relative_path(F.lit(p), root).alias(f"c{i}") for i, (p, root, _) in enumerate(cases)])
+    assert list(df.first()) == [want for *_, want in cases]
+
+
 # --- streams ------------------------------------------------------------------------------------------------
 
 LOG = "run BIGINT, epoch BIGINT, val_loss DOUBLE"
@@ -230,11 +275,9 @@ def test_restart_continues_with_its_state(spark):
 def test_best_checkpoint_stream_is_replay_safe(spark):
     source, table, checkpoint = (shared_dir(spark, n) for n in ("log", "best", "chk"))
     by = {"val_loss": "min"}
-    version = -1
     for part in ([(1, 1, 3.0), (1, 2, 1.0)], [(1, 3, 1.0), (1, 4, math.nan)]):
         _write(spark, part, source)
         q = sr.stream_best_checkpoint(sr.read_stream(spark, source, LOG), ["run"], by, table, checkpoint)
         q.awaitTermination()
-        version += 1
-    best = sr.read_best(spark, table, version, ["run"], by).first()
+    best = sr.read_best(spark, table, ["run"], by).first()
     assert (best["val_loss_epoch"], best["val_loss_best"]) == (2, 1.0)

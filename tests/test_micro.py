@@ -290,11 +290,10 @@ def test_budget(spark):
     assert runs.run_stop_epoch(runs.budget_rollup(df.withColumn("epoch", F.lit(1)), ["run"]), ["run"]).first()["stop_epoch"] == 1
 
 
-@pytest.mark.parametrize("width", [1, 2, 100])
-def test_group_spans(spark, width):
+def test_group_spans(spark):
     names = ["baseline", "pseudo", "pseudo", "baseline"] + ["real"] * 4
     df = spark.createDataFrame(list(enumerate(names)), "i INT, g STRING")
-    out = runs.group_spans(df, ["i"], "g", F.floor(F.col("i") / width))
+    out = runs.group_spans(df, ["i"], "g")
     spans = sorted((r["start"], r["end"], r["g"]) for r in out.collect())
     assert spans == [(0, 0, "baseline"), (1, 2, "pseudo"), (3, 3, "baseline"), (4, 7, "real")]
     assert sorted(r["separator"] for r in runs.change_points(out).collect()) == [0.5, 2.5, 3.5]

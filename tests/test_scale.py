@@ -52,7 +52,7 @@ def test_budget(skewed):
 
 def test_spans(skewed):
     pdf, df = skewed
-    got = runs.group_spans(df, ["epoch"], "group", F.floor(F.col("epoch") / 300), ["run"]).toPandas()
+    got = runs.group_spans(df, ["epoch"], "group", ["run"]).toPandas()
     for run, part in pdf.groupby("run"):
         g = part["group"].tolist()
         want, start = [], 0
@@ -67,7 +67,7 @@ def test_spans(skewed):
 
 def test_places(skewed):
     pdf, df = skewed
-    got = plotdata.place_in_order(df, ["run"], ["epoch"], F.floor(F.col("epoch") / 300)).toPandas()
+    got = plotdata.place_in_order(df, ["run"], ["epoch"]).toPandas()
     want = pdf.groupby("run").cumcount() + 1
     assert got.sort_values("epoch")["plot_order"].tolist() == want.tolist()
 
@@ -104,7 +104,7 @@ def test_draws_with_many_classes(spark):
 def test_paths_in_order(spark):
     paths = [f"{g}/{i}" for g in ("x", "y/z", "hot", "hot-1") for i in range(700 if g == "hot" else 40)] + ["r"]
     df = spark.createDataFrame([(p,) for p in paths], "rel_path STRING")
-    got = {r["rel_path"]: r["place"] for r in fr.ordered_paths(df, prefix=2).collect()}
+    got = {r["rel_path"]: r["place"] for r in fr.ordered_paths(df).collect()}
     want = sorted(paths, key=lambda p: p.split("/"))
     assert [p for p, _ in sorted(got.items(), key=lambda kv: kv[1])] == want
 
