@@ -403,7 +403,22 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
     )
 
 
-@query("op10_suffix")
+SQL = f"""WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS d FROM documents),
+w AS (SELECT doc_id, d, unnest(range(octet_length(d) - {LENGTH - 1})) AS s FROM b WHERE octet_length(d) >= {LENGTH}),
+c AS (SELECT doc_id, s, count(*) OVER (PARTITION BY md5(array_slice(d, s + 1, s + {LENGTH}))) AS n FROM w),
+g AS (SELECT doc_id, s, coalesce(s > lag(s) OVER (PARTITION BY doc_id ORDER BY s) + {LENGTH}, true) AS fresh FROM c WHERE n > 1),
+i AS (SELECT doc_id, s, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY s) AS island FROM g),
+r AS (SELECT doc_id, min(s) AS a, max(s) + {LENGTH} AS z FROM i GROUP BY doc_id, island),
+p AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM r),
+k AS (SELECT p.doc_id, sum(z - a)::BIGINT AS n_removed, count(*)::BIGINT AS n_spans,
+             string_agg(hex(array_slice(d, before + 1, a)), '' ORDER BY a) || hex(array_slice(any_value(d), max(z) + 1, octet_length(any_value(d)))) AS kept
+      FROM p JOIN b ON p.doc_id = b.doc_id GROUP BY p.doc_id)
+SELECT doc_id, octet_length(d)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(CASE WHEN kept IS NULL THEN d ELSE unhex(kept) END) AS kept_sha256
+FROM b LEFT JOIN k USING (doc_id)"""
+
+
+@query("op10_suffix", SQL)
 def op10_suffix(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return repeated_bytes(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

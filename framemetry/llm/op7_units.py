@@ -141,12 +141,13 @@ ranked AS (
   FROM sized WINDOW w AS (PARTITION BY t ORDER BY doc_id, start)),
 later AS (SELECT *, unit - row_number() OVER (PARTITION BY doc_id ORDER BY unit) AS island FROM ranked WHERE r > 1)
 SELECT doc_id, min(start)::BIGINT AS start, max(stop)::BIGINT AS stop, count(*)::BIGINT AS n_units, sum(words)::BIGINT AS n_words,
-       list_sort(list(DISTINCT kept)) AS kept_doc_ids
+       min(kept) AS kept_doc_id, count(DISTINCT kept)::BIGINT AS n_kept_docs
 FROM later GROUP BY doc_id, island HAVING sum(words) >= {PASSAGE}"""
 
 
 @query("op7_units", SQL)
 def op7_units(spark, sf):
     return repeats(table(spark, sf, "documents")).select(
-        F.col("_id").alias("doc_id"), "start", "stop", "n_units", "n_words", "kept_doc_ids"
+        F.col("_id").alias("doc_id"), "start", "stop", "n_units", "n_words",
+        F.get("kept_doc_ids", F.lit(0)).alias("kept_doc_id"), F.size("kept_doc_ids").cast("bigint").alias("n_kept_docs"),
     )
