@@ -217,7 +217,8 @@ class _Writer:
     def paragraphs(self, n: int, main: bool, tag: str = "p") -> str:
         out = []
         for _ in range(n):
-            body = self.text(self.r.choice([2, 8, 20, 40]), self.r.choice([45, 90, 140]), main)
+            low = self.r.choice([2, 5, 12, 30])
+            body = self.text(low, low + self.r.choice([5, 40, 100]), main)
             if self.r.random() < 0.15:
                 cut = body.split(" ")
                 k = self.r.randrange(1, len(cut))
@@ -271,17 +272,17 @@ class _Writer:
     def article(self) -> str:
         t, r = self.text, self.r
         out = [r.choice([f"<h1>{t(2, 9, True, '')}</h1>", f"<h1>{t(2, 9, True, '')}</h1>", ""])]
-        for _ in range(r.choice([1, 1, 2, 4, 8])):
+        for _ in range(r.choice([1, 2, 3, 5, 9])):
             kind = r.random()
-            if kind < 0.72:
+            if kind < 0.6:
                 out.append(self.paragraphs(r.randint(1, 3), True))
-            elif kind < 0.8:
+            elif kind < 0.67:
                 out.append(f"<h2>{t(1, 6, True, '')}</h2>")
-            elif kind < 0.86:
+            elif kind < 0.73:
                 out.append("<ul>" + "".join(f"<li>{t(3, 20, True)}</li>" for _ in range(3)) + "</ul>")
-            elif kind < 0.9:
+            elif kind < 0.77:
                 out.append(f"<blockquote>{t(5, 40, True)}</blockquote>")
-            elif kind < 0.93:
+            elif kind < 0.8:
                 out.append(f"<table><tr><td>{t(1, 4, True, '')}</td><td>{t(1, 4, True, '')}</td></tr></table>")
             else:
                 out.append(self.chrome(r.choice(["ad", "ad", "letter", "side", "aside", "share", "form"])))
