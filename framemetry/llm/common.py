@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from framemetry.session import shared_dir
+from framemetry.session import written  # noqa: F401  (for the operators)
 
 # Words are runs of anything but the six ASCII white-space characters; bytes.split() agrees with it.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,13 +18,6 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def written(df: DataFrame, purpose: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts the lineage and gives the planner real sizes."""
-    path = shared_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def row_key(text: str = "text", key: str = "doc_id") -> list[Column]:
     """What names a row when ids may be null or repeat: the id and a hash of the text."""
     return [F.col(key).alias("_id"), F.xxhash64(F.col(text)).alias("_th")]
