@@ -44,7 +44,7 @@ SHINGLE = 5
 BLOCK = 4
 HALF = 64  # words of half a passage, if no item is longer
 LONGEST = 512
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 500_000
 BATCH_WORDS = 1 << 16
 
 _TOKENS = re.compile(r"[^\W_]+")
