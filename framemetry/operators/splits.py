@@ -98,28 +98,28 @@ def board_folds(df: DataFrame, board: str) -> DataFrame:
     """(fold, board, role): each board is the test board once, the next one cyclically is the
     validation board (the rule is ours), the rest train.
 
-    The list of boards is one row; a job with more boards than fit there has no use for one fold
-    per board.
+    The listing has boards x boards rows by definition, so the list of boards, one row here, is short in
+    any use of it. A NULL board is a board.
     """
     boards = df.select(board).distinct().agg(
-        F.array_sort(F.collect_list(board)).alias("_all")
+        F.array_sort(F.collect_list(F.struct(F.col(board).alias("b")))).alias("_all")
     )
     n = F.size("_all")
     i, j = F.col("_fold_pos"), F.col("_board_pos")
     return (
-        boards.select("_all", F.posexplode("_all").alias("_fold_pos", "fold"))
-        .select("_all", "_fold_pos", "fold", F.posexplode("_all").alias("_board_pos", board))
+        boards.select("_all", F.posexplode("_all").alias("_fold_pos", "_fold"))
+        .select("_all", "_fold_pos", "_fold", F.posexplode("_all").alias("_board_pos", "_board"))
         .withColumn(
             "role",
             F.when(i == j, "test").when(j == (i + 1) % n, "val").otherwise("train"),
         )
-        .select("fold", board, "role")
+        .select(F.col("_fold.b").alias("fold"), F.col("_board.b").alias(board), "role")
     )
 
 
 def fold_rows(df: DataFrame, board: str, folds: DataFrame, fold) -> DataFrame:
     """Rows of one fold with their role; other folds are not materialised."""
-    return df.join(folds.filter(F.col("fold") == fold).drop("fold"), board)
+    return join_same(df, folds.filter(F.col("fold").eqNullSafe(F.lit(fold))).drop("fold"), [board])
 
 
 def weighted_draws(

@@ -290,11 +290,22 @@ def interaction_deltas(
 ) -> DataFrame:
     """(effect, unit..., metric, delta) for both effects and for second minus first on each unit.
 
-    The three arms come out of one join, not three scans.
+    One grouped pass over both: a unit that lacks an effect gives nothing, one that has it twice fails,
+    and a NULL unit is a unit.
     """
     keys = [*unit, "metric"]
-    joined = join_same(
-        first.select(*keys, F.col("delta").alias("_first")), second.select(*keys, F.col("delta").alias("_second")), keys
+    sides = [df.select(*keys, F.lit(i).alias("_side"), "delta") for i, df in enumerate((first, second))]
+
+    def of(side: int) -> Column:
+        mine = F.col("_side") == side
+        twice = F.raise_error(F.lit(f"effect {names[side]} given twice on one unit")).cast("double")
+        return F.when(F.count_if(mine) > 1, twice).otherwise(F.max(F.when(mine, F.col("delta"))))
+
+    joined = (
+        sides[0].unionByName(sides[1])
+        .groupBy(*keys)
+        .agg(of(0).alias("_first"), of(1).alias("_second"))
+        .filter(F.col("_first").isNotNull() & F.col("_second").isNotNull())
     )
     arms = F.array(
         F.struct(F.lit(names[0]).alias("effect"), F.col("_first").alias("delta")),

@@ -278,16 +278,27 @@ def _sobel_pixels(spark, sf):
     return out.select("frame_id", "y", "x", r6("edge"))
 
 
-@query("stencil_join", f"""WITH {PIXELS_SQL},
+STENCIL_SQL = f"""WITH {PIXELS_SQL},
 k(dy, dx, k) AS (VALUES (-1,-1,0.0), (-1,0,-1.0), (-1,1,0.5), (0,-1,-1.0), (0,0,4.25), (0,1,-1.0),
   (1,-1,0.25), (1,0,-1.0), (1,1,0.0))
 SELECT p.frame_id, p.y::INT AS y, p.x::INT AS x, round(sum(n.v * k::DOUBLE), 6) AS v
 FROM px p, k JOIN px n ON n.frame_id = p.frame_id AND n.y = p.y + dy AND n.x = p.x + dx
-GROUP BY p.frame_id, p.y, p.x""")
+GROUP BY p.frame_id, p.y, p.x"""
+KERNEL = [[0.0, -1.0, 0.5], [-1.0, 4.25, -1.0], [0.25, -1.0, 0.0]]
+
+
+@query("stencil_join", STENCIL_SQL)
 def _stencil_join(spark, sf):
+    """Frames in rows: no shuffle."""
+    out = fr.pixel_view(stacks.stencil(frames(spark, sf), KERNEL), ["frame_id"], v="pixels")
+    return out.select("frame_id", "y", "x", r6("v"))
+
+
+@query("stencil_pixels", STENCIL_SQL)
+def _stencil_pixels(spark, sf):
+    """The same on a pixel table, in haloed blocks."""
     px = fr.pixel_view(frames(spark, sf), ["frame_id", "h", "w"], v="pixels")
-    kernel = [[0.0, -1.0, 0.5], [-1.0, 4.25, -1.0], [0.25, -1.0, 0.0]]
-    out = stencil.stencil_join(px, ["frame_id"], kernel, block=4)
+    out = stencil.stencil_join(px, ["frame_id"], KERNEL, block=4)
     return out.select("frame_id", "y", "x", r6("v"))
 
 

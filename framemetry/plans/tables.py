@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from framemetry.functions import scalars as sc
 from framemetry.functions.registry import register_functions
-from framemetry.operators import plotdata, quality, stats
+from framemetry.operators import checks, plotdata, quality, stats
 from framemetry.plans.bindings import (
     EPOCH_LOG_SQL, K, OUTCOMES_SQL, PIXELS_SQL, big, epoch_log, frames, outcomes, pairs, r6, rounded,
     table,
@@ -106,6 +106,27 @@ def _scan_page_leaks(spark, sf):
     return tables.leaks_in(table(spark, sf, "pages"), "page_id", "html", ("script", "DOCTYPE"))
 
 
+# --- columns ----------------------------------------------------------------------------------------------------
+
+
+@query("require_columns", "SELECT l_returnflag, count(*)::BIGINT AS n FROM lineitem GROUP BY 1")
+def _require_columns(spark, sf):
+    rows = checks.require_columns(table(spark, sf, "lineitem"), ["l_returnflag", "l_orderkey"])
+    return rows.groupBy("l_returnflag").agg(F.count("*").alias("n"))
+
+
+@query("set_difference_columns", """SELECT 'lang' AS "column", count(lang)::BIGINT AS filled FROM documents
+UNION ALL SELECT 'n_chars', count(n_chars) FROM documents UNION ALL SELECT 'source', count(source) FROM documents
+UNION ALL SELECT 'text', count(text) FROM documents""")
+def _set_difference_columns(spark, sf):
+    """What documents have and labels lack, and in how many rows it is filled."""
+    docs = table(spark, sf, "documents")
+    lacking = checks.missing_columns(table(spark, sf, "labels"), docs.columns)
+    counts = docs.agg(*[F.count(c).alias(c) for c in lacking])
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("filled")) for c in lacking])
+    return counts.select(F.inline(cells))
+
+
 # --- pictures ------------------------------------------------------------------------------------------------
 
 
@@ -158,6 +179,25 @@ def _scan_frames(spark, sf):
     )
 
 
+@query("ingest_folder", """SELECT CASE WHEN vec_id % 2 = 1 THEN 'odd/' ELSE 'even/' END || vec_id || '.png' AS rel_path,
+  CASE WHEN vec_id % 2 = 1 THEN 'odd' ELSE 'even' END AS grp, CASE WHEN vec_id % 2 = 1 THEN 16 ELSE 8 END AS bit_depth, pos::INT AS pos,
+  round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, (CAST(e AS DOUBLE) + 0.6::DOUBLE) / 1.2::DOUBLE))
+        * CASE WHEN vec_id % 2 = 1 THEN 65535 ELSE 255 END)::BIGINT AS sample
+FROM (SELECT vec_id, unnest(embedding) AS e, unnest(range(len(embedding))) AS pos FROM embeddings)""")
+def _ingest_folder(spark, sf):
+    """Files of 8 and of 16 bits in two folders of one root, by the two sources they need."""
+    f = frames(spark, sf)
+    root = shared_dir(spark, "frame-folder")
+    for name, left, depth in (("even", 0, 8), ("odd", 1, 16)):
+        path = F.concat(F.lit(f"{name}/"), F.col("frame_id").cast("string"), F.lit(".png"))
+        images.write_frame_files(f.where(F.col("frame_id") % 2 == left).withColumn("rel_path", path), root, depth)
+    good = images.decoded_frames(images.ingest_folder(spark, root))
+    return good.select("rel_path", "grp", "bit_depth", F.posexplode("pixels").alias("pos", "_v")).select(
+        "rel_path", "grp", "bit_depth", "pos",
+        F.round(F.col("_v").cast("double") * (F.pow(F.lit(2.0), "bit_depth") - 1)).cast("bigint").alias("sample"),
+    )
+
+
 @query("rejected_files", """SELECT vec_id || '.png' AS rel_path FROM embeddings WHERE vec_id % 10 = 0""")
 def _rejected_files(spark, sf):
     return images.rejected_files(images.ingest_frames(_picture_files(spark, sf))).select("rel_path")
