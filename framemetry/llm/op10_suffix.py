@@ -376,7 +376,7 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
     plain = met.where("NOT mixed OR run > 0").select("h1", "h2", first.alias("start"), (first + more + LENGTH).alias("stop"))
 
     def pieces(some: Column) -> DataFrame:
-        # run is carried only so that this reads the same exchange as the plain spans
+        # run is carried only so that these steps and the plain spans read one and the same exchange
         places = F.collect_list(F.struct("anchor", "place", "run")).alias("places")
         wanted = met.where("mixed").where(some).groupBy("h1", "h2").agg(places)
         own = texts.where("copies > 0").join(wanted, ["h1", "h2"]).select("h1", "h2", "text", "places")
