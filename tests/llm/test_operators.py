@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
+import corpus_pipeline
 from framemetry.llm import (
     op1_quality, op2_html, op3_warc, op4_simhash, op5_language, op6_lines, op7_units, op8_benchmark, op9_mixing,
     op10_suffix,
@@ -201,6 +202,49 @@ def test_components_of_paths_and_stars(spark):
     assert got == {**{i: 0 for i in range(61)}, **{1000 + i: 1000 for i in range(200)}}
 
 
+def brute_near(texts):
+    """Smallest member of each component of texts whose five-word Jaccard similarity is 0.8 or more."""
+    sets = {}
+    for k, t in texts.items():
+        words = (t or "").lower().encode().split()
+        sets[k] = {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+    label = {k: k for k in sets}
+    pairs = [(a, b) for a in sets for b in sets if a < b and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])]
+    for _ in sets:
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    return set(label.values()), pairs
+
+
+def test_near_copies_of_the_pipeline(spark, documents):
+    """Families of copies around 0.8: each pair above it is linked, whatever its fingerprints, none below."""
+    r = random.Random(17)
+    texts = {}
+    for _ in range(12):
+        base = prose(r, r.randint(60, 300)).split()
+        for _ in range(12):
+            words = list(base)
+            for at in r.sample(range(len(words)), r.randint(0, len(words) // 22)):
+                words[at] = "edit" + str(r.random())
+            texts[len(texts)] = " ".join(words)
+    want, pairs = brute_near(texts)
+    prints = {k: op4_simhash.fingerprint(t) for k, t in texts.items()}
+    assert sum((prints[a] ^ prints[b]).bit_count() > 3 for a, b in pairs) > len(pairs) / 2
+    assert 12 < len(want) < len(texts) - 12
+    docs = documents([*texts.items(), *[(k + 1000, t.upper()) for k, t in texts.items()]])
+    kept = corpus_pipeline.near_copies(spark, docs, "")
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(want)
+
+
+def test_near_copies_cases(spark, documents):
+    r = random.Random(18)
+    text = prose(r, 200)
+    docs = documents([(5, text), (3, text), (None, text), (8, None), (9, ""), (9, ""), (12, prose(r, 100)), (13, "a b"), (14, "A b"), (15, "a c")])
+    kept = corpus_pipeline.near_copies(spark, docs, "")
+    assert rows_of(kept, "doc_id") == sorted([(3,), (8,), (12,), (13,), (15,)], key=repr)
+    assert corpus_pipeline.near_copies(spark, docs.limit(0), "").count() == 0
+
+
 # ---- 5: language --------------------------------------------------------------------------------
 
 
