@@ -277,6 +277,21 @@ def test_language_held_out(spark, sf):
     assert all(zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2 for r in got)
 
 
+def test_pipeline_keeps_texts_of_three_languages(spark, documents):
+    r = random.Random(19)
+    kinds = {"xx": WORDS[:7], "yy": WORDS[7:14], "zz": WORDS[13:]}
+
+    def text(lang, n):
+        return " ".join("".join(r.choices(kinds[lang], k=3)) for _ in range(n))
+
+    rows = [(i * 3 + k, text(lang, 60), lang) for k, lang in enumerate(kinds) for i in range(30)]
+    mixed = text("xx", 80) + " " + text("yy", 70) + " " + text("zz", 50)
+    docs = documents([*rows, (1000, mixed, None), (1001, "12 !?", None)])
+    found = op5_language.identify(docs, docs.where(~op5_language.held_out())).where("doc_id = 1000").first()
+    assert found["score"] < 0.5 and len(found["languages"]) == 3
+    assert {x["doc_id"] for x in corpus_pipeline.language(spark, docs, "").collect()} == {*range(90), 1000}
+
+
 # ---- 6: line windows ----------------------------------------------------------------------------
 
 
