@@ -15,7 +15,7 @@ of its question, and of its answer if it has one, must stand there. The answer i
 to four words are one shingle.
 
 Cases: null or empty texts and items match nothing, nor do items below ``SHINGLE`` words. Longer items
-than ``LONGEST`` words are indexed in pieces under one id. Null ids come back as null; rows that repeat
+than ``LONGEST`` words are retrieved by pieces, each of which leads to the whole item, verified like any. Null ids come back as null; rows that repeat
 each report their matches. Empty tables give an empty result. Whole texts are read.
 
 At scale: documents are scanned once per shard of the items and never shuffled. A shard is broadcast; it
@@ -66,6 +66,12 @@ def parts(text: str) -> tuple[list[str], list[str]]:
     return (tokens(text[:at]), tokens(text[at:])) if at else (tokens(text), [])
 
 
+def pieces(words: list[str]) -> list[list[str]]:
+    """The words in as many equal pieces as LONGEST asks for."""
+    size = -(-len(words) // max(1, -(-len(words) // LONGEST)))
+    return [words[at : at + size] for at in range(0, len(words), size)] if words else [words]
+
+
 def shingles(words: list[str]) -> set[tuple[str, ...]]:
     if len(words) < SHINGLE:
         return {tuple(words)} if words else set()
@@ -88,9 +94,10 @@ class Index:
 
     def __init__(self, items: list[tuple[int, list[str], list[str]]], count: int, mean: float, frequency: dict[str, int]):
         self.items = items
+        cut = [(at, words) for at, (_, question, answer) in enumerate(items) for words in pieces(question + answer)]
+        self.whole = [at for at, _ in cut]  # the item of each piece; numbers below are those of pieces
         lists: dict[str, list[tuple[int, float]]] = {}
-        for number, (_, question, answer) in enumerate(items):
-            words = question + answer
+        for number, (_, words) in enumerate(cut):
             tf: dict[str, int] = {}
             for w in words:
                 tf[w] = tf.get(w, 0) + 1
@@ -112,12 +119,12 @@ class Index:
             for n, x in found:
                 best[n // BLOCK] = max(best.get(n // BLOCK, 0.0), x)
             self.block_max.append(best)
-        self.blocks = -(-len(items) // BLOCK)
+        self.blocks = -(-len(cut) // BLOCK)
         sizes = np.array([len(b) for b in self.block_max] or [0])
         self.first = np.concatenate([[0], np.cumsum(sizes)])
         self.block = np.array([b for best in self.block_max for b in best], np.int64)
         self.bound = np.array([x for best in self.block_max for x in best.values()])
-        self.half = max([HALF, *[len(q) + len(a) for _, q, a in items]])
+        self.half = max([HALF, *[len(words) for _, words in cut]])
 
     def hopeful(self, passage: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
         """Passages (of pairs passage, term) some block of which could reach the threshold."""
@@ -131,7 +138,7 @@ class Index:
 
     def retrieve(self, terms: list[int]) -> list[tuple[int, float]]:
         """Items that score the threshold or more, by block-max WAND."""
-        found, end = [], len(self.items)
+        found, end = [], len(self.whole)
         cursors = [[self.posting[t][0], 0, t] for t in terms]
         while True:
             cursors = sorted(c for c in cursors if c[0] < end)
@@ -195,7 +202,7 @@ class Index:
         for a, z in zip(cut[:-1], cut[1:]):
             i, start = windows[passage[a]]
             for number, score in self.retrieve(term[a:z].tolist()):
-                item, question, answer = self.items[number]
+                item, question, answer = self.items[self.whole[number]]
                 size = len(question) + len(answer)
                 around = texts[i][max(0, start - size) : start + width + size]
                 grams = shingles(around) if len(around) >= SHINGLE else set()
@@ -217,14 +224,8 @@ def indexes(items: DataFrame) -> Iterator[Index]:
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 question, answer = parts(text or "")
                 words = question + answer
-                if len(words) < SHINGLE:
-                    continue
-                if len(words) <= LONGEST:
+                if len(words) >= SHINGLE:
                     rows.append((item, question, answer))
-                else:
-                    pieces = -(-len(words) // LONGEST)
-                    size = -(-len(words) // pieces)
-                    rows.extend((item, words[k * size : (k + 1) * size], []) for k in range(pieces))
             cols = list(zip(*rows)) or [()] * 3
             kinds = [pa.int64(), pa.list_(pa.string()), pa.list_(pa.string())]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["item_id", "question", "answer"])

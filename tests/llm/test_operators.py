@@ -394,6 +394,19 @@ def test_matches_against_shingles(spark, documents, monkeypatch):
     assert op8_benchmark.matches(frame, bench.limit(0)).count() == 0
 
 
+def test_long_items_are_verified_whole(documents, spark):
+    """A document with a piece of a long item is no match; one with the whole item is, once."""
+    r = random.Random(21)
+    reading = " ".join(prose(r, 1500).replace(".", "").split())
+    item = f"{reading} what is it? {prose(r, 20)}"
+    words = item.split()
+    docs = documents([(1, " ".join(words[:600])), (2, prose(r, 300) + " " + item), (3, " ".join(words[: len(words) - 22])), (4, item + " " + item)])
+    bench = spark.createDataFrame([(7, item)], "item_id bigint, text string")
+    got = rows_of(op8_benchmark.matches(docs, bench), "doc_id", "item_id", "question_overlap", "answer_overlap")
+    assert got == [(2, 7, 1.0, 1.0), (4, 7, 1.0, 1.0)]
+    assert rows_of(op8_benchmark.without_items(docs, bench), "doc_id") == [(1,), (3,)]
+
+
 # ---- 9: mixing ----------------------------------------------------------------------------------
 
 
