@@ -11,5 +11,8 @@ from framemetry.llm import (  # noqa: F401
     op8_benchmark,
     op9_mixing,
     op10_suffix,
+    op11_ranked,
+    op12_recipes,
+    op13_middle,
 )
 from framemetry.llm.registry import ORACLES, QUERIES  # noqa: F401
