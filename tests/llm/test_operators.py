@@ -12,7 +12,7 @@ import xxhash
 
 import corpus_pipeline
 from framemetry.llm import (
-    op1_quality, op2_html, op3_warc, op4_simhash, op5_language, op6_lines, op7_units, op8_benchmark, op9_mixing,
+    near_copies, op1_quality, op2_html, op3_warc, op4_simhash, op5_language, op6_lines, op7_units, op8_benchmark, op9_mixing,
     op10_suffix,
 )
 
@@ -236,6 +236,37 @@ def test_near_copies_of_the_pipeline(spark, documents):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(want)
 
 
+@pytest.mark.parametrize("crowd", [8])
+def test_crowded_families(documents, monkeypatch, crowd):
+    """A family around one text, each with edits of its own, some alike and most not: links are those of brute
+    force, and what is held against each other grows with the family, not its square."""
+    r = random.Random(19)
+    rows = {}
+    for size in (150, 300):
+        base, texts = prose(r, 200).split(), {}
+        for k in range(size):
+            words = list(base)
+            for at in r.sample(range(len(words)), r.choice([1, 3, 6, 6, 6, 9])):
+                words[at] = "edit" + str(r.random())
+            texts[k] = " ".join(words)
+        for k in range(0, size, 10):  # copies of copies
+            texts[size + k] = texts[k] + " and some more words at its end"
+        want, _ = brute_near(texts)
+        seen = {}
+
+        def kept(df, purpose, own=near_copies.written):
+            seen[purpose] = own(df, purpose)
+            return seen[purpose]
+
+        monkeypatch.setattr(near_copies, "CROWD", crowd)
+        monkeypatch.setattr(near_copies, "written", kept)
+        got = near_copies.representatives(documents(texts.items()))
+        assert sorted(x["doc_id"] for x in got.collect()) == sorted(want)
+        monkeypatch.undo()
+        rows[size] = seen["met"].count()
+    assert rows[300] < 4 * 300
+
+
 def test_near_copies_cases(spark, documents):
     r = random.Random(18)
     text = prose(r, 200)
