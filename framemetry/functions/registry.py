@@ -6,8 +6,12 @@ The scalar functions are expanded into the query's plan and cost what the writte
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import SparkSession
-from pyspark.sql.functions import udtf
+from pyspark.sql.functions import pandas_udf, udtf
 
 _SCALAR = {
     "clamp01(v DOUBLE) RETURNS DOUBLE": "CASE WHEN isnan(v) THEN v ELSE greatest(0D, least(1D, v)) END",
@@ -46,3 +50,23 @@ def register_functions(spark: SparkSession) -> list[str]:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
     spark.udtf.register("tile_grid", udtf(TileGrid, returnType="top INT, left INT"))
     return [*[head.split("(")[0] for head in _SCALAR], "tile_grid"]
+
+
+def register_criterion(spark: SparkSession, name: str, fn: Callable[..., float]) -> None:
+    """Make a criterion of the caller's own an SQL aggregate: ``SELECT k, name(a, b) FROM t GROUP BY k``.
+
+    ``fn`` gets the values of a group as one array per argument, NULLs as not-a-number, and gives one number. A
+    group is held by one task, as numbers only, so groups should be of the size of a frame or a run; scores of a
+    whole table are means of scores of such groups.
+    """
+
+    def aggregate(*values: pd.Series) -> float:
+        return float(fn(*[np.asarray(v, float) for v in values]))
+
+    # the kind of a function over groups is read from its hints
+    two = aggregate
+
+    def criterion(first: pd.Series, *more: pd.Series) -> float:
+        return two(first, *more)
+
+    spark.udf.register(name, pandas_udf(criterion, "double", 202))

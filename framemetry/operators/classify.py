@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import LongType
 
+from framemetry.operators import stacks
 from framemetry.operators.prefix import join_same
 
 
@@ -99,3 +104,40 @@ def balanced_class_f1(df: DataFrame, board: str, arm: str, **cols) -> DataFrame:
     return scores.groupBy(arm, "class").agg(
         F.avg("f1").alias("balanced_f1"), F.count(F.lit(1)).alias("boards")
     )
+
+
+# --- a classifier behind a denoiser -----------------------------------------------------------------
+
+
+def classify_frames(
+    frames: DataFrame, classify: Callable[[np.ndarray], np.ndarray], denoise: Callable[[np.ndarray], np.ndarray] | None = None,
+    column: str = "pixels", pred: str = "pred",
+) -> DataFrame:
+    """``frames`` without their pixels and with the class that ``classify`` gives each: a function of a stack (n, h, w) that
+    gives n whole numbers. ``denoise``, if given, runs before it on the same stack, and what it gives is clamped to
+    [0, 1]. A frame without pixels, or whose pixels are not all finite after the denoiser, has no class (NULL)."""
+    keep = [c for c in frames.columns if c not in (column, pred)]
+
+    def run(x: np.ndarray) -> dict[str, np.ndarray]:
+        if denoise is not None:
+            x = np.clip(denoise(x), 0.0, 1.0)
+        usable = np.isfinite(x).all((1, 2))
+        found = np.full(len(x), None, object)
+        if usable.any():
+            found[usable] = np.asarray(classify(x[usable])).astype(np.int64).tolist()
+        return {pred: found}
+
+    return stacks.on_stacks(frames, keep, [column], {pred: LongType()}, run)
+
+
+def denoised_report(
+    frames: DataFrame, true: str, classify: Callable[[np.ndarray], np.ndarray], denoise: Callable[[np.ndarray], np.ndarray] | None = None,
+    keys: list[str] | None = None, column: str = "pixels",
+) -> DataFrame:
+    """The classification report of frames with and, if given, behind a denoiser: clamp, classify and report in one plan.
+    Frames without a class are left out and counted as ``skipped``."""
+    keys = keys or []
+    found = classify_frames(frames.select(*dict.fromkeys([*keys, true, "h", "w", column])), classify, denoise, column, "_pred")
+    report = classification_report(found.where(F.col("_pred").isNotNull()), keys, true, "_pred")
+    skipped = found.groupBy(*keys).agg(F.count_if(F.col("_pred").isNull()).alias("skipped"))
+    return join_same(skipped, report, keys, "left") if keys else report.withColumn("skipped", skipped.scalar())

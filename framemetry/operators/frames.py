@@ -51,7 +51,7 @@ def _pair_key(df: DataFrame, on: str) -> DataFrame:
 def pair_frames(noisy: DataFrame, clean: DataFrame, on: str = "rel_path") -> DataFrame:
     """Noisy and clean pictures of the same path below their roots, or of the same file name.
 
-    One shuffle: both sides are grouped by the key together, each side scanned once. A key used twice
+    One shuffle of frames: both sides are grouped by the key together. A key used twice
     on one side would pair every combination and fails instead (``duplicate_keys`` lists such keys). If
     nothing pairs at all the result fails too: two folders without a common name are a mistake. NULL
     paths pair with nothing.
@@ -78,8 +78,10 @@ def pair_frames(noisy: DataFrame, clean: DataFrame, on: str = "rel_path") -> Dat
             F.col("_noisy.h").alias("noisy_h"), F.col("_noisy.w").alias("noisy_w"), F.col("_noisy.pixels").alias("noisy"),
         )
     )
+    # whether anything pairs is asked of the keys alone: neither pixels nor sizes are read for it
+    sides = both.groupBy("_pair").agg(F.countDistinct("_side").alias("_sides"))
     nothing = F.raise_error(F.lit("no two frames pair")).cast("boolean")
-    guard = pairs.agg(F.count("rel_path").alias("_n")).filter(F.when(F.col("_n") == 0, nothing).otherwise(F.lit(False)))
+    guard = sides.agg(F.count_if(F.col("_sides") == 2).alias("_n")).filter(F.when(F.col("_n") == 0, nothing).otherwise(F.lit(False)))
     return pairs.unionByName(guard.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in pairs.schema.fields]))
 
 

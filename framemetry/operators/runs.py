@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from framemetry.functions.scalars import finite, finite_or_null, nan_if_null
 from framemetry.operators.prefix import BUCKET, bucket_of, in_bucket, in_ranges, join_same, smallest_rows, with_carry
+from framemetry.operators.selection import countable, nth_place
 from framemetry.session import written
 
 # Rows of one bucket of a running aggregate; a run of any length is cut into such pieces.
@@ -251,16 +252,25 @@ def run_stop_epoch(rollup: DataFrame, run: list[str], epoch: str = "epoch") -> D
 # --- warm-up, latency -------------------------------------------------------------------------------
 
 
+FEW_FIRST = 1000
+
+
 def warmup_drop(df: DataFrame, keys: list[str], order: list[str], n: int = 50) -> DataFrame:
     """Rows after the first ``n`` of each key in the order of a unique ``order``.
 
-    Only the n-th position is looked for, by an aggregate that keeps n places per key and input task
-    whatever n is; the rows themselves are compared with it, never ranked. Keys with fewer rows than
-    ``n`` have nothing left.
+    Only the n-th place of each key is looked for; the rows are compared with it, never ranked. Up to ``FEW_FIRST`` places
+    are kept per key and input task; a larger n is found by counting (``selection.nth_place``), so n and keys may
+    have any size. Keys with fewer rows than ``n`` have nothing left. Orders by columns that are no numbers,
+    dates or times keep n places whatever n is.
     """
+    if n <= 0:
+        return df
     place = F.struct(*order)
-    last = smallest_rows(df.select(*keys, place.alias("_place")), keys, "_place", n)
-    last = last.groupBy(*keys).agg(F.max("_place").alias("_last"))
+    if n > FEW_FIRST and countable(df, order):
+        last = nth_place(df, keys, order, n)
+    else:
+        last = smallest_rows(df.select(*keys, place.alias("_place")), keys, "_place", n)
+        last = last.groupBy(*keys).agg(F.max("_place").alias("_last"))
     return join_same(df, last, keys).filter(place > F.col("_last")).drop("_last")
 
 
@@ -277,37 +287,52 @@ def latency_summary(
 # --- spans ---------------------------------------------------------------------------------------------
 
 
+def _equal(a, b) -> bool:
+    """Of values of one column: NULL equals NULL, and not-a-number itself."""
+    return a == b or (a is not None and b is not None and a != a and b != b)
+
+
 def _range_spans(keys: list[str], group: str, schema: pa.Schema):
-    """Spans of one sorted partition: (range, keys, group, place in the key, first and last row)."""
+    """Spans of one sorted partition: (range, keys, group, place in the key, first and last row). A batch is cut at
+    the ends of runs as arrays; only where batches meet are values compared one by one."""
     names = [*keys, group]
 
+    def ends_of(batch: pa.RecordBatch, columns: list[str]) -> np.ndarray:
+        ends = [pc.run_end_encode(batch.column(c)).run_ends.to_numpy() for c in columns]
+        return np.unique(np.concatenate([*ends, [batch.num_rows]]))
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        held: list | None = None  # key, group, number in the key, first and last row
+        held: tuple | None = None  # the last span so far: its values as a row, place in the key, first and last row
         for batch in batches:
-            ends = [pc.run_end_encode(batch.column(c)).run_ends.to_numpy() for c in names] if batch.num_rows else []
-            out = []
-            start = 0
-            for stop in np.unique(np.concatenate(ends)).tolist() if ends else ():
-                *key, value = (batch.column(c)[start].as_py() for c in names)
-                rows = stop - start
-                if held is not None and held[0] == key and held[1] == value:
-                    held[4] += rows
+            if not batch.num_rows:
+                continue
+            batch = batch.select(names)
+            stops, key_stops = ends_of(batch, names), ends_of(batch, keys)
+            starts, key_starts = np.concatenate([[0], stops[:-1]]), np.concatenate([[0], key_stops[:-1]])
+            of = np.searchsorted(key_stops, starts, "right")  # the key of each span
+            nth = np.arange(len(starts)) - np.searchsorted(starts, key_starts)[of]
+            first, last = starts - key_starts[of], stops - 1 - key_starts[of]
+            rows = batch.take(pa.array(starts))
+            if held is not None:
+                row, place, begin, end = held
+                same = [_equal(row.column(c)[0].as_py(), rows.column(c)[0].as_py()) for c in names]
+                if all(same[:-1]):
+                    nth[of == 0] += place + (not same[-1])
+                    first[of == 0] += end + 1
+                    last[of == 0] += end + 1
+                if all(same):
+                    first[0] = begin
                 else:
-                    if held is not None:
-                        out.append(held)
-                    same = held is not None and held[0] == key
-                    first = held[4] + 1 if same else 0
-                    held = [key, value, held[2] + 1 if same else 0, first, first + rows - 1]
-                start = stop
-            yield rows_of(part, out)
+                    yield spans_of(part, row, [place], [begin], [end])
+            yield spans_of(part, rows.slice(0, len(rows) - 1), nth[:-1], first[:-1], last[:-1])
+            held = rows.slice(len(rows) - 1), int(nth[-1]), int(first[-1]), int(last[-1])
         if held is not None:
-            yield rows_of(part, [held])
+            yield spans_of(part, held[0], *[[x] for x in held[1:]])
 
-    def rows_of(part: int, spans: list) -> pa.RecordBatch:
-        cols = [[part] * len(spans), *[[s[0][i] for s in spans] for i in range(len(keys))]]
-        cols += [[s[i] for s in spans] for i in range(1, 5)]
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
+    def spans_of(part: int, rows: pa.RecordBatch, *numbers) -> pa.RecordBatch:
+        cols = [pa.array(np.full(len(rows), part), pa.int32()), *rows.columns, *[pa.array(n, pa.int64()) for n in numbers]]
+        return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, schema)], schema=schema)
 
     return run
 

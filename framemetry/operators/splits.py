@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from framemetry.functions import draws
 from framemetry.functions.scalars import first_folder
-from framemetry.operators.prefix import BUCKET, HASH, exact_index, hash_order, join_same, smallest_threshold
+from framemetry.operators.prefix import BUCKET, HASH, exact_index, hash_order, join_same, placed, smallest_threshold
 from framemetry.session import written
 
 
@@ -38,7 +38,9 @@ def _split_exact(
 def split_random(
     df: DataFrame, id_col: str, ratio: float, seed: int, algo: str = "xxhash64"
 ) -> DataFrame:
-    """Column ``split``: exactly max(1, int(n * ratio)) rows are ``val``."""
+    """Column ``split``: exactly max(1, int(n * ratio)) rows are ``val``.
+
+    Rows that repeat an id are on one side, so with repeated ids there may be more, by the repeats of one id."""
 
     def take(n: Column) -> Column:
         return F.greatest(F.lit(1), F.floor(n * F.lit(float(ratio)))).cast("bigint")
@@ -90,6 +92,25 @@ def split_lofo(df: DataFrame, path: str, held_out: str | None = None) -> DataFra
     return grouped.withColumn("split", F.when(F.col("grp") == target, "val").otherwise("train"))
 
 
+def held_out_frames(stored: DataFrame, held_out: list[str] | DataFrame | None = None, group: str = "grp") -> tuple[DataFrame, DataFrame]:
+    """(train, val) of a table stored by ``group``: the groups held out are ``val``, by default the greatest one.
+
+    Groups may be given by name or as a table with a column ``group``. Each side reads the files of its own groups only: names and
+    the greatest group become partition filters, a table of groups prunes partitions at run time. A NULL group is
+    never held out and trains.
+    """
+    if isinstance(held_out, DataFrame):
+        wanted = held_out.select(F.col(group).alias("_held")).where(F.col("_held").isNotNull()).distinct()
+        mine = stored[group] == wanted["_held"]
+        return stored.join(wanted, mine, "left_anti"), stored.join(wanted, mine, "left_semi")
+    if held_out is None:
+        target = last_group(stored, group)
+        here, other = F.col(group) == target, F.col(group) != target
+    else:
+        here, other = F.col(group).isin(held_out), ~F.col(group).isin(held_out)
+    return stored.where(F.col(group).isNull() | other), stored.where(here)
+
+
 def complement_groups(df: DataFrame, group: str, held_out: str) -> DataFrame:
     return df.filter(F.col(group) != held_out)
 
@@ -98,23 +119,15 @@ def board_folds(df: DataFrame, board: str) -> DataFrame:
     """(fold, board, role): each board is the test board once, the next one cyclically is the
     validation board (the rule is ours), the rest train.
 
-    The listing has boards x boards rows by definition, so the list of boards, one row here, is short in
-    any use of it. A NULL board is a board.
+    The listing has boards x boards rows by definition; each is made from a board and a place, so no row
+    holds all boards. A NULL board is a board.
     """
-    boards = df.select(board).distinct().agg(
-        F.array_sort(F.collect_list(F.struct(F.col(board).alias("b")))).alias("_all")
-    )
-    n = F.size("_all")
-    i, j = F.col("_fold_pos"), F.col("_board_pos")
-    return (
-        boards.select("_all", F.posexplode("_all").alias("_fold_pos", "_fold"))
-        .select("_all", "_fold_pos", "_fold", F.posexplode("_all").alias("_board_pos", "_board"))
-        .withColumn(
-            "role",
-            F.when(i == j, "test").when(j == (i + 1) % n, "val").otherwise("train"),
-        )
-        .select(F.col("_fold.b").alias("fold"), F.col("_board.b").alias(board), "role")
-    )
+    places = written(placed(df.select(board).distinct(), [], [board], "_at"), "boards")
+    n = places.select(F.count(F.lit(1))).scalar()
+    sides = places.select(F.col(board).alias("fold"), F.col("_at").alias("_of"), n.alias("_n"))
+    each = sides.select("fold", "_of", "_n", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n"))).alias("_at"))
+    role = F.when(F.col("_of") == F.col("_at"), "test").when(F.col("_at") == F.col("_of") % F.col("_n") + 1, "val").otherwise("train")
+    return each.join(places, "_at").select("fold", board, role.alias("role"))
 
 
 def fold_rows(df: DataFrame, board: str, folds: DataFrame, fold) -> DataFrame:

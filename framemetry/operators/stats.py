@@ -9,6 +9,7 @@ from pyspark.sql.types import DoubleType
 
 from framemetry.functions.special import t_critical, t_p_value
 from framemetry.operators.prefix import join_same
+from framemetry.session import written
 
 SIGN_FLIP_MAX_N = 20
 
@@ -206,6 +207,75 @@ def sign_flip_p(
     return lists.select(*keys, few.alias("_few")).select(*keys, exact_share(F.col("_few"), max_n).alias("exact_sign_flip_p"))
 
 
+GRID_DECIMALS = 9
+GRID_CELLS = 20_000_000
+GRID_MAX_N = 1000
+
+
+def grid_share(values: np.ndarray, decimals: int = GRID_DECIMALS, cells: int = GRID_CELLS) -> float | None:
+    """Two-sided exact p of values on a grid, by counting how many sign vectors give each sum.
+
+    Values of at most ``decimals`` decimals are whole numbers of a common step. The sums of the first i values
+    are few on that grid, however many sign vectors there are, so they are kept as places and shares, value by value. None
+    where the values are on no such grid, or reach over more than ``cells`` of its steps.
+    """
+    if not len(values):
+        return None
+    steps = np.abs(np.rint(values * 10.0**decimals))
+    if not np.isfinite(values).all() or np.abs(values).max() * 10.0**decimals >= 2**53:
+        return None
+    if (np.abs(steps - np.abs(values) * 10.0**decimals) > 1e-6 * np.maximum(steps, 1)).any():
+        return None
+    steps = steps.astype(np.int64)
+    common = int(np.gcd.reduce(steps))
+    if common == 0:
+        return 1.0
+    steps = np.sort(steps // common)
+    observed = abs(int((np.sign(values[np.argsort(np.abs(values), kind="stable")]).astype(np.int64) * steps).sum()))
+    if int(steps.sum()) > cells:
+        return None
+    places, share = np.zeros(1, np.int64), np.ones(1)
+    for step in steps.tolist():
+        if not step:
+            continue
+        # the two shifted lists are sorted already; equal places are added
+        both = np.concatenate([places - step, places + step])
+        order = np.argsort(both, kind="stable")
+        both, halves = both[order], np.concatenate([share, share])[order] / 2
+        first = np.flatnonzero(np.diff(both, prepend=both[0] - 1))
+        places, share = both[first], np.add.reduceat(halves, first)
+    return float(min(1.0, share[np.abs(places) >= observed].sum()))
+
+
+def sign_flip_grid(
+    df: DataFrame, keys: list[str], value: str = "delta", decimals: int = GRID_DECIMALS, max_n: int = GRID_MAX_N,
+    large: str = "error",
+) -> DataFrame:
+    """The exact sign-flip test for groups of up to ``max_n`` units, where values are decimals.
+
+    Published tables hold decimals of a few digits, so the sums under all 2^n sign vectors fall on few places of a
+    grid; counting them takes n steps over these places instead of 2^n sums. Groups above ``max_n``, of values
+    that are on no grid of ``decimals`` digits, or that reach over more than ``GRID_CELLS`` steps fail, or give NULL with ``large='null'``;
+    none is cut. NULL values do not count; a NULL key is a key.
+    """
+
+    @F.pandas_udf(DoubleType())
+    def share(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else grid_share(np.asarray(v, float), decimals))
+
+    lists = _bounded_lists(df, keys, value, max_n + 1)
+    few = F.when(F.size("_values") <= max_n, F.col("_values"))
+    tested = lists.select(*keys, F.size("_values").alias("_n"), share(few).alias("_p"))
+    p = F.col("_p")
+    if large == "error":
+        problem = F.concat(
+            F.lit("no exact sign-flip test: a group of "), F.col("_n").cast("string"),
+            F.lit(f" or more units, or values on no grid of {decimals} decimals"),
+        )
+        p = F.when(p.isNull(), F.raise_error(problem).cast("double")).otherwise(p)
+    return tested.select(*keys, p.alias("exact_sign_flip_p"))
+
+
 def sign_cross(
     df: DataFrame, keys: list[str], value: str = "delta", max_n: int = SIGN_FLIP_MAX_N
 ) -> DataFrame:
@@ -261,6 +331,86 @@ def scope_rollup(
     return paired_summary(scoped(pairs, group, everything), ["scope", *keys], value)
 
 
+SCOPE_COUNTS = ["n", "wins", "ties", "losses"]
+
+
+def _list_of_few(df: DataFrame, keys: list[str], value: str, max_n: int) -> DataFrame:
+    """(keys, _values): the sorted values of groups of at most ``max_n``; NULL for larger ones."""
+    return _bounded_lists(df, keys, value, max_n + 1).select(
+        *keys, F.when(F.size("_values") <= max_n, F.col("_values")).alias("_values")
+    )
+
+
+def scopes_rollup(
+    pairs: DataFrame, dims: list[str], keys: list[str], sets: list[list[str]] | None = None, value: str = "delta",
+    max_n: int = SIGN_FLIP_MAX_N,
+) -> DataFrame:
+    """The paired summary of every scope: the grouping sets over ``dims``, by default each dimension alone and all
+    together.
+
+    Returns the dims (NULL where rolled up), ``scope`` (the names of the dims that the scope is split by, joined
+    by commas; empty for everything), ``keys`` and the columns of ``paired_summary``. A NULL in a dim is a value
+    like any other; ``scope`` tells it from a dim that is rolled up.
+
+    The input is reduced once, to one row of mergeable moments per combination of dims and keys; grouping sets
+    go over these. Moments are about a centre per keys, so that they can be added without cancelling. The values for
+    the exact test travel only to scopes small enough to have one.
+    """
+    sets = [[], *[[d] for d in dims]] if sets is None else sets
+    d = F.col(value).cast("double")
+    fine = [*dims, *keys]
+    cells = pairs.groupBy(*fine).agg(
+        F.count(value).alias("n"), F.avg(d).alias("_mean"), (F.var_pop(d) * F.count(value)).alias("_m2"),
+        F.count_if(d > 0).alias("wins"), F.count_if(d == 0).alias("ties"), F.count_if(d < 0).alias("losses"),
+    )
+    cells = written(cells, "scope-cells")
+    centre = cells.groupBy(*keys).agg(F.try_divide(F.sum(F.col("_mean") * F.col("n")), F.sum("n")).alias("_centre"))
+    off = F.col("_mean") - F.col("_centre")
+    cells = join_same(cells, centre, keys) if keys else cells.withColumn("_centre", centre.scalar())
+    cells = cells.select(
+        *fine, *SCOPE_COUNTS, "_centre",
+        (F.col("n") * off).alias("_s"), (F.col("_m2") + F.col("n") * off * off).alias("_q"),
+    )
+    wanted = [[*one, *keys] for one in sets]
+    merged = cells.groupingSets(wanted, *fine).agg(
+        F.grouping_id().alias("_gid"), *[F.sum(c).cast("bigint").alias(c) for c in SCOPE_COUNTS], F.sum("_s").alias("_s"),
+        F.sum("_q").alias("_q"), F.max("_centre").alias("_centre"),
+    )
+    of = {_grouping_id(fine, one): ",".join(d for d in dims if d in one) for one in wanted}
+    names = F.create_map(*[F.lit(x) for pair in of.items() for x in pair])
+    merged = merged.withColumn("scope", F.element_at(names, F.col("_gid")))
+    n = F.col("n")
+    spread = F.greatest(F.col("_q") - F.try_divide(F.col("_s") * F.col("_s"), n), F.lit(0.0))
+    base = written(
+        merged.select(
+            "scope", *fine, *SCOPE_COUNTS, (F.col("_centre") + F.try_divide("_s", n)).alias("mean_delta"),
+            F.when(n > 1, F.sqrt(F.try_divide(spread, n - 1))).alias("sd_delta"),
+        ),
+        "scopes",
+    )
+    small = base.where(n <= max_n).select("scope", *fine)
+    lists = _list_of_few(pairs, fine, value, max_n).where(F.col("_values").isNotNull())
+    marks = F.array(*[F.struct(F.lit(scope).alias("scope"), *[(F.col(c) if c in one else F.lit(None)).cast(lists.schema[c].dataType).alias(c) for c in dims])
+                      for one, scope in ((one, ",".join(d for d in dims if d in one)) for one in wanted)])
+    placed = lists.select(*keys, "_values", F.explode(marks).alias("_m")).select(*keys, "_values", "_m.*")
+    few = (
+        join_same(placed, small, ["scope", *fine]).groupBy("scope", *fine)
+        .agg(F.array_sort(F.flatten(F.collect_list("_values"))).alias("_few"))
+    )
+    tested = few.select("scope", *fine, exact_share(F.col("_few"), max_n).alias("exact_sign_flip_p"))
+    half = t_critical(n, "null") * F.col("sd_delta") / F.sqrt(n)
+    return join_same(base, tested, ["scope", *fine], "left").select(
+        *dims, "scope", *keys, "n", "mean_delta", "sd_delta",
+        (F.col("mean_delta") - half).alias("ci95_low"), (F.col("mean_delta") + half).alias("ci95_high"),
+        "wins", "ties", "losses", F.try_divide("mean_delta", "sd_delta").alias("cohens_dz"), "exact_sign_flip_p",
+    )
+
+
+def _grouping_id(columns: list[str], kept: list[str]) -> int:
+    """What ``grouping_id`` says: a bit per column, the first the highest, 1 where it is rolled up."""
+    return sum(1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c not in kept)
+
+
 def paired_t_test(pairs: DataFrame, keys: list[str], value: str = "delta") -> DataFrame:
     """Paired t statistic, degrees of freedom, two-sided p and Cohen's d."""
     base = pairs.groupBy(*keys).agg(
@@ -321,7 +471,9 @@ def interaction_effect(
     first: DataFrame, second: DataFrame, unit: list[str], names: tuple[str, str, str]
 ) -> DataFrame:
     """Paired summaries of two effects and of their difference of differences."""
-    return paired_summary(interaction_deltas(first, second, unit, names), ["effect", "metric"])
+    # written: the summary and its exact test both read them
+    deltas = written(interaction_deltas(first, second, unit, names), "effects")
+    return paired_summary(deltas, ["effect", "metric"])
 
 
 # --- relative to a baseline -----------------------------------------------------------------------

@@ -5,6 +5,7 @@ from framemetry.plans import (  # noqa: F401  (import registers the queries)
     frames,
     nulls,
     runs,
+    scale,
     splits,
     statistics,
     streams,

@@ -181,19 +181,3 @@ def _paired_summary(spark, sf):
         F.nullif(F.col("o_custkey") % 4, F.lit(0)).alias("board"), ((F.col("o_totalprice") - 20000) * K).alias("delta")
     )
     return rounded(stats.paired_summary(pairs, ["board"]), PAIRED_DOUBLES, PAIRED_COUNTS, ["board"])
-
-
-@query("sign_flip_large", """WITH d AS (
-  SELECT n_regionkey % 1 AS k, n_nationkey - 9.25::DOUBLE + n_regionkey AS delta FROM nation WHERE n_nationkey < 22),
-v AS (SELECT k, delta, row_number() OVER (PARTITION BY k ORDER BY delta) - 1 AS i FROM d),
-m AS (SELECT unnest(range(1::BIGINT << 22)) AS mask),
-s AS (SELECT mask, sum(CASE WHEN (mask >> i::INT) & 1 = 1 THEN -delta ELSE delta END) AS s FROM m, v GROUP BY mask)
-SELECT 0::BIGINT AS k, round(avg(CASE WHEN abs(s) >= (SELECT abs(sum(delta)) FROM v) - 1e-9 THEN 1.0 ELSE 0.0 END), 9) AS p FROM s""")
-def _sign_flip(spark, sf):
-    """22 units: two halves of 2^11 sums."""
-    d = table(spark, sf, "nation").where("n_nationkey < 22").select(
-        (F.col("n_regionkey") % 1).cast("bigint").alias("k"),
-        (F.col("n_nationkey") - 9.25 + F.col("n_regionkey")).cast("double").alias("delta"),
-    )
-    out = stats.sign_flip_p(d, ["k"], max_n=40)
-    return out.select("k", F.round("exact_sign_flip_p", 9).alias("p"))

@@ -60,12 +60,14 @@ def _stream_epoch_rollup(spark, sf):
     return rounded(back, ["loss"], ["seen", "used", "bad"], ["day", "run"])
 
 
-def _log_stream(spark, sf, columns):
+def _log_stream(spark, sf, columns, max_files=None):
     source = shared_dir(spark, "stream-log")
     log = epoch_log(spark, sf).select("run", "epoch", *columns)
     _replay(log, "run", "epoch", [10, 20], source)
     schema = "run BIGINT, epoch BIGINT, " + ", ".join(f"{c} DOUBLE" for c in columns)
-    return sr.read_stream(_stream_session(spark), source, schema, max_files=spark.sparkContext.defaultParallelism)
+    return sr.read_stream(
+        _stream_session(spark), source, schema, max_files=max_files or spark.sparkContext.defaultParallelism
+    )
 
 
 @query("stream_early_stop", ORACLES["early_stop"])

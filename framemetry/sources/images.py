@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from framemetry.functions.scalars import first_folder, relative_path
 from framemetry.operators.checks import assert_nonempty
 from framemetry.schemas import FRAMES
+from framemetry.session import written
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 CHANNELS = {0: 1, 2: 3, 4: 2, 6: 4}  # PNG colour type -> samples per pixel
@@ -46,90 +47,142 @@ def resolved(spark: SparkSession, root: str) -> str:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
-def write_frame_files(frames: DataFrame, root: str, depth: int = 8) -> int:
-    """Frames (rel_path, h, w, pixels in [0, 1]) as PNG files below ``root``; returns how many.
-
-    Names are given, so a repeated task writes the same files again."""
+def write_files(files: DataFrame, root: str) -> int:
+    """(rel_path, content) as files below ``root``; returns how many. Names are given, so a repeated task writes the
+    same files again."""
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, base = fs.FileSystem.from_uri(root if ":/" in root else f"file://{root}")
-        top = 2**depth - 1
+        system, base = fs.FileSystem.from_uri(root if ":/" in root else f"file://{root}")
         for batch in batches:
-            for row in batch.to_pylist():
-                name = f"{base}/{row['rel_path']}"
-                files.create_dir(name.rpartition("/")[0], recursive=True)
-                samples = np.rint(np.array(row["pixels"]) * top).reshape(row["h"], row["w"])
-                with files.open_output_stream(name) as out:
-                    out.write(encode_gray_png(samples, depth))
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                path = f"{base}/{name}"
+                system.create_dir(path.rpartition("/")[0], recursive=True)
+                with system.open_output_stream(path) as out:
+                    out.write(content.as_buffer())
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
 
-    return frames.select("rel_path", "h", "w", "pixels").mapInArrow(store, "n bigint").agg(F.sum("n")).first()[0] or 0
-
-
-def _unfilter(raw: np.ndarray, rows: int, stride: int, bpp: int) -> np.ndarray:
-    """Undo the per-row prediction of PNG; bytes wrap around at 256."""
-    lines = raw.reshape(rows, stride + 1)
-    out = np.zeros((rows + 1, stride), np.uint8)
-    for y in range(rows):
-        kind, line, up = lines[y, 0], lines[y, 1:], out[y]
-        if kind == 0:
-            out[y + 1] = line
-        elif kind == 1:
-            lanes = line.reshape(-1, bpp).astype(np.uint32)
-            out[y + 1] = (np.cumsum(lanes, axis=0) & 255).astype(np.uint8).reshape(-1)
-        elif kind == 2:
-            out[y + 1] = line + up
-        elif kind in (3, 4):
-            row = [0] * bpp
-            above = [0] * bpp + up.tolist()
-            for i, v in enumerate(line.tolist()):
-                left, top, corner = row[i], above[i + bpp], above[i]
-                if kind == 3:
-                    guess = (left + top) >> 1
-                else:
-                    p = left + top - corner
-                    guess = min((left, top, corner), key=lambda c: abs(p - c))
-                row.append((v + guess) & 255)
-            out[y + 1] = row[bpp:]
-        else:
-            raise ValueError(f"unknown row filter {kind}")
-    return out[1:]
+    return files.select("rel_path", "content").mapInArrow(store, "n bigint").agg(F.sum("n")).first()[0] or 0
 
 
-def decode_png(content: bytes) -> tuple[int, int, int, np.ndarray]:
-    """(height, width, bit depth, integer samples); colour is reduced to 8-bit luminance."""
+def write_frame_files(frames: DataFrame, root: str, depth: int = 8) -> int:
+    """Frames (rel_path, h, w, pixels in [0, 1]) as PNG files below ``root``; returns how many."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top = 2**depth - 1
+        for batch in batches:
+            content = []
+            for h, w, pixels in zip(*[batch.column(i).to_pylist() for i in (1, 2)], batch.column(3)):
+                samples = np.rint(pixels.values.to_numpy() * top).reshape(h, w)
+                content.append(encode_gray_png(samples, depth))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(content, pa.binary())], names=["rel_path", "content"])
+
+    rows = frames.select("rel_path", "h", "w", "pixels")
+    return write_files(rows.mapInArrow(encode, "rel_path string, content binary"), root)
+
+
+def _unfilter(lines: np.ndarray, bpp: int) -> np.ndarray:
+    """Undo the row prediction of a stack of pictures of one size; bytes wrap around at 256.
+
+    A sample depends on those to its left, above and above left, so all samples of an anti-diagonal are
+    known at once, over all rows and pictures; rows of simple prediction only need no diagonals.
+    """
+    n, rows, stride = lines.shape[0], lines.shape[1], lines.shape[2] - 1
+    kinds, width = lines[:, :, 0], stride // bpp
+    if kinds.size and kinds.max() > 4:
+        raise ValueError(f"unknown row filter {kinds.max()}")
+    samples = lines[:, :, 1:].reshape(n, rows, width, bpp)
+    out = np.zeros((n, rows + 1, width + 1, bpp), np.int16)
+    if not kinds.size or kinds.max() <= 2:
+        for y in range(rows):
+            kind = kinds[:, y, None, None]
+            left = np.cumsum(samples[:, y], axis=1, dtype=np.uint8)
+            line = np.where(kind == 1, left, samples[:, y]).astype(np.int16)
+            out[:, y + 1, 1:] = (line + np.where(kind == 2, out[:, y, 1:], 0)) & 255
+        return out[:, 1:, 1:].astype(np.uint8).reshape(n, rows, stride)
+    for t in range(rows + width - 1):
+        y = np.arange(max(0, t - width + 1), min(rows, t + 1))
+        x = t - y
+        kind = kinds[:, y, None]
+        left, up, corner = out[:, y + 1, x], out[:, y, x + 1], out[:, y, x]
+        p = left + up - corner
+        to_left, to_up, to_corner = abs(p - left), abs(p - up), abs(p - corner)
+        nearest = np.where((to_left <= to_up) & (to_left <= to_corner), left, np.where(to_up <= to_corner, up, corner))
+        guess = np.choose(kind, [np.zeros_like(left), left, up, (left + up) >> 1, nearest])
+        out[:, y + 1, x + 1] = (samples[:, y, x] + guess) & 255
+    return out[:, 1:, 1:].astype(np.uint8).reshape(n, rows, stride)
+
+
+def png_header(content: bytes) -> tuple[int, int, int, int]:
+    """(height, width, bit depth, colour type) of a picture this module decodes, from its first 29 bytes."""
     if content[:8] != SIGNATURE:
         raise ValueError("not a PNG file")
-    at, data, header = 8, [], None
-    while at + 8 <= len(content):
-        size, kind = struct.unpack(">I4s", content[at : at + 8])
-        body = content[at + 8 : at + 8 + size]
-        at += 12 + size
-        if kind == b"IHDR":
-            header = struct.unpack(">IIBBBBB", body)
-        elif kind == b"IDAT":
-            data.append(body)
-        elif kind == b"IEND":
-            break
-    if header is None:
+    if len(content) < 29 or content[12:16] != b"IHDR":
         raise ValueError("no header")
-    w, h, depth, colour, _, _, interlace = header
+    w, h, depth, colour, _, _, interlace = struct.unpack(">IIBBBBB", content[16:29])
     if interlace or colour not in CHANNELS or depth not in (8, 16):
         raise ValueError(f"unsupported: depth {depth}, colour type {colour}, interlace {interlace}")
     if depth == 16 and colour != 0:
         raise ValueError("unsupported: 16-bit colour")
-    n = CHANNELS[colour]
-    bpp = n * depth // 8
-    raw = np.frombuffer(zlib.decompress(b"".join(data)), np.uint8)
-    flat = _unfilter(raw, h, w * bpp, bpp)
-    if depth == 16:
-        return h, w, 16, flat.reshape(-1).view(">u2").astype(np.int64)
-    px = flat.reshape(h * w, n).astype(np.int64)
-    if n < 3:
-        return h, w, 8, px[:, 0]
-    # luminance weights in 16-bit fixed point (fixed values)
-    luma = (px[:, 0] * 19595 + px[:, 1] * 38470 + px[:, 2] * 7471 + 32768) >> 16
-    return h, w, 8, luma
+    return h, w, depth, colour
+
+
+def _png_lines(content: bytes) -> tuple[tuple[int, int, int, int], np.ndarray]:
+    """The header and the predicted rows."""
+    header = h, w, depth, colour = png_header(content)
+    at, data = 8, []
+    while at + 8 <= len(content):
+        size, kind = struct.unpack(">I4s", content[at : at + 8])
+        if kind == b"IDAT":
+            data.append(content[at + 8 : at + 8 + size])
+        elif kind == b"IEND":
+            break
+        at += 12 + size
+    wanted = h * (1 + w * CHANNELS[colour] * depth // 8)
+    raw = zlib.decompressobj().decompress(b"".join(data), wanted + 1)
+    if len(raw) != wanted:
+        raise ValueError("wrong amount of data")
+    return header, np.frombuffer(raw, np.uint8).reshape(h, -1)
+
+
+def decode_pngs(contents: list[bytes]) -> list[tuple[int, int, int, np.ndarray] | str]:
+    """(height, width, bit depth, integer samples) of each picture, or why it is rejected. Colour is reduced to
+    8-bit luminance. Pictures of one size and kind are decoded as a stack."""
+    out: list = [None] * len(contents)
+    stacks: dict[tuple, list[tuple[int, np.ndarray]]] = {}
+    for i, content in enumerate(contents):
+        try:
+            header, lines = _png_lines(content)
+            if lines.shape[0] and lines[:, 0].max() > 4:
+                raise ValueError(f"unknown row filter {lines[:, 0].max()}")
+            stacks.setdefault(header, []).append((i, lines))
+        except (ValueError, zlib.error, struct.error) as problem:
+            out[i] = str(problem)
+    for (h, w, depth, colour), members in stacks.items():
+        channels = CHANNELS[colour]
+        flat = _unfilter(np.stack([m for _, m in members]), channels * depth // 8)
+        for (i, _), rows in zip(members, flat):
+            if depth == 16:
+                out[i] = h, w, 16, rows.reshape(-1).view(">u2").astype(np.int64)
+                continue
+            px = rows.reshape(h * w, channels).astype(np.int64)
+            if channels > 2:
+                # luminance weights in 16-bit fixed point (fixed values)
+                px = ((px[:, 0] * 19595 + px[:, 1] * 38470 + px[:, 2] * 7471 + 32768) >> 16)[:, None]
+            out[i] = h, w, 8, px[:, 0]
+    return out
+
+
+def decode_png(content: bytes) -> tuple[int, int, int, np.ndarray]:
+    """One picture of ``decode_pngs``; one that is rejected fails."""
+    found = decode_pngs([content])[0]
+    if isinstance(found, str):
+        raise ValueError(found)
+    return found
+
+
+def unit_pixels(samples: np.ndarray, depth: int) -> np.ndarray:
+    """Samples clipped to [0, 1]: of 16 bits over 65535, of 8 over 255."""
+    return np.clip(samples / (65535.0 if depth == 16 else 255.0), 0.0, 1.0).astype(np.float32)
 
 
 def encode_gray_png(samples: np.ndarray, depth: int = 8) -> bytes:
@@ -167,14 +220,12 @@ def ingest_frames(files: DataFrame) -> DataFrame:
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for path, content in zip(batch["rel_path"], batch["content"]):
-                try:
-                    h, w, depth, samples = decode_png(bytes(content))
-                    top = 65535.0 if depth == 16 else 255.0
-                    px = np.clip(samples / top, 0.0, 1.0).astype(np.float32)
-                    rows.append((path, h, w, depth, px, None))
-                except (ValueError, zlib.error, struct.error) as problem:
-                    rows.append((path, None, None, None, None, str(problem)))
+            for path, found in zip(batch["rel_path"], decode_pngs([bytes(c) for c in batch["content"]])):
+                if isinstance(found, str):
+                    rows.append((path, None, None, None, None, found))
+                else:
+                    h, w, depth, samples = found
+                    rows.append((path, h, w, depth, unit_pixels(samples, depth), None))
             out = pd.DataFrame(
                 rows, columns=["rel_path", "h", "w", "bit_depth", "pixels", "reason"]
             )
@@ -195,7 +246,8 @@ def ingest_folder(spark: SparkSession, root: str, recursive: bool = True) -> Dat
     files = scan_frames(spark, root, recursive)
     # bytes 25 and 26 of a PNG: bit depth, and colour type 0 for gray
     deep = (F.ascii(F.substring("content", 25, 1).cast("string")) == 16) & (F.hex(F.substring("content", 26, 1)) == "00")
-    gray16 = ingest_frames(files.where(deep))
+    # decoded once and written, so that their names need no second read
+    gray16 = written(ingest_frames(files.where(deep)), "gray16")
     pictures = (
         spark.read.format("image")
         .option("pathGlobFilter", "*.png")
@@ -204,7 +256,7 @@ def ingest_folder(spark: SparkSession, root: str, recursive: bool = True) -> Dat
         .load(root)
         .select(relative_path("image.origin", resolved(spark, root)).alias("rel_path"), "image.*")
     )
-    shallow = pictures.join(files.where(deep).select("rel_path"), "rel_path", "left_anti")
+    shallow = pictures.join(gray16.select("rel_path"), "rel_path", "left_anti")
 
     def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

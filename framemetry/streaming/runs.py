@@ -1,24 +1,31 @@
 """Streaming forms of the run-log operators.
 
-The log of a run has one ordered writer. Rows are put in order inside each micro-batch; a row
-older than the last one accepted is dropped and counted (``late_rows``). On ordered input the
-results equal those of the batch operators. State per run is a handful of numbers; how many rows one
-micro-batch holds is limited by the source's trigger options.
+The log of a run has one ordered writer. Rows are put in order inside each micro-batch; a row not newer than the
+last one accepted is dropped and counted (``late_rows``), and so is one without a place (``null_rows``). On ordered
+input the results equal those of the batch operators. State per run is a handful of numbers. The rows of a run
+come in chunks: one chunk is put in order in memory; several wait in the state store, in buckets of ``BUCKET``
+places, and are taken bucket by bucket, so a run may have any number of rows in one micro-batch.
+
+With ``idle`` (seconds), a run that wrote nothing for so long is closed by a timer: it gives one more row with
+``is_closed``, and its state goes. Rows that come later begin it anew.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from framemetry.functions.scalars import finite, finite_or_null, nan_if_null
 
+BUCKET = 1024
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def read_stream(spark: SparkSession, path: str, schema: str, max_files: int | None = None) -> DataFrame:
     """Files appearing under a path (a glob works for single files)."""
@@ -49,142 +56,257 @@ def stream_epoch_rollup(
     )
 
 
-def _ordered(chunks: Iterator[pd.DataFrame], order: str) -> pd.DataFrame:
-    return pd.concat(list(chunks)).sort_values(order, kind="stable")
+def _until(stop: np.ndarray) -> int:
+    """Rows up to the first stop, that one included."""
+    return int(stop.argmax()) + 1 if stop.any() else len(stop)
 
 
-def _stateful(
-    rows: DataFrame, run: str, step: Callable, extra: str, state: str
-) -> DataFrame:
-    kind = rows.schema[run].dataType.simpleString()
-    return rows.groupBy(run).applyInPandasWithState(
-        step, f"{run} {kind}, {extra}", state, "append", GroupStateTimeout.NoTimeout
-    )
+def _unique(place: np.ndarray, value: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ascending places, the first value of each, and how many more rows each had."""
+    order = np.argsort(place, kind="stable")
+    place, value, more = place[order], value[order], more[order]
+    first = np.flatnonzero(np.diff(place, prepend=place[0] - 1) != 0) if len(place) else np.zeros(0, int)
+    rows = np.add.reduceat(more + 1, first) if len(first) else first
+    return place[first], value[first], rows - 1
 
 
-def _accepted(place: np.ndarray, last: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which of the ascending places are new, and how many were late before each of these."""
-    fresh = place > np.concatenate([[last], np.maximum(place[:-1], last)]) if len(place) else np.zeros(0, bool)
-    return fresh, np.cumsum(~fresh)[fresh]
+class RunSteps(StatefulProcessor):
+    """Rows (place, value) of a run in the order of their places, against a state that begins as ``begin`` and is
+    led on by ``step``. The state's first three fields are (last place, late rows, null rows)."""
 
+    STATE = "last BIGINT, late BIGINT, nulls BIGINT, stopped BOOLEAN"
 
-def _until(stop: np.ndarray) -> int:
-    """Rows up to the first stop, that one included."""
-    return int(stop.argmax()) + 1 if stop.any() else len(stop)
+    def __init__(self, run: str, idle: float | None, bucket: int):
+        self.run, self.idle, self.bucket = run, idle, bucket
 
+    def begin(self) -> tuple:
+        raise NotImplementedError
 
-def stream_early_stop(
-    log: DataFrame, run: str, metric: str = "val_loss", patience: int = 12, epoch: str = "epoch",
-    start_epoch: int = 0,
-) -> DataFrame:
-    """One row per accepted epoch: best so far, its epoch, whether to stop now. A stopped run
-    accepts nothing more. State: (best, best epoch, last epoch, stopped, late rows)."""
+    def step(self, state: tuple, place: np.ndarray, value: np.ndarray) -> tuple[pd.DataFrame, list[tuple]]:
+        """The result rows up to a stop, and the own fields of the state after each of them."""
+        raise NotImplementedError
+
+    def closing(self, state: tuple) -> dict:
+        raise NotImplementedError
 
-    def step(key, chunks, state: GroupState):
-        best, best_epoch, last, stopped, late = (
-            state.get if state.exists else (math.inf, start_epoch, -(2**62), False, 0)
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("run", self.STATE)
+        self.waiting = handle.getMapState(
+            "waiting", "bucket BIGINT", "places ARRAY<BIGINT>, found ARRAY<DOUBLE>, more ARRAY<BIGINT>"
         )
-        frame = _ordered(chunks, "epoch")
-        every = frame["epoch"].to_numpy(np.int64)
-        fresh, missed = _accepted(every, last)
-        e = every[fresh]
-        value = frame["metric"].to_numpy(float)[fresh]
+
+    def close(self) -> None:
+        pass
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        state = tuple(self.state.get()) if self.state.exists() else self.begin()
+        head = next(rows)
+        second = next(rows, None)
+        if second is None:
+            state, *arrays = self._fresh(state, head)
+            pieces = iter([_unique(*arrays)])
+        else:
+            buckets: set[int] = set()
+            for chunk in chain([head, second], rows):
+                state, *arrays = self._fresh(state, chunk)
+                buckets |= self._wait(*arrays)
+            pieces = map(self._taken, sorted(buckets))
+        for place, value, more in pieces:
+            state, result = self._lead(state, place, value, more)
+            result.insert(0, self.run, key[0])
+            yield result
+        self.state.update(state)
+        if self.idle is not None:
+            for at in list(self.handle.listTimers()):
+                self.handle.deleteTimer(at)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + int(self.idle * 1000))
+
+    def _fresh(self, state: tuple, chunk: pd.DataFrame) -> tuple:
+        """The state with the rows counted that count for nothing, and the others as arrays."""
+        last, late, nulls, stopped, *own = state
+        placed = ~chunk["missing"].to_numpy(bool)
+        place = chunk["place"].to_numpy(np.int64)[placed]
+        value = chunk["value"].to_numpy(float)[placed]
+        new = place > last
+        if not stopped:
+            nulls, late = nulls + int((~placed).sum()), late + int((~new).sum())
+        return (last, late, nulls, stopped, *own), place[new], value[new], np.zeros(int(new.sum()), np.int64)
+
+    def _wait(self, place: np.ndarray, value: np.ndarray, more: np.ndarray) -> set[int]:
+        """Rows added to the buckets that wait in the state store."""
+        of = place // self.bucket
+        for bucket in np.unique(of).tolist():
+            mine = of == bucket
+            arrays = place[mine], value[mine], more[mine]
+            if self.waiting.containsKey((bucket,)):
+                held = self.waiting.getValue((bucket,))
+                arrays = tuple(np.concatenate([np.array(h, a.dtype), a]) for h, a in zip(held, arrays))
+            self.waiting.updateValue((bucket,), tuple(a.tolist() for a in _unique(*arrays)))
+        return set(np.unique(of).tolist())
+
+    def _taken(self, bucket: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        place, value, more = self.waiting.getValue((bucket,))
+        self.waiting.removeKey((bucket,))
+        return np.array(place, np.int64), np.array(value, float), np.array(more, np.int64)
+
+    def _lead(self, state: tuple, place: np.ndarray, value: np.ndarray, more: np.ndarray) -> tuple[tuple, pd.DataFrame]:
+        last, late, nulls, stopped, *own = state
+        result, after = self.step(state, place, value)
+        n = 0 if stopped else _until(result["is_stop"].to_numpy(bool))
+        missed = late + np.concatenate([[0], np.cumsum(more)])
+        result = result.iloc[:n].copy()
+        result["late_rows"] = missed[:n]
+        result["null_rows"] = nulls
+        result["is_closed"] = False
+        if n:
+            last, stopped, own = int(place[n - 1]), bool(result["is_stop"].iloc[-1]), after(n - 1)
+            late = int(missed[n - 1] if stopped else missed[-1])
+        return (last, late, nulls, stopped, *own), result
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        state = tuple(self.state.get())
+        self.state.clear()
+        row = {self.run: key[0], **self.closing(state), "late_rows": state[1], "null_rows": state[2], "is_closed": True}
+        yield pd.DataFrame([row])
+
+
+class EarlyStop(RunSteps):
+    STATE = RunSteps.STATE + ", best DOUBLE, best_epoch BIGINT"
+
+    def __init__(self, run: str, idle: float | None, bucket: int, patience: int, start_epoch: int):
+        super().__init__(run, idle, bucket)
+        self.patience, self.start_epoch = patience, start_epoch
+
+    def begin(self) -> tuple:
+        return -(2**62), 0, 0, False, math.inf, self.start_epoch
+
+    def step(self, state: tuple, place: np.ndarray, value: np.ndarray):
+        best, best_epoch = state[4:]
         value = np.where(np.isfinite(value), value, np.inf)
         low = np.minimum.accumulate(np.concatenate([[best], value]))
         improved = value < low[:-1]
-        at = np.maximum.accumulate(np.where(improved, e, best_epoch)) if len(e) else e
-        stop = e - at >= patience
-        n = 0 if stopped else _until(stop)
-        result = pd.DataFrame({
-            "epoch": e, "best": low[1:], "best_epoch": at, "is_best": improved, "is_stop": stop,
-            "late_rows": late + missed,
-        }).iloc[:n]
-        if n:
-            best, best_epoch, last, stopped = float(low[n]), int(at[n - 1]), int(e[n - 1]), bool(stop[n - 1])
-        if not stopped:
-            late += int((~fresh).sum())
-        elif n:
-            late += int(missed[n - 1])
-        state.update((best, best_epoch, last, stopped, late))
-        result.insert(0, run, key[0])
-        yield result
-
-    rows = log.select(
-        run, F.col(epoch).cast("bigint").alias("epoch"),
-        nan_if_null(F.col(metric).cast("double")).alias("metric"),
-    )
-    return _stateful(
-        rows, run, step,
-        "epoch BIGINT, best DOUBLE, best_epoch BIGINT, is_best BOOLEAN, is_stop BOOLEAN, late_rows BIGINT",
-        "best DOUBLE, best_epoch BIGINT, last BIGINT, stopped BOOLEAN, late BIGINT",
+        at = np.maximum.accumulate(np.where(improved, place, best_epoch)) if len(place) else place
+        rows = pd.DataFrame({
+            "epoch": place, "best": low[1:], "best_epoch": at, "is_best": improved, "is_stop": place - at >= self.patience,
+        })
+        return rows, lambda i: (float(low[i + 1]), int(at[i]))
+
+    def closing(self, state: tuple) -> dict:
+        return {"epoch": state[0], "best": state[4], "best_epoch": state[5], "is_best": False, "is_stop": False}
+
+
+class NonfiniteBudget(RunSteps):
+    STATE = RunSteps.STATE + ", bad BIGINT"
+
+    def __init__(self, run: str, idle: float | None, bucket: int, order: str, max_bad: int, stops: bool):
+        super().__init__(run, idle, bucket)
+        self.order, self.max_bad, self.stops = order, max_bad, stops
+
+    def begin(self) -> tuple:
+        return -(2**62), 0, 0, False, 0
+
+    def step(self, state: tuple, place: np.ndarray, value: np.ndarray):
+        is_bad = value != 0
+        so_far = state[4] + np.cumsum(is_bad)
+        rows = pd.DataFrame({
+            self.order: place, "bad_so_far": so_far, "is_bad": is_bad, "is_stop": is_bad & (so_far > self.max_bad) & self.stops,
+        })
+        return rows, lambda i: (int(so_far[i]),)
+
+    def closing(self, state: tuple) -> dict:
+        return {self.order: state[0], "bad_so_far": state[4], "is_bad": False, "is_stop": False}
+
+
+def _stateful(rows: DataFrame, run: str, place: str, value: Column, steps: RunSteps, made: str) -> DataFrame:
+    # this kind of state is kept by the RocksDB store only
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    at = F.col(place).cast("bigint")
+    slim = rows.select(run, F.coalesce(at, F.lit(0)).alias("place"), at.isNull().alias("missing"), value.alias("value"))
+    kind = rows.schema[run].dataType.simpleString()
+    return slim.groupBy(run).transformWithStateInPandas(
+        steps,
+        f"{run} {kind}, {made}, is_stop BOOLEAN, late_rows BIGINT, null_rows BIGINT, is_closed BOOLEAN",
+        "append",
+        "None" if steps.idle is None else "ProcessingTime",
     )
 
 
+def stream_early_stop(
+    log: DataFrame, run: str, metric: str = "val_loss", patience: int = 12, epoch: str = "epoch",
+    start_epoch: int = 0, idle: float | None = None, bucket: int = BUCKET,
+) -> DataFrame:
+    """One row per accepted epoch: best so far, its epoch, whether to stop now. A stopped run
+    accepts nothing more."""
+    steps = EarlyStop(run, idle, bucket, patience, start_epoch)
+    value = nan_if_null(F.col(metric).cast("double"))
+    return _stateful(log, run, epoch, value, steps, "epoch BIGINT, best DOUBLE, best_epoch BIGINT, is_best BOOLEAN")
+
+
 def stream_nonfinite_budget(
     batches: DataFrame, run: str, order: str = "batch", loss: str = "loss", max_bad: int = 3,
-    action: str = "stop",
+    action: str = "stop", idle: float | None = None, bucket: int = BUCKET,
 ) -> DataFrame:
     """One row per batch seen: running count of bad ones and whether the budget is exceeded now."""
+    steps = NonfiniteBudget(run, idle, bucket, order, max_bad, action == "stop")
+    bad = (~F.coalesce(finite(loss), F.lit(False))).cast("double")
+    return _stateful(batches, run, order, bad, steps, f"{order} BIGINT, bad_so_far BIGINT, is_bad BOOLEAN")
 
-    def step(key, chunks, state: GroupState):
-        bad, last, stopped, late = state.get if state.exists else (0, -(2**62), False, 0)
-        frame = _ordered(chunks, "place")
-        every = frame["place"].to_numpy(np.int64)
-        fresh, missed = _accepted(every, last)
-        place, is_bad = every[fresh], ~frame["ok"].to_numpy(bool)[fresh]
-        so_far = bad + np.cumsum(is_bad)
-        stop = is_bad & (so_far > max_bad) & (action == "stop")
-        n = 0 if stopped else _until(stop)
-        result = pd.DataFrame({
-            order: place, "bad_so_far": so_far, "is_bad": is_bad, "is_stop": stop, "late_rows": late + missed,
-        }).iloc[:n]
-        if n:
-            bad, last, stopped = int(so_far[n - 1]), int(place[n - 1]), bool(stop[n - 1])
-        if not stopped:
-            late += int((~fresh).sum())
-        elif n:
-            late += int(missed[n - 1])
-        state.update((bad, last, stopped, late))
-        result.insert(0, run, key[0])
-        yield result
-
-    rows = batches.select(
-        run, F.col(order).cast("bigint").alias("place"),
-        F.coalesce(finite(loss), F.lit(False)).alias("ok"),
+
+def _candidate(metric: str, mode: str, epoch: str) -> Column:
+    """Smaller is better; of equal values the first epoch."""
+    m = finite_or_null(metric)
+    return F.when(m.isNotNull(), F.struct((m * (1 if mode == "min" else -1)).alias("m"), F.col(epoch).cast("bigint").alias("e")))
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def _latest(stored: DataFrame) -> DataFrame:
+    """Of the two slots of each part, the one written last."""
+    last = stored.groupBy("part").agg(F.max("version").alias("version"))
+    return stored.join(last, ["part", "version"])
+
+
+def upsert_best(changed: DataFrame, batch_id: int, keys: list[str], by: dict[str, str], table: str, epoch: str, parts: int) -> None:
+    """Merge the best rows of a micro-batch into the table.
+
+    The table is hashed on the keys into parts, and a part has two slots. A batch rewrites only the parts whose
+    keys it has: the rows of the slot written last, merged with its own, go to the other slot, by dynamic
+    partition overwrite. Old versions so never pile up, readers find one whole slot at any time, and a replayed
+    batch, which ignores what it wrote itself, writes the same rows again.
+    """
+    spark = changed.sparkSession
+    names = list(by)
+    own = changed.groupBy(*keys).agg(*[F.min(_candidate(m, mode, epoch)).alias(m) for m, mode in by.items()])
+    own = own.withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int"))
+    merged, slots = own, own.select("part").distinct().withColumn("slot", F.lit(0))
+    if _exists(spark, table):
+        stored = spark.read.parquet(table).where(F.col("version") < batch_id)
+        last = stored.groupBy("part").agg(F.max_by("slot", "version").alias("_last"))
+        slots = slots.drop("slot").join(last, "part", "left").select("part", F.coalesce(1 - F.col("_last"), F.lit(0)).alias("slot"))
+        kept = _latest(stored).join(slots, "part", "left_semi")
+        merged = kept.select(*keys, *names, "part").unionByName(own)
+    out = (
+        merged.groupBy("part", *keys).agg(*[F.min(m).alias(m) for m in names])
+        .join(slots, "part").withColumn("version", F.lit(batch_id).cast("bigint"))
     )
-    return _stateful(
-        rows, run, step,
-        f"{order} BIGINT, bad_so_far BIGINT, is_bad BOOLEAN, is_stop BOOLEAN, late_rows BIGINT",
-        "bad BIGINT, last BIGINT, stopped BOOLEAN, late BIGINT",
+    (
+        out.repartition(parts, "part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy("part", "slot").parquet(table)
     )
 
 
 def stream_best_checkpoint(
     log: DataFrame, keys: list[str], by: dict[str, str], table: str, checkpoint: str,
-    epoch: str = "epoch", **trigger,
+    epoch: str = "epoch", parts: int = 16, **trigger,
 ) -> StreamingQuery:
-    """Keep the best epoch per run and criterion as a change log in a table folder.
-
-    The best so far is the state of a streaming aggregate. A micro-batch writes the runs that it
-    changed, and only those, to a folder of its own number, so a replayed batch overwrites the same
-    folder with the same rows. ``read_best`` takes the best of all changes of a run.
-    """
-
-    def candidate(metric: str, mode: str):
-        sign = 1 if mode == "min" else -1
-        m = finite_or_null(metric)
-        return F.when(
-            m.isNotNull(),
-            F.struct((m * sign).alias("m"), F.col(epoch).cast("bigint").alias("e")),
-        )
-
-    def keep(changed: DataFrame, batch_id: int) -> None:
-        changed.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
-
-    best = log.groupBy(*keys).agg(*[F.min(candidate(m, mode)).alias(m) for m, mode in by.items()])
+    """Keep the best epoch per run and criterion in a table of at most two files a part; no state is kept
+    besides. ``read_best`` gives it back."""
     return (
-        best.writeStream.outputMode("update")
-        .foreachBatch(keep)
+        log.writeStream.foreachBatch(lambda changed, batch_id: upsert_best(changed, batch_id, keys, by, table, epoch, parts))
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
@@ -192,15 +314,15 @@ def stream_best_checkpoint(
 
 
 def read_best(spark: SparkSession, table: str, keys: list[str], by: dict[str, str]) -> DataFrame:
-    """The table of ``stream_best_checkpoint`` in the columns of the batch operator."""
+    """The table of ``stream_best_checkpoint`` in the columns of the batch operator. It may be read while it is
+    written: files that go meanwhile are of slots that are not the last."""
     cols = []
     for metric, mode in by.items():
         cols += [
             F.col(f"{metric}.e").alias(f"{metric}_epoch"),
             (F.col(f"{metric}.m") * (1 if mode == "min" else -1)).alias(f"{metric}_best"),
         ]
-    changes = spark.read.parquet(table).groupBy(*keys).agg(*[F.min(m).alias(m) for m in by])
-    return changes.select(*keys, *cols)
+    return _latest(spark.read.option("ignoreMissingFiles", "true").parquet(table)).select(*keys, *cols)
 
 
 def stream_append_log(log: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
