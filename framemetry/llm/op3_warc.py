@@ -2,7 +2,8 @@
 
 ``write_archive`` stores one record per page, each a gzip member of its own, and one index row per record
 (file, offset, length, url, digest). ``read_archive`` takes any selection of index rows, sorts them by
-file and offset, joins neighbours into byte-range reads of bounded size, and parses the records.
+file and offset, joins neighbours into byte-range reads of bounded size, deals these out by their bytes, and
+parses the records.
 
 Of pages with equal payloads of at least ``MIN_REVISIT`` bytes, the one with the largest page_id is a
 response and the others are revisits of it without a payload. Smaller payloads are always responses.
@@ -31,11 +32,12 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from framemetry.llm.common import table
 from framemetry.llm.registry import query
-from framemetry.session import shared_dir
+from framemetry.session import shared_dir, written
 
 MIN_REVISIT = 1000  # bytes of payload
 FILE_BYTES = 256 << 20  # a file is closed beyond this
 RUN_BYTES = 8 << 20  # start offsets of a run lie in one stretch of this size
+TASK_BYTES = 64 << 20  # of archive that a task reads, and at most one run more
 GAP_BYTES = 64 << 10  # unselected bytes that are read over rather than skipped
 DATE = "1970-01-01T00:00:00Z"  # the tables hold no capture time
 
@@ -172,6 +174,21 @@ def byte_ranges(index: DataFrame) -> DataFrame:
     )
 
 
+def dealt(runs: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """Runs (file, start, stop, ...) dealt out by the bytes they make a task read, not by their own size: each
+    partition is the runs of one stretch of ``task_bytes`` in the order of files. Files are numbered in one
+    window, a row for each FILE_BYTES of archive."""
+    runs = written(runs.withColumn("_bytes", F.col("stop") - F.col("start")), "runs")
+    files = runs.groupBy("file").agg(F.sum("_bytes").alias("_whole"))
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    files = files.select("file", F.coalesce(F.sum("_whole").over(before), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    placed = runs.withColumn("_at", F.coalesce(F.sum("_bytes").over(inside), F.lit(0))).join(files, "file")
+    total = runs.agg(F.sum("_bytes")).first()[0] or 0
+    stretch = F.floor((F.col("_base") + F.col("_at")) / task_bytes).cast("int")
+    return placed.repartitionById(total // task_bytes + 1, stretch).drop("_bytes", "_base", "_at")
+
+
 def read_archive(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
     """The records that ``index`` rows name. Without ``payloads``, they are checked and left out."""
     columns = RECORD if payloads else RECORD.rpartition(", ")[0]
@@ -196,7 +213,7 @@ def read_archive(index: DataFrame, folder: str, payloads: bool = True) -> DataFr
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    return byte_ranges(index).select("file", "start", "stop", "parts").mapInArrow(load, columns)
+    return dealt(byte_ranges(index)).select("file", "start", "stop", "parts").mapInArrow(load, columns)
 
 
 def archived(spark: SparkSession, pages: DataFrame, payloads: bool = True) -> DataFrame:

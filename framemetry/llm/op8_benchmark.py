@@ -14,9 +14,13 @@ of its question, and of its answer if it has one, must stand there. The answer i
 ``Answer:`` or, if there is no such mark, the last question mark; otherwise all is question. Parts of one
 to four words are one shingle.
 
-Cases: null or empty texts and items match nothing, nor do items below ``SHINGLE`` words. Longer items
-than ``LONGEST`` words are retrieved by pieces, each of which leads to the whole item, verified like any. Null ids come back as null; rows that repeat
-each report their matches. Empty tables give an empty result. Whole texts are read.
+A word is a run of letters and digits; each character of a script without spaces (Chinese, Japanese, Thai, Lao,
+Khmer, Burmese) is one.
+
+Cases: null or empty texts and items match nothing. Items of any length count: one of one to four words is one shingle, so it
+matches where it stands word for word. Longer items than ``LONGEST`` words are retrieved by pieces, each of which leads to
+the whole item, verified like any. Null ids come back as null; rows that repeat each report their matches. Empty tables
+give an empty result. Whole texts are read, in groups of passages that bound what a task holds beside the text.
 
 At scale: documents are scanned once per shard of the items and never shuffled. A shard is broadcast; it
 holds some ``SHARD_WORDS`` words of items, whatever the size of the benchmark; document frequencies are
@@ -46,7 +50,13 @@ HALF = 64  # words of half a passage, if no item is longer
 LONGEST = 512
 SHARD_WORDS = 500_000
 BATCH_WORDS = 1 << 16
+CELLS = 1 << 22  # passages times blocks whose bounds are added at once
+GROUP = 1 << 12  # passages at once
+
+# Scripts written without spaces, as ranges of code points (fixed values)
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 
+_UNSPACED = re.compile(f"([{UNSPACED}])")
 _TOKENS = re.compile(r"[^\W_]+")
 _ANSWER = re.compile(r"\banswer\s*:", re.IGNORECASE)
 
@@ -54,7 +64,10 @@ MATCH = "doc_id bigint, item_id bigint, score double, question_overlap double, a
 
 
 def tokens(text: str | None) -> list[str]:
-    return _TOKENS.findall((text or "").lower())
+    text = (text or "").lower()
+    if _UNSPACED.search(text):
+        text = _UNSPACED.sub(r" \1 ", text)
+    return _TOKENS.findall(text)
 
 
 def parts(text: str) -> tuple[list[str], list[str]]:
@@ -176,28 +189,50 @@ class Index:
     def search(self, texts: list[list[str]]) -> Iterator[tuple[int, int, float, float, float, int]]:
         """(text, item, score, question overlap, answer overlap, first word of the passage), the best
         passage of each verified pair."""
+        best: dict[tuple[int, int], tuple] = {}
+        for group in self.groups(texts):
+            self._search(texts, group, best)
+        yield from best.values()
+
+    def groups(self, texts: list[list[str]]) -> Iterator[list[tuple[int, int, int]]]:
+        """(text, first passage, passage after the last) of all passages, a bounded number of them together."""
+        most = max(16, min(GROUP, CELLS // max(1, self.blocks)))
+        group, size = [], 0
+        for i, words in enumerate(texts):
+            count, at = max(1, -(-len(words) // self.half) - 1), 0
+            while at < count:
+                to = min(count, at + most - size)
+                group.append((i, at, to))
+                size += to - at
+                at = to
+                if size == most:
+                    yield group
+                    group, size = [], 0
+        if group:
+            yield group
+
+    def _search(self, texts: list[list[str]], group: list[tuple[int, int, int]], best: dict[tuple[int, int], tuple]) -> None:
         width, get = 2 * self.half, self.term.get
-        ids, texts_at, starts, n_windows = [], [], [], 0
+        ids, places, n_windows = [], [], 0
         windows: list[tuple[int, int]] = []
-        for i, words in enumerate(texts):
+        for i, begin, end in group:
+            words = texts[i][begin * self.half : (end + 1) * self.half]
             term = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
             at = np.flatnonzero(term >= 0)
-            count = max(1, -(-len(words) // self.half) - 1)
-            last = at // self.half  # the later of the two windows that hold a word
+            last = at // self.half  # the later of the two passages that hold a word
             for lead in (0, 1):
-                inside = (last - lead >= 0) & (last - lead < count)
+                inside = (last - lead >= 0) & (last - lead < end - begin)
                 ids.append(term[at[inside]])
-                starts.append(last[inside] - lead + n_windows)
-            windows.extend((i, k * self.half) for k in range(count))
-            n_windows += count
-        pairs = np.unique(np.concatenate(starts) * len(self.term) + np.concatenate(ids)) if ids else np.empty(0, np.int64)
+                places.append(last[inside] - lead + n_windows)
+            windows.extend((i, k * self.half) for k in range(begin, end))
+            n_windows += end - begin
+        pairs = np.unique(np.concatenate(places) * len(self.term) + np.concatenate(ids)) if ids else np.empty(0, np.int64)
         passage, term = pairs // max(1, len(self.term)), pairs % max(1, len(self.term))
         hope = np.bincount(passage, weights=self.top[term], minlength=n_windows) >= THRESHOLD - 1e-9
         keep = hope[passage]
         passage, term = passage[keep], term[keep]
         keep = self.hopeful(passage, term, n_windows)[passage]
         passage, term = passage[keep], term[keep]
-        best: dict[tuple[int, int], tuple] = {}
         cut = np.concatenate([[0], np.flatnonzero(np.diff(passage)) + 1, [len(passage)]]) if len(passage) else [0]
         for a, z in zip(cut[:-1], cut[1:]):
             i, start = windows[passage[a]]
@@ -212,7 +247,6 @@ class Index:
                     old = best.get((i, item))
                     if old is None or (round(score, 9), -start) > (round(old[2], 9), -old[5]):
                         best[i, item] = match
-        yield from best.values()
 
 
 def indexes(items: DataFrame) -> Iterator[Index]:
@@ -224,7 +258,7 @@ def indexes(items: DataFrame) -> Iterator[Index]:
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 question, answer = parts(text or "")
                 words = question + answer
-                if len(words) >= SHINGLE:
+                if words:
                     rows.append((item, question, answer))
             cols = list(zip(*rows)) or [()] * 3
             kinds = [pa.int64(), pa.list_(pa.string()), pa.list_(pa.string())]
@@ -302,25 +336,26 @@ def without_items(docs: DataFrame, items: DataFrame) -> DataFrame:
     return docs
 
 
+_SQL_WORDS = f"regexp_extract_all(regexp_replace(lower(text), '([{UNSPACED}])', ' \\1 ', 'g'), '[\\p{{L}}\\p{{N}}]+')"
 # For items that are all question, none longer than a piece, and unique ids.
 SQL = f"""WITH items AS (
-  SELECT item_id, w, len(w) AS n FROM (SELECT item_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM benchmark) WHERE len(w) >= 5),
+  SELECT item_id, w, len(w) AS n, least(len(w), {SHINGLE}) AS g FROM (SELECT item_id, {_SQL_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
 st AS (SELECT count(*) AS c, avg(n) AS mean, greatest({HALF}, max(n)) AS half FROM items),
 tf AS (SELECT item_id, n, t, count(*) AS f FROM (SELECT item_id, n, unnest(w) AS t FROM items) GROUP BY ALL),
 df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
 wt AS (SELECT item_id, t, ln(1 + (c - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * f * 2.2::DOUBLE / (f + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / mean)) AS x
        FROM tf JOIN df USING (t), st),
 im AS (SELECT item_id, t, x / sum(x) OVER (PARTITION BY item_id) AS x FROM wt),
-dt AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents),
+dt AS (SELECT doc_id, {_SQL_WORDS} AS w FROM documents),
 win AS (SELECT doc_id, half, w, unnest(range(greatest(1, ceil(len(w) / half) - 1)::BIGINT)) * half AS word_start FROM dt, st),
 terms AS (SELECT DISTINCT doc_id, word_start, unnest(w[word_start + 1 : word_start + 2 * half]) AS t FROM win),
 sc AS (SELECT doc_id, word_start, item_id, sum(x) AS score FROM terms JOIN im USING (t)
        GROUP BY ALL HAVING sum(x) >= {THRESHOLD} - 1e-9),
-around AS (SELECT doc_id, word_start, item_id, score, n, win.w[greatest(0, word_start - n) + 1 : word_start + 2 * half + n] AS a
+around AS (SELECT doc_id, word_start, item_id, score, n, g AS m, win.w[greatest(0, word_start - n) + 1 : word_start + 2 * half + n] AS a
            FROM sc JOIN win USING (doc_id, word_start) JOIN items i USING (item_id)),
-have AS (SELECT DISTINCT doc_id, word_start, item_id, a[k : k + 4] AS g
-         FROM (SELECT *, unnest(range(1, len(a) - 3)) AS k FROM around)),
-want AS (SELECT DISTINCT item_id, w[k : k + 4] AS g FROM (SELECT *, unnest(range(1, n - 3)) AS k FROM items)),
+have AS (SELECT DISTINCT doc_id, word_start, item_id, a[k : k + m - 1] AS g
+         FROM (SELECT *, unnest(range(1, len(a) - m + 2)) AS k FROM around)),
+want AS (SELECT DISTINCT item_id, w[k : k + m - 1] AS g FROM (SELECT item_id, w, g AS m, unnest(range(1, n - g + 2)) AS k FROM items)),
 size AS (SELECT item_id, count(*) AS m FROM want GROUP BY item_id),
 met AS (SELECT doc_id, word_start, item_id, count(*) AS hits FROM have JOIN want USING (item_id, g) GROUP BY ALL),
 ver AS (SELECT doc_id, item_id, word_start, score, hits / m AS question_overlap,

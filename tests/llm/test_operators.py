@@ -130,6 +130,25 @@ def test_warc_selection_is_read_in_few_ranges(spark):
     assert rows_of(op3_warc.read_archive(some, folder), "page_id") == sorted([(i,) for i in range(0, 300, 3)], key=repr)
 
 
+@pytest.mark.parametrize("task_bytes", [1000, 5000, 1 << 20])
+def test_runs_are_dealt_by_bytes(spark, task_bytes):
+    """No partition reads more than the bound and one run, whatever the sizes of runs and files; none is lost."""
+    r = random.Random(task_bytes)
+    rows = []
+    for file in ("a", "b", "c", "d"):
+        at = 0
+        for _ in range(r.choice([1, 40, 200])):
+            size = r.choice([10, 30, 900])
+            rows.append((file, at, at + size))
+            at += size + r.randint(0, 50)
+    out = op3_warc.dealt(spark.createDataFrame(rows, "file string, start bigint, stop bigint"), task_bytes)
+    parts = [[tuple(x) for x in p] for p in out.rdd.glom().collect()]
+    assert sorted(x for p in parts for x in p) == sorted(rows)
+    assert max(sum(b - a for _, a, b in p) for p in parts) < task_bytes + 900
+    assert len(parts) == sum(b - a for _, a, b in rows) // task_bytes + 1
+    assert op3_warc.dealt(out.limit(0), task_bytes).count() == 0
+
+
 # ---- 4: SimHash ---------------------------------------------------------------------------------
 
 
@@ -398,7 +417,7 @@ def test_retrieval_against_all_scores():
 
 def test_matches_against_shingles(spark, documents, monkeypatch):
     r = random.Random(11)
-    items = [(k, prose(r, r.randint(15, 60))) for k in range(20)] + [(None, prose(r, 20)), (30, None), (31, ""), (32, "too short"), (33, "What is that thing over there now? Answer: some blue kite")]
+    items = [(k, prose(r, r.randint(15, 60))) for k in range(20)] + [(None, prose(r, 20)), (30, None), (31, ""), (32, "too short"), (33, "What is that thing over there now? Answer: some blue kite"), (34, "哪个城市是首都"), (35, "zyxw"), (36, "Qqq? Answer: pp oo")]
     bench = spark.createDataFrame([(*i, 1) for i in items], "item_id bigint, text string, score int")
     docs = [(k, prose(r, 400)) for k in range(30)]
     for k in range(0, 30, 3):
@@ -406,14 +425,16 @@ def test_matches_against_shingles(spark, documents, monkeypatch):
         at = r.randrange(len(cut))
         docs[k] = (k, " ".join(cut[:at] + [items[k % 21][1].upper()] + cut[at:]))
     docs += [(100, "What is that thing over there now? It was some blue kite."), (101, "What is that thing over there now? Nobody knows."), (102, None), (103, ""), (0, docs[0][1])]
+    docs += [(104, "前文哪个城市是首都后文"), (105, "哪个城市不是首都"), (106, prose(r, 300) + " Zyxw. " + prose(r, 300)), (107, "qqq pp oo"), (108, "qqq pp x oo")]
     want = set()
     for d, text in docs:
         for i, item in items:
             q, a = op8_benchmark.parts(item or "")
             words = op8_benchmark.tokens(text)
             grams = op8_benchmark.shingles(words)
-            if len(q + a) >= 5 and op8_benchmark.overlap(q, words, grams) >= 0.8 and op8_benchmark.overlap(a, words, grams) >= 0.8:
+            if q + a and op8_benchmark.overlap(q, words, grams) >= 0.8 and op8_benchmark.overlap(a, words, grams) >= 0.8:
                 want.add((d, i))
+    assert {(104, 34), (106, 35), (107, 36)} <= want and not {d for d, _ in want} & {105, 108}
     frame = documents(docs)
     assert {(x["doc_id"], x["item_id"]) for x in op8_benchmark.matches(frame, bench).collect()} == want and len(want) >= 11
     clean = op8_benchmark.without_items(frame, bench)
@@ -425,6 +446,26 @@ def test_matches_against_shingles(spark, documents, monkeypatch):
     assert op8_benchmark.matches(frame, bench.limit(0)).count() == 0
 
 
+def test_groups_of_passages(monkeypatch):
+    """Small groups find what one group finds, and hold a bounded number of passages."""
+    r = random.Random(23)
+    items = [op8_benchmark.tokens(prose(r, r.randint(3, 40))) for _ in range(40)]
+    frequency = Counter(w for i in items for w in set(i))
+    index = op8_benchmark.Index([(k, w, []) for k, w in enumerate(items)], 40, sum(map(len, items)) / 40, frequency)
+    texts = [[], ["one"], *[op8_benchmark.tokens(prose(r, 900)) + items[k] + op8_benchmark.tokens(prose(r, r.randint(0, 2000))) for k in range(12)]]
+    whole = sorted(index.search(texts))
+    assert {(m[0], m[1]) for m in whole} >= {(k + 2, k) for k in range(12)}
+    monkeypatch.setattr(op8_benchmark, "GROUP", 1)
+    assert sorted(index.search(texts)) == whole
+    groups = list(index.groups(texts))
+    assert all(sum(to - at for _, at, to in g) <= 16 for g in groups)
+    assert sum(to - at for g in groups for _, at, to in g) == sum(max(1, -(-len(t) // index.half) - 1) for t in texts)
+
+
+def test_words_of_scripts_without_spaces():
+    assert op8_benchmark.tokens("Das ist 3.5 中文ok ไทย\nX_y") == ["das", "ist", "3", "5", "中", "文", "ok", "ไ", "ท", "ย", "x", "y"]
+
+
 def test_long_items_are_verified_whole(documents, spark):
     """A document with a piece of a long item is no match; one with the whole item is, once."""
     r = random.Random(21)
