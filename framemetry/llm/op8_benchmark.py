@@ -56,6 +56,7 @@ GROUP = 1 << 12  # passages at once
 # Scripts written without spaces, as ranges of code points (fixed values)
 UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 
+_NARROW = bytes(range(0xE0))
 _UNSPACED = re.compile(f"([{UNSPACED}])")
 _TOKENS = re.compile(r"[^\W_]+")
 _ANSWER = re.compile(r"\banswer\s*:", re.IGNORECASE)
@@ -65,7 +66,7 @@ MATCH = "doc_id bigint, item_id bigint, score double, question_overlap double, a
 
 def tokens(text: str | None) -> list[str]:
     text = (text or "").lower()
-    if _UNSPACED.search(text):
+    if text.encode("utf-8", "replace").translate(None, _NARROW):  # some character of three bytes or more
         text = _UNSPACED.sub(r" \1 ", text)
     return _TOKENS.findall(text)
 
