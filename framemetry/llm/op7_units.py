@@ -1,19 +1,21 @@
 """Unit hashing: of lines and sentences that say the same, the earliest stays.
 
-A line is cut into units after its sentence marks; a line without marks is one unit. (Whole lines as
-units miss passages that begin or end inside a line, which repeated passages do.) Units of at least
-``LEAST`` words are normalised to their lower-cased letters and digits with single spaces and named by
-128 hash bits. Of units with one name, the one ranked first by (doc_id, offset) stays. The others go where
-they stand together: neighbouring repeated units of a text (shorter units between them do not count) are
-one repeated passage, and passages of at least ``PASSAGE`` words are removed. Their offsets in the
-original text, in code points, are retained, with the documents that keep their units.
+Units are normalised to their lower-cased letters and digits with single spaces and named by 128 hash bits. Of
+units with one name, the one ranked first by (doc_id, offset) stays, and the others go. Their offsets in the
+original text, in code points, are retained, with the documents that keep their units. Neighbouring units that
+go are one passage.
+
+``WHOLE_LINES`` takes whole lines as units, of any length: every later line goes. ``SENTENCES`` cuts lines
+further after their sentence marks, since repeated passages begin and end inside lines too; a short common sentence
+is no copied passage, so units below ``LEAST`` words do not count (nor part their neighbours), and passages of at
+least ``PASSAGE`` words go. The query takes sentences; the README has the figures of both.
 
 Cases: a null or empty text has no units. Null ids rank last. Rows that repeat an id rank by offset only,
 so units at one offset of one id all stay, and rows equal in id and text share their passages. Texts are
 read whole, of any length. An empty table gives an empty result. Other columns pass through in
 ``without_passages``.
 
-At scale: one row of 60 bytes per unit is shuffled. First places are a partial aggregate, so a unit in a
+At scale: units are made once and written, and one row of 60 bytes per unit is shuffled. First places are a partial aggregate, so a unit in a
 third of all documents is one row per map task; the join back is an equi-join whose hot keys adaptive
 execution splits. Passages are found within one text's own units.
 """
@@ -22,40 +24,52 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from framemetry.llm.common import row_key, same_row, set_aside, slices, table
+from framemetry.llm.common import row_key, same_row, set_aside, slices, table, written
 from framemetry.llm.registry import query
 
 LEAST = 5
 PASSAGE = 25
 
 MARKS = ".!?…。！？"
-_UNITS = re.compile(rf"[^{MARKS}\n]+[{MARKS}]*|[{MARKS}]+")
+
+
+class Kind(NamedTuple):
+    """How texts are cut, and the words that a unit and a passage need."""
+
+    pattern: str
+    least: int
+    passage: int
+
+
+WHOLE_LINES = Kind(r"[^\n]+", 1, 1)
+SENTENCES = Kind(rf"[^{MARKS}\n]+[{MARKS}]*|[{MARKS}]+", LEAST, PASSAGE)
 _TOKENS = re.compile(r"[^\W_]+")
 UNIT = "_id bigint, _th bigint, unit int, start bigint, stop bigint, words int, h1 bigint, h2 bigint"
 
 
-def units(text: str) -> Iterator[tuple[int, int, int, int, bytes]]:
+def units(text: str, kind: Kind = SENTENCES) -> Iterator[tuple[int, int, int, int, bytes]]:
     """(number, start, stop, words, digest) of each unit of a text."""
     number = 0
-    for m in _UNITS.finditer(text):
+    for m in re.finditer(kind.pattern, text):
         words = _TOKENS.findall(m.group().lower())
-        if len(words) >= LEAST:
+        if len(words) >= kind.least:
             yield number, m.start(), m.end(), len(words), xxhash.xxh3_128_digest(" ".join(words).encode())
             number += 1
 
 
-def unit_rows(docs: DataFrame) -> DataFrame:
+def unit_rows(docs: DataFrame, kind: Kind = SENTENCES) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 500):
             out = []
             for key, th, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                out.extend((key, th, *u) for u in units(text.as_py() or ""))
+                out.extend((key, th, *u) for u in units(text.as_py() or "", kind))
             cols = list(zip(*out)) or [()] * 7
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
             halves = np.frombuffer(b"".join(cols[6]), "<i8").reshape(-1, 2)
@@ -67,9 +81,9 @@ def unit_rows(docs: DataFrame) -> DataFrame:
     return docs.select(*row_key(), "text").mapInArrow(run, UNIT)
 
 
-def repeats(docs: DataFrame) -> DataFrame:
+def repeats(docs: DataFrame, kind: Kind = SENTENCES) -> DataFrame:
     """(_id, _th, start, stop, n_units, n_words, kept_doc_ids): the passages that go."""
-    rows = unit_rows(docs)
+    rows = written(unit_rows(docs, kind), "units")
     rank = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("d"), F.col("start").alias("s"))
     first = (
         rows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(rank).alias("first")).where("n > 1")
@@ -90,17 +104,17 @@ def repeats(docs: DataFrame) -> DataFrame:
             F.min("start").alias("start"), F.max("stop").alias("stop"), F.count("*").alias("n_units"),
             F.sum("words").alias("n_words"), F.array_sort(F.collect_set("kept")).alias("kept_doc_ids"),
         )
-        .where(F.col("n_words") >= PASSAGE)
+        .where(F.col("n_words") >= kind.passage)
         .drop("_passage")
     )
 
 
-def without_passages(docs: DataFrame) -> DataFrame:
+def without_passages(docs: DataFrame, kind: Kind = SENTENCES) -> DataFrame:
     """``docs`` with the repeated passages gone from ``text``, and ``removed`` (in place of a column of that
     name), their (start, stop) in the original text."""
     plain, names = set_aside(docs, "doc_id", "text", made=("removed",))
     keyed = plain.select("*", *row_key())
-    gone = repeats(docs).groupBy("_id", "_th").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("removed"))
+    gone = repeats(docs, kind).groupBy("_id", "_th").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("removed"))
     both = keyed.join(gone, same_row(keyed, gone), "left").select(*[keyed[c] for c in names.values()], "removed")
     start = F.struct(F.lit("").alias("kept"), F.lit(0).cast("bigint").alias("at"))
     cut = F.aggregate(

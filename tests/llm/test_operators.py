@@ -381,6 +381,40 @@ def test_units(documents):
     assert op7_units.repeats(docs.limit(0)).count() == 0
 
 
+def test_every_later_line_goes(documents):
+    """Whole lines of any length as units, against brute force: nothing is left of a line but its earliest place."""
+    r = random.Random(29)
+    pool = [prose(r, r.randint(1, 30)) for _ in range(40)] + ["...", "", "One", "one!", "中文 行"]
+    rows = [(k, "\n".join(r.choices(pool, k=r.randint(0, 8)))) for k in range(60)] + [(None, "\n".join(pool)), (70, None)]
+    seen, want, left = {}, [], {}
+    for k, text in sorted(rows, key=lambda x: (x[0] is None, x[0] or 0)):
+        at, runs, last, number = 0, [], None, 0
+        for line in (text or "").split("\n"):
+            words = op7_units._TOKENS.findall(line.lower())
+            if words:
+                first = seen.setdefault(" ".join(words), (k, at))
+                if first != (k, at):
+                    if last == number - 1 and runs:
+                        runs[-1][1:] = [at + len(line), runs[-1][2] + 1, runs[-1][3] + len(words)]
+                    else:
+                        runs.append([at, at + len(line), 1, len(words)])
+                    last = number
+                number += 1
+            at += len(line) + 1
+        want += [(k, *run) for run in runs]
+        cut, at = "", 0
+        for a, z, *_ in runs:
+            cut, at = cut + (text or "")[at:a], z
+        left[k] = cut + (text or "")[at:] if text is not None else None
+    docs = documents(rows)
+    got = op7_units.repeats(docs, op7_units.WHOLE_LINES)
+    assert rows_of(got, "_id", "start", "stop", "n_units", "n_words") == sorted(want, key=repr) and len(want) > 40
+    clean = op7_units.without_passages(docs, op7_units.WHOLE_LINES)
+    assert {x["doc_id"]: x["text"] for x in clean.collect()} == left
+    again = op7_units.repeats(clean.drop("removed"), op7_units.WHOLE_LINES)
+    assert again.count() == 0
+
+
 # ---- 8: benchmark -------------------------------------------------------------------------------
 
 
