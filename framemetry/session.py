@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 import uuid
 import zipfile
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 # Batch sizes for Arrow are left to the byte limit (spark.sql.execution.arrow.maxBytesPerBatch):
@@ -54,6 +56,12 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def pickled_by_value(module: str) -> None:
+    """Send the code of a module along with what refers to it. The workers that plan data sources and state on
+    the driver's side do not get the archive of ``ship``."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
 _local_root: list[str] = []
 
 

@@ -20,7 +20,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from framemetry.functions.scalars import first_folder, relative_path
 from framemetry.operators.checks import assert_nonempty
 from framemetry.schemas import FRAMES
-from framemetry.session import written
+from framemetry.session import pickled_by_value, written
+
+pickled_by_value(__name__)
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 CHANNELS = {0: 1, 2: 3, 4: 2, 6: 4}  # PNG colour type -> samples per pixel

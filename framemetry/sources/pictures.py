@@ -30,8 +30,11 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
+from framemetry.session import pickled_by_value
 from framemetry.sources.images import decode_pngs, png_header, resolved, unit_pixels
 
+pickled_by_value(__name__)
+
 SCHEMA = (
     "rel_path STRING, grp STRING, bytes BIGINT, h INT, w INT, bit_depth INT, pixels ARRAY<FLOAT>, reason STRING"
 )

@@ -22,6 +22,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from framemetry.functions.scalars import finite, finite_or_null, nan_if_null
+from framemetry.session import pickled_by_value
+
+pickled_by_value(__name__)
 
 BUCKET = 1024
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"

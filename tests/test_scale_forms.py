@@ -129,6 +129,24 @@ def test_picture_stream_takes_each_file_once(spark, tmp_path):
     assert arrive(["0.png", "4.png"]) == [("0.png", 4, False), ("1.png", 4, False), ("2.png", 4, False), ("4.png", None, True)]
 
 
+def test_code_for_the_drivers_workers_travels_along(tmp_path):
+    """The source and the state steps can be read where the package is not installed."""
+    import os
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    path = tmp_path / "code"
+    path.write_bytes(cloudpickle.dumps((pictures.PictureSource, sr.EarlyStop("run", None, 4, 3, 0), pictures.Pictures([("a", 1)]))))
+    code = (
+        "import pickle, sys; source, steps, part = pickle.load(open(sys.argv[1], 'rb')); "
+        "assert source.name() == 'pictures' and steps.begin()[-1] == 0 and part.files; assert 'framemetry' not in sys.modules"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code, str(path)], cwd=tmp_path, env=env, check=True, timeout=60)
+
+
 def test_fresh_files_settle(tmp_path):
     from pyspark.sql.types import StructType
 
