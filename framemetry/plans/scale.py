@@ -159,8 +159,8 @@ def _scope_rollup_three(spark, sf):
     return rounded(out, PAIRED_DOUBLES[:-1], PAIRED_COUNTS, ["flag", "status", "line", "scope"])
 
 
-def _grid_sql(orders: int) -> str:
-    """Exact p of the line items of some orders, by the number of sign vectors for each sum."""
+def _grid_sql(orders: int, most: int = stats.GRID_MAX_N) -> str:
+    """Exact p of the line items of some orders, by the number of sign vectors for each sum; none above ``most`` items."""
     return f"""WITH RECURSIVE d AS (
   SELECT l_orderkey // {orders} AS grp, (l_quantity - 25)::BIGINT AS delta, row_number() OVER (
     PARTITION BY l_orderkey // {orders} ORDER BY l_orderkey, l_linenumber, l_quantity) AS i FROM lineitem),
@@ -171,7 +171,7 @@ sums(grp, i, s, p) AS (
     SELECT sums.grp, sums.i, unnest([s - delta, s + delta]) AS s, p / 2 AS p FROM sums JOIN d ON d.grp = sums.grp AND d.i = sums.i + 1)
   GROUP BY grp, i, s),
 whole AS (SELECT grp, count(*) AS n, abs(sum(delta)) AS observed FROM d GROUP BY grp)
-SELECT grp::BIGINT AS grp, n::BIGINT AS n, round(sum(CASE WHEN abs(s) >= observed THEN p ELSE 0 END), 9) AS p
+SELECT grp::BIGINT AS grp, n::BIGINT AS n, CASE WHEN n <= {most} THEN round(sum(CASE WHEN abs(s) >= observed THEN p ELSE 0 END), 9) END AS p
 FROM sums JOIN whole USING (grp) WHERE i = n GROUP BY grp, n"""
 
 
@@ -186,11 +186,11 @@ def _with_sizes(tested, rows):
     return tested.join(sizes, "grp").select("grp", big("n"), F.round("exact_sign_flip_p", 9).alias("p"))
 
 
-@query("sign_flip_large", _grid_sql(5))
+@query("sign_flip_large", _grid_sql(4, 32))
 def _sign_flip_large(spark, sf):
-    """Groups of up to 35 units: two halves of 2^(n/2) sums."""
-    rows = _items(spark, sf, 5)
-    return _with_sizes(stats.sign_flip_p(rows, ["grp"], max_n=40), rows)
+    """Groups of some sixteen units, up to 32: two halves of 2^(n/2) sums. Larger ones have no p here."""
+    rows = _items(spark, sf, 4)
+    return _with_sizes(stats.sign_flip_p(rows, ["grp"], max_n=32, large="null"), rows)
 
 
 @query("sign_flip_grid", _grid_sql(12))
@@ -214,7 +214,7 @@ def _stream_early_stop_chunks(spark, sf):
     s.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     path = shared_dir(spark, "stream-chunks-sink")
     stream = sr.read_stream(s, source, "run BIGINT, epoch BIGINT, val_loss DOUBLE")
-    sr.run_to_table(sr.stream_early_stop(stream, "run", bucket=4), path, shared_dir(spark, "stream-chunks-checkpoint"))
+    sr.run_to_table(sr.stream_early_stop(stream, "run", bucket=16), path, shared_dir(spark, "stream-chunks-checkpoint"))
     last = F.max_by(F.struct("best", "best_epoch", "null_rows"), F.col("epoch"))
     done = spark.read.parquet(path).groupBy("run").agg(
         F.min(F.when(F.col("is_stop"), F.col("epoch"))).alias("stop_epoch"), last.alias("_at")
