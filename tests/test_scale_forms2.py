@@ -192,3 +192,33 @@ def test_classifier_behind_a_denoiser(spark):
     assert (report["accuracy"], report["macro_f1"], report["n"], report["skipped"]) == (1.0, 1.0, 4, 2)
     by = {r["h"]: r for r in classify.denoised_report(frames, "true", bright, keys=["h"]).collect()}
     assert by[1]["accuracy"] == 0.0 and by[2]["skipped"] == 2 and by[2]["n"] == 3
+
+
+# --- means whatever the order of rows ---------------------------------------------------------------------------
+
+
+def test_equal_means_tie_in_any_order(spark, tmp_path):
+    """Epochs 22 and 27 of a run have the mean 17.04; six copies added one by one come out apart."""
+    from framemetry.plans import QUERIES
+
+    values = {22: [10.28, 23.8], 27: [10.9, 4.45, 25.67, 18.84, 25.34]}
+    rows = [(i, d, v) for i in range(6) for d, of in values.items() for v in of]
+    best = []
+    for n, order in enumerate([rows, rows[::-1], sorted(rows, key=lambda r: r[2])]):
+        at = tmp_path / str(n)
+        events = spark.createDataFrame(order, "i int, d int, value double").coalesce(1).select(
+            F.monotonically_increasing_id().alias("event_id"), F.make_timestamp_ntz(F.lit(2024), F.lit(1), "d", F.lit(0), F.lit(0), F.lit(0)).alias("ts"),
+            F.lit(1312).cast("bigint").alias("user_id"), F.lit("view").alias("event_type"), "value", F.lit("{}").alias("props"),
+        )
+        events.write.parquet(f"{at}/events.parquet")
+        best += [QUERIES["best_checkpoint"](spark, str(at)).first()["val_loss_epoch"], QUERIES["early_stop"](spark, str(at)).first()["best_epoch"]]
+    assert best == [22] * 6
+
+
+def test_decimal_mean_of_other_values(spark):
+    from framemetry.functions.scalars import decimal_mean
+
+    rows = [("nan", float("nan")), ("nan", 1.0), ("thirds", 1 / 3), ("thirds", 1.0), ("large", 1e300), ("large", 1e300), ("null", None), ("some", None), ("some", 0.3)]
+    df = spark.createDataFrame(rows, "k string, v double").coalesce(1)
+    got = {r["k"]: r["m"] for r in df.groupBy("k").agg(decimal_mean("v").alias("m")).collect()}
+    assert math.isnan(got.pop("nan")) and got == {"thirds": (1 / 3 + 1) / 2, "large": 1e300, "null": None, "some": 0.3}
