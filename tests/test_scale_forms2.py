@@ -222,3 +222,21 @@ def test_decimal_mean_of_other_values(spark):
     df = spark.createDataFrame(rows, "k string, v double").coalesce(1)
     got = {r["k"]: r["m"] for r in df.groupBy("k").agg(decimal_mean("v").alias("m")).collect()}
     assert math.isnan(got.pop("nan")) and got == {"thirds": (1 / 3 + 1) / 2, "large": 1e300, "null": None, "some": 0.3}
+
+
+def test_stream_checks_reads_more_files_of_a_larger_table(spark, sf, tmp_path, monkeypatch):
+    from framemetry.plans import QUERIES, scale
+
+    spark.read.parquet(f"{sf}/lineitem.parquet").repartition(40).write.parquet(f"{tmp_path}/lineitem.parquet")
+    made = {}
+
+    def kept(session, purpose):
+        made[purpose] = shared_dir(session, purpose)
+        return made[purpose]
+
+    monkeypatch.setattr(scale, "shared_dir", kept)
+    found = {tuple(r) for r in QUERIES["stream_checks"](spark, str(tmp_path)).collect()}
+    assert found == {tuple(r) for r in QUERIES["run_checks_once"](spark, sf).collect()}
+    source = spark.read.parquet(made["stream-checks-in"])
+    assert source.select(F.input_file_name()).distinct().count() >= spark.sparkContext.defaultParallelism
+    assert source.count() == spark.read.parquet(f"{sf}/lineitem.parquet").count()
