@@ -210,6 +210,7 @@ def sign_flip_p(
 GRID_DECIMALS = 9
 GRID_CELLS = 20_000_000
 GRID_MAX_N = 1000
+DENSE_CELLS = 64  # an array holds up to so many places for each sum of the values
 
 
 def grid_share(values: np.ndarray, decimals: int = GRID_DECIMALS, cells: int = GRID_CELLS) -> float | None:
@@ -234,17 +235,34 @@ def grid_share(values: np.ndarray, decimals: int = GRID_DECIMALS, cells: int = G
     observed = abs(int((np.sign(values[np.argsort(np.abs(values), kind="stable")]).astype(np.int64) * steps).sum()))
     if int(steps.sum()) > cells:
         return None
+    steps, total = steps[steps > 0].tolist(), int(steps.sum())
+    places, share = _dense_sums(steps, total) if total <= DENSE_CELLS << min(len(steps), 20) else _sparse_sums(steps)
+    return float(min(1.0, share[np.abs(places) >= observed].sum()))
+
+
+def _dense_sums(steps: list[int], total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and shares of all sums, kept as an array over every place they may reach: a value is added or not."""
+    share, reach = np.zeros(total + 1), 0
+    share[0] = 1.0
+    for step in steps:
+        with_it = share[: reach + 1] / 2
+        share[: reach + 1] = with_it
+        share[step : step + reach + 1] += with_it
+        reach += step
+    return np.arange(-total, total + 1, 2), share
+
+
+def _sparse_sums(steps: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The same of values far apart, whose sums are few: only places with a share are kept."""
     places, share = np.zeros(1, np.int64), np.ones(1)
-    for step in steps.tolist():
-        if not step:
-            continue
+    for step in steps:
         # the two shifted lists are sorted already; equal places are added
         both = np.concatenate([places - step, places + step])
         order = np.argsort(both, kind="stable")
         both, halves = both[order], np.concatenate([share, share])[order] / 2
         first = np.flatnonzero(np.diff(both, prepend=both[0] - 1))
         places, share = both[first], np.add.reduceat(halves, first)
-    return float(min(1.0, share[np.abs(places) >= observed].sum()))
+    return places, share
 
 
 def sign_flip_grid(

@@ -334,6 +334,20 @@ def test_grid_against_enumeration():
     assert stats.grid_share(np.array([1e-9, 1.0])) is None  # on the grid, but over too many steps
 
 
+def test_grid_of_small_steps_sorts_nothing(monkeypatch):
+    """Whole numbers below 26 fill their grid: an array takes the place of sorted lists, with the same shares."""
+    r = np.random.default_rng(3)
+    groups = [(r.integers(1, 51, n) - 25.0) for n in (1, 2, 7, 20, 48, 82)] + [np.array([0.0, 5.0, 0.0, -5.0])]
+    far = np.array([1e-2, 3e4, 7.0, -2e4])
+    listed = [stats.grid_share(g) for g in groups]
+    with monkeypatch.context() as m:
+        m.setattr(stats, "DENSE_CELLS", -1)
+        assert listed == pytest.approx([stats.grid_share(g) for g in groups], abs=1e-15)
+    assert stats.grid_share(far) == enumerated(far.tolist())
+    monkeypatch.setattr(stats.np, "argsort", None)
+    assert [stats._dense_sums([3, 4], 7)[0].tolist(), stats._dense_sums([3, 4], 7)[1].tolist()] == [list(range(-7, 8, 2)), [0.25, 0, 0, 0.25, 0.25, 0, 0, 0.25]]
+
+
 def test_grid_beyond_enumeration(spark):
     """Forty units agree with two halves; two hundred with the binomial they are."""
     r = random.Random(10)
