@@ -1,7 +1,7 @@
 """Picture folders to frames.
 
-Folders are read by Spark's ``image`` source, and 16-bit gray files, which it would cut to 8 bits, by
-``binaryFile`` with a small decoder. Unreadable files land in the rejects with a reason instead of
+Gray files of 8 and 16 bits are read by ``binaryFile`` with a small decoder, other kinds by Spark's ``image``
+source, which would cut 16 bits to 8. Unreadable files land in the rejects with a reason instead of
 failing the job.
 """
 
@@ -219,37 +219,50 @@ def ingest_frames(files: DataFrame) -> DataFrame:
     use ``ingest_folder``.
     """
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for path, found in zip(batch["rel_path"], decode_pngs([bytes(c) for c in batch["content"]])):
-                if isinstance(found, str):
-                    rows.append((path, None, None, None, None, found))
-                else:
-                    h, w, depth, samples = found
-                    rows.append((path, h, w, depth, unit_pixels(samples, depth), None))
-            out = pd.DataFrame(
-                rows, columns=["rel_path", "h", "w", "bit_depth", "pixels", "reason"]
-            )
-            for c in ("h", "w", "bit_depth"):
-                out[c] = out[c].astype("Int32")
-            yield out
-
-    return _framed(files.select("rel_path", "content").mapInPandas(decode, DECODED))
+    return _framed(files.select("rel_path", "content").mapInPandas(_decode, DECODED))
+
+
+def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(rel_path, content, ...) to the columns of DECODED and the further ones."""
+    for batch in batches:
+        rows = []
+        for path, found in zip(batch["rel_path"], decode_pngs([bytes(c) for c in batch["content"]])):
+            if isinstance(found, str):
+                rows.append((path, None, None, None, None, found))
+            else:
+                h, w, depth, samples = found
+                rows.append((path, h, w, depth, unit_pixels(samples, depth), None))
+        out = pd.DataFrame(
+            rows, columns=["rel_path", "h", "w", "bit_depth", "pixels", "reason"]
+        )
+        for c in ("h", "w", "bit_depth"):
+            out[c] = out[c].astype("Int32")
+        for c in batch.columns[2:]:
+            out[c] = batch[c].to_numpy()
+        yield out
 
 
 def ingest_folder(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
     """All PNG files below ``root`` as frames, in the columns of ``ingest_frames``.
 
-    Spark's ``image`` source decodes every kind (palette, interlaced, 1 to 8 bits, colour) to 8-bit
-    samples, which are reduced to luminance. It would cut 16-bit gray to 8 bits, so these files, known by
-    their headers, are decoded here from the ``binaryFile`` scan instead. Unreadable files are rejects.
+    Gray files of 8 and 16 bits, known by their headers, are decoded here from the ``binaryFile`` scan, each opened
+    once. Other kinds (palette, interlaced, fewer bits, colour, transparent or with a colour profile), and 8-bit files that
+    cannot be decoded here, are left to Spark's ``image`` source, which gives 8-bit samples that are reduced to luminance
+    and would cut 16-bit gray to 8 bits. It reads a folder whole, so it is asked only if there are such files. Unreadable
+    files are rejects.
     """
     files = scan_frames(spark, root, recursive)
-    # bytes 25 and 26 of a PNG: bit depth, and colour type 0 for gray
-    deep = (F.ascii(F.substring("content", 25, 1).cast("string")) == 16) & (F.hex(F.substring("content", 26, 1)) == "00")
+    # bytes 25, 26 and 29 of a PNG: bit depth, colour type 0 for gray, interlaced or not
+    depth, colour, interlace = (F.hex(F.substring("content", at, 1)) for at in (25, 26, 29))
+    marked = F.contains("content", F.lit(b"tRNS")) | F.contains("content", F.lit(b"iCCP"))
+    deep = (depth == "10") & (colour == "00")
+    here = deep | ((depth == "08") & (colour == "00") & (interlace == "00") & ~marked)
+    content = F.when(here, F.col("content")).otherwise(F.lit(b""))
     # decoded once and written, so that their names need no second read
-    gray16 = written(ingest_frames(files.where(deep)), "gray16")
+    seen = written(files.select("rel_path", content.alias("content"), deep.alias("deep")).mapInPandas(_decode, f"{DECODED}, deep BOOLEAN"), "gray")
+    done = seen.where("reason IS NULL OR deep").drop("deep")
+    if seen.where("reason IS NOT NULL AND NOT deep").isEmpty():
+        return _framed(done)
     pictures = (
         spark.read.format("image")
         .option("pathGlobFilter", "*.png")
@@ -258,7 +271,7 @@ def ingest_folder(spark: SparkSession, root: str, recursive: bool = True) -> Dat
         .load(root)
         .select(relative_path("image.origin", resolved(spark, root)).alias("rel_path"), "image.*")
     )
-    shallow = pictures.join(gray16.select("rel_path"), "rel_path", "left_anti")
+    rest = pictures.join(done.select("rel_path"), "rel_path", "left_anti")
 
     def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -276,8 +289,8 @@ def ingest_folder(spark: SparkSession, root: str, recursive: bool = True) -> Dat
                 out[c] = out[c].astype("Int32")
             yield out
 
-    slim = shallow.select("rel_path", "height", "width", "nChannels", "data")
-    return gray16.unionByName(_framed(slim.mapInPandas(reduce, DECODED)))
+    slim = rest.select("rel_path", "height", "width", "nChannels", "data")
+    return _framed(done.unionByName(slim.mapInPandas(reduce, DECODED)))
 
 
 def decoded_frames(decoded: DataFrame) -> DataFrame:

@@ -232,6 +232,27 @@ def test_every_kind_of_png(spark, tmp_path):
     assert got["broken.png"]["reason"] and got["deep.png"]["bit_depth"] == 16 and got["a/gray8.png"]["grp"] == "a"
 
 
+def test_a_gray_folder_is_opened_once(spark, tmp_path):
+    """The image source, which opens every file again, is left out where no file needs it."""
+    files = {f"{depth}/{k}.png": images.encode_gray_png(np.array([[k, 2**depth - 1]]), depth) for depth in (8, 16) for k in range(3)}
+    for name, data in files.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+
+    def sources(out):
+        return out._jdf.queryExecution().optimizedPlan().toString().count("image")
+
+    out = images.ingest_folder(spark, str(tmp_path))
+    assert sources(out) == 0
+    px = {r["rel_path"]: [round(v * (2 ** r["bit_depth"] - 1)) for v in r["pixels"]] for r in out.collect()}
+    assert px == {name: [int(name[-5]), 2 ** int(name.split("/")[0]) - 1] for name in files}
+    (tmp_path / "short.png").write_bytes(files["8/1.png"][:40])
+    out = images.ingest_folder(spark, str(tmp_path))
+    assert sources(out) > 0
+    reasons = {r["rel_path"]: r["reason"] for r in out.collect()}
+    assert set(reasons) == {*files, "short.png"} and {k for k, v in reasons.items() if v} == {"short.png"}
+
+
 def test_roots(spark):
     cases = [
         ("file:/data/x/data/1.png", "/data", "x/data/1.png"), ("file:///data/a/run1/b/2.png", "file:/data/*/run[0-9]", "b/2.png"),
