@@ -214,7 +214,7 @@ def _stream_early_stop_chunks(spark, sf):
     s.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     path = shared_dir(spark, "stream-chunks-sink")
     stream = sr.read_stream(s, source, "run BIGINT, epoch BIGINT, val_loss DOUBLE")
-    sr.run_to_table(sr.stream_early_stop(stream, "run", bucket=16), path, shared_dir(spark, "stream-chunks-checkpoint"))
+    sr.run_to_table(sr.stream_early_stop(stream, "run", bucket=16, held=7), path, shared_dir(spark, "stream-chunks-checkpoint"))
     last = F.max_by(F.struct("best", "best_epoch", "null_rows"), F.col("epoch"))
     done = spark.read.parquet(path).groupBy("run").agg(
         F.min(F.when(F.col("is_stop"), F.col("epoch"))).alias("stop_epoch"), last.alias("_at")

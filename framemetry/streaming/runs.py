@@ -2,19 +2,19 @@
 
 The log of a run has one ordered writer. Rows are put in order inside each micro-batch; a row not newer than the
 last one accepted is dropped and counted (``late_rows``), and so is one without a place (``null_rows``). On ordered
-input the results equal those of the batch operators. State per run is a handful of numbers. The rows of a run
-come in chunks: one chunk is put in order in memory; several wait in the state store, in buckets of ``BUCKET``
-places, and are taken bucket by bucket, so a run may have any number of rows in one micro-batch.
+input the results equal those of the batch operators. State per run is a handful of numbers. Runs are hashed into
+``PARTS`` parts, and the rows of a part come in chunks: up to ``HELD`` rows are put in order in memory; more wait in
+the state store, in buckets of ``BUCKET`` places of a run, and are taken bucket by bucket, so a run may have any
+number of rows in one micro-batch.
 
-With ``idle`` (seconds), a run that wrote nothing for so long is closed by a timer: it gives one more row with
-``is_closed``, and its state goes. Rows that come later begin it anew.
+With ``idle`` (seconds), a run that wrote nothing for so long is closed by a timer of its part: it gives one more row
+with ``is_closed``, and its state goes. Rows that come later begin it anew.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -27,6 +27,8 @@ from framemetry.session import pickled_by_value
 pickled_by_value(__name__)
 
 BUCKET = 1024
+HELD = 65536  # rows of a part in memory
+PARTS = 1024  # groups of runs; not to be changed under a checkpoint
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -74,186 +76,249 @@ def _unique(place: np.ndarray, value: np.ndarray, more: np.ndarray) -> tuple[np.
 
 
 class RunSteps(StatefulProcessor):
-    """Rows (place, value) of a run in the order of their places, against a state that begins as ``begin`` and is
-    led on by ``step``. The state's first three fields are (last place, late rows, null rows)."""
+    """Rows (run, place, value) of the runs of a part, those of a run in the order of their places, against a state
+    per run that begins as ``begin`` and is led on by ``step``. Runs share the cost of a call, which for a few rows
+    of one run is far above that of the rows."""
 
-    STATE = "last BIGINT, late BIGINT, nulls BIGINT, stopped BOOLEAN"
+    STATE = "last BIGINT, late BIGINT, nulls BIGINT, stopped BOOLEAN, seen BIGINT"
 
-    def __init__(self, run: str, idle: float | None, bucket: int):
-        self.run, self.idle, self.bucket = run, idle, bucket
+    def __init__(self, run: str, idle: float | None, bucket: int, held: int = HELD):
+        self.run, self.idle, self.bucket, self.held = run, idle, bucket, held
 
     def begin(self) -> tuple:
+        """The own fields of a new state."""
         raise NotImplementedError
 
-    def step(self, state: tuple, place: np.ndarray, value: np.ndarray) -> tuple[pd.DataFrame, list[tuple]]:
-        """The result rows up to a stop, and the own fields of the state after each of them."""
+    def step(self, own: tuple, place: np.ndarray, value: np.ndarray) -> tuple[dict[str, np.ndarray], list[tuple]]:
+        """The result rows, and the own fields of the state after each of them."""
         raise NotImplementedError
 
-    def closing(self, state: tuple) -> dict:
+    def closing(self, last: int, own: tuple) -> dict:
         raise NotImplementedError
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("run", self.STATE)
+        self.runs = handle.getMapState("runs", "run STRING", self.STATE)
         self.waiting = handle.getMapState(
-            "waiting", "bucket BIGINT", "places ARRAY<BIGINT>, found ARRAY<DOUBLE>, more ARRAY<BIGINT>"
+            "waiting", "run STRING, bucket BIGINT", "places ARRAY<BIGINT>, found ARRAY<DOUBLE>, more ARRAY<BIGINT>"
         )
 
     def close(self) -> None:
         pass
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state = tuple(self.state.get()) if self.state.exists() else self.begin()
-        head = next(rows)
-        second = next(rows, None)
-        if second is None:
-            state, *arrays = self._fresh(state, head)
-            pieces = iter([_unique(*arrays)])
+        now = 0 if self.idle is None else timerValues.getCurrentProcessingTimeInMs()
+        before, states = {}, {}
+        known = self.runs.exists()
+        held, size, waits = [], 0, set()
+        for chunk in rows:
+            held.append(self._fresh(chunk, before, states, known, now))
+            size += len(held[-1][0])
+            if size > self.held:
+                waits |= self._wait(held)
+                held, size = [], 0
+        if waits:
+            waits |= self._wait(held)
+            pieces = ((at[0], *self._taken(at)) for at in sorted(waits, key=lambda at: (at[0] or "", at[0] is None, at[1])))
         else:
-            buckets: set[int] = set()
-            for chunk in chain([head, second], rows):
-                state, *arrays = self._fresh(state, chunk)
-                buckets |= self._wait(*arrays)
-            pieces = map(self._taken, sorted(buckets))
-        for place, value, more in pieces:
-            state, result = self._lead(state, place, value, more)
-            result.insert(0, self.run, key[0])
-            yield result
-        self.state.update(state)
-        if self.idle is not None:
-            for at in list(self.handle.listTimers()):
-                self.handle.deleteTimer(at)
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + int(self.idle * 1000))
-
-    def _fresh(self, state: tuple, chunk: pd.DataFrame) -> tuple:
-        """The state with the rows counted that count for nothing, and the others as arrays."""
-        last, late, nulls, stopped, *own = state
+            pieces = self._by_run(held)
+        found, size = [], 0
+        for name, place, value, more in pieces:
+            states[name], result = self._lead(states[name], place, value, more)
+            found.append((name, result))
+            size += len(result["is_stop"])
+            if size >= self.held:
+                yield self._frame(found)
+                found, size = [], 0
+        if size:
+            yield self._frame(found)
+        for name, state in states.items():
+            if state != before[name]:
+                self.runs.updateValue((name,), state)
+        if self.idle is not None and next(iter(self.handle.listTimers()), None) is None:
+            self.handle.registerTimer(now + int(self.idle * 1000))
+
+    def _fresh(self, chunk: pd.DataFrame, before: dict, states: dict, known: bool, now: int) -> tuple:
+        """Rows that count as arrays; the others are counted in the state of their run, which is read when it is met."""
+        of, names = pd.factorize(chunk["run"], use_na_sentinel=False)
+        names = [None if pd.isna(name) else name for name in names]
+        for name in names:
+            if name not in states:
+                stored = known and self.runs.containsKey((name,))
+                before[name] = tuple(self.runs.getValue((name,))) if stored else None
+                state = before[name] or (-(2**62), 0, 0, False, 0, *self.begin())
+                states[name] = (*state[:4], now, *state[5:])
+        live = ~np.array([states[name][3] for name in names], bool)[of]
         placed = ~chunk["missing"].to_numpy(bool)
-        place = chunk["place"].to_numpy(np.int64)[placed]
-        value = chunk["value"].to_numpy(float)[placed]
-        new = place > last
-        if not stopped:
-            nulls, late = nulls + int((~placed).sum()), late + int((~new).sum())
-        return (last, late, nulls, stopped, *own), place[new], value[new], np.zeros(int(new.sum()), np.int64)
-
-    def _wait(self, place: np.ndarray, value: np.ndarray, more: np.ndarray) -> set[int]:
+        place = chunk["place"].to_numpy(np.int64)
+        new = live & placed & (place > np.array([states[name][0] for name in names], np.int64)[of])
+        nulls = np.bincount(of[live & ~placed], minlength=len(names))
+        late = np.bincount(of[live & placed & ~new], minlength=len(names))
+        for i in np.flatnonzero(nulls + late).tolist():
+            state = states[names[i]]
+            states[names[i]] = (state[0], state[1] + int(late[i]), state[2] + int(nulls[i]), *state[3:])
+        return np.array(names, object)[of[new]], place[new], chunk["value"].to_numpy(float)[new]
+
+    def _by_run(self, held: list[tuple]) -> Iterator[tuple]:
+        """The rows of each run, its places ascending."""
+        if not held:
+            return
+        run, place, value = (np.concatenate(arrays) for arrays in zip(*held))
+        of, names = pd.factorize(run, use_na_sentinel=False)
+        order = np.argsort(of, kind="stable")
+        place, value, ends = place[order], value[order], np.cumsum(np.bincount(of, minlength=len(names)))
+        for name, low, high in zip(names, np.concatenate([[0], ends]), ends):
+            yield None if pd.isna(name) else name, *_unique(place[low:high], value[low:high], np.zeros(high - low, np.int64))
+
+    def _wait(self, held: list[tuple]) -> set[tuple]:
         """Rows added to the buckets that wait in the state store."""
-        of = place // self.bucket
-        for bucket in np.unique(of).tolist():
-            mine = of == bucket
-            arrays = place[mine], value[mine], more[mine]
-            if self.waiting.containsKey((bucket,)):
-                held = self.waiting.getValue((bucket,))
-                arrays = tuple(np.concatenate([np.array(h, a.dtype), a]) for h, a in zip(held, arrays))
-            self.waiting.updateValue((bucket,), tuple(a.tolist() for a in _unique(*arrays)))
-        return set(np.unique(of).tolist())
-
-    def _taken(self, bucket: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        place, value, more = self.waiting.getValue((bucket,))
-        self.waiting.removeKey((bucket,))
+        met = set()
+        for name, place, value, more in self._by_run(held):
+            of = place // self.bucket
+            for bucket in np.unique(of).tolist():
+                mine, at = of == bucket, (name, bucket)
+                arrays = place[mine], value[mine], more[mine]
+                if self.waiting.containsKey(at):
+                    held_there = self.waiting.getValue(at)
+                    arrays = tuple(np.concatenate([np.array(h, a.dtype), a]) for h, a in zip(held_there, arrays))
+                self.waiting.updateValue(at, tuple(a.tolist() for a in _unique(*arrays)))
+                met.add(at)
+        return met
+
+    def _taken(self, at: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        place, value, more = self.waiting.getValue(at)
+        self.waiting.removeKey(at)
         return np.array(place, np.int64), np.array(value, float), np.array(more, np.int64)
 
-    def _lead(self, state: tuple, place: np.ndarray, value: np.ndarray, more: np.ndarray) -> tuple[tuple, pd.DataFrame]:
-        last, late, nulls, stopped, *own = state
-        result, after = self.step(state, place, value)
-        n = 0 if stopped else _until(result["is_stop"].to_numpy(bool))
+    def _lead(self, state: tuple, place: np.ndarray, value: np.ndarray, more: np.ndarray) -> tuple[tuple, dict]:
+        """The state after the rows, and the result rows up to a stop."""
+        last, late, nulls, stopped, seen, *own = state
+        result, after = self.step(own, place, value)
+        n = 0 if stopped else _until(result["is_stop"])
         missed = late + np.concatenate([[0], np.cumsum(more)])
-        result = result.iloc[:n].copy()
-        result["late_rows"] = missed[:n]
-        result["null_rows"] = nulls
-        result["is_closed"] = False
+        result = {c: rows[:n] for c, rows in result.items()}
+        result |= {"late_rows": missed[:n], "null_rows": np.full(n, nulls), "is_closed": np.zeros(n, bool)}
         if n:
-            last, stopped, own = int(place[n - 1]), bool(result["is_stop"].iloc[-1]), after(n - 1)
+            last, stopped, own = int(place[n - 1]), bool(result["is_stop"][-1]), after(n - 1)
             late = int(missed[n - 1] if stopped else missed[-1])
-        return (last, late, nulls, stopped, *own), result
+        return (last, late, nulls, stopped, seen, *own), result
+
+    def _frame(self, found: list[tuple]) -> pd.DataFrame:
+        run = np.repeat(np.array([name for name, _ in found], object), [len(result["is_stop"]) for _, result in found])
+        return pd.DataFrame({self.run: run} | {c: np.concatenate([result[c] for _, result in found]) for c in found[0][1]})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        state = tuple(self.state.get())
-        self.state.clear()
-        row = {self.run: key[0], **self.closing(state), "late_rows": state[1], "null_rows": state[2], "is_closed": True}
-        yield pd.DataFrame([row])
+        """Closes the silent runs of the part; the next timer is for the one that is silent longest then."""
+        now, idle = timerValues.getCurrentProcessingTimeInMs(), int(self.idle * 1000)
+        closed, due = [], None
+        for (name,), (last, late, nulls, _, seen, *own) in self.runs.iterator():
+            if seen + idle <= now:
+                closed.append({self.run: name, **self.closing(last, own), "late_rows": late, "null_rows": nulls, "is_closed": True})
+            else:
+                due = min(due or seen + idle, seen + idle)
+        for row in closed:
+            self.runs.removeKey((row[self.run],))
+        if due is not None:
+            self.handle.registerTimer(due)
+        if closed:
+            yield pd.DataFrame(closed)
 
 
 class EarlyStop(RunSteps):
     STATE = RunSteps.STATE + ", best DOUBLE, best_epoch BIGINT"
 
-    def __init__(self, run: str, idle: float | None, bucket: int, patience: int, start_epoch: int):
-        super().__init__(run, idle, bucket)
+    def __init__(self, run: str, idle: float | None, bucket: int, patience: int, start_epoch: int, held: int = HELD):
+        super().__init__(run, idle, bucket, held)
         self.patience, self.start_epoch = patience, start_epoch
 
     def begin(self) -> tuple:
-        return -(2**62), 0, 0, False, math.inf, self.start_epoch
+        return math.inf, self.start_epoch
 
-    def step(self, state: tuple, place: np.ndarray, value: np.ndarray):
-        best, best_epoch = state[4:]
+    def step(self, own: tuple, place: np.ndarray, value: np.ndarray):
+        best, best_epoch = own
         value = np.where(np.isfinite(value), value, np.inf)
         low = np.minimum.accumulate(np.concatenate([[best], value]))
         improved = value < low[:-1]
         at = np.maximum.accumulate(np.where(improved, place, best_epoch)) if len(place) else place
-        rows = pd.DataFrame({
-            "epoch": place, "best": low[1:], "best_epoch": at, "is_best": improved, "is_stop": place - at >= self.patience,
-        })
+        rows = {"epoch": place, "best": low[1:], "best_epoch": at, "is_best": improved, "is_stop": place - at >= self.patience}
         return rows, lambda i: (float(low[i + 1]), int(at[i]))
 
-    def closing(self, state: tuple) -> dict:
-        return {"epoch": state[0], "best": state[4], "best_epoch": state[5], "is_best": False, "is_stop": False}
+    def closing(self, last: int, own: tuple) -> dict:
+        return {"epoch": last, "best": own[0], "best_epoch": own[1], "is_best": False, "is_stop": False}
 
 
 class NonfiniteBudget(RunSteps):
     STATE = RunSteps.STATE + ", bad BIGINT"
 
-    def __init__(self, run: str, idle: float | None, bucket: int, order: str, max_bad: int, stops: bool):
-        super().__init__(run, idle, bucket)
+    def __init__(self, run: str, idle: float | None, bucket: int, order: str, max_bad: int, stops: bool, held: int = HELD):
+        super().__init__(run, idle, bucket, held)
         self.order, self.max_bad, self.stops = order, max_bad, stops
 
     def begin(self) -> tuple:
-        return -(2**62), 0, 0, False, 0
+        return (0,)
 
-    def step(self, state: tuple, place: np.ndarray, value: np.ndarray):
+    def step(self, own: tuple, place: np.ndarray, value: np.ndarray):
         is_bad = value != 0
-        so_far = state[4] + np.cumsum(is_bad)
-        rows = pd.DataFrame({
-            self.order: place, "bad_so_far": so_far, "is_bad": is_bad, "is_stop": is_bad & (so_far > self.max_bad) & self.stops,
-        })
+        so_far = own[0] + np.cumsum(is_bad)
+        rows = {self.order: place, "bad_so_far": so_far, "is_bad": is_bad, "is_stop": is_bad & (so_far > self.max_bad) & self.stops}
         return rows, lambda i: (int(so_far[i]),)
 
-    def closing(self, state: tuple) -> dict:
-        return {self.order: state[0], "bad_so_far": state[4], "is_bad": False, "is_stop": False}
+    def closing(self, last: int, own: tuple) -> dict:
+        return {self.order: last, "bad_so_far": own[0], "is_bad": False, "is_stop": False}
+
+
+def _as_text(run: Column, kind: str) -> Column:
+    """A run as text, equal for equal runs; columns of whole numbers with NULLs do not survive in pandas."""
+    if kind == "timestamp":
+        return F.unix_micros(run).cast("string")
+    if kind in ("double", "float"):
+        run = F.when(run == 0, F.lit(0).cast(kind)).otherwise(run)  # the negative zero is the same
+    return F.hex(run) if kind == "binary" else run.cast("string")
 
 
-def _stateful(rows: DataFrame, run: str, place: str, value: Column, steps: RunSteps, made: str) -> DataFrame:
+def _from_text(text: Column, kind: str) -> Column:
+    if kind == "timestamp":
+        return F.timestamp_micros(text.cast("bigint"))
+    return F.unhex(text) if kind == "binary" else text.cast(kind)
+
+
+def _stateful(rows: DataFrame, run: str, place: str, value: Column, steps: RunSteps, made: str, parts: int) -> DataFrame:
     # this kind of state is kept by the RocksDB store only
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    at = F.col(place).cast("bigint")
-    slim = rows.select(run, F.coalesce(at, F.lit(0)).alias("place"), at.isNull().alias("missing"), value.alias("value"))
-    kind = rows.schema[run].dataType.simpleString()
-    return slim.groupBy(run).transformWithStateInPandas(
+    at, kind = F.col(place).cast("bigint"), rows.schema[run].dataType.simpleString()
+    name = _as_text(F.col(run), kind)
+    slim = rows.select(
+        F.pmod(F.xxhash64(name), F.lit(parts)).alias("part"), name.alias("run"), F.coalesce(at, F.lit(0)).alias("place"),
+        at.isNull().alias("missing"), value.alias("value"),
+    )
+    out = slim.groupBy("part").transformWithStateInPandas(
         steps,
-        f"{run} {kind}, {made}, is_stop BOOLEAN, late_rows BIGINT, null_rows BIGINT, is_closed BOOLEAN",
+        f"{run} STRING, {made}, is_stop BOOLEAN, late_rows BIGINT, null_rows BIGINT, is_closed BOOLEAN",
         "append",
         "None" if steps.idle is None else "ProcessingTime",
     )
+    return out.withColumn(run, _from_text(F.col(run), kind))
 
 
 def stream_early_stop(
     log: DataFrame, run: str, metric: str = "val_loss", patience: int = 12, epoch: str = "epoch",
-    start_epoch: int = 0, idle: float | None = None, bucket: int = BUCKET,
+    start_epoch: int = 0, idle: float | None = None, bucket: int = BUCKET, parts: int = PARTS, held: int = HELD,
 ) -> DataFrame:
     """One row per accepted epoch: best so far, its epoch, whether to stop now. A stopped run
     accepts nothing more."""
-    steps = EarlyStop(run, idle, bucket, patience, start_epoch)
+    steps = EarlyStop(run, idle, bucket, patience, start_epoch, held)
     value = nan_if_null(F.col(metric).cast("double"))
-    return _stateful(log, run, epoch, value, steps, "epoch BIGINT, best DOUBLE, best_epoch BIGINT, is_best BOOLEAN")
+    return _stateful(log, run, epoch, value, steps, "epoch BIGINT, best DOUBLE, best_epoch BIGINT, is_best BOOLEAN", parts)
 
 
 def stream_nonfinite_budget(
     batches: DataFrame, run: str, order: str = "batch", loss: str = "loss", max_bad: int = 3,
-    action: str = "stop", idle: float | None = None, bucket: int = BUCKET,
+    action: str = "stop", idle: float | None = None, bucket: int = BUCKET, parts: int = PARTS, held: int = HELD,
 ) -> DataFrame:
     """One row per batch seen: running count of bad ones and whether the budget is exceeded now."""
-    steps = NonfiniteBudget(run, idle, bucket, order, max_bad, action == "stop")
+    steps = NonfiniteBudget(run, idle, bucket, order, max_bad, action == "stop", held)
     bad = (~F.coalesce(finite(loss), F.lit(False))).cast("double")
-    return _stateful(batches, run, order, bad, steps, f"{order} BIGINT, bad_so_far BIGINT, is_bad BOOLEAN")
+    return _stateful(batches, run, order, bad, steps, f"{order} BIGINT, bad_so_far BIGINT, is_bad BOOLEAN", parts)
 
 
 def _candidate(metric: str, mode: str, epoch: str) -> Column:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import datetime
 import math
+import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -240,3 +243,61 @@ def test_stream_checks_reads_more_files_of_a_larger_table(spark, sf, tmp_path, m
     source = spark.read.parquet(made["stream-checks-in"])
     assert source.select(F.input_file_name()).distinct().count() >= spark.sparkContext.defaultParallelism
     assert source.count() == spark.read.parquet(f"{sf}/lineitem.parquet").count()
+
+
+# --- runs that share a call ---------------------------------------------------------------------------------------
+
+
+class _Map(dict):
+    exists, containsKey, getValue, removeKey, updateValue = dict.__len__, dict.__contains__, dict.get, dict.pop, dict.__setitem__
+
+
+class _Handle:
+    def getMapState(self, name, key, value):
+        return _Map()
+
+
+def _budget(rows, max_bad):
+    """Rows (run, batch, bad) in order of batch: the running count up to the stop, the first of equal batches."""
+    out, seen = [], {}
+    for run, batch, bad in sorted(rows, key=lambda x: x[1]):
+        last, n, stopped = seen.get(run, (-1, 0, False))
+        if not stopped and batch > last:
+            n += bad
+            seen[run] = batch, n, bool(bad) and n > max_bad
+            out.append((run, batch, n, bool(bad), bool(bad) and n > max_bad))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("held", [3, 50, 10**6])
+def test_runs_share_a_call(held):
+    """Five hundred runs of a part come back in a few frames, not one each, over two micro-batches."""
+    r = np.random.default_rng(held)
+    rows = [(None if k == 0 else f"r{k}", b, float(r.random() < 0.3)) for k in range(500) for b in range(6)]
+    rows += [(run, 1, 1.0 - bad) for run, b, bad in rows if b == 1 and r.random() < 0.2]  # a batch once more
+    steps = sr.NonfiniteBudget("run", None, 4, "batch", 1, True, held)
+    steps.init(_Handle())
+    got = []
+    for piece in ([x for x in rows if x[1] < 3], [x for x in rows if x[1] >= 3]):
+        frame = pd.DataFrame(piece, columns=["run", "place", "value"]).assign(missing=False)
+        chunks = [frame[i : i + 700] for i in range(0, len(frame), 700)]
+        frames = list(steps.handleInputRows((0,), iter(chunks), None))
+        assert len(frames) <= 1 + len(frame) // held
+        got += [tuple(x) for f in frames for x in f[["run", "batch", "bad_so_far", "is_bad", "is_stop"]].itertuples(index=False)]
+    assert sorted(got, key=str) == _budget(rows, 1)
+    assert not steps.waiting and len(steps.runs) == 500
+
+
+def test_budget_of_runs_of_any_type(spark):
+    r = random.Random(8)
+    names = {"timestamp": [datetime.datetime(2024, 1, k + 1) for k in range(5)], "binary": [bytes([k, 255 - k]) for k in range(5)], "bigint": [2**53 + k for k in range(5)]}
+    for kind, runs in names.items():
+        rows = [(run, b, r.choice([1.0, 1.0, float("nan")])) for run in [None, *runs] for b in range(40)]
+        source, sink, checkpoint = (shared_dir(spark, f"kinds-{p}") for p in ("in", "out", "check"))
+        spark.createDataFrame(r.sample(rows, len(rows)), f"run {kind}, batch bigint, loss double").repartition(2).write.parquet(source)
+        stream = sr.read_stream(spark.newSession(), source, f"run {kind}, batch bigint, loss double")
+        sr.run_to_table(sr.stream_nonfinite_budget(stream, "run", max_bad=5, bucket=8, parts=2, held=16), sink, checkpoint)
+        back = spark.read.parquet(sink)
+        assert back.schema["run"].dataType.simpleString() == kind
+        got = [(bytes(x["run"]) if isinstance(x["run"], bytearray) else x["run"], x["batch"], x["bad_so_far"], x["is_bad"], x["is_stop"]) for x in back.collect()]
+        assert sorted(got, key=str) == _budget([(a, b, int(math.isnan(v))) for a, b, v in rows], 5)
