@@ -7,6 +7,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -295,6 +296,53 @@ def test_near_copies_cases(spark, documents):
     assert corpus_pipeline.near_copies(spark, docs.limit(0), "").count() == 0
 
 
+def test_near_copies_by_fingerprints(spark, documents):
+    """A pair of 0.8 that shares no band is linked through its group of fingerprints."""
+    words = [f"w{i}" for i in range(78016159, 78016171)]
+    texts = {k: " ".join([*words, end]) for k, end in ((1, "x1"), (2, "x3"))}
+    keys = near_copies.band_keys([near_copies.shingles(near_copies.normal(t)) for t in texts.values()])
+    prints = [op4_simhash.fingerprint(t) for t in texts.values()]
+    assert not (keys[0] == keys[1]).any() and (prints[0] ^ prints[1]).bit_count() == 2
+    assert brute_near(texts) == ({1}, [(1, 2)])
+    docs = documents([*texts.items(), (3, " ".join([*words[:6], "x4"])), (4, prose(random.Random(20), 100))])
+    assert rows_of(corpus_pipeline.near_copies(spark, docs, ""), "doc_id") == [(1,), (3,), (4,)]
+
+
+def test_near_copies_of_fingerprints_alone(documents, monkeypatch):
+    """Without bands, what is linked are all pairs of a group of fingerprints that are alike, not only those that its
+    links join."""
+    r = random.Random(21)
+    base, texts = prose(r, 200).split(), {}
+    for k in range(150):
+        words = list(base)
+        for at in r.sample(range(len(words)), r.choice([1, 2, 3, 4, 6])):
+            words[at] = "edit" + str(r.random())
+        texts[k] = " ".join(words)
+    prints = {k: op4_simhash.fingerprint(t) for k, t in texts.items()}
+    group = {k: k for k in texts}
+    near = [(a, b) for a in texts for b in texts if a < b and (prints[a] ^ prints[b]).bit_count() <= 3]
+    for _ in texts:
+        for a, b in near:
+            group[a] = group[b] = min(group[a], group[b])
+    _, pairs = brute_near(texts)
+    pairs = [(a, b) for a, b in pairs if group[a] == group[b]]
+    label = {k: k for k in texts}
+    for _ in texts:
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    assert len(set(group.values())) < len(set(label.values())) < len(texts) and not set(pairs) <= set(near)
+
+    def bandless(batches, own=near_copies._signed):
+        for batch in own(batches):
+            at = batch.schema.get_field_index("keys")
+            none = pa.array([[]] * batch.num_rows, batch.schema.field(at).type)
+            yield batch.set_column(at, "keys", none)
+
+    monkeypatch.setattr(near_copies, "_signed", bandless)
+    got = near_copies.representatives(documents(texts.items()))
+    assert rows_of(got, "doc_id") == sorted([(k,) for k in set(label.values())], key=repr)
+
+
 # ---- 5: language --------------------------------------------------------------------------------
 
 
